@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 from .tokens import public_vocabulary, split_at_spaces
 
 _MOST_PAIRS = 500_000
@@ -237,4 +237,4 @@ def encode_texts(
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shape = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return rows.mapInArrow(run, f"id {id_type}, n_tokens long, {shape}").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, f"id {id_type}, n_tokens long, {shape}").withColumnRenamed("id", id_col)

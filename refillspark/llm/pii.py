@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 
 BASE = ("email", "ip", "card", "phone")
 FURTHER = ("iban", "ssn", "local_phone", "secret")
@@ -161,7 +161,7 @@ def find_personal_data(
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shape = f"id {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return rows.mapInArrow(run, shape).withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, shape).withColumnRenamed("id", id_col)
 
 
 def mask_personal_data(
@@ -190,7 +190,7 @@ def mask_personal_data(
             batch = batch.set_column(at, batch.schema.field(at), pa.array(masked, batch.schema.field(at).type))
             yield batch
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_arrow(docs, run, docs.schema)
     if length_col and length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.char_length(F.col(text_col)).cast(kind))

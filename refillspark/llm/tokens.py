@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 
 #: A space after anything but white space: a byte-level pre-tokenizer never joins the two sides,
 #: and it looks neither behind nor, from text that ends so, ahead.
@@ -159,5 +159,5 @@ def count_tokens(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    counted = map_arrow(rows, run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
     return counted.withColumnRenamed("id", id_col)
