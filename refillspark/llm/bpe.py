@@ -153,7 +153,9 @@ class _Worker:
         return out
 
 
-_worker = lru_cache(maxsize=2)(_Worker)
+@lru_cache(maxsize=2)
+def _worker(path: str, pattern: str) -> _Worker:
+    return _Worker(path, pattern)
 
 
 def split_pattern() -> str:

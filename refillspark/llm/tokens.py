@@ -89,7 +89,9 @@ class _Library:
                 start, size = i + 1, 0
 
 
-_library = lru_cache(maxsize=4)(_Library)
+@lru_cache(maxsize=4)
+def _library(path: str) -> _Library:
+    return _Library(path)
 
 
 def split_at_spaces(texts: pa.Array) -> tuple[list[str], pa.DictionaryArray, np.ndarray]:
