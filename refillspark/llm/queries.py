@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, sharding, simhash, tokens, topk
+from . import bpe, decontam, pii, sharding, simhash, substring, tokens, topk
 from .common import table
 
 
@@ -30,17 +30,27 @@ def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_balanced_shards": op7_balanced_shards,
+    "op8_decontamination": op8_decontamination,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -60,4 +70,22 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op10_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words FROM documents
+        ), w AS (
+            SELECT doc_id, unnest(range(1, len(words) - 18)) AS at, words FROM d WHERE len(words) >= 20
+        ), g AS (
+            SELECT doc_id, at, row_number() OVER (PARTITION BY array_to_string(words[at:at + 19], ' ') ORDER BY doc_id, at) AS n FROM w
+        ), later AS (
+            SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(at, at + 20)) AS p FROM g WHERE n > 1) GROUP BY doc_id
+        ), k AS (
+            SELECT d.doc_id, words, coalesce(gone, []) AS gone FROM d LEFT JOIN later USING (doc_id)
+        ), kept AS (
+            SELECT doc_id, len(words) AS n_words, len(gone) AS n_removed,
+                   list_select(words, list_sort(list_filter(range(1, len(words) + 1), i -> NOT list_contains(gone, i)))) AS stay
+            FROM k
+        )
+        SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept
+    """,
 }

@@ -62,7 +62,7 @@ def balanced_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     link_key: Column | None = None,
-    rounds: int = 8,
+    rounds: int = 10,
     parts: int = 64,
     bucket_rows: int = 20_000,
 ) -> DataFrame:
