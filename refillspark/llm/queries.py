@@ -66,13 +66,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 1024)::BIGINT) AS w
+            SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS w
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                   list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2]))::BIGINT AS score
+                   list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id
             WHERE q.vec_id % 100 = 0
         ), ranked AS (
@@ -82,18 +82,18 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op10_substring_dedup": r"""
         WITH d AS (
-            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words FROM documents
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
         ), w AS (
-            SELECT doc_id, unnest(range(1, len(words) - 18)) AS at, words FROM d WHERE len(words) >= 20
+            SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos, words FROM d WHERE len(words) >= 20
         ), g AS (
-            SELECT doc_id, at, row_number() OVER (PARTITION BY array_to_string(words[at:at + 19], ' ') ORDER BY doc_id, at) AS n FROM w
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(words[pos:pos + 19], ' ') ORDER BY doc_id, pos) AS n FROM w
         ), later AS (
-            SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(at, at + 20)) AS p FROM g WHERE n > 1) GROUP BY doc_id
+            SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(pos, pos + 20)) AS p FROM g WHERE n > 1) GROUP BY doc_id
         ), k AS (
             SELECT d.doc_id, words, coalesce(gone, []) AS gone FROM d LEFT JOIN later USING (doc_id)
         ), kept AS (
             SELECT doc_id, len(words) AS n_words, len(gone) AS n_removed,
-                   list_select(words, list_sort(list_filter(range(1, len(words) + 1), i -> NOT list_contains(gone, i)))) AS stay
+                   list_select(words, list_sort(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)))) AS stay
             FROM k
         )
         SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept
