@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import coverage_end
 from .cohort import pre_index_rows
 
-_BEFORE = Window.partitionBy("pid").orderBy("cs", "ce").rowsBetween(Window.unboundedPreceding, -1)
+
+def _before() -> WindowSpec:
+    """A subject's intervals before the present one."""
+    return Window.partitionBy("pid").orderBy("cs", "ce").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def sweep(intervals: DataFrame, cohort: DataFrame, days: int = 180) -> DataFrame:
@@ -17,7 +20,7 @@ def sweep(intervals: DataFrame, cohort: DataFrame, days: int = 180) -> DataFrame
     Overlaps count once; the leading and the trailing stretch are gaps as well. Without intervals
     all of the window is a gap; without an index date both are null.
     """
-    reach = F.coalesce(F.max("ce").over(_BEFORE), F.col("ws"))
+    reach = F.coalesce(F.max("ce").over(_before()), F.col("ws"))
     steps = intervals.withColumn("reach", reach)
     steps = steps.select(
         "pid", "we", "ce",
@@ -41,7 +44,7 @@ def gap_flag(swept: DataFrame, threshold: int = 30) -> DataFrame:
 
 def merge_intervals(intervals: DataFrame) -> DataFrame:
     """Blocks ``(pid, cs, ce)`` of overlapping or touching intervals."""
-    opens = F.coalesce((F.col("cs") > F.max("ce").over(_BEFORE)).cast("int"), F.lit(1))
+    opens = F.coalesce((F.col("cs") > F.max("ce").over(_before())).cast("int"), F.lit(1))
     rows = intervals.withColumn("opens", opens)
     rows = rows.withColumn("block", F.sum("opens").over(Window.partitionBy("pid").orderBy("cs", "ce").rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("pid", "block").agg(F.min("cs").alias("cs"), F.max("ce").alias("ce")).drop("block")
