@@ -33,11 +33,13 @@ _START = "\u0002"
 
 
 def _words(text: Column) -> Column:
-    """Words without outer punctuation, in their case; two passes over the text, none over each word."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?:]+[\"')\]]*\s+", f" {_START}")
+    """Words without outer punctuation, in their case; two passes over the text, none over each word.
+
+    The spaces around the text make its own ends separators, so that an empty part stands at each end.
+    """
+    marked = F.regexp_replace(text, r"[.!?:]+[\"')\]]*\s+[^\p{L}\p{N}]*", f" {_START}")
     outer = r"[^\p{L}\p{N}" + _START + "]"
-    inner = F.regexp_replace(marked, rf"^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$", "")
-    return F.when(inner != "", F.split(inner, rf"{outer}*\s+{outer}*"))
+    return F.split(F.concat(F.lit(" "), F.coalesce(marked, F.lit("")), F.lit(" ")), rf"{outer}*\s+{outer}*")
 
 
 def _plain(word: Column) -> Column:
@@ -65,7 +67,8 @@ def _templates(words: Column, text: Column) -> Column:
 
 def _typed(rows: DataFrame) -> DataFrame:
     """``(id, words, template, slotted)``, each a column of its own: lambdas below look into them."""
-    rows = rows.select("id", "text", _words(F.col("text")).alias("words"))
+    rows = rows.select("id", "text", _words(F.col("text")).alias("parts"))
+    rows = rows.select("id", "text", F.slice("parts", 2, F.size("parts") - 2).alias("words"))
     rows = rows.select("id", "words", _templates(F.col("words"), F.col("text")).alias("template"))
     return rows.withColumn("slotted", F.exists("template", lambda t: t.startswith("<")))
 
