@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, slices
 from .tokens import public_vocabulary, split_at_spaces
 
-_MOST_PAIRS = 500_000
+_MOST_PAIRS = 200_000  # and so memory that a worker keeps
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -203,7 +203,7 @@ def encode_texts(
     text_col: str = "text",
     keep: str = "digests",
     slice_bytes: int = 4 << 20,
-    most_seen: int = 400_000,
+    most_seen: int = 150_000,
 ) -> DataFrame:
     """Every whole text encoded by the ranks in ``path``, and the ids decoded again.
 

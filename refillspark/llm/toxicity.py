@@ -36,7 +36,7 @@ def grams(text: bytes) -> np.ndarray:
             for j in range(n):
                 h = (h * np.uint64(0x100000001B3)) ^ part[j : j + size]
             found.append(np.unique((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)))
-    return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
+    return np.unique(np.concatenate(found)).astype(np.int32) if found else np.zeros(0, np.int32)
 
 
 class RatioClassifier:
