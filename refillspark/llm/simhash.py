@@ -1,7 +1,11 @@
-"""SimHash near-duplicates: fingerprints of word shingles, linked by meet-in-the-middle ball hashing."""
+"""SimHash near-duplicates: fingerprints of word shingles, linked by meet-in-the-middle ball hashing.
+
+The query links fingerprints a few bits apart; the pipeline verifies the similarity of candidates.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -98,3 +102,108 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kept = kept.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return named.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+
+
+#: Bit blocks of the wide fingerprint, their bits, and the weakest bits that vary in each block's ball.
+_BLOCKS, _BLOCK_BITS, _WEAK_BITS = 12, 32, 4
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+_SUBSETS = np.array([[m >> b & 1 for b in range(_WEAK_BITS)] for m in range(1 << _WEAK_BITS)], dtype=np.uint64)
+
+
+def shingle_set(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of all word shingles; fewer words than a shingle are one."""
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = list(accumulate((len(w) + 1 for w in words)))
+    last = ends[shingle - 1 :] or ends[-1:]
+    return np.unique(np.array([xxh64_intdigest(joined[a : b - 1], _SEED) for a, b in zip([0, *ends[:-1]], last)], dtype=np.uint64))
+
+
+def block_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the wide fingerprint of a set: for each bit block, the block and its ball.
+
+    A block's ball holds it with every choice of its weakest bits flipped, those whose counts are
+    nearest to a half: texts that differ in few shingles differ there first.
+    """
+    counts = np.zeros((_BLOCKS * _BLOCK_BITS // 8, 8))
+    for lane in range(_BLOCKS * _BLOCK_BITS // 64):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (lane + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(32)
+        at = mixed.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+        counts[lane * 8 : lane * 8 + 8] = np.bincount(at.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
+    margins = (2 * counts - len(hashes)).reshape(_BLOCKS, _BLOCK_BITS)
+    powers = np.uint64(1) << np.arange(_BLOCK_BITS, dtype=np.uint64)
+    blocks = ((margins > 0) * powers).sum(axis=1, dtype=np.uint64)
+    weak = powers[np.argsort(np.abs(margins), axis=1, kind="stable")[:, :_WEAK_BITS]]
+    flips = weak @ _SUBSETS.T
+    return ((blocks[:, None] ^ flips) | (np.arange(_BLOCKS, dtype=np.uint64) << np.uint64(_BLOCK_BITS))[:, None]).ravel().view(np.int64)
+
+
+def _text_marks(docs: DataFrame, shingle: int, slice_bytes: int) -> DataFrame:
+    """``(id, text_hash, node, keys)`` of ``docs (id, text, text_hash)``; node is a hash of all words, keys go with its first row in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "text", slice_bytes):
+            nodes, keys = [], []
+            for text in pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_numpy(zero_copy_only=False):
+                words = text.lower().split()
+                node = int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+                keys.append(block_keys(shingle_set(words, shingle)) if words and node not in seen else [])
+                seen.add(node)
+                nodes.append(node)
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "keys"])
+
+    return map_arrow(docs.select("id", "text", "text_hash"), run, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, node long, keys array<long>")
+
+
+def _text_sets(docs: DataFrame, shingle: int, slice_bytes: int) -> DataFrame:
+    """``(node, shingles)`` of ``docs (text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", slice_bytes):
+            nodes, sets = [], []
+            for text in pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_numpy(zero_copy_only=False):
+                words = text.lower().split()
+                nodes.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True))
+                sets.append(shingle_set(words, shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return map_arrow(docs.select("text"), run, "node long, shingles array<long>")
+
+
+def keep_one_of_similar(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, slice_bytes: int = 4 << 20
+) -> DataFrame:
+    """One row of ``docs`` from each group that word shingles of a Jaccard ``similarity`` or more link.
+
+    Texts that meet in the ball of a bit block of their wide fingerprints are candidates; a link is
+    made only where the Jaccard similarity of the two sets of shingles reaches the bound. Where
+    many texts meet on a key each is compared with the smallest and the largest of them. A group
+    keeps the row of its smallest id. Texts without words are equal; equal rows are one. Rows
+    without an id can't be told apart and stay as they are.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    marked = stored(_text_marks(rows, shingle, slice_bytes), "marks")
+    each = stored(marked.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first")), "texts")
+    on_key = Window.partitionBy("key")
+    met = marked.select("node", F.explode("keys").alias("key")).select("node", F.min("node").over(on_key).alias("low"), F.max("node").over(on_key).alias("high"))
+    met = met.where("low < high").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
+    pairs = stored(met.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct(), "candidates")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    wanted = each.join(ends, "node").select("first.id", "first.text_hash").distinct()
+    sets = _text_sets(rows.join(wanted, ["id", "text_hash"], "left_semi"), shingle, slice_bytes)
+    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
+    both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
+    links = both.where(F.col("common") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("common"))).select("src", "dst")
+    roots = components(links)
+    group = each.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = group.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    named = docs.join(kept, (F.col(id_col) == F.col("kept_id")) & (F.xxhash64(text_col) == F.col("kept_hash")), "left_semi")
+    return named.dropDuplicates([id_col, text_col]).select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
