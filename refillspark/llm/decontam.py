@@ -27,6 +27,9 @@ _QUANTITY = r"^[0-9]+([.,][0-9]+)*\p{L}+$"
 #: Item windows up to this many are broadcast (some 100 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
+#: The band of hits in the whole document.
+_WHOLE = -(1 << 60)
+
 
 #: Stands before a word that begins a sentence, so that its capital letter names nobody.
 _START = "\u0002"
@@ -74,7 +77,7 @@ def _typed(rows: DataFrame) -> DataFrame:
 
 
 def _windows(length: int) -> Column:
-    """``(hash, slots)`` of every window; one with few literal words must also agree in its values."""
+    """``(at, hash, slots)`` of every window; one with few literal words must also agree in its values."""
     words, template = F.col("words"), F.col("template")
     no_slots = F.lit(None).cast("array<string>")
 
@@ -82,7 +85,7 @@ def _windows(length: int) -> Column:
         return F.xxhash64(*(F.get(template, i + j) for j in range(length)))
 
     def literal(i: Column) -> Column:
-        return F.struct(hashed(i).alias("hash"), no_slots.alias("slots"))
+        return F.struct(i.alias("at"), hashed(i).alias("hash"), no_slots.alias("slots"))
 
     def slotted(i: Column) -> Column:
         slot = [F.get(template, i + j).startswith("<") for j in range(length)]
@@ -90,6 +93,7 @@ def _windows(length: int) -> Column:
         n = sum((s.cast("int") for s in slot), F.lit(0))
         slots = F.array_compact(F.array(*(F.when(s, v) for s, v in zip(slot, value))))
         return F.struct(
+            i.alias("at"),
             F.when(n * 2 <= length, hashed(i)).otherwise(F.xxhash64(F.lit("values"), *value)).alias("hash"),
             F.when(n > 0, slots).otherwise(no_slots).alias("slots"),
         )
@@ -113,8 +117,9 @@ def contamination(
 ) -> DataFrame:
     """``(id, item, containment, longest_passage, slot_agreement, kind)`` of every contaminated pair.
 
-    A document is contaminated by an item if it holds at least ``similarity`` of the item's
-    distinct windows, or ``passage_words`` consecutive words of it, and if placeholder values agree:
+    A document is contaminated by an item if an occurrence (or the document as a whole) holds at
+    least ``similarity`` of the item's windows, or an occurrence holds ``passage_words`` consecutive
+    words of it, and if placeholder values agree there:
     of all the places where an item's value is met, at least the share ``agreement`` has that
     value's most frequent counterpart (1 without placeholders). ``kind`` is ``exact`` or, where
     counterparts differ from the values, ``reparameterised``. Items of fewer words than a window
@@ -128,43 +133,65 @@ def contamination(
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most ``window`` of them
     item_windows = None
     for n in lengths:
-        own = items.where(F.col("length") == n).select("id", F.posexplode(_windows(n)).alias("item_at", "x"))
-        own = own.select(F.col("id").alias("item"), F.lit(n).alias("length"), "item_at", F.col("x.hash").alias("hash"), F.col("x.slots").alias("item_slots"))
+        own = items.where(F.col("length") == n).select("id", F.explode(_windows(n)).alias("x"))
+        own = own.select(F.col("id").alias("item"), F.lit(n).alias("length"), F.col("x.at").alias("item_at"), F.col("x.hash").alias("hash"), F.col("x.slots").alias("item_slots"))
         item_windows = own if item_windows is None else item_windows.union(own)
     if item_windows is None:
         id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
         shape = f"`{id_col}` {id_type}, `{item_col}` {item_type}, containment double, longest_passage int, slot_agreement double, kind string"
         return docs.sparkSession.createDataFrame([], shape)
     item_windows = stored(item_windows, "item-windows")
-    totals = item_windows.groupBy("item").agg(F.countDistinct("item_at").alias("windows"), F.max("length").alias("length"))
+    totals = item_windows.groupBy("item").agg(F.countDistinct("item_at").alias("windows"), F.max(F.col("item_at") + F.col("length")).alias("item_words"))
     wanted = F.broadcast(item_windows) if item_windows.count() <= MOST_BROADCAST else item_windows
 
-    typed = _typed(rows)
-    found = F.concat(*(F.coalesce(_windows(n), F.array().cast("array<struct<hash:bigint,slots:array<string>>>")) for n in lengths))
-    exploded = typed.select("id", F.explode(found).alias("x")).select("id", F.col("x.hash").alias("hash"), F.col("x.slots").alias("slots"))
-    met = stored(exploded.join(wanted, "hash").select("id", "item", "item_at", "slots", "item_slots"), "met")
-
-    places = met.select("id", "item", "item_at").distinct()
-    in_pair = Window.partitionBy("id", "item").orderBy("item_at")
-    islands = places.withColumn("island", F.col("item_at") - F.row_number().over(in_pair))
-    islands = islands.groupBy("id", "item", "island").agg(F.count("*").alias("run"))
-    pairs = islands.groupBy("id", "item").agg(F.sum("run").alias("covered"), F.max("run").alias("run")).join(totals, "item")
-    pairs = pairs.select("id", "item", (F.col("covered") / F.col("windows")).alias("containment"), (F.col("run") + F.col("length") - 1).cast("int").alias("longest_passage"))
-    pairs = pairs.where((F.col("containment") >= similarity) | (F.col("longest_passage") >= passage_words))
-
-    slots = met.where("slots is not null and item_slots is not null and size(slots) = size(item_slots)").join(pairs.select("id", "item"), ["id", "item"], "left_semi")
-    slots = slots.select("id", "item", F.explode(F.arrays_zip("item_slots", "slots")).alias("x"))
-    slots = slots.groupBy("id", "item", F.col("x.item_slots").alias("value"), F.col("x.slots").alias("counterpart")).agg(F.count("*").alias("n"))
-    slots = slots.groupBy("id", "item", "value").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.max_by("counterpart", F.struct("n", "counterpart")).alias("counterpart"))
-    slots = slots.groupBy("id", "item").agg((F.sum("most") / F.sum("all")).alias("slot_agreement"), F.bool_and(F.col("value") == F.col("counterpart")).alias("same"))
-    out = pairs.join(slots, ["id", "item"], "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
-    return out.where(F.col("slot_agreement") >= agreement).select(
+    typed = _typed(rows).withColumn("row", F.monotonically_increasing_id())
+    found = F.concat(*(F.coalesce(_windows(n), F.array().cast("array<struct<at:int,hash:bigint,slots:array<string>>>")) for n in lengths))
+    exploded = typed.select("id", "row", F.explode(found).alias("x")).select("id", "row", "x.at", "x.hash", "x.slots")
+    met = exploded.join(wanted, "hash").join(F.broadcast(totals.select("item", "item_words")), "item")
+    met = stored(met.select("id", "row", "item", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "length", "item_words", "slots", "item_slots"), "met")
+
+    # A run is of consecutive words of the document: windows on one diagonal that touch.
+    on_diagonal = Window.partitionBy("id", "row", "item", "diagonal").orderBy("item_at")
+    reach = F.max(F.col("item_at") + F.col("length")).over(on_diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    runs = met.select("id", "row", "item", "diagonal", "item_at", "length").distinct().withColumn("apart", F.coalesce((F.col("item_at") > reach).cast("int"), F.lit(1)))
+    runs = runs.withColumn("island", F.sum("apart").over(on_diagonal)).groupBy("id", "row", "item", "diagonal", "island")
+    runs = runs.agg((F.max(F.col("item_at") + F.col("length")) - F.min("item_at")).alias("run")).groupBy("id", "row", "item", "diagonal").agg(F.max("run").alias("run"))
+
+    # An occurrence is a band of near diagonals, half an item wide at most: copies one after another
+    # never share a band, and what drifts by up to a quarter of the item lies in one. The whole
+    # document is one more (band and row null), by its containment only.
+    step = F.greatest(F.lit(1), F.floor(F.col("item_words") / 4))
+    band = F.floor(F.col("diagonal") / step)
+    bands = F.explode(F.array(band, band + 1, F.lit(None).cast("bigint"))).alias("band")
+    whole = F.col("band").isNull()
+    near = met.join(runs, ["id", "row", "item", "diagonal"]).select("*", bands).withColumn("row", F.when(~whole, F.col("row")))
+    # Of the places where a window is met in an occurrence, those on its longest run's diagonal speak for it.
+    occurrence = ["id", "item", "row", "band"]
+    near = near.withColumn("main", F.max(F.struct("run", "diagonal")).over(Window.partitionBy(*occurrence))["diagonal"])
+    off = F.abs(F.col("diagonal") - F.col("main"))
+    near = near.withColumn("least", F.min(off).over(Window.partitionBy(*occurrence, "item_at"))).where(whole | (off == F.col("least")))
+    near = near.withColumn("band", F.coalesce("band", F.lit(_WHOLE))).withColumn("row", F.coalesce("row", F.lit(-1)))
+    near = stored(near.drop("main", "least"), "occurrences")
+
+    pairs = near.groupBy(*occurrence).agg(F.countDistinct("item_at").alias("covered"), F.max("run").alias("run")).join(totals, "item")
+    pairs = pairs.select(*occurrence, (F.col("covered") / F.col("windows")).alias("containment"), F.col("run").cast("int").alias("longest_passage"))
+    pairs = pairs.where((F.col("containment") >= similarity) | ((F.col("longest_passage") >= passage_words) & (F.col("band") != _WHOLE)))
+
+    slots = near.where("slots is not null and item_slots is not null and size(slots) = size(item_slots)").join(pairs.select(*occurrence), occurrence, "left_semi")
+    slots = slots.select(*occurrence, F.explode(F.arrays_zip("item_slots", "slots")).alias("x"))
+    slots = slots.groupBy(*occurrence, F.col("x.item_slots").alias("value"), F.col("x.slots").alias("counterpart")).agg(F.count("*").alias("n"))
+    slots = slots.groupBy(*occurrence, "value").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.max_by("counterpart", F.struct("n", "counterpart")).alias("counterpart"))
+    slots = slots.groupBy(*occurrence).agg((F.sum("most") / F.sum("all")).alias("slot_agreement"), F.bool_and(F.col("value") == F.col("counterpart")).alias("same"))
+    out = pairs.join(slots, occurrence, "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0))).withColumn("same", F.coalesce("same", F.lit(True)))
+    # The best occurrence that passes speaks for the pair.
+    out = out.where(F.col("slot_agreement") >= agreement).groupBy("id", "item").agg(F.max(F.struct("same", "containment", "slot_agreement", "longest_passage")).alias("best")).select("id", "item", "best.*")
+    return out.select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_col),
         "containment",
         "longest_passage",
         "slot_agreement",
-        F.when(F.coalesce("same", F.lit(True)), "exact").otherwise("reparameterised").alias("kind"),
+        F.when(F.col("same"), "exact").otherwise("reparameterised").alias("kind"),
     )
 
 
