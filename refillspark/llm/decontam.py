@@ -69,37 +69,76 @@ def _templates(words: Column, text: Column) -> Column:
 
 
 def _typed(rows: DataFrame) -> DataFrame:
-    """``(id, words, template, slotted)``, each a column of its own: lambdas below look into them."""
+    """``(id, words, template, slotted, starts, opened)``, each a column of its own: lambdas below look into them.
+
+    ``starts`` are the places of capitalised words that begin a sentence, and ``opened`` is the
+    template in which these are names too (null without such words).
+    """
     rows = rows.select("id", "text", _words(F.col("text")).alias("parts"))
     rows = rows.select("id", "text", F.slice("parts", 2, F.size("parts") - 2).alias("words"))
     rows = rows.select("id", "words", _templates(F.col("words"), F.col("text")).alias("template"))
-    return rows.withColumn("slotted", F.exists("template", lambda t: t.startswith("<")))
 
+    def opens(w: Column, i: Column) -> Column:
+        return (w.startswith(_START) | (i == 0)) & w.rlike(rf"^{_START}?\p{{Lu}}\p{{Ll}}")
 
-def _windows(length: int) -> Column:
-    """``(at, hash, slots)`` of every window; one with few literal words must also agree in its values."""
-    words, template = F.col("words"), F.col("template")
-    no_slots = F.lit(None).cast("array<string>")
+    starts = F.array_compact(F.transform("words", lambda w, i: F.when(opens(w, i), i)))
+    rows = rows.withColumn("slotted", F.exists("template", lambda t: t.startswith("<"))).withColumn("starts", starts)
+    begins = F.transform("words", lambda w, i: F.when(opens(w, i), "<name>").otherwise(F.get(F.col("template"), i)))
+    return rows.withColumn("opened", F.when(F.size("starts") > 0, begins))
 
-    def hashed(i: Column) -> Column:
-        return F.xxhash64(*(F.get(template, i + j) for j in range(length)))
-
-    def literal(i: Column) -> Column:
-        return F.struct(i.alias("at"), hashed(i).alias("hash"), no_slots.alias("slots"))
-
-    def slotted(i: Column) -> Column:
-        slot = [F.get(template, i + j).startswith("<") for j in range(length)]
-        value = [_plain(F.get(words, i + j)) for j in range(length)]
-        n = sum((s.cast("int") for s in slot), F.lit(0))
-        slots = F.array_compact(F.array(*(F.when(s, v) for s, v in zip(slot, value))))
-        return F.struct(
-            i.alias("at"),
-            F.when(n * 2 <= length, hashed(i)).otherwise(F.xxhash64(F.lit("values"), *value)).alias("hash"),
-            F.when(n > 0, slots).otherwise(no_slots).alias("slots"),
-        )
 
-    places = F.sequence(F.lit(0), F.size("words") - length)
-    return F.when(F.size("words") >= length, F.when(F.col("slotted"), F.transform(places, slotted)).otherwise(F.transform(places, literal)))
+#: A window of few literal words is widened up to this many words until it has enough of them.
+_WIDEST = 16
+
+_WINDOWS = "array<struct<at:int,hash:bigint,slots:array<string>,width:int,sure:boolean>>"
+
+
+def _windows(length: int, *, open_too: bool = False) -> Column:
+    """``(at, hash, slots, width, sure)`` of every window.
+
+    One with few literal words is widened to the right until it has enough; where the text ends
+    before (not ``sure``) its values must agree. With ``open_too`` the windows in which a word
+    begins a sentence are given a second time, with that word as a name.
+    """
+    words, need = F.col("words"), length - length // 2
+    no_slots = F.lit(None).cast("array<string>")
+
+    def given(template: Column, places: Column, plain: bool) -> Column:
+        def hashed(i: Column) -> Column:
+            return F.xxhash64(*(F.get(template, i + j) for j in range(length)))
+
+        def literal(i: Column) -> Column:
+            return F.struct(i.alias("at"), hashed(i).alias("hash"), no_slots.alias("slots"), F.lit(length).alias("width"), F.lit(True).alias("sure"))
+
+        def slotted(i: Column) -> Column:
+            slot = [F.get(template, i + j).startswith("<") for j in range(length)]
+            value = [_plain(F.get(words, i + j)) for j in range(length)]
+            n = sum((s.cast("int") for s in slot), F.lit(0))
+            slots = F.array_compact(F.array(*(F.when(s, v) for s, v in zip(slot, value))))
+            reach = F.sequence(i, F.least(i + _WIDEST, F.size("words")) - 1)
+            last = F.get(F.filter(reach, lambda j: ~F.get(template, j).startswith("<")), F.lit(need - 1))
+            wide_slots = F.transform(F.filter(F.sequence(i, last), lambda j: F.get(template, j).startswith("<")), lambda j: _plain(F.get(words, j)))
+            values = F.xxhash64(F.lit("values"), *value)
+            wide = last.isNotNull()
+            heavy = F.struct(
+                i.alias("at"),
+                F.when(wide, F.xxhash64(F.lit("wide"), F.slice(template, i + 1, last - i + 1))).otherwise(values).alias("hash"),
+                F.when(wide, wide_slots).otherwise(slots).alias("slots"),
+                F.when(wide, last - i + 1).otherwise(F.lit(length)).cast("int").alias("width"),
+                wide.alias("sure"),
+            )
+            light = F.struct(i.alias("at"), hashed(i).alias("hash"), F.when(n > 0, slots).otherwise(no_slots).alias("slots"), F.lit(length).alias("width"), F.lit(True).alias("sure"))
+            return F.when(n > length - need, heavy).otherwise(light)
+
+        return F.when(F.col("slotted"), F.transform(places, slotted)).otherwise(F.transform(places, literal)) if plain else F.transform(places, slotted)
+
+    every = given(F.col("template"), F.sequence(F.lit(0), F.size("words") - length), True)
+    if open_too:
+        back = F.when(F.col("slotted"), F.lit(_WIDEST - 1)).otherwise(F.lit(length - 1))
+        about = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(F.greatest(F.lit(0), s - back), F.least(s, F.size("words") - length)))))
+        second = given(F.col("opened"), about, False)
+        every = F.when(F.size("starts") > 0, F.concat(every, second)).otherwise(every)
+    return F.when(F.size("words") >= length, every)
 
 
 def contamination(
@@ -133,29 +172,35 @@ def contamination(
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most ``window`` of them
     item_windows = None
     for n in lengths:
-        own = items.where(F.col("length") == n).select("id", F.explode(_windows(n)).alias("x"))
-        own = own.select(F.col("id").alias("item"), F.lit(n).alias("length"), F.col("x.at").alias("item_at"), F.col("x.hash").alias("hash"), F.col("x.slots").alias("item_slots"))
+        own = items.where(F.col("length") == n).select("id", F.explode(_windows(n, open_too=n == window)).alias("x"))
+        own = own.select(F.col("id").alias("item"), F.col("x.at").alias("item_at"), F.col("x.hash").alias("hash"), F.col("x.slots").alias("item_slots"), "x.width", "x.sure").distinct()
         item_windows = own if item_windows is None else item_windows.union(own)
     if item_windows is None:
         id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
         shape = f"`{id_col}` {id_type}, `{item_col}` {item_type}, containment double, longest_passage int, slot_agreement double, kind string"
         return docs.sparkSession.createDataFrame([], shape)
+    # Windows at an item's end that can't be widened don't count, unless they are most of the item.
     item_windows = stored(item_windows, "item-windows")
-    totals = item_windows.groupBy("item").agg(F.countDistinct("item_at").alias("windows"), F.max(F.col("item_at") + F.col("length")).alias("item_words"))
+    places = item_windows.groupBy("item", "item_at").agg(F.max("sure").alias("sure"), F.max(F.col("item_at") + F.col("width")).alias("end"))
+    totals = places.groupBy("item").agg(F.count("*").alias("all"), F.count(F.when(F.col("sure"), 1)).alias("sure_ones"), F.max("end").alias("item_words"))
+    most = F.col("sure_ones") * 2 >= F.col("all")
+    totals = totals.select("item", "item_words", most.alias("most_sure"), F.when(most, F.col("sure_ones")).otherwise(F.col("all")).alias("windows"))
+    places = places.join(totals, "item").select("item", "item_at", "item_words", (F.col("sure") | ~F.col("most_sure")).alias("counts"))
+    item_windows = stored(item_windows.join(places, ["item", "item_at"]).drop("sure"), "item-windows")
     wanted = F.broadcast(item_windows) if item_windows.count() <= MOST_BROADCAST else item_windows
 
     typed = _typed(rows).withColumn("row", F.monotonically_increasing_id())
-    found = F.concat(*(F.coalesce(_windows(n), F.array().cast("array<struct<at:int,hash:bigint,slots:array<string>>>")) for n in lengths))
+    found = F.concat(*(F.coalesce(_windows(n, open_too=n == window), F.array().cast(_WINDOWS)) for n in lengths))
     exploded = typed.select("id", "row", F.explode(found).alias("x")).select("id", "row", "x.at", "x.hash", "x.slots")
-    met = exploded.join(wanted, "hash").join(F.broadcast(totals.select("item", "item_words")), "item")
-    met = stored(met.select("id", "row", "item", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "length", "item_words", "slots", "item_slots"), "met")
+    met = exploded.join(wanted, "hash")
+    met = stored(met.select("id", "row", "item", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "width", "counts", "item_words", "slots", "item_slots"), "met")
 
     # A run is of consecutive words of the document: windows on one diagonal that touch.
     on_diagonal = Window.partitionBy("id", "row", "item", "diagonal").orderBy("item_at")
-    reach = F.max(F.col("item_at") + F.col("length")).over(on_diagonal.rowsBetween(Window.unboundedPreceding, -1))
-    runs = met.select("id", "row", "item", "diagonal", "item_at", "length").distinct().withColumn("apart", F.coalesce((F.col("item_at") > reach).cast("int"), F.lit(1)))
+    reach = F.max(F.col("item_at") + F.col("width")).over(on_diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    runs = met.select("id", "row", "item", "diagonal", "item_at", "width").distinct().withColumn("apart", F.coalesce((F.col("item_at") > reach).cast("int"), F.lit(1)))
     runs = runs.withColumn("island", F.sum("apart").over(on_diagonal)).groupBy("id", "row", "item", "diagonal", "island")
-    runs = runs.agg((F.max(F.col("item_at") + F.col("length")) - F.min("item_at")).alias("run")).groupBy("id", "row", "item", "diagonal").agg(F.max("run").alias("run"))
+    runs = runs.agg((F.max(F.col("item_at") + F.col("width")) - F.min("item_at")).alias("run")).groupBy("id", "row", "item", "diagonal").agg(F.max("run").alias("run"))
 
     # An occurrence is a band of near diagonals, half an item wide at most: copies one after another
     # never share a band, and what drifts by up to a quarter of the item lies in one. The whole
@@ -173,7 +218,7 @@ def contamination(
     near = near.withColumn("band", F.coalesce("band", F.lit(_WHOLE))).withColumn("row", F.coalesce("row", F.lit(-1)))
     near = stored(near.drop("main", "least"), "occurrences")
 
-    pairs = near.groupBy(*occurrence).agg(F.countDistinct("item_at").alias("covered"), F.max("run").alias("run")).join(totals, "item")
+    pairs = near.groupBy(*occurrence).agg(F.countDistinct(F.when(F.col("counts"), F.col("item_at"))).alias("covered"), F.max("run").alias("run")).join(totals, "item")
     pairs = pairs.select(*occurrence, (F.col("covered") / F.col("windows")).alias("containment"), F.col("run").cast("int").alias("longest_passage"))
     pairs = pairs.where((F.col("containment") >= similarity) | ((F.col("longest_passage") >= passage_words) & (F.col("band") != _WHOLE)))
 

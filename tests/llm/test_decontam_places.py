@@ -29,3 +29,21 @@ def test_an_item_with_words_put_in_is_still_found(spark):
     words = ASKED.split()
     got = found(spark, [(1, " ".join([*words[:12], "well then", *words[12:]])), (2, " ".join([*words[:13], *("page break " * 20).split(), *words[13:]]))], [(1, ASKED)])
     assert (1, 1) in got
+
+
+TRAIN = "A train travels 120 km in 3 hours. How far does it travel in 5 hours?"
+SHOP = "Maria walks to the shop near the old mill. Maria pays there. Then Peter carries the bread home and eats it."
+
+
+def test_dense_questions_with_other_values_are_found(spark):
+    docs = [
+        (1, TRAIN.replace("120", "95").replace("3 hours", "2 days").replace("5 hours", "7 days")),
+        (2, "Well. " + SHOP.replace("Maria", "Ingrid").replace("Peter", "Olaf")),
+        (3, "A train travels fast. How far does it travel in 5 hours? Nobody knows."),
+        (4, "The bread is carried home. Then it is eaten near the old mill."),
+        (5, "A list: " + " ".join(f"{i} km in {i} hours" for i in range(40))),
+    ]
+    got = found(spark, docs, [(1, TRAIN), (2, SHOP), (3, "1 2 3 4 5 6 7 8")])
+    assert set(got) == {(1, 1), (2, 2)}
+    assert got[1, 1].containment == 1.0 and got[1, 1].longest_passage == 16 and got[1, 1].kind == "reparameterised"
+    assert got[2, 2].containment == 1.0 and got[2, 2].kind == "reparameterised"
