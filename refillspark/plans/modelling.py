@@ -166,7 +166,7 @@ def _(z):
 
     def advance(batch, prior, number):
         day = f"2000-{10 + number:02d}-01"
-        filled = batch.where("is_dispense = 1").groupBy("pid").agg(F.min(F.to_date("ts")).alias("event_date")).where("pid % 10 = 0")
+        filled = batch.where("is_dispense = 1").groupBy("pid").agg(F.min(F.to_date("ts")).alias("event_date"))
         outcomes = filled.select("pid", F.lit(1).alias("observed"), F.lit(1).alias("on_time_refill"), F.to_date(F.lit(day)).alias("event_date"))
         keep = ["pid", "entry_date", "days_to_break", "driver", "is_safety", "round", "status", "dispatched_rounds", "as_of"]
         return X.advance_state(cards, outcomes, status, prior, day, L.LATENCY).select(*keep)
