@@ -1,9 +1,12 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
 Words lose their case and outer punctuation; numbers, names and units become typed placeholders.
-Documents and benchmark items are joined on hashes of windows of such words. What the placeholders
-stand for must then agree: where a question was given new numbers or names, each value of the item
-has one counterpart in the document.
+Documents and benchmark items are joined on hashes of windows of such words, in two steps. A sieve
+over all documents takes cheap forms of the text (a few passes of regular expressions) and keeps
+the documents that share several windows with an item. Windows of these, with the places and values
+of their placeholders, are then judged by occurrence. What the placeholders stand for must agree:
+where a question was given new numbers or names, values of the item and their counterparts in the
+document are mapped one to one.
 """
 
 from __future__ import annotations
@@ -141,6 +144,62 @@ def _windows(length: int, *, open_too: bool = False) -> Column:
     return F.when(F.size("words") >= length, every)
 
 
+#: In the sieve, a number with its unit and a capitalised word (private-use characters).
+_A_NUMBER, _A_NAME = "\ue000", "\ue001"
+#: The share of the windows that a judged occurrence must have which is enough for the sieve: either
+#: form may miss some that the other has, and the judgement cuts words a little differently.
+_SIEVE_SHARE = 3
+
+
+def _forms(text: Column) -> tuple[Column, Column]:
+    """Words of the template form and of the plain form; an empty word stands at each end."""
+    text = F.coalesce(text, F.lit(""))
+    numbers = rf"[0-9]+(?:[.,:/-][0-9]+)*(?:\s*(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}]))?"
+    template = F.regexp_replace(F.regexp_replace(text, numbers, _A_NUMBER), r"\p{Lu}\p{Ll}[\p{L}\p{N}]*", _A_NAME)
+    padded = [F.concat(F.lit(" "), x, F.lit(" ")) for x in (template, F.lower(text))]
+    return F.split(padded[0], rf"[^\p{{L}}\p{{N}}{_A_NUMBER}{_A_NAME}]+"), F.split(padded[1], r"[^\p{L}\p{N}]+")
+
+
+def _sieve_windows(rows: DataFrame, words: str, length: int) -> DataFrame:
+    """``(id, at, hash, literal)`` of every window of ``length`` in ``rows (id, words)``.
+
+    The places are exploded and not the windows: the words stay one array in the generated code.
+    """
+    last = F.size(words) - length - 1
+    at = rows.select("id", words, F.explode(F.when(last >= 1, F.sequence(F.lit(1), last))).alias("at"))
+    each = [F.get(F.col(words), F.col("at") + j) for j in range(length)]
+    literal = sum((F.when(F.substring(w, 1, 1).isin(_A_NUMBER, _A_NAME), 0).otherwise(1) for w in each), F.lit(0))
+    return at.select("id", "at", F.xxhash64(F.lit(words), *each).alias("hash"), literal.alias("literal"))
+
+
+def _sieved(rows: DataFrame, benchmark: DataFrame, window: int, similarity: float, passage_words: int) -> DataFrame:
+    """``(id, item)``: documents that may be contaminated by an item.
+
+    A pair stays if, in one of the two forms, the document has a third of the windows that the
+    judgement asks for (of the template form, those with fewer than two literal words don't count).
+    """
+    found = None
+    for k, form in enumerate(("template", "plain")):
+        items = benchmark.select("id", _forms(F.col("text"))[k].alias(form))
+        length = F.least(F.size(form) - 2, F.lit(window))
+        items = items.withColumn("length", length).where("length > 0")
+        lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most ``window`` of them
+        for n in lengths:
+            own = _sieve_windows(items.where(F.col("length") == n), form, n)
+            counts = F.lit(form == "plain") | (F.col("literal") >= min(2, n))
+            asked = F.least(F.ceil(F.count("*") * F.lit(similarity)), F.lit(max(1, passage_words - window + 1))) - F.count_if(~counts)
+            need = own.groupBy("id").agg(F.greatest(F.lit(1), F.ceil(asked / _SIEVE_SHARE)).alias("need"))
+            wanted = stored(own.where(counts).join(need, "id").select(F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", "need"), "sieve")
+            small = wanted.count() <= MOST_BROADCAST
+            texts = rows.select("id", _forms(F.col("text"))[k].alias(form))
+            hits = _sieve_windows(texts, form, n).select("id", "hash").join(F.broadcast(wanted) if small else wanted, "hash")
+            # Counted within a row's task first: all windows of a text lie together.
+            hits = hits.groupBy("id", "item", "item_at", "need").agg(F.lit(1).alias("met")).groupBy("id", "item", "need").agg(F.sum("met").alias("met"))
+            hits = hits.where("met >= need").select("id", "item")
+            found = hits if found is None else found.union(hits)
+    return found
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -152,15 +211,15 @@ def contamination(
     window: int = 5,
     similarity: float = 0.8,
     passage_words: int = 13,
-    agreement: float = 0.5,
+    agreement: float = 0.8,
 ) -> DataFrame:
     """``(id, item, containment, longest_passage, slot_agreement, kind)`` of every contaminated pair.
 
     A document is contaminated by an item if an occurrence (or the document as a whole) holds at
     least ``similarity`` of the item's windows, or an occurrence holds ``passage_words`` consecutive
-    words of it, and if placeholder values agree there:
-    of all the places where an item's value is met, at least the share ``agreement`` has that
-    value's most frequent counterpart (1 without placeholders). ``kind`` is ``exact`` or, where
+    words of it, and if placeholder values agree there: of all the places where an item's value is
+    met, at least the share ``agreement`` has that value's most frequent counterpart, and this
+    counterpart has no more frequent value (1 without placeholders). ``kind`` is ``exact`` or, where
     counterparts differ from the values, ``reparameterised``. Items of fewer words than a window
     are one window; items without words match nothing. Null texts have no words; rows with null
     ids can't be named and are left out; repeated ids count as one document. No columns but the
@@ -187,6 +246,10 @@ def contamination(
     totals = totals.select("item", "item_words", most.alias("most_sure"), F.when(most, F.col("sure_ones")).otherwise(F.col("all")).alias("windows"))
     places = places.join(totals, "item").select("item", "item_at", "item_words", (F.col("sure") | ~F.col("most_sure")).alias("counts"))
     item_windows = stored(item_windows.join(places, ["item", "item_at"]).drop("sure"), "item-windows")
+    asked = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where("id is not null")
+    candidates = _sieved(rows, asked, window, similarity, passage_words)
+    candidates = stored(candidates.select("id").distinct(), "candidates")
+    rows = rows.join(candidates, "id", "left_semi")
     wanted = F.broadcast(item_windows) if item_windows.count() <= MOST_BROADCAST else item_windows
 
     typed = _typed(rows).withColumn("row", F.monotonically_increasing_id())
@@ -225,8 +288,12 @@ def contamination(
     slots = near.where("slots is not null and item_slots is not null and size(slots) = size(item_slots)").join(pairs.select(*occurrence), occurrence, "left_semi")
     slots = slots.select(*occurrence, F.explode(F.arrays_zip("item_slots", "slots")).alias("x"))
     slots = slots.groupBy(*occurrence, F.col("x.item_slots").alias("value"), F.col("x.slots").alias("counterpart")).agg(F.count("*").alias("n"))
-    slots = slots.groupBy(*occurrence, "value").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.max_by("counterpart", F.struct("n", "counterpart")).alias("counterpart"))
-    slots = slots.groupBy(*occurrence).agg((F.sum("most") / F.sum("all")).alias("slot_agreement"), F.bool_and(F.col("value") == F.col("counterpart")).alias("same"))
+    weight = F.struct("n", F.col("value") == F.col("counterpart"), "value", "counterpart")
+    of_value = F.max(weight).over(Window.partitionBy(*occurrence, "value")) == weight
+    of_counterpart = F.max(weight).over(Window.partitionBy(*occurrence, "counterpart")) == weight
+    slots = slots.withColumn("top", of_value).withColumn("mutual", F.col("top") & of_counterpart)
+    agreed = F.sum(F.when(F.col("mutual"), F.col("n")).otherwise(0)) / F.sum("n")
+    slots = slots.groupBy(*occurrence).agg(agreed.alias("slot_agreement"), F.bool_and((F.col("value") == F.col("counterpart")) | ~F.col("top")).alias("same"))
     out = pairs.join(slots, occurrence, "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0))).withColumn("same", F.coalesce("same", F.lit(True)))
     # The best occurrence that passes speaks for the pair.
     out = out.where(F.col("slot_agreement") >= agreement).groupBy("id", "item").agg(F.max(F.struct("same", "containment", "slot_agreement", "longest_passage")).alias("best")).select("id", "item", "best.*")
