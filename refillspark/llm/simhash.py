@@ -80,30 +80,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     marked = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle).withColumnRenamed(id_col, "id"), "fingerprints")
     # Exact copies meet here: a group becomes one row before anything else is shuffled.
-    each = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
+    each = marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"))
     roots = components(ball_links(each.select("fp"), radius)).withColumnRenamed("node", "fp")
     linked = roots.join(each, "fp")
     named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     shares = 16
     named = named.withColumn("share", F.explode(F.lit(list(range(shares)))))
     linked = linked.withColumn("share", F.pmod(F.xxhash64("fp"), F.lit(shares)).cast("int")).join(named, ["root", "share"])
-    ids = each.join(linked.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    # A third of all rows may share a fingerprint: an outer join's skewed partitions are split at run time.
-    out = marked.join(ids, "fp", "left")
+    ids = each.join(linked.select("fp", "component_id"), "fp", "left").select("fp", "rows", F.coalesce("component_id", "first_id").alias("component_id"))
+    # A third of all rows may share a fingerprint. Those that a ten-thousandth of all rows have are
+    # ten thousand at most: these are broadcast, and the rows of all others are shuffled.
+    ids = stored(ids, "ids")
+    n_rows = ids.agg(F.sum("rows")).first()[0] or 0
+    common = F.col("rows") >= max(2, n_rows // 10_000 + 1)
+    hot = marked.join(F.broadcast(ids.where(common).drop("rows").withColumn("hot", F.lit(True))), "fp", "left")
+    cold = hot.where("hot is null").select("id", "fp").join(ids.where(~common).drop("rows"), "fp")
+    out = hot.where("hot").select("id", "fp", "component_id").union(cold.select("id", "fp", "component_id"))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id names their component; of repeated ids one row stays.
-
-    Rows without an id can't be told apart and stay as they are.
-    """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
-    kept = kept.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
-
-
 #: Bit blocks of the wide fingerprint, their bits, and the weakest bits that vary in each block's ball.
 _BLOCKS, _BLOCK_BITS, _WEAK_BITS = 12, 32, 4
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -177,33 +172,56 @@ def _text_sets(docs: DataFrame, shingle: int, slice_bytes: int) -> DataFrame:
     return map_arrow(docs.select("text"), run, "node long, shingles array<long>")
 
 
+def _similar(pairs: DataFrame, each: DataFrame, rows: DataFrame, *, shingle: int, similarity: float, slice_bytes: int) -> DataFrame:
+    """Those of the node ``pairs (src, dst)`` whose sets of shingles reach the Jaccard ``similarity``."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    wanted = each.join(ends, "node").select("first.id", "first.text_hash").distinct()
+    sets = _text_sets(rows.join(wanted, ["id", "text_hash"], "left_semi"), shingle, slice_bytes)
+    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
+    both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
+    return both.where(F.col("common") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("common"))).select("src", "dst")
+
+
 def keep_one_of_similar(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, slice_bytes: int = 4 << 20
 ) -> DataFrame:
     """One row of ``docs`` from each group that word shingles of a Jaccard ``similarity`` or more link.
 
     Texts that meet in the ball of a bit block of their wide fingerprints are candidates; a link is
-    made only where the Jaccard similarity of the two sets of shingles reaches the bound. Where
-    many texts meet on a key each is compared with the smallest and the largest of them. A group
-    keeps the row of its smallest id. Texts without words are equal; equal rows are one. Rows
-    without an id can't be told apart and stay as they are.
+    made only where the Jaccard similarity of the two sets of shingles reaches the bound. A text is
+    first compared with the smallest text of all those it meets; then, for each key, with the
+    smallest and the largest text there unless links join them already, so that a large group of
+    copies costs a comparison or a few for each of its texts. A group keeps the row of its smallest
+    id (of repeated ids the one with the smallest hash of its text; different texts that are not
+    similar both stay). Texts without words (null, empty, white space) are equal; equal rows are
+    one. Rows without an id can't be told apart and stay as they are. An empty table gives none;
+    other columns are kept and not read.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     marked = stored(_text_marks(rows, shingle, slice_bytes), "marks")
     each = stored(marked.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first")), "texts")
-    on_key = Window.partitionBy("key")
-    met = marked.select("node", F.explode("keys").alias("key")).select("node", F.min("node").over(on_key).alias("low"), F.max("node").over(on_key).alias("high"))
-    met = met.where("low < high").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
-    pairs = stored(met.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    wanted = each.join(ends, "node").select("first.id", "first.text_hash").distinct()
-    sets = _text_sets(rows.join(wanted, ["id", "text_hash"], "left_semi"), shingle, slice_bytes)
-    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
-    both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
-    links = both.where(F.col("common") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("common"))).select("src", "dst")
-    roots = components(links)
+    # Keys that one text alone has go before the join; a common key is summed up before the shuffle
+    # and its rows are split there if they are many.
+    keyed = marked.select("node", F.explode("keys").alias("key"))
+    shared_keys = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = stored(keyed.join(shared_keys, "key").select("node", "low", "high").distinct(), "met")
+    options = {"shingle": shingle, "similarity": similarity, "slice_bytes": slice_bytes}
+    pairs = stored(met.groupBy("node").agg(F.min("low").alias("src")).where("src < node").select("src", F.col("node").alias("dst")), "candidates")
+    links = stored(_similar(pairs, each, rows, **options), "links")
+    rooted = stored(components(links), "rooted")
+    others = met.select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
+    others = others.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
+    for end in ("src", "dst"):
+        others = others.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}")), end, "left")
+    others = others.where(F.coalesce("of_src", "src") != F.coalesce("of_dst", "dst")).select("src", "dst")
+    others = stored(others.join(pairs, ["src", "dst"], "left_anti"), "candidates")
+    roots = components(links.union(_similar(others, each, rows, **options)))
     group = each.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = group.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
-    named = docs.join(kept, (F.col(id_col) == F.col("kept_id")) & (F.xxhash64(text_col) == F.col("kept_hash")), "left_semi")
-    return named.dropDuplicates([id_col, text_col]).select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    mark = "text_hash"
+    while mark in docs.columns:
+        mark += "_"
+    # Marked by the hash, so that equal rows meet where the join has put them.
+    named = docs.withColumn(mark, F.xxhash64(text_col)).join(kept.select(F.col("kept_id").alias(id_col), F.col("kept_hash").alias(mark)), [id_col, mark], "left_semi")
+    return named.dropDuplicates([id_col, mark]).select(*docs.columns).union(docs.where(F.col(id_col).isNull()))

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import corpus_pipeline  # noqa: E402
 from compare import database, spark_rows, sql_rows  # noqa: E402
 
-from refillspark.llm import bpe, decontam, pii, queries, simhash, toxicity  # noqa: E402
+from refillspark.llm import bpe, decontam, pii, queries, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,12 +23,35 @@ def test_query_matches_sql(spark, name):
     assert columns == names and rows == expected and rows
 
 
+def first_of_similar(rows):
+    """Ids that are the smallest of their group: five-word shingles with a Jaccard similarity of 0.8 or more, all pairs compared."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (x == y or len(x & y) >= 0.8 * len(x | y)):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i for i in ids if find(i) == i}
+
+
 def test_pipeline_keeps_what_every_stage_keeps(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels, bench = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("labels", "benchmark"))
     civil = {r.doc_id for r in toxicity.toxicity_scores(docs, labels).where("predicted = 0").collect()}
     rows = docs.where(docs.doc_id.isin(*civil))
-    kept = {r.doc_id for r in simhash.near_duplicates(rows).where("doc_id = component_id").collect()}
+    kept = first_of_similar([(r.doc_id, r.text) for r in rows.collect()])
     bad = {r.doc_id for r in decontam.contamination(rows.where(rows.doc_id.isin(*kept)), bench).collect()}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept - bad}
 
