@@ -189,10 +189,10 @@ def keep_one_of_similar(
     """One row of ``docs`` from each group that word shingles of a Jaccard ``similarity`` or more link.
 
     Texts that meet in the ball of a bit block of their wide fingerprints are candidates; a link is
-    made only where the Jaccard similarity of the two sets of shingles reaches the bound. A text is
-    first compared with the smallest text of all those it meets; then, for each key, with the
-    smallest and the largest text there unless links join them already, so that a large group of
-    copies costs a comparison or a few for each of its texts. A group keeps the row of its smallest
+    made only where the Jaccard similarity of the two sets of shingles reaches the bound. The
+    partners of a text are the smallest and the largest text of each of its keys. It is first
+    compared with the one that it meets on most keys, then with all others to which no links lead
+    already. A group keeps the row of its smallest
     id (of repeated ids the one with the smallest hash of its text; different texts that are not
     similar both stay). Texts without words (null, empty, white space) are equal; equal rows are
     one. Rows without an id can't be told apart and stay as they are. An empty table gives none;
@@ -205,17 +205,17 @@ def keep_one_of_similar(
     # and its rows are split there if they are many.
     keyed = marked.select("node", F.explode("keys").alias("key"))
     shared_keys = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = stored(keyed.join(shared_keys, "key").select("node", "low", "high").distinct(), "met")
+    met = keyed.join(shared_keys, "key").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
+    met = stored(met.groupBy(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).agg(F.count("*").alias("times")), "met")
     options = {"shingle": shingle, "similarity": similarity, "slice_bytes": slice_bytes}
-    pairs = stored(met.groupBy("node").agg(F.min("low").alias("src")).where("src < node").select("src", F.col("node").alias("dst")), "candidates")
-    links = stored(_similar(pairs, each, rows, **options), "links")
+    likely = met.select(F.explode(F.array("src", "dst")).alias("node"), F.struct("times", "src", "dst").alias("pair")).groupBy("node").agg(F.max("pair").alias("pair"))
+    likely = stored(likely.select("pair.src", "pair.dst").distinct(), "candidates")
+    links = stored(_similar(likely, each, rows, **options), "links")
     rooted = stored(components(links), "rooted")
-    others = met.select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
-    others = others.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
+    others = met.join(likely, ["src", "dst"], "left_anti")
     for end in ("src", "dst"):
         others = others.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}")), end, "left")
-    others = others.where(F.coalesce("of_src", "src") != F.coalesce("of_dst", "dst")).select("src", "dst")
-    others = stored(others.join(pairs, ["src", "dst"], "left_anti"), "candidates")
+    others = stored(others.where(F.coalesce("of_src", "src") != F.coalesce("of_dst", "dst")).select("src", "dst"), "candidates")
     roots = components(links.union(_similar(others, each, rows, **options)))
     group = each.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = group.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
