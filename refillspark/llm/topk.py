@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, stored
 
 
-def _postings(ids: np.ndarray, weights: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _postings(weights: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Of each term: the places of the candidates that have it, and their weights."""
     return {t: (at, weights[at, t]) for t in range(weights.shape[1]) if len(at := np.flatnonzero(weights[:, t]))}
 
@@ -33,17 +33,22 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def _search(ids: np.ndarray, weights: np.ndarray, queries: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    postings = _postings(ids, weights)
-    for query, row in zip(queries.tolist(), rows):
-        scores = np.zeros(len(ids), dtype=np.int64)
-        for term in np.flatnonzero(row).tolist():
-            if term in postings:
-                at, weight = postings[term]
-                scores[at] += row[term] * weight
-        others = np.flatnonzero(ids != query)
-        for at in others[_best(scores[others], ids[others], k)].tolist():
-            yield query, int(ids[at]), int(scores[at])
+class _Block:
+    """Candidates of a block: their rows, ids and postings."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, weights: np.ndarray):
+        self.rows, self.ids, self.postings = rows, ids, _postings(weights)
+
+    def search(self, own: int, query: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
+        """``(id, score)`` of the best for a query, whose own row is left out."""
+        scores = np.zeros(len(self.ids), dtype=np.int64)
+        for term in np.flatnonzero(query).tolist():
+            if term in self.postings:
+                at, weight = self.postings[term]
+                scores[at] += query[term] * weight
+        others = np.flatnonzero(self.rows != own)
+        for at in others[_best(scores[others], self.ids[others], k)].tolist():
+            yield int(self.ids[at]), int(scores[at])
 
 
 def top_k(
@@ -61,48 +66,51 @@ def top_k(
 
     Components x become floor(scale * x), x as double; the score is their integer inner product,
     and vectors of different lengths meet in the terms both have. Candidates are all rows but the
-    query's own id; ties go to the smaller id. Vectors that are null or hold null or non-finite
-    components, and rows without an id, take no part; of repeated ids with equal vectors one row
-    counts, with different vectors the first by component. An empty table gives no rows.
-    Blocks have bounded sizes; every block of queries meets every block of candidates on a key.
+    query's own; ties go to the smaller id. Vectors that are null or hold null or non-finite
+    components, and rows without an id, take no part. Rows that share an id are rows like others:
+    each is a candidate, and each that is a query gets its own k (numbered 1 to k for each of them).
+    An empty table gives no rows. Blocks have bounded sizes; every block of queries meets every
+    block of candidates on a key, and the postings of a block are kept while its pairs last.
     """
     finite = "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where("id is not null and v is not null").where(finite)
-    rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
-    rows = stored(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"), F.monotonically_increasing_id().alias("row"))
+    rows = stored(rows, "vectors")
     # A block's number comes from a count of rows by hash, so that blocks have about the size asked for.
     n_rows, n_queries = rows.agg(F.count("*"), F.count_if(F.expr(query_where))).first()
     n_blocks, n_asks = -(-n_rows // candidate_block) or 1, -(-n_queries // query_block) or 1
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    packed = lambda df, key, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias(name))
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    packed = lambda df, key, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("row", "id", "v"))).alias(name))
     candidates = packed(rows.withColumn("block", block(n_blocks)), "block", "candidates")
     asks = packed(rows.where(query_where).withColumn("ask", block(n_asks)), "ask", "asks")
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = asks.join(candidates, "block").select("asks", "candidates")
+    pairs = asks.join(candidates, "block").select("block", "asks", "candidates")
 
-    def unpack(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    def unpack(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         items = cell.values
-        ids, lists = items.field("id").to_numpy(), items.field("v")
+        own, ids, lists = items.field("row").to_numpy(), items.field("id").to_numpy(), items.field("v")
         lengths = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy()
         weights = np.zeros((len(ids), max([0, *lengths.tolist()])), dtype=np.int64)
         row = np.repeat(np.arange(len(ids)), lengths)
         column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         weights[row, column] = flat
-        return ids, weights
+        return own, ids, weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, block = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                queries, asked = unpack(batch.column("asks")[i])
-                ids, weights = unpack(batch.column("candidates")[i])
-                width = min(asked.shape[1], weights.shape[1])
-                found = list(_search(ids, weights[:, :width], queries, asked[:, :width], k))
-                columns = zip(*found) if found else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    found = map_arrow(pairs, run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for i, number in enumerate(batch.column("block").to_pylist()):
+                if number != last:
+                    last, block = number, _Block(*unpack(batch.column("candidates")[i]))
+                found = []
+                for own, query, vector in zip(*unpack(batch.column("asks")[i])):
+                    found += [(int(own), int(query), *best) for best in block.search(own, vector, k)]
+                columns = zip(*found) if found else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["row", "query_id", "vec_id", "score"])
+
+    found = map_arrow(pairs, run, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
