@@ -13,7 +13,7 @@ the documents get back which of their windows also start earlier.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import compress
 
 import numpy as np
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import ship_package
 
+#: Words whose digests a worker remembers.
+_MOST_WORDS = 200_000
+
 _ROUNDS = 2
 _FAR = np.int64(1) << 60
 _SPACE = np.zeros(256, dtype=bool)
@@ -54,10 +57,23 @@ class _Powers:
 
 
 @lru_cache(maxsize=1)
-def _keys() -> list[tuple[np.ndarray, _Powers, _Powers]]:
-    """Two independent namings: of bytes, and the bases for words and for windows."""
+def _powers() -> list[_Powers]:
+    """The bases of two independent names of word sequences."""
     rng = np.random.Generator(np.random.PCG64(20))
-    return [(rng.integers(1, 1 << 63, 256, dtype=np.uint64), *(_Powers(int(rng.integers(1, 1 << 62)) * 2 + 1) for _ in range(2))) for _ in range(2)]
+    return [_Powers(int(rng.integers(1, 1 << 62)) * 2 + 1) for _ in range(2)]
+
+
+_DIGESTS: dict[bytes, bytes] = {}
+
+
+def _word_digests(words: list[bytes]) -> np.ndarray:
+    """A row of two 64-bit numbers for each word: 128 bits of BLAKE2b of its bytes."""
+    if len(_DIGESTS) > _MOST_WORDS:
+        _DIGESTS.clear()
+    for w in words:
+        if w not in _DIGESTS:
+            _DIGESTS[w] = hashlib.blake2b(w, digest_size=16).digest()
+    return np.frombuffer(b"".join([_DIGESTS[w] for w in words]), dtype="<u8").reshape(-1, 2)
 
 
 def _least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -82,10 +98,13 @@ class Chunk:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
         self.ids = [ids[i] for i in order]
         self.texts = [(texts[i] or "").encode() for i in order]
-        # Rows with one id are ordered by their texts: the copy number tells them apart.
+        # Rows with one id are ordered by their texts: the copy number tells them apart. Rows without
+        # an id lie in several chunks; a number from the text orders them, and equal texts meet here.
         self.copies = [0] * len(order)
-        for i in range(1, len(order)):
-            if self.ids[i] == self.ids[i - 1]:
+        for i in range(len(order)):
+            if self.ids[i] is None:
+                self.copies[i] = int.from_bytes(hashlib.blake2b(self.texts[i], digest_size=8).digest(), "little", signed=True)
+            elif i and self.ids[i] == self.ids[i - 1]:
                 self.copies[i] = self.copies[i - 1] + 1
         self.window = window
         data = np.frombuffer(b" ".join(self.texts) + b" ", dtype=np.uint8)
@@ -100,14 +119,17 @@ class Chunk:
         self.last = self.doc_ends[self.doc]  # of each word, the end of its document
         self.windows = np.flatnonzero(np.arange(len(self.starts)) + window <= self.last)
 
-    def word_names(self, which: int) -> np.ndarray:
-        of_byte, powers, _ = _keys()[which]
-        powers.grown(len(self.data) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(of_byte[self.data] * powers.up[: len(self.data)])])
-        return _mix((sums[self.ends] - sums[self.starts]) * powers.down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+    @cached_property
+    def word_names(self) -> np.ndarray:
+        """Both names of each word."""
+        lengths = self.ends - self.starts
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        bare = self.data[~_SPACE[self.data]]  # words without what separates them
+        words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(bare)]).dictionary_encode()
+        return _word_digests(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(lengths) else np.zeros((0, 2), np.uint64)
 
     def span_names(self, which: int) -> SpanNames:
-        return SpanNames(self.word_names(which), _keys()[which][2])
+        return SpanNames(np.ascontiguousarray(self.word_names[:, which]), _powers()[which])
 
     def filed(self, spans: SpanNames) -> tuple[np.ndarray, np.ndarray]:
         """Of each window, the name it is filed under and the word where that begins."""
@@ -172,7 +194,11 @@ class Chunk:
 
 
 class SpanNames:
-    """Names of word sequences, from prefix sums."""
+    """Names of word sequences, from prefix sums of digests that are spread by powers of an odd base.
+
+    For so few words as a window has, sums of differing digests hardly cancel, whatever their order;
+    windows are equal where two independent names are.
+    """
 
     def __init__(self, words: np.ndarray, powers: _Powers):
         self.words = words
@@ -195,10 +221,11 @@ def remove_repeats(
     A word goes if a window of ``window`` consecutive words covers it whose word sequence also
     starts earlier: in a document with a smaller id, or earlier in the same one. All windows are
     judged on the input. Null texts have no words. Documents with a null id come after all others
-    (ordered among themselves by text); rows that share an id are ordered by text, and equal ones
+    (ordered among themselves by a digest of the text); rows that share an id are ordered by text, and equal ones
     count as one after the other. Other columns are not read.
 
-    Documents are dealt into chunks of about ``chunk_bytes`` by their ids. What a chunk repeats
+    Documents are dealt into chunks of about ``chunk_bytes`` by their ids, those without one by
+    their texts. What a chunk repeats
     within itself is settled there, so that a passage that many documents share reaches the
     shuffle once a chunk.
     """
@@ -208,7 +235,8 @@ def remove_repeats(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-n_bytes // chunk_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)).cast("long"))
+    dealt = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    rows = rows.withColumn("chunk", F.pmod(dealt, F.lit(n_chunks)).cast("long"))
 
     def anchors(table: pa.Table) -> pa.Table:
         chunk = _chunk(table, window)
@@ -228,7 +256,7 @@ def remove_repeats(
                 "two": two[at].view(np.int64),
                 "chunk": np.full(len(at), left.column("chunk")[0].as_py() if left.num_rows else 0, np.int64),
                 "id": pa.array([chunk.ids[d] for d in doc], left.schema.field("id").type),
-                "copy": pa.array([chunk.copies[d] for d in doc], pa.int32()),
+                "copy": pa.array([chunk.copies[d] for d in doc], pa.int64()),
                 "at": at.astype(np.int32),
             }
         )
@@ -261,7 +289,7 @@ def remove_repeats(
     # Keys that more than one chunk has, chunk by chunk.
     keys = rows.groupBy("chunk").applyInArrow(anchors, "key long, chunk long")
     shared = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "chunk")
-    shape = f"one long, two long, chunk long, id {id_type}, copy int, at int"
+    shape = f"one long, two long, chunk long, id {id_type}, copy long, at int"
     met = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(candidates, shape)
     order = Window.partitionBy("one", "two").orderBy(F.col("id").asc_nulls_last(), "copy", "at")
     later = met.withColumn("n", F.row_number().over(order)).where("n > 1").select("chunk", "at")
