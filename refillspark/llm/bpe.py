@@ -5,7 +5,8 @@ longest token at each place. The encoder takes it, or the longest shorter one th
 the token before it, and steps back where none can. Two tokens may be neighbours if the merges of
 their joined bytes give just those two, which their own merges show; that is memoised. The sequence whose neighbours all may
 stand together is unique and is what the merges give. A place from which no token led on is never
-tried again, so the work is linear in the length.
+tried again, and each search sees no more than the longest token's length, so the work is linear in
+the length.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ class BytePairCoder:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        self.longest = max(map(len, ranks))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.prefix: dict[int, int | None] = {}
@@ -114,7 +116,7 @@ class BytePairCoder:
         taken: list[int] = []
         at = 0
         while at < len(text):
-            _, rank = next(self.automaton.iter_long(text, at))
+            _, rank = next(self.automaton.iter_long(text[at : at + self.longest]))
             while dead[at + size[rank]] or taken and not self.compatible(taken[-1], rank):
                 rank = self.shorter(rank)
                 while rank is None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,6 +35,7 @@ _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])[A-Za-z0-9_]{20,64}(?![A-Za-z0-9_])")
 
+_PATTERNS = {"iban": _IBAN, "ssn": _SSN, "local_phone": _LOCAL_PHONE, "secret": _SECRET}
 _CONTEXT = {
     "iban": frozenset({"iban", "bank", "account", "konto", "compte", "cuenta"}),
     "ssn": frozenset({"ssn", "social", "security"}),
@@ -90,7 +91,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base kinds, by start, then kind; code points, end exclusive."""
     spans = [("email", *s) for s in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             spans.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(digits := _digits(m.group())) <= 19 and luhn(digits):
@@ -102,24 +103,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], _ORDER[s[0]]))
 
 
+def _joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def further_spans(text: str, base: list[tuple[str, int, int]], rules: Rules) -> list[tuple[str, int, int, float]]:
-    """Spans of the further kinds that reach the threshold and touch no base span."""
-    proposed = [("iban", m) for m in _IBAN.finditer(text)]
-    proposed += [("ssn", m) for m in _SSN.finditer(text)]
-    proposed += [("local_phone", m) for m in _LOCAL_PHONE.finditer(text)]
-    proposed += [("secret", m) for m in _SECRET.finditer(text)]
+    """Spans of the further kinds that reach the threshold and touch no span of the base or of a kind before.
+
+    Matches of a kind and the spans taken so far are both in order: one pass goes along both.
+    """
+    taken = _joined((s, e) for _, s, e in base)
     out: list[tuple[str, int, int, float]] = []
-    for kind, m in proposed:
-        start, end = m.span()
-        near = text[max(0, start - rules.window) : start] + " " + text[end : end + rules.window]
-        score = rules.proposed
-        if kind == "iban":
-            score += rules.checked if mod97(m.group()) else -1
-        if _CONTEXT[kind] & {w.lower() for w in _WORD.findall(near)}:
-            score += rules.in_context
-        taken = any(s < end and start < e for _, s, e in base) or any(s < end and start < e for _, s, e, _ in out)
-        if score >= rules.threshold and not taken:
-            out.append((kind, start, end, score))
+    for kind, pattern in _PATTERNS.items():
+        at, own = 0, []
+        for m in pattern.finditer(text):
+            start, end = m.span()
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            if at < len(taken) and taken[at][0] < end:
+                continue
+            near = text[max(0, start - rules.window) : start] + " " + text[end : end + rules.window]
+            score = rules.proposed
+            if kind == "iban":
+                score += rules.checked if mod97(m.group()) else -1
+            if _CONTEXT[kind] & {w.lower() for w in _WORD.findall(near)}:
+                score += rules.in_context
+            if score >= rules.threshold:
+                own.append((kind, start, end, score))
+        if own:
+            taken = _joined([*taken, *(s[1:3] for s in own)])
+            out += own
     return out
 
 
