@@ -11,12 +11,14 @@ def sampled_labels(rows: DataFrame, labels: DataFrame, *, id_col: str, label_col
 
     At most ``most_rows`` labelled ids for which ``learn`` holds, those with the smallest hashes;
     they are broadcast, so that the texts of all other rows stay where they are. Repeated labels of
-    an id count once (the largest label); labels other than 0 and 1 don't count.
+    an id count once (the largest label), and of its rows the one with the least text (nulls
+    first); labels other than 0 and 1 don't count.
     """
     given = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & learn)
     given = given.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     given = given.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    return rows.join(F.broadcast(given), "id").dropDuplicates(["id"]).withColumn("all", F.lit(0))
+    least = rows.join(F.broadcast(given), "id").groupBy("id", "label").agg(F.min(F.struct("text", *(c for c in rows.columns if c not in ("id", "text")))).alias("row"))
+    return least.select("id", "label", "row.*").withColumn("all", F.lit(0))
 
 
 def shared(spark: SparkSession, value):

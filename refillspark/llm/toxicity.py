@@ -19,14 +19,14 @@ from .learning import sampled_labels, shared
 
 _BITS = 20
 _LENGTHS = (4, 5)
-_PIECE = 1 << 20  # bytes of a text that are hashed at a time
+_PIECE = 1 << 20  # characters of a text that are hashed at a time
 
 
-def grams(text: bytes) -> np.ndarray:
+def grams(text: str) -> np.ndarray:
     """Hashed character n-grams that the text has, each once; white space counts as a space, A-Z as a-z."""
-    data = np.frombuffer(text.lower(), dtype=np.uint8)
-    white = (data == 32) | ((data >= 9) & (data <= 13))
-    data = np.concatenate([[32], np.where(white, 32, data), [32]]).astype(np.uint64)
+    data = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    data = np.where((data >= 65) & (data <= 90), data + 32, np.where((data >= 9) & (data <= 13), 32, data))
+    data = np.concatenate([[32], data, [32]]).astype(np.uint64)
     found = []
     for n in _LENGTHS:
         for start in range(0, len(data) - n + 1, _PIECE):
@@ -45,7 +45,7 @@ class RatioClassifier:
     def __init__(self, bias: float, scaled: np.ndarray, squared: np.ndarray):
         self.bias, self.scaled, self.squared = bias, scaled, squared
 
-    def score(self, text: bytes) -> float:
+    def score(self, text: str) -> float:
         found = grams(text)
         length = np.sqrt(float(self.squared[found].sum(dtype=np.float64)))
         margin = self.bias + float(self.scaled[found].sum(dtype=np.float64)) / length if length else self.bias
@@ -93,7 +93,7 @@ def _scored(
         table = table.sort_by([("id", "ascending"), ("text", "ascending")])
         y = np.array(table.column("label").to_pylist())
         none = np.zeros(1 << _BITS, np.float32)
-        found = [grams((t or "").encode()) for t in table.column("text").to_pylist()]
+        found = [grams(t or "") for t in table.column("text").to_pylist()]
         model = RatioClassifier.fit(found, y) if 0 < y.sum() < len(y) else RatioClassifier(0.0, none, none)
         used = np.flatnonzero(model.squared)
         packed = [used.astype("<i4").tobytes(), model.scaled[used].astype("<f4").tobytes(), model.squared[used].astype("<f4").tobytes()]
@@ -141,7 +141,7 @@ def toxicity_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = _unpack(model.value, unpacked)
         for batch in slices(batches, "text", slice_bytes):
-            texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_numpy(zero_copy_only=False)
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
             scores = [classifier.score(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], names=["id", "score"])
 
@@ -156,14 +156,19 @@ def toxicity_scores(
 def keep_civil(
     docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.7, slice_bytes: int = 4 << 20, **options
 ) -> DataFrame:
-    """The rows of ``docs`` that score less than ``threshold``, without a shuffle."""
+    """The rows of ``docs`` that score less than ``threshold``, without a shuffle.
+
+    Scores are those of ``toxicity_scores``: null and empty texts get that of the bias alone, rows
+    with one text the same; without labels of both classes every row stays. Rows keep all their
+    columns; an empty table gives none.
+    """
     options = {"id_col": "doc_id", "label_col": "toxic", "folds": 3, "held_fold": 1, "most_rows": 6_000} | options
     model, unpacked = _scored(docs, labels, text_col=text_col, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = _unpack(model.value, unpacked)
         for batch in slices(batches, text_col, slice_bytes):
-            texts = pc.fill_null(batch.column(text_col), "").cast(pa.binary()).to_numpy(zero_copy_only=False)
+            texts = pc.fill_null(batch.column(text_col), "").to_pylist()
             yield batch.filter(pa.array([classifier.score(t) < threshold for t in texts], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

@@ -47,3 +47,66 @@ def test_dense_questions_with_other_values_are_found(spark):
     assert set(got) == {(1, 1), (2, 2)}
     assert got[1, 1].containment == 1.0 and got[1, 1].longest_passage == 16 and got[1, 1].kind == "reparameterised"
     assert got[2, 2].containment == 1.0 and got[2, 2].kind == "reparameterised"
+
+
+MIX = "Mix 3 kg of flour, 2 kg of sugar, 5 kg of butter and 7 eggs in a large bowl for 4 minutes."
+PAID = "Alice paid 12 dollars and 30 cents, Bob paid 5 dollars and 7 cents, so how much did Alice and Bob pay together?"
+
+
+def test_values_are_mapped_one_to_one(spark):
+    other = PAID.replace("Alice", "Erin").replace("Bob", "Ivan").replace("12", "45").replace("30", "61").replace(" 5 ", " 8 ").replace(" 7 ", " 9 ")
+    merged = PAID.replace("Alice", "Carol").replace("Bob", "Carol").replace("12", "8").replace("30", "8").replace(" 5 ", " 8 ").replace(" 7 ", " 8 ")
+    mixed = MIX.replace("3", "11").replace("2", "12").replace("5", "13").replace("7", "14").replace("4", "15")
+    got = found(spark, [(1, other), (2, merged), (3, mixed), (4, PAID), (None, PAID), (5, None), (5, "")], [(1, PAID), (2, MIX)])
+    assert set(got) == {(1, 1), (3, 2), (4, 1)}
+    assert got[1, 1].slot_agreement == 1.0 and got[1, 1].kind == "reparameterised" and got[4, 1].kind == "exact"
+
+
+def test_recall_of_planted_questions_with_other_values(spark):
+    import random
+
+    rng = random.Random(5)
+    names, things = ["Alice", "Bob", "Carol", "Dave", "Erin", "Frank", "Grace", "Heidi"], ["apples", "stones", "cups", "lamps", "chairs", "ropes"]
+    forms = [
+        "{a} has {x} {t} and gives {y} of them to {b}, who already owns {z} {t}; how many {t} do both of them hold now?",
+        "A pump fills {x} litres in {y} minutes. How many litres does it fill in {z} hours if nothing is lost?",
+        "When {a} walks {x} km and {b} walks {y} km on the same long road, {a} needs {z} minutes more than expected. How fast is {b}?",
+    ]
+    value = lambda: dict(zip("xyz", map(str, rng.sample(range(2, 900), 3)))) | dict(zip("ab", rng.sample(names, 2))) | {"t": rng.choice(things)}
+    items, docs = [], []
+    for i in range(60):
+        v = value()
+        form = forms[i % 3] + f" Think about case word{i} before you answer it in full."
+        items.append((i, form.format(**v)))
+        w = value() | {"t": v["t"]}
+        filler = " ".join(rng.choice(["green", "river", "walks", "over", "quiet", "hills"]) for _ in range(80))
+        docs += [(i, f"{filler}. {form.format(**w)} {filler}"), (1000 + i, f"{filler}. {filler}")]
+    got = found(spark, docs, items)
+    assert sum((i, i) in got for i in range(60)) >= 54  # recall of 0.9
+    assert not [k for k in got if k[0] >= 1000]
+
+
+def test_containment_equals_brute_force_without_placeholders(spark):
+    import random
+
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(300)}x" for _ in range(rng.randint(6, 30)))) for i in range(30)]
+    items = [(i, t.translate(str.maketrans("0123456789", "abcdefghij"))) for i, t in items]
+    docs = []
+    for d in range(60):
+        words = items[rng.randrange(30)][1].split()
+        cut = words[: rng.randint(3, len(words))]
+        docs.append((d, " ".join(["lorem"] * rng.randint(0, 5) + cut + ["ipsum"] * 3)))
+    want = {}
+    for d, text in docs:
+        w = text.split()
+        own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        for i, item in items:
+            q = item.split()
+            each = [tuple(q[k : k + 5]) for k in range(len(q) - 4)]
+            runs = [n for k in range(len(q)) for n in range(1, len(q) - k + 1) if any(w[j : j + n] == q[k : k + n] for j in range(len(w) - n + 1))]
+            covered = sum(x in own for x in each) / len(each)
+            if covered >= 0.8 or max(runs, default=0) >= 13:
+                want[d, i] = covered
+    got = found(spark, docs, items)
+    assert {k: r.containment for k, r in got.items()} == want and want

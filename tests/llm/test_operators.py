@@ -252,20 +252,21 @@ def test_contamination_by_templates(spark):
 def test_top_k_equals_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, [rng.choice([0.0, rng.uniform(-1, 1)]) for _ in range(8)]) for i in range(250)]
-    rows += [(300, rows[5][1]), (400, rows[5][1]), (500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (None, rows[1][1]), (7, rows[7][1])]
+    rows += [(300, rows[5][1]), (400, rows[5][1]), (500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (None, rows[1][1]), (7, rows[7][1]), (8, [1.0] * 8), (100, [0.5] * 8)]
     df = spark.createDataFrame([(i, v, "x", "x") for i, v in rows], "vec_id long, embedding array<double>, id string, block string")
     import math
 
-    vectors = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    vectors = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in vectors:
+    for own, (q, w) in enumerate(vectors):
         if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)[:10]
+            best = sorted((-sum(a * b for a, b in zip(w, v)), i) for at, (i, v) in enumerate(vectors) if at != own)[:10]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     got = topk.top_k(df, candidate_block=40, query_block=2).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
-    assert topk.top_k(df.where("vec_id in (100, 7)")).count() == 1
+    few = spark.createDataFrame([(100, [1.0, 0.0]), (7, [0.1, 0.0]), (7, [0.9, 0.1]), (7, [0.1, 0.0]), (8, [0.2, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(few).orderBy("rank").collect()] == [(7, 1024 * 921), (8, 1024 * 204), (7, 1024 * 102), (7, 1024 * 102)]
 
 
 def plain_removal(rows, window=20):
@@ -302,3 +303,116 @@ def test_a_window_is_filed_by_its_own_words():
         filed = {}
         for i, p in enumerate(chunk.windows):
             assert filed.setdefault(tuple(words[p : p + 20]), (key[i], at[i] - p)) == (key[i], at[i] - p)
+
+
+def test_words_whose_plain_sums_collide_are_told_apart(spark):
+    def thue_morse(first, second, rounds=10):
+        word = first
+        for _ in range(rounds):
+            word, first, second = word + second, first + second, second + first
+        return word
+
+    a, b = thue_morse("a", "b"), thue_morse("b", "a")
+    assert len(a) == 1024 and a != b
+    tail = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (None, "only one"), (None, None), (None, " ".join([tail, "z"])), (None, " ".join([tail, "z"]))]
+    got = substring.remove_repeats(frame(spark, rows), chunk_bytes=500).collect()
+    assert sorted(r.n_removed for r in got if r.doc_id is not None) == [0, 0]
+    assert sorted(r.n_removed for r in got if r.doc_id is None) == [0, 0, 0, 20]
+
+
+def doubled(run, sizes):
+    """Seconds by size."""
+    import time
+
+    out = []
+    for n in sizes:
+        start = time.perf_counter()
+        run(n)
+        out.append(time.perf_counter() - start)
+    return out
+
+
+def test_work_on_one_long_piece_is_linear():
+    import tiktoken
+
+    ranks = bpe.read_ranks(bpe.public_vocabulary("byte_bpe_50k.tiktoken"))
+    coder, rng = bpe.BytePairCoder(ranks), random.Random(12)
+    piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4 << 20)).encode()
+    coder.encode(piece[: 1 << 20])  # fills the memos
+    one, two, four = doubled(lambda n: coder.encode(piece[: n << 20]), (1, 2, 4))
+    assert two < 3.5 * one and four < 3.5 * two
+    ids = coder.encode(piece)
+    assert coder.decode(ids) == piece
+    enc = tiktoken.Encoding("own", pat_str=bpe.split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    assert coder.encode(piece[:40_000]) == enc.encode_ordinary(piece[:40_000].decode())
+
+
+def test_work_on_many_spans_is_linear():
+    unit = "call 555-123-4567 or 1.2.3.4, token a1b2c3d4e5f6a7b8c9d0e1f2 x@y.zz; "
+    pii.all_spans(unit * 100, pii.Rules())
+    one, two, four = doubled(lambda n: pii.all_spans(unit * (n * (1 << 20) // len(unit)), pii.Rules()), (1, 2, 4))
+    assert two < 3.5 * one and four < 3.5 * two
+    base, every = pii.all_spans(unit * 3, pii.Rules())
+    assert [k for k, _, _ in every] == ["local_phone", "ip", "secret", "email"] * 3
+    assert base == plain_spans(unit * 3) and pii.base_spans("0" * 5000 + ".1.2.3") == [("ip", 0, 5006)]
+
+
+def test_of_repeated_ids_the_least_text_is_learnt_from(spark):
+    from refillspark.llm.learning import sampled_labels
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, None, 1), (2, "z", 1), (3, "c", 3)], "id long, text string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 7)], "doc_id long, toxic int")
+    got = sampled_labels(rows, labels, id_col="doc_id", label_col="toxic", learn=F.lit(True), most_rows=9).collect()
+    assert sorted((r.id, r.text, r.n_chars, r.label) for r in got) == [(1, "a", 9, 1), (2, None, 1, 0)]
+
+
+def test_log_count_ratios_and_scores_equal_plain_sums():
+    import math
+
+    import numpy as np
+
+    texts = ["böse wörter hier", "gute wörter", "bad BAD words", "good words there", "日本語の文章です", ""]
+    labels = np.array([1, 0, 1, 0, 1, 0])
+
+    def plain(text):  # of code points, A-Z as a-z
+        padded = " " + "".join(c.lower() if "A" <= c <= "Z" else " " if c in " \t\n\x0b\x0c\r" else c for c in text) + " "
+        return {padded[i : i + n] for n in (4, 5) for i in range(len(padded) - n + 1)}
+
+    model = toxicity.RatioClassifier.fit([toxicity.grams(t) for t in texts], labels, least=1)
+    sets = [plain(t) for t in texts]
+    for t, s in zip(texts, sets):
+        assert len(toxicity.grams(t)) == len(s)
+    ratio = {g: math.log((sum(g in s for s, y in zip(sets, labels) if y) + 1) / 5) - math.log((sum(g in s for s, y in zip(sets, labels) if not y) + 1) / 5) for g in set().union(*sets)}
+    for t, s in zip(texts, sets):
+        assert math.isclose(math.sqrt(sum(ratio[g] ** 2 for g in s)), math.sqrt(model.squared[toxicity.grams(t)].sum()), rel_tol=1e-5)
+        found = toxicity.grams(t)
+        length = math.sqrt(sum(float(model.squared[i]) for i in found))
+        margin = model.bias + (sum(float(model.scaled[i]) for i in found) / length if length else 0)
+        assert math.isclose(model.score(t), 1 / (1 + math.exp(-margin)), rel_tol=1e-6)
+
+
+def test_factorisation_score_equals_the_sum_over_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = (1 << quality._BITS) + quality._N_STATS
+    model = quality.FactorisationMachine(0.3, rng.standard_normal(n), rng.standard_normal((n, quality._RANK)))
+    for text in ("Some words, and MORE words | here!", "", "a b c " * 40):
+        index, value = quality.features(text, None)
+        pairs = sum(float(model.vectors[index[i]] @ model.vectors[index[j]]) * value[i] * value[j] for i in range(len(index)) for j in range(i + 1, len(index)))
+        margin = 0.3 + sum(float(model.weights[i]) * v for i, v in zip(index, value)) + pairs
+        assert abs(model.margin(index, value) - margin) < 1e-9
+        assert abs(model.score(text, None) - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-9
+
+
+@pytest.mark.parametrize("operator", [
+    lambda d, l, b: toxicity.toxicity_scores(d, l), lambda d, l, b: toxicity.keep_civil(d, l), lambda d, l, b: quality.quality_scores(d, l),
+    lambda d, l, b: pii.find_personal_data(d), lambda d, l, b: pii.mask_personal_data(d), lambda d, l, b: bpe.encode_texts(d),
+    lambda d, l, b: decontam.contamination(d, b), lambda d, l, b: decontam.keep_uncontaminated(d, b),
+])
+def test_empty_documents_give_no_rows(spark, operator):
+    _, labels = labelled(spark, 40)
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    assert operator(frame(spark, []), labels, bench).count() == 0
