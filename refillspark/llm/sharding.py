@@ -24,14 +24,21 @@ def _choose(index: Column, values: list[int]) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), index.cast("int") + 1)
 
 
+def _most_whole(n: int, shards: int) -> int:
+    """Keys up to this weight move as a whole."""
+    return max(32, n // (64 * shards))
+
+
 def _propagated(nodes: DataFrame, capacity: list[int], rounds: int) -> DataFrame:
     """``nodes (key, part, weight, of_key, shard)`` after rounds of moves towards their key's shards."""
     shards = len(capacity)
-    most_whole = max(1, sum(capacity) // (64 * shards))  # keys up to this weight move as a whole
-    full: set[int] = set()  # shards whose room was too small for any bucket
+    most_whole = _most_whole(sum(capacity), shards)
+    full = [0] * shards  # of each shard, the room that was too small for any bucket
     for turn in range(rounds):
         load = dict(nodes.groupBy("shard").agg(F.sum("weight")).collect())  # a number for each shard
-        room = [0 if s in full else max(0, capacity[s] - (load.get(s) or 0)) for s in range(shards)]
+        # An eighth beyond the capacity may pass through, so that full shards can exchange; the last ranking evens it out.
+        room = [max(0, capacity[s] + capacity[s] // 8 - (load.get(s) or 0)) for s in range(shards)]
+        room = [0 if r <= full[s] else r for s, r in enumerate(room)]
         by_key = Window.partitionBy("key")
         here = F.sum("weight").over(Window.partitionBy("key", "shard"))
         lean = nodes.withColumn("lean", F.struct(here.alias("weight"), F.xxhash64("key", "shard").alias("tie"), "shard"))
@@ -47,7 +54,7 @@ def _propagated(nodes: DataFrame, capacity: list[int], rounds: int) -> DataFrame
         some = dict(granted.groupBy("target").agg(F.bool_or("granted")).collect())  # a flag for each shard
         if not some:
             break
-        full |= {s for s, any_granted in some.items() if not any_granted}
+        full = [room[s] if some.get(s) is False else full[s] for s in range(shards)]
         # At most shards * _BUCKETS rows, whatever the input's size.
         moved = lean.join(F.broadcast(granted), ["target", "bucket"], "left")
         nodes = moved.select("key", "part", "weight", "of_key", F.when(F.col("granted"), F.col("target")).otherwise(F.col("shard")).alias("shard"))
@@ -62,14 +69,16 @@ def balanced_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     link_key: Column | None = None,
-    rounds: int = 10,
+    rounds: int = 30,
     parts: int = 64,
     bucket_rows: int = 20_000,
 ) -> DataFrame:
     """``(id, size, text_crc32, law, shard, slot, grown_shard)``: law ``rows``, counts at most one apart.
 
     Documents with the same ``link_key`` (default: equal texts; null and empty texts are equal)
-    share a shard wherever the counts allow it. Size is the UTF-8 length plus 1 (null: 1);
+    share a shard: a key of up to a 64th of a shard's rows (or 32) begins and moves as a whole, a larger one in
+    up to ``parts`` parts. Where a shard is over its count, linked documents leave it key by key, so
+    that of the keys of up to ``bucket_rows`` rows only those at the ends of shards are cut. Size is the UTF-8 length plus 1 (null: 1);
     ``slot`` numbers a shard's rows from 0 without gaps. Repeated rows and null ids are rows like
     others; an empty table gives none. Other columns are not read.
     """
@@ -80,27 +89,32 @@ def balanced_shards(
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         key.alias("key"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)).cast("int").alias("part"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "row"), F.lit(parts)).cast("int"))
     rows = stored(rows, "rows")
     nodes = rows.groupBy("key", "part").agg(F.count("*").alias("weight"))
-    nodes = nodes.withColumn("of_key", F.sum("weight").over(Window.partitionBy("key")))
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(shards)).cast("int"))
-    nodes = stored(nodes, "nodes")
+    nodes = stored(nodes.withColumn("of_key", F.sum("weight").over(Window.partitionBy("key"))), "nodes")
     n = nodes.agg(F.sum("weight")).first()[0] or 0
+    # What moves as a whole begins in one shard.
+    whole = F.col("of_key") <= _most_whole(n, shards)
+    nodes = nodes.withColumn("shard", F.pmod(F.when(whole, F.xxhash64("key")).otherwise(F.xxhash64("key", "part")), F.lit(shards)).cast("int"))
     capacity = [n // shards + (s < n % shards) for s in range(shards)]
-    placed = _propagated(nodes.where("of_key > 1 and key is not null"), capacity, rounds).select("key", "part", F.col("shard").alias("home"))
+    placed = _propagated(nodes.where("of_key > 1 and key is not null"), capacity, rounds).select("key", "part", "of_key", F.col("shard").alias("home"))
 
     # Ranks within a home come in two steps, by buckets of bounded size; home ``shards`` is the pool of the unlinked.
-    n_buckets = max(1, -(-n // bucket_rows))
+    # The rows of a key lie in one bucket, one after the other, unless they would fill it.
+    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // bucket_rows))
     homed = rows.join(placed, ["key", "part"], "left").withColumn("home", F.coalesce("home", F.lit(shards)))
-    homed = homed.withColumn("bucket", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(n_buckets)).cast("int")).drop("key", "part")
+    together = F.col("of_key") <= bucket_rows
+    homed = homed.withColumn("group", F.when(together, F.xxhash64("key"))).withColumn("bucket", F.coalesce("group", F.xxhash64("row")))
+    homed = homed.withColumn("bucket", F.pmod("bucket", F.lit(n_buckets)).cast("int")).drop("key", "part", "of_key")
     homed = stored(homed, "homed")
     sizes = homed.groupBy("home", "bucket").agg(F.count("*").alias("rows"))
     total = dict(sizes.groupBy("home").agg(F.sum("rows")).collect())  # a number for each home
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("home").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("before", before).drop("rows")
-    within = F.row_number().over(Window.partitionBy("home", "bucket").orderBy("id", "text_crc32", "size"))
+    within = F.row_number().over(Window.partitionBy("home", "bucket").orderBy("group", "id", "text_crc32", "size", "row"))
     ranked = homed.withColumn("within", within).join(offsets, ["home", "bucket"]).withColumn("rank", F.col("before") + F.col("within") - 1)
 
     stay = [min(total.get(s) or 0, capacity[s]) for s in range(shards)]
