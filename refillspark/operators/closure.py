@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,8 +12,8 @@ def first_dispense(events: DataFrame, start: str, end: str) -> DataFrame:
     return events.where(inside).groupBy("pid").agg(F.min("date").alias("event_date"))
 
 
-def refill_outcomes(routed: DataFrame, events: DataFrame, covered: DataFrame, start: str, as_of: str, source: str = "claims", latency: int = 14) -> DataFrame:
-    """Covered with a dispense: on time. Covered without: a break as of the day. Not covered: no row."""
+def refill_outcomes(routed: DataFrame, events: DataFrame, covered: DataFrame, start: str, as_of: str, source: str = "claims", latency: int = 30) -> DataFrame:
+    """``latency`` is the source's typical one. Covered with a dispense: on time. Covered without: a break as of the day. Not covered: no row."""
     known = routed.select("pid").join(covered.where("covered = 1").select("pid"), "pid", "left_semi")
     rows = known.join(first_dispense(events, start, as_of), "pid", "left")
     return rows.select(
@@ -39,7 +39,3 @@ def harvest_labels(outcomes: DataFrame, actioned: DataFrame | None = None) -> Da
         rows = rows.join(actioned.select("pid"), "pid", "left_semi")
     return rows.select("pid", F.col("on_time_refill").alias("adherent"), F.struct("refill_source", "refill_latency_days").alias("provenance"))
 
-
-def latest_version(states: DataFrame, version: str = "as_of") -> DataFrame:
-    newest = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc(version)))
-    return states.withColumn("n", newest).where("n = 1").drop("n")

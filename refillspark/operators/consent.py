@@ -34,8 +34,8 @@ def consent_status(subjects: DataFrame, consent: DataFrame, as_of: str, validity
     return out.select("pid", "internal", "external", "stale", "internal_allowed", "external_allowed")
 
 
-def gate(rows: DataFrame, status: DataFrame, action: str = "action") -> DataFrame:
-    """Adds ``scope``, ``allowed`` and ``reason``; an action without a declared scope is an error, not a pass."""
+def gate(rows: DataFrame, status: DataFrame, action: str = "action", keep: bool = False) -> DataFrame:
+    """Adds ``scope``, ``allowed`` and ``reason`` (with ``keep`` also what each scope allows); an action without a declared scope is an error, not a pass."""
     out = rows.join(status, "pid", "left").withColumn("scope", scope_of(F.col(action)))
     external = F.col("scope") == "external"
     state = F.coalesce(F.when(external, F.col("external")).otherwise(F.col("internal")), F.lit("unknown"))
@@ -48,7 +48,10 @@ def gate(rows: DataFrame, status: DataFrame, action: str = "action") -> DataFram
         .otherwise("authorized")
     )
     out = out.withColumn("allowed", F.when(F.col("scope").isNull(), 0).otherwise(allowed)).withColumn("reason", reason)
-    return out.drop("internal", "external", "stale", "internal_allowed", "external_allowed")
+    out = out.drop("internal", "external", "stale")
+    if not keep:
+        return out.drop("internal_allowed", "external_allowed")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("internal_allowed", "external_allowed")})
 
 
 def stale_horizon(consent: DataFrame, as_of_end: str, validity: int = 365) -> DataFrame:

@@ -14,12 +14,55 @@ LEAD_DAYS = (60, 30, 10)
 DWELL_DAYS = 7
 ROUND1 = {"transport": "transit_voucher", "access": "transit_voucher", "cost": "pharmacist", "bp_trend": "pharmacist", "isolation": "social_worker"}
 ROUND1_DEFAULT = "social_worker"
-RECIPIENTS = {"chw_pharmacy": "pharmacy", "pharmacist": "pharmacist", "social_worker": "social_worker", "transit_voucher": "transit_broker", "prescriber": "prescriber"}
+#: Of each action: who is written to, the kind of message, and whom the recipient contacts for the subject (fixed values).
+DISPATCH = {
+    "chw_pharmacy": ("ae_chw", "chw_pharmacy", "pharmacy"),
+    "social_worker": ("social_worker", "social_worker", None),
+    "pharmacist": ("pharmacist", "pharmacist", None),
+    "bilingual_chw": ("bilingual_chw", "bilingual_chw", None),
+    "transit_voucher": ("transit_voucher_external", "transit_voucher", "transit_broker"),
+    "chw_transport_support": ("ae_chw", "chw_transport_fallback", "internal_transportation"),
+    "prescriber": ("prescriber", "prescriber", None),
+}
+#: Recipients who speak with the subject and get a script to read aloud (fixed values).
+READERS = ("ae_chw", "bilingual_chw", "prescriber")
+RECIPIENT_LABELS = {
+    "ae_chw": {"en": "community health worker", "es": "agente comunitario", "pt": "agente comunitário", "ht": "ajan kominotè"},
+    "bilingual_chw": {"en": "bilingual health worker", "es": "agente bilingüe", "pt": "agente bilingue", "ht": "ajan bileng"},
+    "social_worker": {"en": "social worker", "es": "trabajo social", "pt": "assistente social", "ht": "travayè sosyal"},
+    "pharmacist": {"en": "pharmacist", "es": "farmacia", "pt": "farmacêutico", "ht": "famasyen"},
+    "transit_voucher_external": {"en": "transport provider", "es": "servicio de transporte", "pt": "serviço de transporte", "ht": "sèvis transpò"},
+    "prescriber": {"en": "prescriber", "es": "quien prescribe", "pt": "prescritor", "ht": "preskriptè"},
+}
+OUTCOME_WORDS = {
+    "pending": {"en": "under way", "es": "en marcha", "pt": "em andamento", "ht": "ap fèt"},
+    "no_refill": {"en": "no refill seen", "es": "sin recarga", "pt": "sem recarga", "ht": "pa gen rechaj"},
+    "refill_observed": {"en": "refill seen", "es": "con recarga", "pt": "com recarga", "ht": "gen rechaj"},
+    "gated": {"en": "held by consent", "es": "retenida por consentimiento", "pt": "retida por consentimento", "ht": "konsantman bloke"},
+    "gated_internal": {"en": "not sent, no consent", "es": "no enviada, sin consentimiento", "pt": "não enviada, sem consentimento", "ht": "pa voye, san konsantman"},
+}
+ROUND_WORDS = {"en": "Round", "es": "Ronda", "pt": "Ronda", "ht": "Faz"}
+NO_HISTORY = {"en": "nothing recorded", "es": "nada registrado", "pt": "nada registado", "ht": "anyen anrejistre"}
+REQUESTS = {
+    "chw_pharmacy": {"en": "ask the pharmacy about the refill", "es": "consulte la recarga en la farmacia", "pt": "pergunte à farmácia pela recarga", "ht": "mande famasi a pou rechaj la"},
+    "social_worker": {"en": "find out what stands in the way", "es": "averigüe qué lo impide", "pt": "veja o que o impede", "ht": "chèche sa ki bloke l"},
+    "pharmacist": {"en": "review the medicine and its cost", "es": "revise el medicamento y su costo", "pt": "reveja o medicamento e o custo", "ht": "revize medikaman an ak pri a"},
+    "bilingual_chw": {"en": "call in the preferred language", "es": "llame en el idioma preferido", "pt": "ligue na língua preferida", "ht": "rele nan lang li pito"},
+    "transit_voucher": {"en": "issue a travel voucher", "es": "emita un vale de transporte", "pt": "emita um vale de transporte", "ht": "bay yon bon transpò"},
+    "chw_transport_fallback": {"en": "arrange transport within the organisation", "es": "organice transporte interno", "pt": "organize transporte interno", "ht": "òganize transpò entèn"},
+    "prescriber": {"en": "decide on the next step with the history below", "es": "decida el próximo paso con el historial", "pt": "decida o próximo passo com o histórico", "ht": "deside pwochen etap la ak istwa a"},
+}
 MESSAGES = {
-    "en": "{who}: please follow up {ref}, round {round}. Tried before: {history}.",
-    "es": "{who}: dé seguimiento a {ref}, ronda {round}. Intentos previos: {history}.",
-    "pt": "{who}: acompanhe {ref}, rodada {round}. Tentativas anteriores: {history}.",
-    "ht": "{who}: tanpri swiv {ref}, tou {round}. Sa ki te eseye: {history}.",
+    "en": "To the {who}: {request} for {ref}, round {round}, before {break_date} (driver: {driver}). Tried before: {history}.",
+    "es": "Para {who}: {request}, {ref}, ronda {round}, antes del {break_date} (factor: {driver}). Intentos previos: {history}.",
+    "pt": "Para {who}: {request}, {ref}, ronda {round}, antes de {break_date} (fator: {driver}). Tentativas anteriores: {history}.",
+    "ht": "Pou {who}: {request}, {ref}, faz {round}, anvan {break_date} (rezon: {driver}). Sa ki te eseye: {history}.",
+}
+READ_ALOUD = {
+    "en": "[For the worker to say, never sent] I am calling about your blood pressure medicine. Is anything in the way of the refill?",
+    "es": "[Para decir en persona, nunca se envía] Llamo por su medicamento de la presión. ¿Algo impide la recarga?",
+    "pt": "[Para dizer em pessoa, nunca enviado] Ligo por causa do seu medicamento da tensão. Algo impede a recarga?",
+    "ht": "[Pou di an pèsòn, yo pa janm voye l] M ap rele pou medikaman tansyon ou. Èske gen yon bagay ki bloke rechaj la?",
 }
 
 
@@ -27,12 +70,23 @@ def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
+def _said(labels: dict[str, dict[str, str]], lang: str, key: Column) -> Column:
+    return _map({k: v[lang] for k, v in labels.items()})[key]
+
+
 def active_latency(selected: DataFrame) -> DataFrame:
     """The selected source and its greatest latency; without one, an unknown source without latency."""
     found = selected.agg(F.first("source", ignorenulls=True).alias("source"), F.first("max_latency", ignorenulls=True).alias("latency"))
     return found.select(F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("latency", F.lit(0)).alias("latency"))
 
 
+def active_latencies(keys: DataFrame, attempts: DataFrame, key: str = "pid") -> DataFrame:
+    """The same for each key, of the ``attempts`` by key."""
+    served = attempts.where("outcome = 'served'").select(key, "source", F.col("max_latency").alias("latency"))
+    rows = keys.select(key).distinct().join(served, key, "left")
+    return rows.select(key, F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("latency", F.lit(0)).alias("latency"))
+
+
 def round_schedule(cards: DataFrame, latency: int) -> DataFrame:
     """Of each round when it acts, when it escalates and when that is safe given the latency.
 
@@ -72,17 +126,18 @@ def _at(prefix: str, number: Column) -> Column:
 def escalation_status(scheduled: DataFrame, outcomes: DataFrame, status: DataFrame, as_of: str) -> DataFrame:
     """Status of each subject in fixed precedence, its round, and the round that closed it.
 
-    ``dispatched_before`` (of the current round, from an earlier state) tells dispatched from pending.
+    ``dispatch_dates`` (by round, from an earlier state) tells dispatched from pending. ``any_gated``
+    is 1 if the action of any round up to the current one lacks consent.
     """
     today = F.to_date(F.lit(as_of))
     rows = scheduled.join(outcomes.select("pid", "observed", "on_time_refill", "event_date"), "pid", "left")
     observed = F.coalesce(F.col("observed") == 1, F.lit(False))
     rows = rows.withColumn("ref", F.when(observed, F.coalesce("event_date", today)).otherwise(today))
     rows = rows.withColumn("round", current_round(F.col("ref"))).withColumn("action", round_action(F.col("round")))
-    rows = gate(rows, status)
+    rows = gate(rows, status, keep=True)
     wait, escalate, effective = (_at(p, F.col("round")) for p in ("wait", "escalate", "effective"))
-    if "dispatched_rounds" not in rows.columns:
-        rows = rows.withColumn("dispatched_rounds", F.array().cast("array<int>"))
+    if "dispatch_dates" not in rows.columns:
+        rows = rows.withColumn("dispatch_dates", F.lit(None).cast("map<int,date>"))
     blocked = (F.col("allowed") == 0) & (F.col("scope") == "internal")
     state = (
         F.when(observed & (F.col("on_time_refill") == 1), "CLOSED")
@@ -91,40 +146,56 @@ def escalation_status(scheduled: DataFrame, outcomes: DataFrame, status: DataFra
         .when(today < wait, "WAITING")
         .when(blocked, "GATED_ON_CONSENT")
         .when((today >= escalate) & (today < effective), "WAITING_ON_DATA_LATENCY")
-        .when(F.array_contains(F.coalesce("dispatched_rounds", F.array().cast("array<int>")), F.col("round")), "DISPATCHED")
+        .when(F.col("dispatch_dates")[F.col("round")].isNotNull(), "DISPATCHED")
         .otherwise("PENDING")
     )
     rows = rows.withColumn("status", state).withColumn("wait_until", wait).withColumn("escalate_at", escalate).withColumn("effective_escalate_at", effective)
+    any_gated = F.lit(False)
+    for r in range(3):
+        passed = F.when(scope_of(round_action(F.lit(r))) == "external", F.col("external_allowed")).otherwise(F.col("internal_allowed"))
+        any_gated = any_gated | ((_first_round() <= r) & (F.col("round") >= r) & (passed == 0))
+    rows = rows.withColumn("any_gated", any_gated.cast("int"))
     return rows.withColumn("closed_on_round", F.when(F.col("status") == "CLOSED", F.col("round")))
 
 
+def _first_round() -> Column:
+    return F.when(F.col("is_safety") == 1, 1).otherwise(0)
+
+
+def _dispatched_on(number: Column, current: Column, hard: Column) -> Column:
+    """When a round's message went out: as an earlier state has it, else when the round began to act.
+
+    A round that consent blocks never sends, and a pending one has not yet.
+    """
+    wait = _at("wait", number)
+    acts = (F.col("ref") >= wait) & ~F.col("status").isin("WAITING", "PENDING")
+    return F.when(~hard & ((number < current) | acts), F.coalesce(F.col("dispatch_dates")[number], wait))
+
+
 def round_rows(states: DataFrame, status: DataFrame) -> DataFrame:
-    """A row for each round from the first to the current one: action, gating, fallback and outcome."""
-    first = F.when(F.col("is_safety") == 1, 1).otherwise(0)
-    rows = states.select("pid", "driver", "is_safety", "status", "ref", F.col("round").alias("current"), *(f"{p}_{r}" for p in ("wait", "escalate", "effective") for r in range(3)), F.explode(F.sequence(first, F.col("round"))).alias("round"))
+    """A row for each round from the first to the current one: action, gating, fallback, timers and outcome."""
+    kept = ["pid", "driver", "is_safety", "status", "ref", "break_date", "dispatch_dates", *(f"{p}_{r}" for p in ("wait", "escalate", "effective") for r in range(3))]
+    rows = states.select(*kept, F.col("round").alias("current"), F.explode(F.sequence(_first_round(), F.col("round"))).alias("round"))
     rows = gate(rows.withColumn("action", round_action(F.col("round"))), status)
     gated, external = F.col("allowed") == 0, F.col("scope") == "external"
     hard = gated & ~external
-    earlier = F.col("round") < F.col("current")
     outcome = (
-        F.when(earlier, F.when(hard, "gated_internal").otherwise("no_refill"))
+        F.when(F.col("round") < F.col("current"), F.when(hard, "gated_internal").otherwise("no_refill"))
         .when(F.col("status") == "CLOSED", "refill_observed")
         .when(F.col("status") == "GATED_ON_CONSENT", "gated")
         .when(F.col("status") == "EXHAUSTED", "no_refill")
         .otherwise("pending")
     )
-    wait = _at("wait", F.col("round"))
-    acted = ~hard & (earlier | ((F.col("ref") >= wait) & (F.col("status") != "WAITING")))
     return rows.select(
-        "pid", "round", "action", "scope", wait.alias("wait_until"), _at("escalate", F.col("round")).alias("escalate_at"), _at("effective", F.col("round")).alias("effective_escalate_at"),
+        "pid", "round", "action", "scope", _at("wait", F.col("round")).alias("wait_until"), _at("escalate", F.col("round")).alias("escalate_at"), _at("effective", F.col("round")).alias("effective_escalate_at"),
         gated.cast("int").alias("gated"), F.when(gated, F.col("reason")).alias("consent_reason"), F.when(gated & external, _map(FALLBACK)[F.col("action")]).alias("fallback_action"),
-        outcome.alias("outcome"), F.when(acted, wait).alias("dispatched_on"),
+        outcome.alias("outcome"), _dispatched_on(F.col("round"), F.col("current"), hard).alias("dispatched_on"), "driver", "break_date",
     )
 
 
 def round_history(rows: DataFrame) -> DataFrame:
     """The rounds of a subject (three at most) as one ordered array."""
-    parts = F.struct("round", "action", "outcome", "dispatched_on", "gated", "fallback_action")
+    parts = F.struct("round", "action", "outcome", "dispatched_on", "gated", "consent_reason", "fallback_action", "wait_until", "escalate_at", "effective_escalate_at")
     return rows.groupBy("pid").agg(F.array_sort(F.collect_list(parts)).alias("rounds"))
 
 
@@ -133,49 +204,69 @@ def gated_actions(rows: DataFrame) -> DataFrame:
 
 
 def dispatch_recipient(rows: DataFrame) -> DataFrame:
-    """Who is written to; a gated external action goes to its internal fallback."""
+    """Who is written to, what kind of message it is, and whom the recipient contacts in turn.
+
+    A gated external action goes to its internal fallback; the subject is never a recipient.
+    """
     sent = F.coalesce("fallback_action", "action")
-    recipient = F.coalesce(_map(RECIPIENTS)[sent], F.lit("chw"))
-    return rows.select("pid", "round", recipient.alias("recipient"), F.when(F.col("fallback_action").isNotNull(), "chw").alias("mediated_by"))
+    part = lambda k: _map({a: d[k] for a, d in DISPATCH.items() if d[k]})[sent]
+    return rows.select("pid", "round", part(0).alias("recipient"), part(1).alias("kind"), part(2).alias("mediated_by"))
 
 
 def intervention_history(rows: DataFrame) -> DataFrame:
-    """What was tried before each round, oldest first: one line of text."""
-    said = F.concat(F.lit("Round "), F.col("p.round"), F.lit(" ("), F.col("p.action"), F.lit(") - "), F.coalesce(F.col("p.dispatched_on").cast("string"), F.lit("not sent")), F.lit(" - "), F.col("p.outcome"))
-    before = rows.alias("r").join(rows.alias("p"), (F.col("r.pid") == F.col("p.pid")) & (F.col("p.round") < F.col("r.round")), "left")
-    lines = before.groupBy(F.col("r.pid").alias("pid"), F.col("r.round").alias("round")).agg(F.array_sort(F.collect_list(F.when(F.col("p.round").isNotNull(), F.struct(F.col("p.round").alias("n"), said.alias("line"))))).alias("lines"))
-    return lines.select("pid", "round", F.array_join(F.transform("lines", lambda x: x["line"]), "; ").alias("history"))
+    """``(pid, round, lang, history)``: what was tried before each round, oldest first, in each language."""
+    told = rows.join(dispatch_recipient(rows), ["pid", "round"])
+    said = {}
+    for lang in MESSAGES:
+        parts = [F.lit(ROUND_WORDS[lang] + " "), F.col("p.round"), F.lit(" ("), _said(RECIPIENT_LABELS, lang, F.col("p.recipient")), F.lit(") - "), F.coalesce(F.col("p.dispatched_on").cast("string"), F.lit("-")), F.lit(" - "), _said(OUTCOME_WORDS, lang, F.col("p.outcome"))]
+        said[lang] = F.concat(*parts)
+    before = told.alias("r").join(told.alias("p"), (F.col("r.pid") == F.col("p.pid")) & (F.col("p.round") < F.col("r.round")), "left")
+    line = F.when(F.col("p.round").isNotNull(), F.struct(F.col("p.round").alias("n"), *(said[lang].alias(lang) for lang in said)))
+    lines = before.groupBy(F.col("r.pid").alias("pid"), F.col("r.round").alias("round")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    each = [x for lang in said for x in (F.lit(lang), F.when(F.size("lines") == 0, NO_HISTORY[lang]).otherwise(F.array_join(F.col(f"lines.{lang}"), "; ")))]
+    return lines.select("pid", "round", F.explode(F.create_map(*each)).alias("lang", "history"))
 
 
 def dispatch_messages(rows: DataFrame) -> DataFrame:
-    """A message for each subject, round and language, to a provider and never to the subject."""
+    """A message for each subject, round that was sent, and language, to a provider and never to the subject.
+
+    Those who speak with the subject also get a script to read aloud.
+    """
     from ..functions import deid_ref, render_template
 
-    sent = rows.where("dispatched_on is not null")
-    out = dispatch_recipient(sent).join(intervention_history(rows), ["pid", "round"])
-    texts = F.explode(F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv))).alias("lang", "template")
-    out = out.select("pid", "round", "recipient", "history", texts)
-    fields = {"who": F.col("recipient"), "ref": deid_ref(F.col("pid")), "round": F.col("round"), "history": F.when(F.col("history") == "", "-").otherwise(F.col("history"))}
-    return out.select("pid", "round", "lang", "recipient", F.lit("provider").alias("addressed_to"), render_template(F.col("template"), fields).alias("body"))
+    sent = dispatch_recipient(rows.where("dispatched_on is not null")).join(rows.select("pid", "round", "driver", "break_date"), ["pid", "round"])
+    out = sent.join(intervention_history(rows), ["pid", "round"])
+    by_lang = lambda f: F.coalesce(*(F.when(F.col("lang") == lang, f(lang)) for lang in MESSAGES))
+    fields = {
+        "who": by_lang(lambda lang: _said(RECIPIENT_LABELS, lang, F.col("recipient"))), "request": by_lang(lambda lang: _said(REQUESTS, lang, F.col("kind"))), "ref": deid_ref(F.col("pid")),
+        "round": F.col("round"), "break_date": F.col("break_date"), "driver": F.col("driver"), "history": F.col("history"),
+    }
+    body = render_template(_map(MESSAGES)[F.col("lang")], fields)
+    script = F.when(F.col("recipient").isin(*READERS), _map(READ_ALOUD)[F.col("lang")])
+    return out.select("pid", "round", "lang", "recipient", "kind", "mediated_by", F.lit("provider_or_organization").alias("addressed_to"), body.alias("body"), script.alias("read_aloud"))
 
 
 def advance_state(cards: DataFrame, outcomes: DataFrame, status: DataFrame, prior: DataFrame | None, as_of: str, latency: int) -> DataFrame:
-    """One tick: entry date and days freeze when a subject is first seen; what is due counts as dispatched.
+    """One tick: entry date and days freeze when a subject is first seen; what is due is dispatched today.
 
-    The same inputs give the same state, also on top of it.
+    The dates of dispatches stay as first recorded, so the same inputs give the same state, also on top of it.
     """
     today = F.to_date(F.lit(as_of))
     fresh = cards.select("pid", "driver", "is_safety", "days_to_break")
     if prior is None:
-        rows = fresh.withColumn("entry_date", today).withColumn("dispatched_rounds", F.array().cast("array<int>"))
+        rows = fresh.withColumn("entry_date", today).withColumn("dispatch_dates", F.lit(None).cast("map<int,date>"))
     else:
-        frozen = prior.select("pid", F.col("entry_date").alias("e"), F.col("days_to_break").alias("d"), "dispatched_rounds")
+        frozen = prior.select("pid", F.col("entry_date").alias("e"), F.col("days_to_break").alias("d"), "dispatch_dates")
         rows = fresh.join(frozen, "pid", "left").withColumn("entry_date", F.coalesce("e", today)).withColumn("days_to_break", F.coalesce("d", "days_to_break")).drop("e", "d")
-        rows = rows.withColumn("dispatched_rounds", F.coalesce("dispatched_rounds", F.array().cast("array<int>")))
     states = escalation_status(round_schedule(rows, latency), outcomes, status, as_of)
-    due = F.col("status").isin("PENDING", "DISPATCHED", "WAITING_ON_DATA_LATENCY")
-    stamped = F.when(due, F.array_sort(F.array_union("dispatched_rounds", F.array("round")))).otherwise(F.col("dispatched_rounds"))
-    states = states.withColumn("dispatched_rounds", stamped).withColumn("status", F.when(F.col("status") == "PENDING", "DISPATCHED").otherwise(F.col("status")))
+    dates = []
+    for r in range(3):
+        number = F.lit(r)
+        hard = (scope_of(round_action(number)) == "internal") & (F.col("internal_allowed") == 0)
+        stamped = F.when((F.col("round") == r) & (F.col("status") == "PENDING"), today).otherwise(_dispatched_on(number, F.col("round"), hard))
+        dates.append(F.struct(number.alias("round"), F.when((_first_round() <= r) & (F.col("round") >= r), stamped).alias("day")))
+    sent = F.map_from_entries(F.filter(F.array(*dates), lambda x: x["day"].isNotNull()))
+    states = states.withColumn("dispatch_dates", sent).withColumn("status", F.when(F.col("status") == "PENDING", "DISPATCHED").otherwise(F.col("status")))
     return states.withColumn("as_of", today)
 
 
@@ -186,6 +277,7 @@ def escalation_funnel(states: DataFrame) -> DataFrame:
         states.select(F.lit("status"), "status"),
         states.select(F.lit("round"), F.col("round").cast("string")),
         states.where("closed_on_round is not null").select(F.lit("closed_on_round"), F.col("closed_on_round").cast("string")),
+        states.where("any_gated = 1").select(F.lit("gated"), F.lit("all")),
         states.where("unactionable = 1").select(F.lit("unactionable"), F.lit("all")),
     ]
     for p in parts:

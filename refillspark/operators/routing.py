@@ -17,6 +17,25 @@ RULES = [
 ]
 FALLBACKS = [("regimen", "bp_trend")]
 ACTIONS = ("social_worker", "pharmacist", "chw_call")
+#: What the rationale says where the hierarchy decided.
+TIE_BREAK = {
+    "en": " [Close call: the first driver is under {margin} times the second; the clinical order decides.]",
+    "es": " [Empate: el primer factor no llega a {margin} veces el segundo; decide el orden clínico.]",
+    "pt": " [Empate: o primeiro fator não chega a {margin} vezes o segundo; decide a ordem clínica.]",
+    "ht": " [Egalite: premye rezon an pa rive {margin} fwa dezyèm nan; lòd klinik la deside.]",
+}
+ACTION_LABELS = {
+    "pharmacist": {"en": "Pharmacist review", "es": "Revisión por farmacia", "pt": "Revisão pela farmácia", "ht": "Revizyon famasyen"},
+    "social_worker": {"en": "Social worker contact", "es": "Contacto de trabajo social", "pt": "Contacto do serviço social", "ht": "Kontak travayè sosyal"},
+    "chw_call": {"en": "Health worker call", "es": "Llamada del agente de salud", "pt": "Chamada do agente de saúde", "ht": "Apèl ajan sante"},
+}
+DRIVER_LABELS = {
+    "access": {"en": "Getting there", "es": "Acceso", "pt": "Acesso", "ht": "Aksè"},
+    "cost": {"en": "Cost", "es": "Costo", "pt": "Custo", "ht": "Pri"},
+    "isolation": {"en": "Isolation", "es": "Aislamiento", "pt": "Isolamento", "ht": "Izolman"},
+    "bp_trend": {"en": "Blood pressure trend", "es": "Tendencia de la presión", "pt": "Tendência da tensão", "ht": "Tandans tansyon"},
+    "safety": {"en": "Safety", "es": "Seguridad", "pt": "Segurança", "ht": "Sekirite"},
+}
 LANGUAGES = {
     "en": "Main driver: {driver} ({value}). Action: {action}.",
     "es": "Factor principal: {driver} ({value}). Acción: {action}.",
@@ -29,9 +48,13 @@ def rules_table(spark) -> DataFrame:
     return spark.createDataFrame(RULES, "driver string, action string, secondary_action string, hierarchy int")
 
 
-def validate_rules(rules: DataFrame, actions: tuple[str, ...] = ACTIONS) -> DataFrame:
-    """A row for each rule whose action doesn't exist; none if all do."""
-    return rules.where(~F.col("action").isin(*actions)).select("driver", F.col("action").alias("unknown_action"))
+def validate_rules(rules: DataFrame, actions: tuple[str, ...] = ACTIONS, hierarchy: DataFrame | None = None) -> DataFrame:
+    """``(driver, fault, detail)``: rules whose action doesn't exist, and drivers of the ``hierarchy (driver)`` without a rule; no rows if all is well."""
+    faults = rules.where(~F.col("action").isin(*actions)).select("driver", F.lit("unknown_action").alias("fault"), F.col("action").alias("detail"))
+    if hierarchy is None:
+        return faults
+    lost = hierarchy.join(rules, "driver", "left_anti").select("driver", F.lit("unknown_driver").alias("fault"), F.lit("clinical_hierarchy").alias("detail"))
+    return faults.union(lost.distinct())
 
 
 def remap_fallback(attributions: DataFrame, fallbacks: DataFrame) -> DataFrame:
@@ -46,7 +69,7 @@ def safety_flags(attributions: DataFrame, safety: str = "safety") -> DataFrame:
 
 
 def resolve_driver(remapped: DataFrame, rules: DataFrame, margin: float = 1.25, safety: str = "safety") -> DataFrame:
-    """The top driver if it is clear of the second by ``margin``; else the first of the hierarchy; else ``bp_trend``."""
+    """The top driver if it is clear of the second by ``margin``, or if no candidate is in the hierarchy; else the first there. Without a candidate ``bp_trend``."""
     rows = remapped.where((F.col("driver") != safety) & (F.col("value") > 0)).join(F.broadcast(rules.select("driver", "hierarchy")), "driver", "left")
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("value"), "driver")))
     found = ranked.groupBy("pid").agg(
@@ -58,8 +81,8 @@ def resolve_driver(remapped: DataFrame, rules: DataFrame, margin: float = 1.25,
     clear = F.col("top").isNotNull() & (F.col("second").isNull() | (F.col("second") <= 0) | (F.col("top.value") >= margin * F.col("second")))
     return out.select(
         "pid",
-        F.when(clear, F.col("top.driver")).otherwise(F.coalesce("first.driver", F.lit("bp_trend"))).alias("driver"),
-        F.when(clear, F.col("top.value")).otherwise(F.coalesce("first.value", F.lit(0.0))).alias("value"),
+        F.when(clear, F.col("top.driver")).otherwise(F.coalesce("first.driver", "top.driver", F.lit("bp_trend"))).alias("driver"),
+        F.when(clear, F.col("top.value")).otherwise(F.coalesce("first.value", "top.value", F.lit(0.0))).alias("value"),
         (~clear).cast("int").alias("by_hierarchy"),
     )
 
@@ -75,7 +98,8 @@ def decide(attributions: DataFrame, rules: DataFrame, fallbacks: DataFrame, marg
     )
     ruled = chosen.join(F.broadcast(rules.select("driver", "action", "secondary_action")), "driver", "left")
     fields = {"driver": F.col("driver"), "value": F.round("value", 3).cast("decimal(10,3)"), "action": F.col("action")}
-    texts = F.create_map(*(x for lang, t in LANGUAGES.items() for x in (F.lit(lang), render_template(F.lit(t), fields))))
+    note = lambda lang: F.when(F.col("by_hierarchy") == 1, F.lit(TIE_BREAK[lang].format(margin=margin))).otherwise("")
+    texts = F.create_map(*(x for lang, t in LANGUAGES.items() for x in (F.lit(lang), F.concat(render_template(F.lit(t), fields), note(lang)))))
     positive = F.collect_list(F.when((F.col("value") > 0) & (F.col("driver") != "safety"), F.struct((-F.col("value")).alias("minus"), "driver")))
     candidates = remapped.groupBy("pid").agg(F.transform(F.array_sort(positive), lambda x: x["driver"]).alias("candidates"))
     return ruled.join(candidates, "pid", "left").select("pid", "driver", F.round("value", 6).alias("value"), "is_safety", "by_hierarchy", "action", "secondary_action", texts.alias("rationale"), "candidates")
@@ -105,3 +129,23 @@ def build_worklist(decisions: DataFrame, scores: DataFrame, caps: DataFrame) ->
     rows = rows.withColumn("days_to_break", F.round(days_to_break(F.col("risk")), 6))
     rows = rows.withColumn("score", F.round(priority_score(F.col("days_to_break"), F.col("value")), 9))
     return apply_caps(rank_in_role(rows), caps)
+
+
+def labels_of(key: Column, labels: dict[str, dict[str, str]], lang: str) -> Column:
+    """The label in a language; what has none stands for itself."""
+    pairs = F.create_map(*(F.lit(x) for name, said in labels.items() for x in (name, said[lang])))
+    return F.coalesce(pairs[key], key)
+
+
+def worklist_meta(cards: DataFrame, caps: DataFrame, version: int = 1) -> DataFrame:
+    """One row: cohort size, cards taken, capacity, the cap used and the expansion of each role, and the version of the rules.
+
+    A role without a cap is not in ``caps_used``; maps have an entry a role.
+    """
+    by_role = cards.groupBy("role").agg(F.count("*").alias("n"), F.sum("included").alias("taken"), F.max("effective_cap").alias("used")).join(F.broadcast(caps), "role", "left")
+    by_role = by_role.withColumn("beyond", F.greatest(F.col("used") - F.col("cap"), F.lit(0)))
+    entries = lambda value, when: F.map_from_entries(F.array_sort(F.collect_list(F.when(when, F.struct("role", value)))))
+    return by_role.agg(
+        F.sum("n").alias("cohort_size"), F.sum("taken").alias("n_taken"), F.sum("used").alias("capacity"),
+        entries("used", F.col("used").isNotNull()).alias("caps_used"), entries("beyond", F.col("beyond") > 0).alias("expansions"), F.lit(version).alias("rules_version"),
+    )

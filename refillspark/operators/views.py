@@ -6,21 +6,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import deid_ref, display_window
+from .routing import ACTION_LABELS, DRIVER_LABELS, LANGUAGES, labels_of
 
 
-def worklist_view(cards: DataFrame, states: DataFrame, as_of: str) -> DataFrame:
+def worklist_view(cards: DataFrame, states: DataFrame, as_of: str, messages: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
+    """The cards taken, with labels, messages and scripts by language, the outcome and the escalation; earliest window first.
+
+    Without an escalation state ``escalation`` is null. Where the current round has sent no message
+    (``messages``: see ``dispatch_messages``) the routing's rationale stands in, without a script.
+    """
     start, end = display_window(F.to_date(F.lit(as_of)), F.col("days_to_break"))
-    view = cards.where("included = 1").join(states.select("pid", "status", "round"), "pid", "left")
-    return view.select("pid", deid_ref(F.col("pid")).alias("name"), start.alias("window_start"), end.alias("window_end"), "risk", "driver", "action", "score", "is_safety", "status", "round")
+    timed = escalation_countdown(states, as_of)
+    known = states.select("pid", "status", "round", "break_date", "unactionable", "any_gated").join(timed.drop("status"), "pid")
+    known = known.select("pid", F.struct("round", "status", "days_remaining", "days_until_latency_clears", "break_date", "unactionable", "any_gated").alias("escalation"))
+    view = cards.where("included = 1").join(known, "pid", "left")
+    if messages is None:
+        view = view.withColumns({"said": F.lit(None).cast("map<string,string>"), "aloud": F.lit(None).cast("map<string,string>")})
+    else:
+        entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("lang", c)))))
+        now = messages.join(states.select("pid", "round"), ["pid", "round"], "left_semi")
+        view = view.join(now.groupBy("pid").agg(entries("body").alias("said"), entries("read_aloud").alias("aloud")), "pid", "left")
+    if outcomes is None:
+        view = view.withColumn("on_time_refill", F.lit(None).cast("int"))
+    else:
+        view = view.join(outcomes.select("pid", "on_time_refill"), "pid", "left")
+    labels = F.create_map(*(x for lang in LANGUAGES for x in (F.lit(lang), labels_of(F.col("driver"), DRIVER_LABELS, lang))))
+    actions = F.create_map(*(x for lang in LANGUAGES for x in (F.lit(lang), labels_of(F.col("action"), ACTION_LABELS, lang))))
+    return view.select(
+        "pid", deid_ref(F.col("pid")).alias("name"), F.lit("en").alias("preferred_language"), start.alias("window_start"), end.alias("window_end"), "risk", "driver", labels.alias("driver_label"), "action", actions.alias("action_label"),
+        "score", F.col("needs_review").alias("requires_review"), "is_safety", F.coalesce("said", "rationale").alias("message"), F.col("aloud").alias("read_aloud"), "on_time_refill", "escalation",
+    ).orderBy("window_start", "pid")
 
 
 def escalation_countdown(states: DataFrame, as_of: str) -> DataFrame:
-    """Days to the boundary that matters in the present status; null once it is over."""
+    """Days to the boundary that matters in the present status (negative once it has passed); null when it is over."""
     today = F.to_date(F.lit(as_of))
     until = F.when(F.col("status") == "WAITING", F.col("wait_until")).when(F.col("status") == "WAITING_ON_DATA_LATENCY", F.col("effective_escalate_at")).when(~F.col("status").isin("CLOSED", "EXHAUSTED"), F.col("escalate_at"))
-    left = F.greatest(F.datediff(until, today), F.lit(0))
     clears = F.when(F.col("status") == "WAITING_ON_DATA_LATENCY", F.datediff("effective_escalate_at", today))
-    return states.select("pid", "status", F.when(until.isNotNull(), left).alias("days_remaining"), clears.alias("days_until_latency_clears"))
+    return states.select("pid", "status", F.datediff(until, today).alias("days_remaining"), clears.alias("days_until_latency_clears"))
+
+
+def source_status(attempts: DataFrame, profiles: DataFrame, key: str = "pid") -> DataFrame:
+    """Of each course of attempts: the source that served (null if none did), how it is reached, and for how many keys."""
+    rows = attempts.join(F.broadcast(profiles.select("source", "access_mode")), "source")
+    served = F.max(F.when(F.col("outcome") == "served", F.struct("source", "access_mode", "max_latency")))
+    trace = F.transform(F.array_sort(F.collect_list(F.struct("position", "source", "outcome"))), lambda t: F.concat_ws(":", t["source"], t["outcome"]))
+    each = rows.groupBy(key).agg(F.array_join(trace, ";").alias("trace"), served.alias("served"))
+    return each.groupBy("served.source", "served.access_mode", "served.max_latency", "trace").agg(F.count("*").alias("subjects"))
 
 
 def subject_lookup(view: DataFrame, pid) -> DataFrame:
@@ -28,21 +60,23 @@ def subject_lookup(view: DataFrame, pid) -> DataFrame:
 
 
 def worklist_kpis(cards: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row of key figures. Only an on-time refill closes a loop; a confirmed break doesn't."""
     rows = cards.where("included = 1").join(outcomes.select("pid", "on_time_refill"), "pid", "left")
     by_action = rows.groupBy("action").agg(
-        F.count("*").alias("n"), F.sum("is_safety").alias("s"), F.count_if(F.col("on_time_refill") == 1).alias("t"), F.count_if(F.col("on_time_refill") == 0).alias("b"), F.max("risk").alias("r")
-    )
+        F.count("*").alias("n"), F.count_if((F.col("is_safety") == 1) | (F.col("needs_review") == 1)).alias("s"), F.count_if(F.col("on_time_refill") == 1).alias("t"), F.count_if(F.col("on_time_refill") == 0).alias("b"), F.max("risk").alias("r")
+    )
+    of = lambda action: F.coalesce(F.sum(F.when(F.col("action") == action, F.col("n"))), F.lit(0))
     return by_action.agg(
         F.sum("n").alias("routed"), F.sum("s").alias("safety"), F.sum("t").alias("on_time"), F.sum("b").alias("breaks"), F.round(100 * F.max("r"), 4).alias("peak_risk_pct"),
-        (F.sum("n") - F.sum("t") - F.sum("b")).alias("open_loops"), F.round(100 * F.max("n") / F.sum("n"), 4).alias("dominant_route_pct"),
+        (F.sum("n") - F.sum("t")).alias("open_loops"), *(of(a).alias(f"n_{a}") for a in ACTION_LABELS),
+        F.max_by("action", F.struct("n", "action")).alias("dominant_route"), F.round(100 * F.max("n") / F.sum("n"), 4).alias("dominant_route_pct"),
     )
 
 
 def cascade_counts(states: DataFrame) -> DataFrame:
-    """A row for each round, also an empty one."""
-    counts = states.groupBy("round").agg(
-        F.count("*").alias("total"), F.count_if(F.col("status") == "CLOSED").alias("closed"), F.count_if(F.col("status") == "EXHAUSTED").alias("exhausted"), F.count_if(F.col("status") == "GATED_ON_CONSENT").alias("gated")
-    )
+    """A row for each round, also an empty one; ``gated`` counts those with any gated action."""
+    gated = (F.col("any_gated") == 1) | (F.col("status") == "GATED_ON_CONSENT")
+    counts = states.groupBy("round").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "CLOSED").alias("closed"), F.count_if(F.col("status") == "EXHAUSTED").alias("exhausted"), F.count_if(gated).alias("gated"))
     rounds = states.sparkSession.range(3).select(F.col("id").cast("int").alias("round"))
     out = F.broadcast(rounds).join(counts, "round", "left").fillna(0)
     return out.withColumn("in_flight", F.col("total") - F.col("closed") - F.col("exhausted"))

@@ -475,15 +475,3 @@ def _(z):
 @query("j14_covered_subjects", with_frames(" SELECT pid, (pid IN (SELECT pid FROM feed))::INT AS covered FROM subjects", "subjects", "feed"))
 def covered(z):
     return C.covered_subjects(z.subjects(), z.feed())
-
-
-@query(
-    "j15_overlay_labels",
-    with_frames(
-        _IV + _SWEEP + _A2 + " SELECT pid, coalesce(1 - CASE WHEN pid % 3 = 0 THEN pid % 2 END, has_30_day_gap)::INT AS has_30_day_gap FROM gap",
-        "fills", "cohort",
-    ),
-)
-def _(z):
-    observed = z.subjects().where("pid % 3 = 0").select("pid", (F.col("pid") % 2).alias("adherent"))
-    return C.overlay_labels(gaps(z), observed)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from .. import sources as S
 from ..operators import closure as K
+from ..operators import cohort as C
 from ..operators import consent as N
 from ..operators import escalation as X
 from ..operators import views as V
+from .. import streaming as T
 from . import features as base
 from . import routing as R
 from .lens import AS_OF, SQL as FRAMES, with_frames
@@ -32,9 +36,9 @@ def query(name: str, sql: str | None = None):
 
 _PROFILES = f"profiles AS (SELECT * FROM {R._values(S.PROFILES, 'source, access_mode, min_latency, typical_latency, max_latency, requires_encounter, confirms_dispense, batch_permitted')})"
 _PAID = f", {_PROFILES}, paid AS (SELECT * FROM feed WHERE lower(status) = 'paid' AND date BETWEEN DATE '{START}' AND DATE '{TODAY}' AND pid IN (SELECT pid FROM subjects))"
-_EVENTS = _PAID + ", events1 AS (SELECT pid, date, coalesce(nullif(product, ''), 'unknown') AS product, try_cast(days_supply AS INT) AS days_supply, source, confirms_dispense AS is_dispense, max_latency AS latency_days FROM paid, profiles WHERE source = 'claims')"
+_EVENTS = _PAID + ", events1 AS (SELECT pid, date, coalesce(nullif(product, ''), 'unknown') AS product, try_cast(days_supply AS INT) AS days_supply, source, confirms_dispense AS is_dispense, typical_latency AS latency_days FROM paid, profiles WHERE source = 'claims')"
 _FIRST = f", first_fill AS (SELECT pid, min(date) AS event_date FROM events1 WHERE is_dispense = 1 AND date BETWEEN DATE '{START}' AND DATE '{TODAY}' GROUP BY pid)"
-_OUTCOMES = _EVENTS + _FIRST + f""", outcomes AS (SELECT pid, 1 AS observed, (event_date IS NOT NULL)::INT AS on_time_refill, coalesce(event_date, DATE '{TODAY}') AS event_date, 'claims' AS refill_source, 14 AS refill_latency_days
+_OUTCOMES = _EVENTS + _FIRST + f""", outcomes AS (SELECT pid, 1 AS observed, (event_date IS NOT NULL)::INT AS on_time_refill, coalesce(event_date, DATE '{TODAY}') AS event_date, 'claims' AS refill_source, 30 AS refill_latency_days
     FROM (SELECT pid FROM subjects WHERE pid IN (SELECT pid FROM feed)) LEFT JOIN first_fill USING (pid))"""
 
 
@@ -76,20 +80,44 @@ def _(z):
     return S.label_derived_events(base.gaps(z), AS_OF)
 
 
-@query("s10_source_profiles", with_frames(f", {_PROFILES} SELECT pid % 4 AS k, count(*) AS n, max(p.source) AS source, max(max_latency) AS max_latency FROM subjects JOIN profiles p ON (pid % 4 = 0 AND p.source = 'claims') OR (pid % 4 <> 0 AND p.source = 'rxfill') GROUP BY 1", "subjects"))
-def _(z):
-    named = z.subjects().withColumn("source", F.when(F.col("pid") % 4 == 0, "claims").otherwise("rxfill"))
-    rows = named.join(F.broadcast(S.source_profiles(z.spark)), "source")
-    return rows.groupBy((F.col("pid") % 4).alias("k")).agg(F.count("*").alias("n"), F.max("source").alias("source"), F.max("max_latency").alias("max_latency"))
+_SOURCE_OF = "CASE stratum WHEN 'BUILDING' THEN 'claims' WHEN 'MACHINERY' THEN 'surescripts' ELSE 'rxfill' END"
 
 
 @query(
-    "s11_select_source",
-    with_frames(f", t(position, source, outcome) AS (VALUES (0, 'surescripts', 'not_permitted'), (1, 'rxfill', 'auth_failed'), (2, 'claims', 'served')) SELECT position, source, outcome, CASE WHEN outcome = 'served' THEN 90 END AS max_latency, (SELECT count(DISTINCT pid) FROM feed) AS subjects FROM t", "feed"),
-)
+    "s10_source_profiles",
+    with_frames(
+        f""", {_PROFILES}, late AS (SELECT s.pid, {_SOURCE_OF} AS source, event_id % 100 AS days FROM subjects s JOIN feed USING (pid))
+        SELECT p.*, count(*) AS events, count(*) FILTER (days < min_latency) AS early, count(*) FILTER (days > max_latency) AS late FROM late JOIN profiles p USING (source) GROUP BY ALL""",
+        "subjects", "feed",
+    ),
+)
+def _(z):
+    named = z.subjects().select("pid", F.expr(_SOURCE_OF).alias("source"))
+    rows = named.join(z.feed().select("pid", (F.col("event_id") % 100).alias("days")), "pid")
+    profiles = S.source_profiles(z.spark)
+    rows = rows.join(F.broadcast(profiles), "source").groupBy(*profiles.columns)
+    return rows.agg(F.count("*").alias("events"), F.count_if(F.expr("days < min_latency")).alias("early"), F.count_if(F.expr("days > max_latency")).alias("late"))
+
+
+CHAIN = ["surescripts", "rxfill", "claims", "local_file"]
+_TRACE = f""", {_PROFILES}, chain AS (SELECT * FROM {R._values(list(enumerate(CHAIN)), 'position, source')}),
+    tried AS (SELECT s.pid, position, source, access_mode, batch_permitted, max_latency, CASE source WHEN 'surescripts' THEN region = 'ASIA' WHEN 'rxfill' THEN balance > 5000 WHEN 'claims' THEN s.pid IN (SELECT pid FROM feed) ELSE FALSE END AS reached
+        FROM subjects s CROSS JOIN chain JOIN profiles USING (source)),
+    firsts AS (SELECT *, min(position) FILTER (reached AND batch_permitted = 1) OVER (PARTITION BY pid) AS first FROM tried),
+    trace AS (SELECT pid, position, source, access_mode, CASE WHEN position = first THEN 'served' WHEN reached THEN 'not_permitted' ELSE 'auth_failed' END AS outcome, CASE WHEN position = first THEN max_latency END AS max_latency
+        FROM firsts WHERE first IS NULL OR position <= first)"""
+
+
+def _trace(z):
+    people = z.subjects()
+    claims = z.feed().select("pid", F.lit("claims").alias("source")).distinct()
+    reached = people.where("region = 'ASIA'").select("pid", F.lit("surescripts").alias("source")).union(people.where("balance > 5000").select("pid", F.lit("rxfill").alias("source"))).union(claims)
+    return S.select_sources(people, S.source_profiles(z.spark), CHAIN, reached, batch=True)
+
+
+@query("s11_select_source", with_frames(_TRACE + " SELECT pid, position, source, outcome, max_latency FROM trace", "subjects", "feed"))
 def _(z):
-    trace = S.select_source(S.source_profiles(z.spark), ["surescripts", "rxfill", "claims", "local_file"], ["surescripts", "claims"], batch=True)
-    return trace.join(F.broadcast(z.feed().agg(F.countDistinct("pid").alias("subjects"))))
+    return _trace(z)
 
 
 # ---- consent ------------------------------------------------------------------------------------
@@ -98,12 +126,13 @@ _STATUS = f""", cs0 AS (SELECT s.pid, coalesce(internal, 'unknown') AS internal,
     cstat AS (SELECT *, (internal = 'granted' AND stale = 0)::INT AS internal_allowed, (external = 'granted' AND stale = 0)::INT AS external_allowed FROM cs0)"""
 
 
-def _gate_sql(rows: str, out: str) -> str:
+def _gate_sql(rows: str, out: str, keep: bool = False) -> str:
+    kept = ", coalesce(internal_allowed, 0) AS internal_allowed, coalesce(external_allowed, 0) AS external_allowed" if keep else ""
     scope = "CASE action " + " ".join(f"WHEN '{a}' THEN '{s}'" for a, s in N.SCOPES.items()) + " END"
     return f""", {out}0 AS (SELECT r.*, {scope} AS scope, internal, external, stale, internal_allowed, external_allowed FROM {rows} r LEFT JOIN cstat USING (pid)),
     {out} AS (SELECT * EXCLUDE (internal, external, stale, internal_allowed, external_allowed),
         CASE WHEN scope IS NULL THEN 0 WHEN scope = 'external' THEN external_allowed ELSE internal_allowed END AS allowed,
-        CASE WHEN scope IS NULL THEN 'undeclared_action' WHEN st = 'denied' THEN 'denied' WHEN st = 'unknown' THEN 'unknown_not_received' WHEN stale = 1 THEN 'stale_consent' ELSE 'authorized' END AS reason
+        CASE WHEN scope IS NULL THEN 'undeclared_action' WHEN st = 'denied' THEN 'denied' WHEN st = 'unknown' THEN 'unknown_not_received' WHEN stale = 1 THEN 'stale_consent' ELSE 'authorized' END AS reason{kept}
         FROM (SELECT *, CASE WHEN scope = 'external' THEN external ELSE internal END AS st FROM {out}0)) """.replace("EXCLUDE (internal,", "EXCLUDE (st, internal,")
 
 
@@ -152,18 +181,21 @@ _ROUND = "CASE WHEN is_safety = 1 THEN CASE WHEN ref >= effective_1 THEN 2 ELSE
 _FIRST_ACTION = "CASE WHEN is_safety = 1 THEN 'social_worker' ELSE CASE driver " + " ".join(f"WHEN '{d}' THEN '{a}'" for d, a in X.ROUND1.items()) + f" ELSE '{X.ROUND1_DEFAULT}' END END"
 _ACTION = f"CASE round WHEN 0 THEN 'chw_pharmacy' WHEN 1 THEN {_FIRST_ACTION} ELSE 'prescriber' END"
 _PICK = lambda p: f"CASE round WHEN 0 THEN {p}_0 WHEN 1 THEN {p}_1 ELSE {p}_2 END"
-_SEEN = ", seen AS (SELECT pid, 1 AS observed, (pid % 2)::INT AS on_time_refill, DATE '2000-12-15' AS event_date FROM subjects WHERE pid % 5 = 0)"
+#: Days from the events' calendar to that of the cards.
+SHIFT = (dt.date.fromisoformat(START) - dt.date(2000, 12, 5)).days
+_SEEN = _OUTCOMES + f", seen AS (SELECT pid, observed, on_time_refill, event_date - {SHIFT} AS event_date FROM outcomes)"
 _STATE = (
     _SCHED + _SEEN + _STATUS
     + f", st0 AS (SELECT s.*, observed, on_time_refill, event_date, CASE WHEN observed = 1 THEN coalesce(event_date, DATE '{TICK}') ELSE DATE '{TICK}' END AS ref FROM sched s LEFT JOIN seen USING (pid))"
     + f", st1 AS (SELECT *, ({_ROUND})::INT AS round FROM st0), st2 AS (SELECT *, {_ACTION} AS action FROM st1)"
-    + _gate_sql("st2", "st3")
+    + _gate_sql("st2", "st3", keep=True)
     + f", st4 AS (SELECT *, {_PICK('wait')} AS wait_until, {_PICK('escalate')} AS escalate_at, {_PICK('effective')} AS effective_escalate_at FROM st3)"
     + f""", states AS (SELECT *, CASE WHEN observed = 1 AND on_time_refill = 1 THEN 'CLOSED' WHEN observed = 1 THEN 'EXHAUSTED' WHEN round = 2 AND DATE '{TICK}' >= effective_escalate_at THEN 'EXHAUSTED'
         WHEN DATE '{TICK}' < wait_until THEN 'WAITING' WHEN allowed = 0 AND scope = 'internal' THEN 'GATED_ON_CONSENT'
-        WHEN DATE '{TICK}' >= escalate_at AND DATE '{TICK}' < effective_escalate_at THEN 'WAITING_ON_DATA_LATENCY' ELSE 'PENDING' END AS status FROM st4)"""
+        WHEN DATE '{TICK}' >= escalate_at AND DATE '{TICK}' < effective_escalate_at THEN 'WAITING_ON_DATA_LATENCY' ELSE 'PENDING' END AS status,
+        ((is_safety = 0 AND internal_allowed = 0) OR (round >= 1 AND CASE WHEN is_safety = 0 AND driver IN ('transport', 'access') THEN external_allowed ELSE internal_allowed END = 0) OR (round = 2 AND internal_allowed = 0))::INT AS any_gated FROM st4)"""
 )
-_STATE_FRAMES = (*R.WORKLIST_FRAMES, "subjects", "consent")
+_STATE_FRAMES = (*R.WORKLIST_FRAMES, "subjects", "consent", "feed")
 
 
 def _entered(z):
@@ -171,7 +203,7 @@ def _entered(z):
 
 
 def _seen(z):
-    return z.subjects().where("pid % 5 = 0").select("pid", F.lit(1).alias("observed"), (F.col("pid") % 2).cast("int").alias("on_time_refill"), F.to_date(F.lit("2000-12-15")).alias("event_date"))
+    return _outcomes(z).withColumn("event_date", F.date_sub("event_date", SHIFT))
 
 
 def _scheduled(z):
@@ -210,24 +242,28 @@ def _(z):
 
 
 _ROUNDS = (
-    _STATE + ", rr0 AS (SELECT * EXCLUDE (round, action, scope, allowed, reason, wait_until, escalate_at, effective_escalate_at), round AS current, unnest(range(CASE WHEN is_safety = 1 THEN 1 ELSE 0 END, round + 1))::INT AS round FROM states)"
+    _STATE + ", rr0 AS (SELECT * EXCLUDE (round, action, scope, allowed, reason, wait_until, escalate_at, effective_escalate_at, internal_allowed, external_allowed), round AS current, unnest(range(CASE WHEN is_safety = 1 THEN 1 ELSE 0 END, round + 1))::INT AS round FROM states)"
     + f", rr1 AS (SELECT *, {_ACTION} AS action FROM rr0)" + _gate_sql("rr1", "rr2")
-    + f""", rr3 AS (SELECT *, {_PICK('wait')} AS wait_until, (allowed = 0)::INT AS gated, allowed = 0 AND scope <> 'external' AS hard FROM rr2),
-    rounds AS (SELECT pid, round, action, scope, wait_until, gated, CASE WHEN gated = 1 THEN reason END AS consent_reason, CASE WHEN gated = 1 AND scope = 'external' THEN 'chw_transport_support' END AS fallback_action,
+    + f""", rr3 AS (SELECT *, {_PICK('wait')} AS wait_until, {_PICK('escalate')} AS escalate_at, {_PICK('effective')} AS effective_escalate_at, (allowed = 0)::INT AS gated, allowed = 0 AND scope <> 'external' AS hard FROM rr2),
+    rounds AS (SELECT pid, round, action, scope, wait_until, escalate_at, effective_escalate_at, gated, CASE WHEN gated = 1 THEN reason END AS consent_reason, CASE WHEN gated = 1 AND scope = 'external' THEN 'chw_transport_support' END AS fallback_action,
         CASE WHEN round < current THEN CASE WHEN hard THEN 'gated_internal' ELSE 'no_refill' END WHEN status = 'CLOSED' THEN 'refill_observed' WHEN status = 'GATED_ON_CONSENT' THEN 'gated' WHEN status = 'EXHAUSTED' THEN 'no_refill' ELSE 'pending' END AS outcome,
-        CASE WHEN NOT hard AND (round < current OR (ref >= wait_until AND status <> 'WAITING')) THEN wait_until END AS dispatched_on FROM rr3)"""
+        CASE WHEN NOT hard AND (round < current OR (ref >= wait_until AND status NOT IN ('WAITING', 'PENDING'))) THEN wait_until END AS dispatched_on, driver, break_date FROM rr3)"""
 )
 
 
 @query("c8_round_rows", with_frames(_ROUNDS + " SELECT * FROM rounds", *_STATE_FRAMES))
 def _(z):
-    return _rounds(z).drop("escalate_at", "effective_escalate_at")
+    return _rounds(z)
+
 
+_PARTS = ["round", "action", "outcome", "dispatched_on", "gated", "consent_reason", "fallback_action", "wait_until", "escalate_at", "effective_escalate_at"]
 
-@query("c8_round_history", with_frames(_ROUNDS + " SELECT pid, count(*)::INT AS n, string_agg(round || ':' || action || ':' || outcome, ';' ORDER BY round) AS said FROM rounds GROUP BY pid", *_STATE_FRAMES))
+
+@query("c8_round_history", with_frames(_ROUNDS + f" SELECT pid, count(*)::INT AS n, string_agg({' || chr(58) || '.join(f'coalesce({c}::VARCHAR, chr(45))' for c in _PARTS)}, ';' ORDER BY round) AS said FROM rounds GROUP BY pid", *_STATE_FRAMES))
 def _(z):
     history = X.round_history(_rounds(z))
-    return history.select("pid", F.size("rounds").alias("n"), F.array_join(F.transform("rounds", lambda r: F.concat_ws(":", r["round"].cast("string"), r["action"], r["outcome"])), ";").alias("said"))
+    text = lambda r: F.concat_ws(":", *(F.coalesce(r[c].cast("string"), F.lit("-")) for c in _PARTS))
+    return history.select("pid", F.size("rounds").alias("n"), F.array_join(F.transform("rounds", text), ";").alias("said"))
 
 
 @query("c9_gated_actions", with_frames(_ROUNDS + " SELECT pid, round, action, scope, consent_reason AS reason, fallback_action FROM rounds WHERE gated = 1", *_STATE_FRAMES))
@@ -235,22 +271,47 @@ def _(z):
     return X.gated_actions(_rounds(z))
 
 
-_WHO = "CASE coalesce(fallback_action, action) " + " ".join(f"WHEN '{a}' THEN '{w}'" for a, w in X.RECIPIENTS.items()) + " ELSE 'chw' END"
+#: Written from the rules of dispatch, not from the operator's table.
+_SENT = _ROUNDS + """, told AS (SELECT *, CASE WHEN round = 0 OR fallback_action IS NOT NULL THEN 'ae_chw' WHEN action = 'transit_voucher' THEN 'transit_voucher_external' ELSE action END AS recipient,
+    CASE WHEN fallback_action IS NOT NULL THEN 'chw_transport_fallback' ELSE action END AS kind,
+    CASE WHEN round = 0 THEN 'pharmacy' WHEN fallback_action IS NOT NULL THEN 'internal_transportation' WHEN action = 'transit_voucher' THEN 'transit_broker' END AS mediated_by FROM rounds)"""
 
 
-@query("c10_dispatch_recipient", with_frames(_ROUNDS + f" SELECT pid, round, {_WHO} AS recipient, CASE WHEN fallback_action IS NOT NULL THEN 'chw' END AS mediated_by FROM rounds", *_STATE_FRAMES))
+@query("c10_dispatch_recipient", with_frames(_SENT + " SELECT pid, round, recipient, kind, mediated_by FROM told", *_STATE_FRAMES))
 def _(z):
     return X.dispatch_recipient(_rounds(z))
 
 
-_HISTORY = _ROUNDS + """, hist AS (SELECT r.pid, r.round, coalesce(string_agg('Round ' || p.round || ' (' || p.action || ') - ' || coalesce(p.dispatched_on::VARCHAR, 'not sent') || ' - ' || p.outcome, '; ' ORDER BY p.round), '') AS history
-    FROM rounds r LEFT JOIN rounds p ON r.pid = p.pid AND p.round < r.round GROUP BY r.pid, r.round)"""
+def _in_languages(select) -> str:
+    return " UNION ALL ".join(select(lang) for lang in X.MESSAGES)
+
+
+def _word(column: str, labels: dict, lang: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {R.said(v[lang], {})}" for k, v in labels.items()) + " END"
+
+
+def _line(lang: str) -> str:
+    who, how = _word("p.recipient", X.RECIPIENT_LABELS, lang), _word("p.outcome", X.OUTCOME_WORDS, lang)
+    return f"'{X.ROUND_WORDS[lang]} ' || p.round || ' (' || {who} || ') - ' || coalesce(p.dispatched_on::VARCHAR, '-') || ' - ' || {how}"
+
+
+_HISTORY = _SENT + ", hist AS (" + _in_languages(
+    lambda lang: f"SELECT r.pid, r.round, '{lang}' AS lang, coalesce(string_agg({_line(lang)}, '; ' ORDER BY p.round) FILTER (p.round IS NOT NULL), {R.said(X.NO_HISTORY[lang], {})}) AS history FROM told r LEFT JOIN told p ON r.pid = p.pid AND p.round < r.round GROUP BY r.pid, r.round"
+) + ")"
 
 
-@query("c11_dispatch_messages", with_frames(_HISTORY + f""" SELECT pid, round, 'en' AS lang, {_WHO} AS recipient, 'provider' AS addressed_to,
-    {_WHO} || ': please follow up Patient #' || pid || ', round ' || round || '. Tried before: ' || CASE WHEN history = '' THEN '-' ELSE history END || '.' AS body FROM rounds JOIN hist USING (pid, round) WHERE dispatched_on IS NOT NULL""", *_STATE_FRAMES))
+def _message(lang: str) -> str:
+    fields = {"who": _word("recipient", X.RECIPIENT_LABELS, lang), "request": _word("kind", X.REQUESTS, lang), "ref": "'Patient #' || substring(pid::VARCHAR, 1, 8)", "round": "round", "break_date": "break_date", "driver": "driver", "history": "history"}
+    return f"""SELECT pid, round, lang, recipient, kind, mediated_by, 'provider_or_organization' AS addressed_to, {R.said(X.MESSAGES[lang], fields)} AS body,
+        CASE WHEN recipient IN ('ae_chw', 'bilingual_chw', 'prescriber') THEN {R.said(X.READ_ALOUD[lang], {})} END AS read_aloud FROM told JOIN hist USING (pid, round) WHERE lang = '{lang}' AND dispatched_on IS NOT NULL"""
+
+
+_MESSAGES = _HISTORY + ", messages AS (" + _in_languages(_message) + ")"
+
+
+@query("c11_dispatch_messages", with_frames(_MESSAGES + " SELECT * FROM messages", *_STATE_FRAMES))
 def _(z):
-    return X.dispatch_messages(_rounds(z)).where("lang = 'en'")
+    return X.dispatch_messages(_rounds(z))
 
 
 @query("c12_intervention_history", with_frames(_HISTORY + " SELECT * FROM hist", *_STATE_FRAMES))
@@ -263,22 +324,36 @@ def _tick(z):
     return X.advance_state(R.worklist(z), _seen(z), _status(z), first, TICK, LATENCY)
 
 
+# The first tick dispatches, on the day of entry, the round that acts at once and that consent allows.
+_AT_ONCE = f"CASE WHEN internal_allowed = 0 THEN NULL WHEN is_safety = 1 THEN 1 WHEN wait_0 <= DATE '{ENTRY}' THEN 0 END"
 _ADVANCED = (
-    _STATE.replace(f"DATE '{ENTRY}' + (pid % 60)::INT AS entry_date", f"DATE '{ENTRY}' AS entry_date")
-    + ", adv AS (SELECT *, CASE WHEN status = 'PENDING' THEN 'DISPATCHED' ELSE status END AS final FROM states)"
-)
+    _STATE.replace(f"DATE '{ENTRY}' + (pid % 60)::INT AS entry_date", f"DATE '{ENTRY}' AS entry_date").replace("ELSE 'PENDING' END AS status", f"WHEN round = {_AT_ONCE} THEN 'DISPATCHED' ELSE 'PENDING' END AS status")
+    + f""", rounds3 AS (SELECT *, unnest([0, 1, 2]) AS r FROM states), sent AS (SELECT pid, r, CASE WHEN r = round AND status = 'PENDING' THEN DATE '{TICK}' ELSE {_PICK('wait').replace('CASE round', 'CASE r')} END AS day FROM rounds3
+        WHERE r <= round AND r >= is_safety AND (internal_allowed = 1 OR (r = 1 AND is_safety = 0 AND driver IN ('transport', 'access')))
+        AND (r < round OR status = 'PENDING' OR (status <> 'WAITING' AND ref >= {_PICK('wait').replace('CASE round', 'CASE r')})))"""
+)
 
 
-@query("c13_advance_state", with_frames(_ADVANCED + " SELECT pid, entry_date, round, final AS status FROM adv", *_STATE_FRAMES))
+@query(
+    "c13_advance_state",
+    with_frames(
+        _ADVANCED + f""" SELECT pid, entry_date, days_to_break, round, CASE WHEN status = 'PENDING' THEN 'DISPATCHED' ELSE status END AS status, wait_until, escalate_at, effective_escalate_at,
+        CASE WHEN status = 'CLOSED' THEN round END AS closed_on_round, any_gated, DATE '{TICK}' AS as_of,
+        coalesce((SELECT string_agg(r || ':' || day, ',' ORDER BY r) FROM sent WHERE sent.pid = states.pid), '') AS sent FROM states""",
+        *_STATE_FRAMES,
+    ),
+)
 def _(z):
-    return _tick(z).select("pid", "entry_date", "round", "status")
+    dates = F.array_sort(F.transform(F.map_entries("dispatch_dates"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))))
+    kept = ["pid", "entry_date", "days_to_break", "round", "status", "wait_until", "escalate_at", "effective_escalate_at", "closed_on_round", "any_gated", "as_of"]
+    return _tick(z).select(*kept, F.array_join(dates, ",").alias("sent"))
 
 
 @query(
     "c14_escalation_funnel",
     with_frames(
         _STATE + """, f AS (SELECT 'total' AS measure, 'all' AS key FROM states UNION ALL SELECT 'status', status FROM states UNION ALL SELECT 'round', round::VARCHAR FROM states
-        UNION ALL SELECT 'closed_on_round', round::VARCHAR FROM states WHERE status = 'CLOSED' UNION ALL SELECT 'unactionable', 'all' FROM states WHERE unactionable = 1) SELECT measure, key, count(*) AS n FROM f GROUP BY ALL""",
+        UNION ALL SELECT 'closed_on_round', round::VARCHAR FROM states WHERE status = 'CLOSED' UNION ALL SELECT 'gated', 'all' FROM states WHERE any_gated = 1 UNION ALL SELECT 'unactionable', 'all' FROM states WHERE unactionable = 1) SELECT measure, key, count(*) AS n FROM f GROUP BY ALL""",
         *_STATE_FRAMES,
     ),
 )
@@ -286,10 +361,9 @@ def _(z):
     return X.escalation_funnel(_states(z))
 
 
-@query("c15_active_latency", with_frames(" SELECT 'claims' AS source, 90 AS latency, count(DISTINCT pid) AS subjects FROM feed", "feed"))
+@query("c15_active_latency", with_frames(_TRACE + " SELECT s.pid, coalesce(source, 'unknown') AS source, coalesce(t.max_latency, 0) AS latency FROM subjects s LEFT JOIN (SELECT * FROM trace WHERE outcome = 'served') t USING (pid)", "subjects", "feed"))
 def _(z):
-    served = S.select_source(S.source_profiles(z.spark), ["rxfill", "claims"], ["claims"], batch=True).where("outcome = 'served'")
-    return X.active_latency(served).join(F.broadcast(z.feed().agg(F.countDistinct("pid").alias("subjects"))))
+    return X.active_latencies(z.subjects(), _trace(z))
 
 
 # ---- closure ------------------------------------------------------------------------------------
@@ -310,34 +384,56 @@ def _(z):
     return K.closure_summary(z.subjects(), _outcomes(z))
 
 
-@query("t4_harvest_labels", with_frames(_OUTCOMES + " SELECT pid, on_time_refill AS adherent FROM outcomes WHERE pid % 2 = 0", "feed", "subjects"))
+_ACTIONED = R.WORKLIST_SQL + _OUTCOMES + ", labels AS (SELECT pid, on_time_refill AS adherent FROM outcomes WHERE pid IN (SELECT pid FROM worklist WHERE included = 1))"
+
+
+def _labels(z):
+    return K.harvest_labels(_outcomes(z), R.worklist(z).where("included = 1"))
+
+
+@query("t4_harvest_labels", with_frames(_ACTIONED + " SELECT * FROM labels", *R.WORKLIST_FRAMES, "feed", "subjects"))
 def _(z):
-    return K.harvest_labels(_outcomes(z), z.subjects().where("pid % 2 = 0")).select("pid", "adherent")
+    return _labels(z).select("pid", "adherent")
+
+
+@query("j15_overlay_labels", with_frames(base._IV + base._SWEEP + base._A2 + _ACTIONED + " SELECT pid, coalesce(1 - adherent, has_30_day_gap)::INT AS has_30_day_gap FROM gap LEFT JOIN labels USING (pid)", "fills", "cohort", *R.WORKLIST_FRAMES, "feed", "subjects"))
+def _(z):
+    return C.overlay_labels(base.gaps(z), _labels(z))
 
 
 # ---- views --------------------------------------------------------------------------------------
 
-_VIEW = _STATE + f""", viewed AS (SELECT w.pid, 'Patient #' || substring(w.pid::VARCHAR, 1, 8) AS name, DATE '{TICK}' + floor(greatest(w.days_to_break - 3, 0))::INT AS window_start, DATE '{TICK}' + floor(w.days_to_break + 3)::INT AS window_end,
-    risk, w.driver, w.action, score, w.is_safety, status, round FROM worklist w LEFT JOIN states s USING (pid) WHERE included = 1)"""
+_UNTIL = f""", timed AS (SELECT *, CASE WHEN status = 'WAITING' THEN wait_until WHEN status = 'WAITING_ON_DATA_LATENCY' THEN effective_escalate_at WHEN status NOT IN ('CLOSED', 'EXHAUSTED') THEN escalate_at END - DATE '{TICK}' AS days_remaining,
+    CASE WHEN status = 'WAITING_ON_DATA_LATENCY' THEN effective_escalate_at - DATE '{TICK}' END AS days_until_latency_clears FROM states)"""
+_LANGS = list(X.MESSAGES)
+_SAID = ", ".join(f"max(body) FILTER (lang = '{lang}') AS b_{lang}, max(read_aloud) FILTER (lang = '{lang}') AS a_{lang}" for lang in _LANGS)
+_TEXTS = ", ".join(
+    f"coalesce(b_{lang}, {R.rationale_sql(lang, 'w.')}) AS message_{lang}, a_{lang} AS read_aloud_{lang}, {R.labelled_sql('w.driver', R.R.DRIVER_LABELS, lang)} AS driver_{lang}, {R.labelled_sql('w.action', R.R.ACTION_LABELS, lang)} AS action_{lang}"
+    for lang in _LANGS
+)
+_VIEW = _MESSAGES + _UNTIL + f""", now AS (SELECT m.pid, {_SAID} FROM messages m JOIN states s ON m.pid = s.pid AND m.round = s.round GROUP BY m.pid),
+    viewed AS (SELECT w.pid, 'Patient #' || substring(w.pid::VARCHAR, 1, 8) AS name, 'en' AS preferred_language, DATE '{TICK}' + floor(greatest(w.days_to_break - 3, 0))::INT AS window_start, DATE '{TICK}' + floor(w.days_to_break + 3)::INT AS window_end,
+    risk, w.driver, w.action, score, w.needs_review AS requires_review, w.is_safety, {_TEXTS}, seen.on_time_refill, status, round, days_remaining, days_until_latency_clears, break_date, unactionable, any_gated
+    FROM worklist w LEFT JOIN timed USING (pid) LEFT JOIN now USING (pid) LEFT JOIN seen USING (pid) WHERE included = 1)"""
 
 
-def _view(z):
-    return V.worklist_view(R.worklist(z), _states(z), TICK)
+def _nested(z):
+    states = T.kept(_states(z), "states")
+    return V.worklist_view(R.worklist(z), states, TICK, X.dispatch_messages(X.round_rows(states, _status(z))), _seen(z))
+
+
+def _flat(view):
+    """The nested parts as columns, for comparison."""
+    texts = [F.col(c)[lang].alias(f"{name}_{lang}") for lang in _LANGS for c, name in (("message", "message"), ("read_aloud", "read_aloud"), ("driver_label", "driver"), ("action_label", "action"))]
+    return view.select("pid", "name", "preferred_language", "window_start", "window_end", "risk", "driver", "action", "score", "requires_review", "is_safety", *texts, "on_time_refill", "escalation.*")
 
 
 @query("v1_worklist_view", with_frames(_VIEW + " SELECT * FROM viewed", *_STATE_FRAMES))
-def _(z):
-    return _view(z)
+def _view(z):
+    return _flat(_nested(z))
 
 
-@query(
-    "v2_escalation_countdown",
-    with_frames(
-        _STATE + f""", u AS (SELECT *, CASE WHEN status = 'WAITING' THEN wait_until WHEN status = 'WAITING_ON_DATA_LATENCY' THEN effective_escalate_at WHEN status NOT IN ('CLOSED', 'EXHAUSTED') THEN escalate_at END AS until FROM states)
-        SELECT pid, status, CASE WHEN until IS NOT NULL THEN greatest(until - DATE '{TICK}', 0) END::INT AS days_remaining, CASE WHEN status = 'WAITING_ON_DATA_LATENCY' THEN effective_escalate_at - DATE '{TICK}' END::INT AS days_until_latency_clears FROM u""",
-        *_STATE_FRAMES,
-    ),
-)
+@query("v2_escalation_countdown", with_frames(_STATE + _UNTIL + " SELECT pid, status, days_remaining, days_until_latency_clears FROM timed", *_STATE_FRAMES))
 def _(z):
     return V.escalation_countdown(_states(z), TICK)
 
@@ -348,20 +444,26 @@ def _(z):
     return view.join(F.broadcast(view.agg(F.min("pid").alias("pid"))), "pid", "left_semi")
 
 
-@query("v4_source_status", with_frames(", t AS (SELECT 'claims' AS source, 'batch' AS access_mode, 90 AS max_latency, 'rxfill:auth_failed;claims:served' AS trace) SELECT t.*, (SELECT count(*) FROM feed) AS events FROM t", "feed"))
+@query(
+    "v4_source_status",
+    with_frames(
+        _TRACE + """, each AS (SELECT pid, string_agg(source || ':' || outcome, ';' ORDER BY position) AS trace, max(source) FILTER (outcome = 'served') AS source, max(access_mode) FILTER (outcome = 'served') AS access_mode, max(max_latency) AS max_latency FROM trace GROUP BY pid)
+        SELECT source, access_mode, max_latency, trace, count(*) AS subjects FROM each GROUP BY ALL""",
+        "subjects", "feed",
+    ),
+)
 def _(z):
-    trace = S.select_source(S.source_profiles(z.spark), ["rxfill", "claims"], ["claims"], batch=True)
-    attempts = trace.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "source", "outcome"))), lambda t: F.concat_ws(":", t["source"], t["outcome"])), ";").alias("trace"))
-    served = trace.where("outcome = 'served'").select("source").join(F.broadcast(S.source_profiles(z.spark)), "source").select("source", "access_mode", "max_latency")
-    return served.join(F.broadcast(attempts)).join(F.broadcast(z.feed().agg(F.count("*").alias("events"))))
+    return V.source_status(_trace(z), S.source_profiles(z.spark))
 
 
 @query(
     "v5_worklist_kpis",
     with_frames(
-        R.WORKLIST_SQL + _SEEN + """, r AS (SELECT action, count(*) AS n, sum(is_safety) AS s, count(*) FILTER (on_time_refill = 1) AS t, count(*) FILTER (on_time_refill = 0) AS b, max(risk) AS r FROM worklist LEFT JOIN seen USING (pid) WHERE included = 1 GROUP BY action)
-        SELECT sum(n)::BIGINT AS routed, sum(s)::BIGINT AS safety, sum(t)::BIGINT AS on_time, sum(b)::BIGINT AS breaks, round(100 * max(r), 4) AS peak_risk_pct, sum(n - t - b)::BIGINT AS open_loops, round(100 * max(n) / sum(n), 4) AS dominant_route_pct FROM r""",
-        *R.WORKLIST_FRAMES, "subjects",
+        R.WORKLIST_SQL + _SEEN + """, r AS (SELECT action, count(*) AS n, count(*) FILTER (is_safety = 1 OR needs_review = 1) AS s, count(*) FILTER (on_time_refill = 1) AS t, count(*) FILTER (on_time_refill = 0) AS b, max(risk) AS r FROM worklist LEFT JOIN seen USING (pid) WHERE included = 1 GROUP BY action)
+        SELECT sum(n)::BIGINT AS routed, sum(s)::BIGINT AS safety, sum(t)::BIGINT AS on_time, sum(b)::BIGINT AS breaks, round(100 * max(r), 4) AS peak_risk_pct, sum(n - t)::BIGINT AS open_loops,
+        coalesce(sum(n) FILTER (action = 'pharmacist'), 0)::BIGINT AS n_pharmacist, coalesce(sum(n) FILTER (action = 'social_worker'), 0)::BIGINT AS n_social_worker, coalesce(sum(n) FILTER (action = 'chw_call'), 0)::BIGINT AS n_chw_call,
+        (SELECT action FROM r ORDER BY n DESC, action DESC LIMIT 1) AS dominant_route, round(100 * max(n) / sum(n), 4) AS dominant_route_pct FROM r""",
+        *R.WORKLIST_FRAMES, "subjects", "feed",
     ),
 )
 def _(z):
@@ -371,7 +473,7 @@ def _(z):
 @query(
     "v6_cascade_counts",
     with_frames(
-        _STATE + """, c AS (SELECT round, count(*) AS total, count(*) FILTER (status = 'CLOSED') AS closed, count(*) FILTER (status = 'EXHAUSTED') AS exhausted, count(*) FILTER (status = 'GATED_ON_CONSENT') AS gated FROM states GROUP BY round)
+        _STATE + """, c AS (SELECT round, count(*) AS total, count(*) FILTER (status = 'CLOSED') AS closed, count(*) FILTER (status = 'EXHAUSTED') AS exhausted, count(*) FILTER (any_gated = 1 OR status = 'GATED_ON_CONSENT') AS gated FROM states GROUP BY round)
         SELECT k AS round, coalesce(total, 0) AS total, coalesce(closed, 0) AS closed, coalesce(exhausted, 0) AS exhausted, coalesce(gated, 0) AS gated, coalesce(total - closed - exhausted, 0) AS in_flight FROM (VALUES (0), (1), (2)) v(k) LEFT JOIN c ON k = round""",
         *_STATE_FRAMES,
     ),
@@ -380,9 +482,9 @@ def _(z):
     return V.cascade_counts(_states(z))
 
 
-@query("v7_worklist_filter", with_frames(_VIEW + " SELECT * FROM viewed WHERE contains(lower(concat_ws(' ', name, pid, driver, action)), 'cost') AND risk >= 0.2 AND action = 'social_worker'", *_STATE_FRAMES))
+@query("v7_worklist_filter", with_frames(_VIEW + " SELECT * FROM viewed WHERE contains(lower(concat_ws(' ', name, pid, driver, action)), 'access') AND risk >= 0.05 AND action = 'social_worker'", *_STATE_FRAMES))
 def _(z):
-    return V.worklist_filter(_view(z), "cost", "social_worker", 0.2, "risk")
+    return V.worklist_filter(_view(z), "access", "social_worker", 0.05, "risk")
 
 
 @query("v8_urgency_index", with_frames(R.WORKLIST_SQL + " SELECT pid, greatest(1, round(100 * score / (SELECT max(score) FROM worklist))::INT) AS urgency FROM worklist", *R.WORKLIST_FRAMES))

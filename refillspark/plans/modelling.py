@@ -168,10 +168,10 @@ def _(z):
         day = f"2000-{10 + number:02d}-01"
         filled = batch.where("is_dispense = 1").groupBy("pid").agg(F.min(F.to_date("ts")).alias("event_date"))
         outcomes = filled.select("pid", F.lit(1).alias("observed"), F.lit(1).alias("on_time_refill"), F.to_date(F.lit(day)).alias("event_date"))
-        keep = ["pid", "entry_date", "days_to_break", "driver", "is_safety", "round", "status", "dispatched_rounds", "as_of"]
+        keep = ["pid", "entry_date", "days_to_break", "driver", "is_safety", "round", "status", "dispatch_dates", "as_of"]
         return X.advance_state(cards, outcomes, status, prior, day, L.LATENCY).select(*keep)
 
-    return T.escalate(_stream(z, 3), advance).select("pid", "entry_date", "round", "status", F.size("dispatched_rounds").alias("n_dispatched"))
+    return T.escalate(_stream(z, 3), advance).select("pid", "entry_date", "round", "status", F.size("dispatch_dates").alias("n_dispatched"))
 
 
 @query("t8_latency_guard", """SELECT ts::DATE::TIMESTAMP AS day, count(*) AS n, sum((event_type = 'purchase')::INT)::BIGINT AS n_dispensed FROM events

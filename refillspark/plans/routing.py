@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
@@ -46,12 +48,18 @@ def _values(rows, names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
 
 
+def said(template: str, fields: dict[str, str]) -> str:
+    """The SQL text of a template whose ``{name}`` are SQL expressions."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"({fields[x]})" if k % 2 else "'" + x.replace("'", "''") + "'" for k, x in enumerate(parts) if x)
+
+
 _RULES = f"rules AS (SELECT * FROM {_values(R.RULES, 'driver, action, secondary_action, hierarchy')})"
 _REMAP = f", remapped AS (SELECT pid, CASE driver WHEN 'regimen' THEN 'bp_trend' ELSE driver END AS driver, sum(value) AS value FROM attributions GROUP BY ALL), {_RULES}"
 _SAFE = ", safe AS (SELECT pid, (max(raw) > 0)::INT AS is_safety, max(raw) AS raw FROM attributions WHERE driver = 'safety' GROUP BY pid)"
 _RESOLVED = """, pos AS (SELECT r.*, hierarchy, row_number() OVER (PARTITION BY pid ORDER BY value DESC, driver) AS n FROM remapped r LEFT JOIN rules USING (driver) WHERE driver <> 'safety' AND value > 0),
     tops AS (SELECT pid, max(driver) FILTER (n = 1) AS td, max(value) FILTER (n = 1) AS tv, max(value) FILTER (n = 2) AS sv, arg_min(driver, hierarchy) FILTER (hierarchy IS NOT NULL) AS hd, arg_min(value, hierarchy) FILTER (hierarchy IS NOT NULL) AS hv FROM pos GROUP BY pid),
-    resolved AS (SELECT pid, CASE WHEN clear THEN td ELSE coalesce(hd, 'bp_trend') END AS driver, CASE WHEN clear THEN tv ELSE coalesce(hv, 0) END AS value, (NOT clear)::INT AS by_hierarchy
+    resolved AS (SELECT pid, CASE WHEN clear THEN td ELSE coalesce(hd, td, 'bp_trend') END AS driver, CASE WHEN clear THEN tv ELSE coalesce(hv, tv, 0) END AS value, (NOT clear)::INT AS by_hierarchy
         FROM (SELECT *, td IS NOT NULL AND (sv IS NULL OR sv <= 0 OR tv >= 1.25 * sv) AS clear FROM (SELECT DISTINCT pid FROM remapped) LEFT JOIN tops USING (pid)))"""
 _DECIDED = """, chosen AS (SELECT pid, CASE WHEN is_safety = 1 THEN 'safety' ELSE driver END AS driver, CASE WHEN is_safety = 1 THEN raw ELSE value END AS value, is_safety,
         CASE WHEN is_safety = 1 THEN 0 ELSE by_hierarchy END AS by_hierarchy FROM resolved JOIN safe USING (pid)),
@@ -79,10 +87,17 @@ def worklist(z):
 # ---- routing ------------------------------------------------------------------------------------
 
 
-@query("r1_validate_rules", f"SELECT c_custkey % 5 AS bucket, count(*) AS n, (SELECT count(*) FROM {_values(R.RULES, 'driver, action, secondary_action, hierarchy')} WHERE action NOT IN ('social_worker', 'pharmacist', 'chw_call')) AS violations FROM customer GROUP BY 1")
+_PART_RULES = """ WITH rules AS (SELECT p_brand AS driver, ['social_worker', 'pharmacist', 'chw_call', 'fax'][1 + min(p_size) % 4] AS action FROM part GROUP BY p_brand),
+    hierarchy AS (SELECT DISTINCT 'Brand#' || (10 + p_size) AS driver FROM part)"""
+
+
+@query("r1_validate_rules", _PART_RULES + """ SELECT driver, 'unknown_action' AS fault, action AS detail FROM rules WHERE action NOT IN ('social_worker', 'pharmacist', 'chw_call')
+    UNION ALL SELECT driver, 'unknown_driver', 'clinical_hierarchy' FROM hierarchy WHERE driver NOT IN (SELECT driver FROM rules)""")
 def _(z):
-    bad = R.validate_rules(_rules(z)).agg(F.count("*").alias("violations"))
-    return z.table("customer").groupBy((F.col("c_custkey") % 5).alias("bucket")).agg(F.count("*").alias("n")).join(F.broadcast(bad))
+    actions = F.array(*map(F.lit, (*R.ACTIONS, "fax")))
+    rules = z.table("part").groupBy(F.col("p_brand").alias("driver")).agg(F.element_at(actions, (F.min("p_size") % 4 + 1).cast("int")).alias("action"))
+    hierarchy = z.table("part").select(F.concat(F.lit("Brand#"), F.col("p_size") + 10).alias("driver"))
+    return R.validate_rules(rules, hierarchy=hierarchy)
 
 
 @query("r2_safety_override", with_frames(_SAFE + " SELECT pid, is_safety, raw FROM safe", "attributions"))
@@ -100,17 +115,30 @@ def _(z):
     return R.resolve_driver(R.remap_fallback(z.attributions(), _fallbacks(z)), _rules(z)).withColumn("value", F.round("value", 6))
 
 
+@query("r4_resolve_beside_hierarchy", with_frames(_REMAP.replace(_RULES, _RULES.replace("SELECT * FROM", "SELECT * REPLACE (CASE WHEN driver = 'isolation' THEN hierarchy END AS hierarchy) FROM")) + _RESOLVED + " SELECT pid, driver, round(value, 6) AS value, by_hierarchy FROM resolved", "attributions"))
+def _(z):
+    rules = _rules(z).withColumn("hierarchy", F.when(F.col("driver") == "isolation", F.col("hierarchy")))
+    return R.resolve_driver(R.remap_fallback(z.attributions(), _fallbacks(z)), rules).withColumn("value", F.round("value", 6))
+
+
+def rationale_sql(lang: str, of: str = "") -> str:
+    fields = {"driver": f"{of}driver", "value": f"round({of}value, 3)::DECIMAL(10, 3)", "action": f"{of}action"}
+    note = said(R.TIE_BREAK[lang].replace("{margin}", "1.25"), {})
+    return f"{said(R.LANGUAGES[lang], fields)} || CASE WHEN {of}by_hierarchy = 1 THEN {note} ELSE '' END"
+
+
 @query(
     "r5_decide",
     with_frames(
         _REMAP + _SAFE + _RESOLVED + _DECIDED
-        + """ SELECT decided.*, 'Main driver: ' || driver || ' (' || round(value, 3)::DECIMAL(10, 3) || '). Action: ' || action || '.' AS rationale_en,
-        coalesce((SELECT string_agg(p.driver, ',' ORDER BY p.value DESC, p.driver) FROM pos p WHERE p.pid = decided.pid), '') AS candidates FROM decided""",
+        + " SELECT decided.*, " + ", ".join(f"{rationale_sql(lang)} AS rationale_{lang}" for lang in R.LANGUAGES)
+        + ", coalesce((SELECT string_agg(p.driver, ',' ORDER BY p.value DESC, p.driver) FROM pos p WHERE p.pid = decided.pid), '') AS candidates FROM decided",
         "attributions",
     ),
 )
 def _(z):
-    return decided(z).select(*_PLAIN, F.col("rationale")["en"].alias("rationale_en"), F.array_join("candidates", ",").alias("candidates"))
+    texts = [F.col("rationale")[lang].alias(f"rationale_{lang}") for lang in R.LANGUAGES]
+    return decided(z).select(*_PLAIN, *texts, F.array_join("candidates", ",").alias("candidates"))
 
 
 @query("r6_days_to_break", with_frames(" SELECT pid, round((1 - risk) * 180, 6) AS days FROM scores", "scores"))
@@ -131,6 +159,33 @@ def _(z):
     return worklist(z).select(*_WORK)
 
 
+def _entries(m: str):
+    return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+
+
+@query(
+    "r8_worklist_meta",
+    with_frames(
+        WORKLIST_SQL + """, m AS (SELECT role, count(*) AS n, sum(included) AS taken, max(effective_cap) AS used FROM worklist GROUP BY role)
+        SELECT sum(n)::BIGINT AS cohort_size, sum(taken)::BIGINT AS n_taken, sum(used)::BIGINT AS capacity, coalesce(string_agg(role || ':' || used, ',' ORDER BY role) FILTER (used IS NOT NULL), '') AS caps_used,
+        coalesce(string_agg(role || ':' || (used - cap), ',' ORDER BY role) FILTER (used > cap), '') AS expansions, 1 AS rules_version FROM m LEFT JOIN caps USING (role)""",
+        *WORKLIST_FRAMES,
+    ),
+)
+def _(z):
+    meta = R.worklist_meta(worklist(z), _caps(z))
+    return meta.withColumns({c: _entries(c) for c in ("caps_used", "expansions")})
+
+
+def labelled_sql(column: str, labels: dict, lang: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {said(v[lang], {})}" for k, v in labels.items()) + f" ELSE {column} END"
+
+
+@query("r8_card_labels", with_frames(WORKLIST_SQL + " SELECT pid, action, " + ", ".join(f"{labelled_sql('action', R.ACTION_LABELS, lang)} AS label_{lang}" for lang in R.LANGUAGES) + " FROM worklist WHERE included = 1", *WORKLIST_FRAMES))
+def _(z):
+    return worklist(z).where("included = 1").select("pid", "action", *(R.labels_of(F.col("action"), R.ACTION_LABELS, lang).alias(f"label_{lang}") for lang in R.LANGUAGES))
+
+
 @query("a19_pool_summary", with_frames(WORKLIST_SQL + " SELECT coalesce(action, 'total') AS action, count(*) AS n FROM worklist GROUP BY ROLLUP (action)", *WORKLIST_FRAMES))
 def _(z):
     return R.pool_summary(worklist(z))
@@ -150,7 +205,7 @@ def _(z):
 
 
 _SPLIT = """, s AS (SELECT pid, index_date, row_number() OVER (ORDER BY index_date, pid) AS p, count(*) OVER () AS n FROM cohort),
-    split AS (SELECT pid, index_date, CASE WHEN p <= round_even(n * 0.7, 0) THEN 'train' WHEN p <= round_even(n * 0.7, 0) + round_even(n * 0.15, 0) THEN 'validation' ELSE 'test' END AS split FROM s)"""
+    split AS (SELECT pid, index_date, CASE WHEN p <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN p <= round_even(n * 0.7::DOUBLE, 0) + round_even(n * 0.15::DOUBLE, 0) THEN 'validation' ELSE 'test' END AS split FROM s)"""
 
 
 @query("w4_temporal_split", with_frames(_SPLIT + " SELECT * FROM split", "cohort"))
@@ -277,14 +332,14 @@ def _(z):
 @query(
     "e9_stratify",
     with_frames(
-        """, f AS (SELECT stratum, count(*) AS n, round(avg(risk), 6) AS mean_risk FROM scores WHERE pid % 4 = 0 OR stratum <> 'BUILDING' GROUP BY stratum), k AS (SELECT DISTINCT stratum FROM scores UNION ALL SELECT 'UNSEEN')
+        """, f AS (SELECT stratum, count(*) AS n, round(avg(risk), 6) AS mean_risk FROM scores GROUP BY stratum), k AS (SELECT DISTINCT stratum FROM scores UNION ALL SELECT 'UNSEEN')
         SELECT stratum, coalesce(n, 0) AS n, CASE WHEN n >= 15 THEN mean_risk END AS mean_risk, CASE WHEN n >= 15 THEN 'ok' ELSE 'insufficient_sample' END AS status FROM k LEFT JOIN f USING (stratum)""",
         "scores",
     ),
 )
 def _(z):
     known = z.scores().select("stratum").distinct().union(z.spark.createDataFrame([("UNSEEN",)], "stratum string"))
-    return E.stratify(z.scores().where("pid % 4 = 0 OR stratum <> 'BUILDING'"), "stratum", known, {"mean_risk": F.round(F.avg("risk"), 6)})
+    return E.stratify(z.scores(), "stratum", known, {"mean_risk": F.round(F.avg("risk"), 6)})
 
 
 @query(

@@ -11,10 +11,10 @@ from ..functions import empty_to_null
 
 #: name, access mode, least/typical/greatest latency in days, needs an encounter, confirms dispenses, may be scanned in batch (fixed values).
 PROFILES = [
-    ("surescripts", "per_encounter", 0, 1, 2, 1, 1, 0),
-    ("rxfill", "push", 0, 1, 3, 0, 1, 0),
-    ("claims", "batch", 14, 30, 90, 0, 1, 1),
-    ("local_file", "batch", 0, 0, 0, 0, 1, 1),
+    ("surescripts", "prescriber_initiated", 1, 7, 14, 1, 1, 0),
+    ("rxfill", "batch_permitted", 0, 0, 1, 0, 1, 1),
+    ("claims", "batch_permitted", 15, 30, 90, 0, 1, 1),
+    ("local_file", "batch_permitted", 0, 0, 0, 0, 1, 1),
 ]
 
 
@@ -92,8 +92,8 @@ def invalid_profiles(profiles: DataFrame) -> DataFrame:
 
 
 def dispense_events(fills: DataFrame, profiles: DataFrame, source: str, default_product: str = "unknown") -> DataFrame:
-    """Normalised events: product with a default, whole days of supply or null, and what the source can confirm."""
-    profile = profiles.where(F.col("source") == source).select("source", F.col("confirms_dispense").alias("is_dispense"), F.col("max_latency").alias("latency_days"))
+    """Normalised events: product with a default, whole days of supply or null, what the source can confirm and its typical latency."""
+    profile = profiles.where(F.col("source") == source).select("source", F.col("confirms_dispense").alias("is_dispense"), F.col("typical_latency").alias("latency_days"))
     rows = fills.select("pid", "date", F.coalesce(empty_to_null(F.col("product")), F.lit(default_product)).alias("product"), F.col("days_supply").try_cast("int").alias("days_supply"))
     return rows.join(F.broadcast(profile))
 
@@ -102,14 +102,27 @@ def label_derived_events(labels: DataFrame, as_of: str) -> DataFrame:
     return labels.where("has_30_day_gap = 0").select("pid", F.to_date(F.lit(as_of)).alias("date"), F.lit("label").alias("source"))
 
 
-def select_source(profiles: DataFrame, chain: Sequence[str], available: Sequence[str], batch: bool = False) -> DataFrame:
-    """The attempts in the order of the chain, and which one served; a batch run may only scan what permits it."""
-    order = profiles.sparkSession.createDataFrame([(i, s) for i, s in enumerate(chain)], "position int, source string")
-    rows = order.join(F.broadcast(profiles), "source").withColumn("usable", F.col("source").isin(*available) & ((F.col("batch_permitted") == 1) | F.lit(not batch)))
-    first = F.min(F.when(F.col("usable"), F.col("position"))).over(Window.partitionBy(F.lit(0)))  # one row for each source of the chain
+def select_sources(keys: DataFrame, profiles: DataFrame, chain: Sequence[str], available: DataFrame, batch: bool = False, key: str = "pid") -> DataFrame:
+    """``(key, position, source, outcome, max_latency)``: of each key the attempts in the order of the chain, up to the one that served.
+
+    ``available (key, source)`` has what can be reached for a key; a batch run may only scan what permits it.
+    """
+    rows = keys.select(key).distinct().select(key, F.posexplode(F.array(*map(F.lit, chain))).alias("position", "source"))
+    reached = available.select(key, "source").distinct().withColumn("reached", F.lit(True))
+    rows = rows.join(F.broadcast(profiles), "source").join(reached, [key, "source"], "left").withColumn("reached", F.coalesce("reached", F.lit(False)))
+    rows = rows.withColumn("usable", F.col("reached") & ((F.col("batch_permitted") == 1) | F.lit(not batch)))
+    first = F.min(F.when(F.col("usable"), F.col("position"))).over(Window.partitionBy(key))  # one row for each source of the chain
     rows = rows.withColumn("first", first).where(F.col("first").isNull() | (F.col("position") <= F.col("first")))
-    outcome = F.when(F.col("position") == F.col("first"), "served").when(F.col("source").isin(*available), "not_permitted").otherwise("auth_failed")
-    return rows.select("position", "source", outcome.alias("outcome"), F.when(outcome == "served", F.col("max_latency")).alias("max_latency"))
+    outcome = F.when(F.col("position") == F.col("first"), "served").when(F.col("reached"), "not_permitted").otherwise("auth_failed")
+    return rows.select(key, "position", "source", outcome.alias("outcome"), F.when(outcome == "served", F.col("max_latency")).alias("max_latency"))
+
+
+def select_source(profiles: DataFrame, chain: Sequence[str], available: Sequence[str], batch: bool = False) -> DataFrame:
+    """The attempts of a whole run, for which the ``available`` sources can be reached."""
+    spark = profiles.sparkSession
+    one = spark.range(1).select(F.col("id").alias("run"))
+    reached = spark.createDataFrame([(0, s) for s in available], "run long, source string")
+    return select_sources(one, profiles, chain, reached, batch, "run").drop("run")
 
 
 def write_snapshot(df: DataFrame, path: str, format: str = "parquet") -> None:

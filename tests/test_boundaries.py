@@ -122,8 +122,9 @@ def test_state_is_idempotent_and_dates_freeze(spark):
     first = X.advance_state(cards, none, status, None, "2025-06-01", 0)
     moved = X.advance_state(cards.withColumn("days_to_break", F.lit(90.0)), none, status, first, "2025-06-10", 0)
     again = X.advance_state(cards.withColumn("days_to_break", F.lit(90.0)), none, status, moved, "2025-06-10", 0)
-    key = lambda df: sorted((r.pid, str(r.entry_date), r.days_to_break, r.round, r.status, tuple(r.dispatched_rounds)) for r in df.collect())
+    key = lambda df: sorted((r.pid, str(r.entry_date), r.days_to_break, r.round, r.status, tuple(sorted((n, str(d)) for n, d in r.dispatch_dates.items()))) for r in df.collect())
     assert key(moved) == key(again)
+    assert {r[0]: r[5] for r in key(moved)} == {1: ((0, "2025-06-01"), (1, "2025-06-10")), 2: ((1, "2025-06-01"),)}
     assert {r[0]: r[1:3] for r in key(moved)} == {1: ("2025-06-01", 5.0), 2: ("2025-06-01", 100.0)}
     funnel = {(r.measure, r.key): r.n for r in X.escalation_funnel(moved).collect()}
     assert sum(n for (m, _), n in funnel.items() if m == "status") == sum(n for (m, _), n in funnel.items() if m == "round") == funnel[("total", "all")] == 2
@@ -136,10 +137,25 @@ def test_messages_go_to_providers_in_four_languages(spark):
     none = spark.createDataFrame([], "pid long, observed int, on_time_refill int, event_date date")
     rounds = X.round_rows(X.escalation_status(X.round_schedule(cards, 0), none, status, "2025-01-01"), status)
     messages = X.dispatch_messages(rounds).collect()
-    assert {m.lang for m in messages} == {"en", "es", "pt", "ht"} and {m.addressed_to for m in messages} == {"provider"}
+    assert {m.lang for m in messages} == {"en", "es", "pt", "ht"} and {m.addressed_to for m in messages} == {"provider_or_organization"}
     assert [(g["round"], g.fallback_action) for g in X.gated_actions(rounds).collect()] == [(1, "chw_transport_support")]
     last = [m.body for m in messages if m.round == 2 and m.lang == "en"][0]
-    assert "Round 0 (chw_pharmacy)" in last and "Round 1 (transit_voucher)" in last
+    assert "Round 0 (community health worker) - " in last and "Round 1 (community health worker) - " in last
+    by = {(m["round"], m.lang): m for m in messages}
+    assert [(by[r, "en"].recipient, by[r, "en"].kind, by[r, "en"].mediated_by) for r in range(3)] == [("ae_chw", "chw_pharmacy", "pharmacy"), ("ae_chw", "chw_transport_fallback", "internal_transportation"), ("prescriber", "prescriber", None)]
+    assert all(X.NO_HISTORY[lang] in by[0, lang].body and by[0, lang].read_aloud for lang in X.MESSAGES)
+    waiting = X.round_rows(X.escalation_status(X.round_schedule(cards.withColumn("entry_date", F.lit(date(2024, 12, 30))), 0), none, status, "2025-01-01"), status).collect()
+    assert [(r["round"], r.outcome, r.dispatched_on) for r in waiting] == [(0, "pending", None)]  # pending: not sent yet
+
+
+def test_routing_beside_the_hierarchy_and_faults_of_rules(spark):
+    from refillspark.operators import routing as R
+
+    rules = spark.createDataFrame([("a", "chw_call", None, None), ("b", "fax", None, None), ("bp_trend", "pharmacist", None, 1)], "driver string, action string, secondary_action string, hierarchy int")
+    given = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.9), (2, "a", -1.0)], "pid long, driver string, value double")
+    assert {r.pid: (r.driver, r.value, r.by_hierarchy) for r in R.resolve_driver(given, rules).collect()} == {1: ("a", 1.0, 1), 2: ("bp_trend", 0.0, 1)}
+    faults = R.validate_rules(rules, hierarchy=spark.createDataFrame([("a",), ("zzz",)], "driver string")).collect()
+    assert sorted((r.driver, r.fault) for r in faults) == [("b", "unknown_action"), ("zzz", "unknown_driver")]
 
 
 def test_auc_handles_ties_and_single_classes(spark):
