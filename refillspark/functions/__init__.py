@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,12 +44,22 @@ def clip_interval(start: Column, end: Column, low: Column, high: Column) -> tupl
     return F.greatest(start, low), F.least(end, high)
 
 
-def min_max_scale(c: Column, by: WindowSpec, low: float = 0.1, high: float = 1.0) -> Column:
-    """Scaled within the window; a constant group gets ``high``."""
-    least, most = F.min(c).over(by), F.max(c).over(by)
+def scaled_between(c: Column, least: Column, most: Column, low: float = 0.1, high: float = 1.0) -> Column:
+    """Scaled between given ends; where they are equal ``high``."""
     return F.when(most > least, low + (c - least) / (most - least) * (high - low)).when(c.isNotNull(), F.lit(high))
 
 
+def min_max_scale(rows: DataFrame, value: Column, by: str, name: str) -> DataFrame:
+    """Adds ``value`` scaled within its group; the ends come from an aggregate that combines before the shuffle."""
+    ends = rows.groupBy(by).agg(F.min(value).alias("least_"), F.max(value).alias("most_"))
+    return rows.join(ends, by, "left").withColumn(name, scaled_between(value, F.col("least_"), F.col("most_"))).drop("least_", "most_")
+
+
+def fractional_days(a: Column, b: Column) -> Column:
+    """24-hour days from ``a`` to ``b``, with their fraction."""
+    return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / F.lit(86_400_000_000)
+
+
 def hash_bucket(c: Column, buckets: int = 100) -> Column:
     """SHA-1 as one big number modulo ``buckets``."""
     digest = F.sha1(c.cast("string").cast("binary"))

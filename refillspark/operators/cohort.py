@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import age_years, clip_interval, coverage_end
+from ..functions import age_years, clip_interval, coverage_end, elapsed_days
 
 #: Longer code lists are joined as a table (a code list is configuration, far below a broadcast's bound).
 _INLINE_CODES = 500
@@ -46,7 +46,7 @@ def cohort_flow(**steps: DataFrame) -> DataFrame:
 def incident_index_date(fills: DataFrame, codes: Sequence[str], washout: int = 365) -> DataFrame:
     """The earliest fill without another one in the days before it."""
     before = F.lag("start").over(Window.partitionBy("pid").orderBy("start"))
-    gaps = with_codes(fills, codes).where("start is not null").withColumn("gap", F.datediff("start", before))
+    gaps = with_codes(fills, codes).where("start is not null").withColumn("gap", elapsed_days(before, F.col("start")))
     return gaps.where(F.col("gap").isNull() | (F.col("gap") > washout)).groupBy("pid").agg(F.min("start").alias("index_date"))
 
 

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def running_totals(rows: DataFrame, bucket: Column, order: list, totals: dict[str, Column], by: str | None = None, inclusive: bool = False, down: bool = False) -> DataFrame:
+    """Adds, for each name, the sum of a column over the rows before this one (with ``inclusive`` this one too), within ``by``.
+
+    ``bucket`` doesn't decrease along ``order`` (with ``down``: doesn't increase). Sums run within a
+    bucket; what comes before it is a running sum over one row a bucket, so no task sees a whole group.
+    """
+    group = [by] if by else []
+    rows = rows.withColumn("bucket_", bucket)
+    own = rows.groupBy(*group, "bucket_").agg(*(F.sum(c).alias(f"{n}_own") for n, c in totals.items()))
+    place = F.desc("bucket_") if down else F.asc("bucket_")
+    over = Window.partitionBy(*(group or [F.lit(0)])).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = own.select(*group, "bucket_", *(F.coalesce(F.sum(f"{n}_own").over(over), F.lit(0)).alias(f"{n}_before") for n in totals))
+    within = Window.partitionBy(*group, "bucket_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = rows.withColumns({f"{n}_within": F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in totals.items()}).join(offsets, [*group, "bucket_"])
+    out = out.withColumns({n: F.col(f"{n}_before") + F.col(f"{n}_within") for n in totals})
+    return out.drop("bucket_", *(f"{n}_{x}" for n in totals for x in ("before", "within")))
+
+
 def running_count(rows: DataFrame, bucket_col: str, order: list[str], name: str, by: str | None = None) -> DataFrame:
     """Adds each row's place (from 1) in the order of ``bucket_col`` and then ``order``, within ``by``.
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distributed import running_totals
+
 
 def _six(c: Column) -> Column:
     return F.round(c, 6)
 
 
+def _bucket(score: str) -> Column:
+    """Buckets in the order of the scores; probabilities fall into some four thousand."""
+    return F.floor(F.col(score) * 4096)
+
+
 def _by_score(rows: DataFrame, by: str, score: str, label: str) -> DataFrame:
     """Positives and negatives of each distinct score; what windows see no longer grows with the rows of a score."""
     return rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(by, score).agg(
@@ -19,16 +28,15 @@ def _by_score(rows: DataFrame, by: str, score: str, label: str) -> DataFrame:
 
 def roc_auc(rows: DataFrame, by: str, score: str = "risk", label: str = "event") -> DataFrame:
     """Rank statistic with half credit for ties; null for a single class."""
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    steps = _by_score(rows, by, score, label).withColumn("below", below)
+    steps = running_totals(_by_score(rows, by, score, label), _bucket(score), [score], {"below": F.col("neg")}, by)
     auc = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
     return steps.groupBy(by).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("n_events"), _six(auc).alias("auc"))
 
 
 def average_precision(rows: DataFrame, by: str, score: str = "risk", label: str = "event") -> DataFrame:
     """With the no-skill baseline (prevalence) and the lift over it."""
-    down = Window.partitionBy(by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = _by_score(rows, by, score, label).withColumn("hits", F.sum("pos").over(down)).withColumn("seen", F.sum(F.col("pos") + F.col("neg")).over(down))
+    sums = {"hits": F.col("pos"), "seen": F.col("pos") + F.col("neg")}
+    steps = running_totals(_by_score(rows, by, score, label), _bucket(score), [F.desc(score)], sums, by, inclusive=True, down=True)
     total = steps.groupBy(by).agg(
         (F.sum(F.col("pos") * F.col("hits") / F.col("seen")) / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"), (F.sum("pos") / F.sum(F.col("pos") + F.col("neg"))).alias("base")
     )
@@ -49,25 +57,88 @@ def auc_by_group(rows: DataFrame, by: str, least: int = 50) -> DataFrame:
     return found.select(by, "n", "n_events", F.when(note.isNull(), F.col("auc")).alias("auc"), note.alias("note"))
 
 
+_CELLS = 64  # of a side of the grid of scores and times
+
+
+def _counted(r: np.ndarray, t: np.ndarray, k: np.ndarray, apart: np.ndarray | None = None) -> float:
+    """Twice the credit of all pairs in which one has the earlier time: 2 for the higher score, 1 for an equal one.
+
+    Merge counting, in m log(m) steps; with ``apart`` only pairs whose ``apart`` differs count (it must not decrease with time).
+    """
+    order = np.lexsort((r, t))
+    r, t, k = r[order], t[order], k[order].astype(np.float64)
+    # Blocks by halves of the distinct times: pairs of two halves are counted by ranks.
+    step = t if apart is None else apart[order]
+    starts = np.concatenate([np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])), [len(r)]]) if len(r) else np.zeros(1, int)
+    total, todo = 0.0, [(0, len(starts) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        m = (a + b) // 2
+        early, late = slice(starts[a], starts[m]), slice(starts[m], starts[b])
+        by_score = np.argsort(r[late], kind="stable")
+        sums = np.concatenate([[0.0], np.cumsum(k[late][by_score])])
+        scores = r[late][by_score]
+        total += float(k[early] @ (sums[np.searchsorted(scores, r[early], "left")] + sums[np.searchsorted(scores, r[early], "right")]))
+        todo += [(a, m), (m, b)]
+    return total
+
+
+def _ordered_pairs(e: DataFrame) -> DataFrame:
+    """``(g, good2, pairs2)`` of distinct events ``e (g, r, t, k)``: the credit of pairs of different times, and their number.
+
+    Scores and times are cut into a grid by range. Pairs that differ in both cells are counted from
+    the cells' sums. Pairs in one cell of time, and those in one cell of scores but different cells
+    of time, are counted in tasks that hold that cell only.
+    """
+    ends = e.groupBy("g").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    cell = lambda x, lo, hi: F.least(F.lit(_CELLS - 1), F.coalesce(F.floor((F.col(x) - F.col(lo)) * _CELLS / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0))), F.lit(0))).cast("int")
+    e = e.join(ends, "g").select("g", "r", "t", "k", cell("r", "r0", "r1").alias("rc"), cell("t", "t0", "t1").alias("tc"))
+    cells = e.groupBy("g", "rc", "tc").agg(F.sum("k").alias("k"))
+    grid = cells.groupBy("g").agg(F.collect_list(F.struct("rc", "tc", "k")).alias("cells"))  # at most _CELLS ** 2 of a group
+    shape = grid.schema["g"].dataType.simpleString()
+
+    def of_grid(batches):
+        for batch in batches:
+            found = []
+            for own in batch.column("cells").to_pylist():
+                m = np.zeros((_CELLS, _CELLS))
+                for c in own:
+                    m[c["rc"], c["tc"]] = c["k"]
+                lower = np.cumsum(m, axis=0) - m  # lower scores, same time cell
+                found.append(2.0 * float((m * (lower[:, ::-1].cumsum(axis=1)[:, ::-1] - lower)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(found, pa.float64())], names=["g", "credit"])
+
+    def of_cell(apart: bool):
+        def run(rows: pa.Table) -> pa.Table:
+            r, t, k, tc = (rows.column(c).to_numpy() for c in ("r", "t", "k", "tc"))
+            return pa.table({"g": rows.column("g").slice(0, 1), "credit": [_counted(r, t, k, tc if apart else None)]})
+
+        return run
+
+    parts = grid.select("g", "cells").mapInArrow(of_grid, f"g {shape}, credit double")
+    parts = parts.union(e.groupBy("g", "tc").applyInArrow(of_cell(False), f"g {shape}, credit double"))
+    parts = parts.union(e.groupBy("g", "rc").applyInArrow(of_cell(True), f"g {shape}, credit double"))
+    good = parts.groupBy("g").agg((F.sum("credit") / 2).alias("good2"))
+    # Pairs of different times: all pairs less those of one time.
+    times = e.groupBy("g", "t").agg(F.sum("k").cast("double").alias("k"))
+    pairs = times.groupBy("g").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs2"))
+    return good.join(pairs, "g")
+
+
 def c_index(rows: DataFrame, by: str, risk: str = "risk", time: str = "time", event: str = "event") -> DataFrame:
     """Concordance: an event is comparable with whoever has a later time, and with whoever is censored.
 
-    Against the censored only ranks count. Among events the pairs are formed between distinct
-    (risk, time) values with their counts, not between rows.
+    Against the censored only ranks count; among events see ``_ordered_pairs``.
     """
     known = rows.where(f"{risk} is not null and {time} is not null and {event} is not null")
     r = known.groupBy(by, risk).agg(F.sum(event).alias("ev"), F.sum(1 - F.col(event)).alias("cens"))
-    below = F.coalesce(F.sum("cens").over(Window.partitionBy(by).orderBy(risk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = r.withColumn("below", below).groupBy(by).agg(
+    ranked = running_totals(r, _bucket(risk), [risk], {"below": F.col("cens")}, by).groupBy(by).agg(
         F.sum(F.col("ev") * (F.col("below") + F.col("cens") / 2)).alias("good"), (F.sum("ev") * F.sum("cens")).alias("pairs")
     )
-    e = known.where(f"{event} = 1").groupBy(by, risk, time).agg(F.count("*").alias("k"))
-    a = e.select(F.col(by).alias("g"), F.col(risk).alias("r"), F.col(time).alias("t"), F.col("k").alias("ka"))
-    credit = F.when(F.col("r") > F.col(risk), 1.0).when(F.col("r") == F.col(risk), 0.5).otherwise(0.0)
-    both = a.join(e, (F.col("g") == F.col(by)) & (F.col("t") < F.col(time))).groupBy(by).agg(
-        F.sum(credit * F.col("ka") * F.col("k")).alias("good2"), F.sum(F.col("ka") * F.col("k")).alias("pairs2")
-    )
-    out = ranked.join(both, by, "left")
+    e = known.where(f"{event} = 1").groupBy(F.col(by).alias("g"), F.col(risk).cast("double").alias("r"), F.col(time).cast("double").alias("t")).agg(F.count("*").alias("k"))
+    out = ranked.join(_ordered_pairs(e).withColumnRenamed("g", by), by, "left")
     good, pairs = F.col("good") + F.coalesce("good2", F.lit(0.0)), F.col("pairs") + F.coalesce("pairs2", F.lit(0))
     return out.select(by, _six(good / F.nullif(pairs, F.lit(0))).alias("c_index"))
 
@@ -115,13 +186,13 @@ def dynamic_auc(rows: DataFrame, horizons: list[float]) -> DataFrame:
     That chance is the product, over censoring times before the event, of the share at risk that stays.
     """
     times = rows.groupBy("time").agg(F.count("*").alias("n"), F.sum(1 - F.col("event")).alias("cens"))
-    later = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("time")))  # one row for each distinct time
     stays = F.log(F.greatest(1 - F.col("cens") / F.col("at_risk"), F.lit(1e-12)))
-    before = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    g = times.withColumn("at_risk", later).withColumn("g", F.exp(F.coalesce(F.sum(stays).over(before), F.lit(0.0)))).select("time", "g")
+    day = F.floor("time")
+    times = running_totals(times, day, [F.desc("time")], {"at_risk": F.col("n")}, inclusive=True, down=True)
+    g = running_totals(times, day, ["time"], {"log_g": stays}).select("time", F.exp("log_g").alias("g"))
     each = rows.join(g, "time").withColumn("horizon", F.explode(F.array(*(F.lit(float(h)) for h in horizons))))
     case = (F.col("time") <= F.col("horizon")) & (F.col("event") == 1)
     steps = each.groupBy("horizon", "risk").agg(F.sum(F.when(case, 1 / F.col("g")).otherwise(0.0)).alias("w"), F.count_if(F.col("time") > F.col("horizon")).alias("ctrl"))
-    below = F.coalesce(F.sum("ctrl").over(Window.partitionBy("horizon").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     auc = F.sum(F.col("w") * (F.col("below") + F.col("ctrl") / 2)) / F.nullif(F.sum("w") * F.sum("ctrl"), F.lit(0.0))
-    return steps.withColumn("below", below).groupBy("horizon").agg(_six(auc).alias("auc"))
+    steps = running_totals(steps, _bucket("risk"), ["risk"], {"below": F.col("ctrl")}, "horizon")
+    return steps.groupBy("horizon").agg(_six(auc).alias("auc"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import elapsed_days, fractional_days
 from .cohort import pre_index_rows
 
 
@@ -22,7 +23,7 @@ def ols_slope(value: Column, days: Column) -> Column:
 def trajectory(observations: DataFrame, cohort: DataFrame, channels: dict[str, str], lookback: int | None = 1095) -> DataFrame:
     """For each channel (name: code) mean, max, min, latest reading and slope, in one pass."""
     rows = pre_index_rows(observations, cohort, "date", lookback).where("value is not null")
-    rows = rows.where(F.col("code").isin(*channels.values())).withColumn("days", F.datediff("date", "index_date"))
+    rows = rows.where(F.col("code").isin(*channels.values())).withColumn("days", fractional_days(F.col("index_date"), F.col("date")))
     aggregates = []
     for name, code in channels.items():
         own = F.col("code") == code
@@ -67,7 +68,7 @@ def acute_utilization(encounters: DataFrame, cohort: DataFrame, classes: dict[st
     rows = pre_index_rows(encounters, cohort, "start").where(F.col("class").isin(*classes.values()))
     recent = F.col("start") >= F.date_sub("index_date", 365)
     counts = [F.count_if(recent & (F.col("class") == c)).alias(f"acute_n_{n}_1y") for n, c in classes.items()]
-    found = rows.groupBy("pid").agg(*counts, F.min(F.datediff("index_date", "start")).alias("acute_days_since_last"))
+    found = rows.groupBy("pid").agg(*counts, F.min(elapsed_days(F.col("start"), F.col("index_date"))).alias("acute_days_since_last"))
     return cohort.select("pid").join(found, "pid", "left").fillna(0, [f"acute_n_{n}_1y" for n in classes])
 
 
@@ -84,8 +85,8 @@ def cross_drug_profile(fills: DataFrame, cohort: DataFrame, index_codes: Sequenc
     rows = pre_index_rows(fills.where(~F.col("code").isin(*index_codes)), cohort, "start")
     found = rows.groupBy("pid").agg(
         F.countDistinct("code").alias("xdrug_n_distinct_meds"),
-        F.max(F.datediff("index_date", "start")).alias("xdrug_tenure_days"),
-        F.min(F.datediff("index_date", "start")).alias("xdrug_days_since_last_fill"),
+        F.max(elapsed_days(F.col("start"), F.col("index_date"))).alias("xdrug_tenure_days"),
+        F.min(elapsed_days(F.col("start"), F.col("index_date"))).alias("xdrug_days_since_last_fill"),
         F.countDistinct("encounter").alias("xdrug_n_prescribers"),
         _six(F.avg(F.col("total") - F.col("covered"))).alias("xdrug_oop_cost_mean"),
     )
@@ -95,7 +96,7 @@ def cross_drug_profile(fills: DataFrame, cohort: DataFrame, index_codes: Sequenc
 def refill_gaps(fills: DataFrame, cohort: DataFrame, index_codes: Sequence[str]) -> DataFrame:
     """Gaps between fills of one drug, pooled by subject; cv is null for fewer than two gaps or a zero mean."""
     rows = pre_index_rows(fills.where(~F.col("code").isin(*index_codes)), cohort, "start")
-    gaps = rows.withColumn("gap", F.datediff("start", F.lag("start").over(Window.partitionBy("pid", "code").orderBy("start"))))
+    gaps = rows.withColumn("gap", elapsed_days(F.lag("start").over(Window.partitionBy("pid", "code").orderBy("start")), F.col("start")))
     found = gaps.where("gap is not null").groupBy("pid").agg(
         _six(F.avg("gap")).alias("xdrug_refill_gap_mean"),
         F.max("gap").alias("xdrug_refill_gap_max"),

@@ -109,10 +109,10 @@ def days_to_break(risk: Column, days: int = 180) -> Column:
     return (1 - risk) * days
 
 
-def priority_score(days: Column, value: Column, role: str = "role") -> Column:
-    """Urgency times the driver's weight within the role; a missing day count is far away."""
+def priority_score(days: Column, weight: Column) -> Column:
+    """Urgency times the driver's weight scaled within the role; a missing day count is far away."""
     far = F.coalesce(days, F.lit(999.0))
-    return 1 / (1 + F.greatest(far, F.lit(0.0))) * min_max_scale(F.abs(value), Window.partitionBy(role))
+    return 1 / (1 + F.greatest(far, F.lit(0.0))) * weight
 
 
 def pool_summary(cards: DataFrame) -> DataFrame:
@@ -127,7 +127,8 @@ def build_worklist(decisions: DataFrame, scores: DataFrame, caps: DataFrame) ->
 
     rows = decisions.join(scores.select("pid", "stratum", "risk"), "pid").withColumn("role", F.col("action")).withColumn("needs_review", F.col("is_safety"))
     rows = rows.withColumn("days_to_break", F.round(days_to_break(F.col("risk")), 6))
-    rows = rows.withColumn("score", F.round(priority_score(F.col("days_to_break"), F.col("value")), 9))
+    rows = min_max_scale(rows, F.abs("value"), "role", "weight")
+    rows = rows.withColumn("score", F.round(priority_score(F.col("days_to_break"), F.col("weight")), 9)).drop("weight")
     return apply_caps(rank_in_role(rows), caps)
 
 

@@ -10,14 +10,15 @@ from .distributed import running_count
 
 def rank_in_role(cards: DataFrame) -> DataFrame:
     """Within a role those for human review first, then by score; the id decides ties."""
-    order = Window.partitionBy("role").orderBy(F.desc("needs_review"), F.desc("score"), "pid")
-    return cards.withColumn("rank_in_role", F.row_number().over(order))
+    step = F.when(F.col("score") > 0, F.floor(-F.log("score") * 1000)).otherwise(1 << 40)
+    rows = cards.withColumn("bucket_", F.when(F.col("needs_review") == 1, step - (1 << 42)).otherwise(step))
+    return running_count(rows, "bucket_", [F.desc("needs_review"), F.desc("score"), "pid"], "rank_in_role", by="role").drop("bucket_").select(*cards.columns, F.col("rank_in_role").cast("int").alias("rank_in_role"))
 
 
 def apply_caps(ranked: DataFrame, caps: DataFrame) -> DataFrame:
     """``effective_cap`` is the role's cap, or as many as need review; a role without a cap takes everyone."""
-    reviews = F.count_if(F.col("needs_review") == 1).over(Window.partitionBy("role"))
-    out = ranked.join(F.broadcast(caps), "role", "left").withColumn("reviews", reviews)
+    reviews = ranked.groupBy("role").agg(F.count_if(F.col("needs_review") == 1).alias("reviews"))
+    out = ranked.join(F.broadcast(caps), "role", "left").join(reviews, "role")
     cap = F.when(F.col("cap").isNotNull(), F.greatest("cap", F.col("reviews").cast("int")))
     return out.select(
         *ranked.columns,

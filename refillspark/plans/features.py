@@ -95,9 +95,7 @@ def _(z):
        FROM (SELECT *, min(c_acctbal) OVER w AS lo, max(c_acctbal) OVER w AS hi FROM customer WINDOW w AS (PARTITION BY c_mktsegment))""",
 )
 def _(z):
-    from pyspark.sql import Window
-
-    return z.table("customer").select("c_custkey", F.round(S.min_max_scale(F.col("c_acctbal"), Window.partitionBy("c_mktsegment")), 6).alias("scaled"))
+    return S.min_max_scale(z.table("customer"), F.col("c_acctbal"), "c_mktsegment", "scaled").select("c_custkey", F.round("scaled", 6).alias("scaled"))
 
 
 @query(

@@ -205,3 +205,33 @@ def test_missing_snapshot_and_columns(spark, tmp_path):
         sources.read_claims_fills(spark.range(1), spark.range(1), "2024-01-01", "2024-02-01")
     with pytest.raises(ValueError):
         M.score_holdout(None, spark.createDataFrame([(1,)], "pid long"), ["a"])
+
+
+def test_concordance_equals_all_pairs(spark):
+    import random
+
+    from refillspark.operators import evaluation as E
+
+    rng = random.Random(3)
+    rows = [(g, round(rng.random(), 2), rng.choice([0, 1, 1]), float(rng.randrange(1, 90)) + rng.choice([0.0, 0.5])) for g in ("a", "b") for _ in range(300)]
+    rows += [("c", 0.5, 1, 7.0)] * 30 + [("c", 0.6, 1, 8.0)] + [("d", 0.5, 1, 7.0), ("e", 0.5, 0, 7.0)]
+    got = {r.g: r.c_index for r in E.c_index(spark.createDataFrame(rows, "g string, risk double, event int, time double"), "g").collect()}
+    for g in "abcde":
+        own = [r for r in rows if r[0] == g]
+        pairs = [1.0 if a[1] > b[1] else 0.5 if a[1] == b[1] else 0.0 for i, a in enumerate(own) for j, b in enumerate(own) if i != j and a[2] == 1 and (a[3] < b[3] or b[2] == 0)]
+        assert got[g] == (round(sum(pairs) / len(pairs), 6) if pairs else None)
+
+
+def test_days_are_elapsed_days_where_times_are_given(spark):
+    from refillspark.operators import features as V2
+
+    at = lambda s: F.to_timestamp(F.lit(s))
+    people = spark.range(1).select(F.lit(1).alias("pid"), at("2024-03-10 12:00:00").alias("index_date"))
+    seen = spark.range(1).select(F.lit(1).alias("pid"), F.explode(F.array(*(F.struct(at(t).alias("date"), F.lit(v).alias("value")) for t, v in (("2024-03-08 00:00:00", 1.0), ("2024-03-09 12:00:00", 4.0))))).alias("x")).select("pid", F.lit("c").alias("code"), "x.*")
+    [r] = V2.trajectory(seen, people, {"bp": "c"}).collect()
+    assert r.bp_trajectory_slope == 2.0  # three in a day and a half
+    fills = spark.range(1).select(F.lit(1).alias("pid"), F.lit("c").alias("code"), F.explode(F.array(at("2023-01-01 20:00:00"), at("2024-01-02 10:00:00"), at("2025-01-02 09:00:00"))).alias("start"))
+    [first] = C.incident_index_date(fills, ["c"], washout=364).collect()
+    assert str(first.index_date) == "2023-01-01 20:00:00"
+    late = C.incident_index_date(fills.where("start > timestamp '2023-06-01'"), ["c"], washout=366).collect()
+    assert len(late) == 1
