@@ -18,14 +18,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship_package
 
-#: Words whose digests a worker remembers.
-_MOST_WORDS = 200_000
-
 _ROUNDS = 2
 _FAR = np.int64(1) << 60
 _SPACE = np.zeros(256, dtype=bool)
@@ -63,17 +61,13 @@ def _powers() -> list[_Powers]:
     return [_Powers(int(rng.integers(1, 1 << 62)) * 2 + 1) for _ in range(2)]
 
 
-_DIGESTS: dict[bytes, bytes] = {}
+#: Keys of the two hashes of a word's bytes.
+_WORD_KEYS = ("recompression one", "recompression two")
 
 
-def _word_digests(words: list[bytes]) -> np.ndarray:
-    """A row of two 64-bit numbers for each word: 128 bits of BLAKE2b of its bytes."""
-    if len(_DIGESTS) > _MOST_WORDS:
-        _DIGESTS.clear()
-    for w in words:
-        if w not in _DIGESTS:
-            _DIGESTS[w] = hashlib.blake2b(w, digest_size=16).digest()
-    return np.frombuffer(b"".join([_DIGESTS[w] for w in words]), dtype="<u8").reshape(-1, 2)
+def _word_digests(words: np.ndarray) -> np.ndarray:
+    """A row of two 64-bit numbers for each word: SipHash of its bytes by two keys of 16 bytes."""
+    return np.stack([hash_array(words, hash_key=key[-16:], categorize=False) for key in _WORD_KEYS], axis=1)
 
 
 def _least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -126,7 +120,7 @@ class Chunk:
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         bare = self.data[~_SPACE[self.data]]  # words without what separates them
         words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(bare)]).dictionary_encode()
-        return _word_digests(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(lengths) else np.zeros((0, 2), np.uint64)
+        return _word_digests(words.dictionary.to_numpy(zero_copy_only=False))[words.indices.to_numpy()] if len(lengths) else np.zeros((0, 2), np.uint64)
 
     def span_names(self, which: int) -> SpanNames:
         return SpanNames(np.ascontiguousarray(self.word_names[:, which]), _powers()[which])
