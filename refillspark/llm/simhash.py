@@ -172,6 +172,10 @@ def _text_sets(docs: DataFrame, shingle: int, slice_bytes: int) -> DataFrame:
     return map_arrow(docs.select("text"), run, "node long, shingles array<long>")
 
 
+#: Rounds in which each text is compared with its likeliest partner only.
+_LIKELY_ROUNDS = 2
+
+
 def _similar(pairs: DataFrame, each: DataFrame, rows: DataFrame, *, shingle: int, similarity: float, slice_bytes: int) -> DataFrame:
     """Those of the node ``pairs (src, dst)`` whose sets of shingles reach the Jaccard ``similarity``."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -191,8 +195,8 @@ def keep_one_of_similar(
     Texts that meet in the ball of a bit block of their wide fingerprints are candidates; a link is
     made only where the Jaccard similarity of the two sets of shingles reaches the bound. The
     partners of a text are the smallest and the largest text of each of its keys. It is first
-    compared with the one that it meets on most keys, then with all others to which no links lead
-    already. A group keeps the row of its smallest
+    compared with the one that it meets on most keys, then with the next such one to which no links
+    lead yet, then with all of the rest to which none do. A group keeps the row of its smallest
     id (of repeated ids the one with the smallest hash of its text; different texts that are not
     similar both stay). Texts without words (null, empty, white space) are equal; equal rows are
     one. Rows without an id can't be told apart and stay as they are. An empty table gives none;
@@ -208,15 +212,19 @@ def keep_one_of_similar(
     met = keyed.join(shared_keys, "key").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
     met = stored(met.groupBy(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).agg(F.count("*").alias("times")), "met")
     options = {"shingle": shingle, "similarity": similarity, "slice_bytes": slice_bytes}
-    likely = met.select(F.explode(F.array("src", "dst")).alias("node"), F.struct("times", "src", "dst").alias("pair")).groupBy("node").agg(F.max("pair").alias("pair"))
-    likely = stored(likely.select("pair.src", "pair.dst").distinct(), "candidates")
-    links = stored(_similar(likely, each, rows, **options), "links")
-    rooted = stored(components(links), "rooted")
-    others = met.join(likely, ["src", "dst"], "left_anti")
-    for end in ("src", "dst"):
-        others = others.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}")), end, "left")
-    others = stored(others.where(F.coalesce("of_src", "src") != F.coalesce("of_dst", "dst")).select("src", "dst"), "candidates")
-    roots = components(links.union(_similar(others, each, rows, **options)))
+    links = rooted = None
+    left = met
+    for _ in range(_LIKELY_ROUNDS):
+        likely = left.select(F.explode(F.array("src", "dst")).alias("node"), F.struct("times", "src", "dst").alias("pair")).groupBy("node").agg(F.max("pair").alias("pair"))
+        likely = stored(likely.select("pair.src", "pair.dst").distinct(), "candidates")
+        found = stored(_similar(likely, each, rows, **options), "links")
+        links = found if links is None else links.union(found)
+        rooted = stored(components(links), "rooted")
+        left = left.join(likely, ["src", "dst"], "left_anti")
+        for end in ("src", "dst"):
+            left = left.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}")), end, "left")
+        left = stored(left.where(F.coalesce("of_src", "src") != F.coalesce("of_dst", "dst")).select("src", "dst", "times"), "candidates")
+    roots = components(links.union(_similar(left.select("src", "dst"), each, rows, **options)))
     group = each.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = group.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
     mark = "text_hash"
