@@ -482,9 +482,9 @@ def _(z):
     return V.cascade_counts(_states(z))
 
 
-@query("v7_worklist_filter", with_frames(_VIEW + " SELECT * FROM viewed WHERE contains(lower(concat_ws(' ', name, pid, driver, action)), 'access') AND risk >= 0.05 AND action = 'social_worker'", *_STATE_FRAMES))
+@query("v7_worklist_filter", with_frames(_VIEW + " SELECT * FROM viewed WHERE contains(lower(concat_ws(' ', name, pid, driver, action)), 'safety') AND risk >= 0.05 AND action = 'social_worker'", *_STATE_FRAMES))
 def _(z):
-    return V.worklist_filter(_view(z), "access", "social_worker", 0.05, "risk")
+    return V.worklist_filter(_view(z), "safety", "social_worker", 0.05, "risk")
 
 
 @query("v8_urgency_index", with_frames(R.WORKLIST_SQL + " SELECT pid, greatest(1, round(100 * score / (SELECT max(score) FROM worklist))::INT) AS urgency FROM worklist", *R.WORKLIST_FRAMES))
