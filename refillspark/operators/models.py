@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import combinations
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -108,25 +106,29 @@ def _leaves(node, path: dict, out: list) -> None:
 
 
 def _attribute(x: np.ndarray, leaves: list, n_features: int) -> tuple[np.ndarray, float]:
-    """Shapley values of each row for one tree: a leaf is a product game over the features on its path."""
+    """Shapley values of each row for one tree: a leaf is a product game over the features on its path.
+
+    A feature's weight over the sets of the others is the integral, from 0 to 1, of the product of
+    their mixtures of share and condition; a Gauss rule of half as many points as features is exact.
+    """
     values, base = np.zeros((len(x), n_features)), 0.0
     for path, value in leaves:
+        if not path:
+            base += value
+            continue
         features = list(path)
-        met = {f: np.all([(x[:, f] <= t) == left for t, left in path[f][0]], axis=0).astype(float) for f in features}
-        share = {f: path[f][1] for f in features}
-        base += value * float(np.prod([share[f] for f in features])) if features else value
-        m = len(features)
-        for f in features:
-            others = [g for g in features if g != f]
-            total = np.zeros(len(x))
-            for size in range(m):
-                weight = factorial(size) * factorial(m - size - 1) / factorial(m)
-                for known in combinations(others, size):
-                    term = np.full(len(x), weight)
-                    for g in others:
-                        term = term * (met[g] if g in known else share[g])
-                    total += term
-            values[:, f] += value * total * (met[f] - share[f])
+        met = np.array([np.all([(x[:, f] <= t) == left for t, left in path[f][0]], axis=0) for f in features], dtype=float)
+        share = np.array([[path[f][1]] for f in features])
+        base += value * float(share.prod())
+        points, weights = np.polynomial.legendre.leggauss((len(features) + 1) // 2)
+        total = np.zeros_like(met)
+        for point, weight in zip((points + 1) / 2, weights / 2):
+            mixed = share + (met - share) * point
+            ones = np.ones_like(mixed[:1])
+            before = np.cumprod(np.concatenate([ones, mixed[:-1]]), axis=0)
+            after = np.cumprod(np.concatenate([ones, mixed[:0:-1]]), axis=0)[::-1]
+            total += weight * before * after
+        values[:, features] += value * (total * (met - share)).T
     return values, base
 
 

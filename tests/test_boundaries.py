@@ -197,6 +197,37 @@ def test_tree_attributions_add_up_to_the_margin(spark):
     assert explained.a_attr.abs().mean() > explained.c_attr.abs().mean()
 
 
+def test_tree_attributions_equal_the_sums_over_all_sets():
+    from itertools import combinations
+    from math import factorial
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for m in (0, 1, 2, 5, 6):
+        path = {f: (((0.5, bool(f % 2)), (0.9, True)), float(rng.uniform(0.1, 0.9))) for f in range(m)}
+        x = rng.random((20, 7))
+        values, base = M._attribute(x, [(path, 3.0)], 7)
+        met = {f: ((x[:, f] <= 0.5) == bool(f % 2)) & (x[:, f] <= 0.9) for f in path}
+        worth = lambda known: 3.0 * np.prod([met[f] * 1.0 if f in known else np.full(20, path[f][1]) for f in path] or [np.ones(20)], axis=0)
+        want = np.zeros((20, 7))
+        for f in path:
+            others = [g for g in path if g != f]
+            for size in range(m):
+                for known in combinations(others, size):
+                    want[:, f] += factorial(size) * factorial(m - size - 1) / factorial(m) * (worth({*known, f}) - worth(set(known)))
+        assert np.abs(values - want).max() < 1e-12 and abs(base - worth(set())[0]) < 1e-12
+
+
+def test_tree_attribution_of_a_long_path_is_fast():
+    import numpy as np
+
+    path = {f: (((0.5, True),), 0.7) for f in range(40)}  # two to the 40 sets
+    x = np.random.default_rng(3).random((50, 40))
+    values, base = M._attribute(x, [(path, 1.0)], 40)
+    assert np.abs(base + values.sum(axis=1) - (x <= 0.5).all(axis=1)).max() < 1e-12
+
+
 def test_missing_snapshot_and_columns(spark, tmp_path):
     assert sources.read_snapshot(spark, f"{tmp_path}/none", "pid long").count() == 0
     with pytest.raises(FileNotFoundError):
