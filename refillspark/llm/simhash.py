@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 #: Bit blocks of the wide fingerprint, their bits, and the weakest bits that vary in each block's ball.
-_BLOCKS, _BLOCK_BITS, _WEAK_BITS = 12, 32, 4
+_BLOCKS, _BLOCK_BITS, _WEAK_BITS = 16, 32, 4
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 _SUBSETS = np.array([[m >> b & 1 for b in range(_WEAK_BITS)] for m in range(1 << _WEAK_BITS)], dtype=np.uint64)
 
@@ -139,22 +139,27 @@ def block_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _text_marks(docs: DataFrame, shingle: int, slice_bytes: int) -> DataFrame:
-    """``(id, text_hash, node, keys)`` of ``docs (id, text, text_hash)``; node is a hash of all words, keys go with its first row in a task."""
+    """``(id, text_hash, node, size, keys)`` of ``docs (id, text, text_hash)``.
+
+    Node is a hash of all words; the keys and the number of shingles go with its first row in a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text", slice_bytes):
-            nodes, keys = [], []
+            nodes, sizes, keys = [], [], []
             for text in pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_numpy(zero_copy_only=False):
                 words = text.lower().split()
                 node = int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
-                keys.append(block_keys(shingle_set(words, shingle)) if words and node not in seen else [])
+                found = shingle_set(words if node not in seen else [], shingle)
+                keys.append(block_keys(found) if len(found) else [])
+                sizes.append(len(found))
                 seen.add(node)
                 nodes.append(node)
-            columns = [batch.column("id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "keys"])
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "size", "keys"])
 
-    return map_arrow(docs.select("id", "text", "text_hash"), run, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, node long, keys array<long>")
+    return map_arrow(docs.select("id", "text", "text_hash"), run, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, node long, size int, keys array<long>")
 
 
 def _text_sets(docs: DataFrame, shingle: int, slice_bytes: int) -> DataFrame:
@@ -172,10 +177,6 @@ def _text_sets(docs: DataFrame, shingle: int, slice_bytes: int) -> DataFrame:
     return map_arrow(docs.select("text"), run, "node long, shingles array<long>")
 
 
-#: Rounds in which each text is compared with its likeliest partner only.
-_LIKELY_ROUNDS = 2
-
-
 def _similar(pairs: DataFrame, each: DataFrame, rows: DataFrame, *, shingle: int, similarity: float, slice_bytes: int) -> DataFrame:
     """Those of the node ``pairs (src, dst)`` whose sets of shingles reach the Jaccard ``similarity``."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -193,10 +194,11 @@ def keep_one_of_similar(
     """One row of ``docs`` from each group that word shingles of a Jaccard ``similarity`` or more link.
 
     Texts that meet in the ball of a bit block of their wide fingerprints are candidates; a link is
-    made only where the Jaccard similarity of the two sets of shingles reaches the bound. The
-    partners of a text are the smallest and the largest text of each of its keys. It is first
-    compared with the one that it meets on most keys, then with the next such one to which no links
-    lead yet, then with all of the rest to which none do. A group keeps the row of its smallest
+    made only where the Jaccard similarity of the two sets of shingles reaches the bound. Each text
+    is first compared with the likeliest of its partners, the smallest and the largest text of each
+    of its keys: the one that it meets on most keys. Then each key brings two partners that no
+    links lead to yet: the text with most links so far (without any: the largest) and the smallest
+    one of the smallest group. A group keeps the row of its smallest
     id (of repeated ids the one with the smallest hash of its text; different texts that are not
     similar both stay). Texts without words (null, empty, white space) are equal; equal rows are
     one. Rows without an id can't be told apart and stay as they are. An empty table gives none;
@@ -207,24 +209,27 @@ def keep_one_of_similar(
     each = stored(marked.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first")), "texts")
     # Keys that one text alone has go before the join; a common key is summed up before the shuffle
     # and its rows are split there if they are many.
-    keyed = marked.select("node", F.explode("keys").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = keyed.join(shared_keys, "key").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
-    met = stored(met.groupBy(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).agg(F.count("*").alias("times")), "met")
+    keyed = marked.select(F.struct("node", "size").alias("text"), F.explode("keys").alias("key"))
+    shared_keys = keyed.groupBy("key").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low.node < high.node")
+    common = stored(keyed.join(shared_keys, "key"), "common")
+    pair = [F.least("text.node", "other.node").alias("src"), F.greatest("text.node", "other.node").alias("dst")]
+    # Sets whose sizes lie too far apart can't be similar.
+    alike = F.least("text.size", "other.size") >= F.lit(similarity) * F.greatest("text.size", "other.size")
+    met = common.select("text", F.explode(F.array("low", "high")).alias("other")).where("text.node <> other.node").where(alike).groupBy(*pair).agg(F.count("*").alias("times"))
+    best = F.max(F.struct("times", "src", "dst")).alias("pair")
+    likely = met.select("src", "dst", "times", F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(best)
+    likely = stored(likely.select("pair.src", "pair.dst").distinct(), "candidates")
     options = {"shingle": shingle, "similarity": similarity, "slice_bytes": slice_bytes}
-    links = rooted = None
-    left = met
-    for _ in range(_LIKELY_ROUNDS):
-        likely = left.select(F.explode(F.array("src", "dst")).alias("node"), F.struct("times", "src", "dst").alias("pair")).groupBy("node").agg(F.max("pair").alias("pair"))
-        likely = stored(likely.select("pair.src", "pair.dst").distinct(), "candidates")
-        found = stored(_similar(likely, each, rows, **options), "links")
-        links = found if links is None else links.union(found)
-        rooted = stored(components(links), "rooted")
-        left = left.join(likely, ["src", "dst"], "left_anti")
-        for end in ("src", "dst"):
-            left = left.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}")), end, "left")
-        left = stored(left.where(F.coalesce("of_src", "src") != F.coalesce("of_dst", "dst")).select("src", "dst", "times"), "candidates")
-    roots = components(links.union(_similar(left.select("src", "dst"), each, rows, **options)))
+    links = stored(_similar(likely, each, rows, **options), "links")
+    degrees = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    grouped = components(links).join(degrees, "node")
+    tagged = common.select("key", "text", F.col("text.node").alias("node")).join(grouped, "node", "left")
+    tagged = stored(tagged.select("key", "text", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")), "tagged")
+    pivots = tagged.groupBy("key").agg(F.min(F.struct("root", "text")).alias("low"), F.max(F.struct("degree", "text", "root")).alias("hub"), F.max("root").alias("last"))
+    pivots = pivots.where("low.root < last").select("key", F.array(*(F.struct(F.col(f"{n}.text").alias("other"), F.col(f"{n}.root").alias("of")) for n in ("low", "hub"))).alias("pivots"))
+    met = tagged.join(pivots, "key").select("text", "root", F.inline("pivots")).where("root <> of").where(alike).select(*pair).distinct()
+    rest = stored(met.join(likely, ["src", "dst"], "left_anti"), "candidates")
+    roots = components(links.union(_similar(rest, each, rows, **options)))
     group = each.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = group.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
     mark = "text_hash"
