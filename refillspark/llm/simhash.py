@@ -206,16 +206,14 @@ def keep_one_of_similar(
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     marked = stored(_text_marks(rows, shingle, slice_bytes), "marks")
-    each = stored(marked.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first")), "texts")
+    each = stored(marked.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("size").alias("size")), "texts")
     # Keys that one text alone has go before the join; a common key is summed up before the shuffle
     # and its rows are split there if they are many.
-    keyed = marked.select(F.struct("node", "size").alias("text"), F.explode("keys").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low.node < high.node")
+    keyed = marked.select("node", F.explode("keys").alias("key"))
+    shared_keys = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     common = stored(keyed.join(shared_keys, "key"), "common")
-    pair = [F.least("text.node", "other.node").alias("src"), F.greatest("text.node", "other.node").alias("dst")]
-    # Sets whose sizes lie too far apart can't be similar.
-    alike = F.least("text.size", "other.size") >= F.lit(similarity) * F.greatest("text.size", "other.size")
-    met = common.select("text", F.explode(F.array("low", "high")).alias("other")).where("text.node <> other.node").where(alike).groupBy(*pair).agg(F.count("*").alias("times"))
+    met = common.select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
+    met = met.groupBy(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).agg(F.count("*").alias("times"))
     best = F.max(F.struct("times", "src", "dst")).alias("pair")
     likely = met.select("src", "dst", "times", F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(best)
     likely = stored(likely.select("pair.src", "pair.dst").distinct(), "candidates")
@@ -223,10 +221,14 @@ def keep_one_of_similar(
     links = stored(_similar(likely, each, rows, **options), "links")
     degrees = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     grouped = components(links).join(degrees, "node")
-    tagged = common.select("key", "text", F.col("text.node").alias("node")).join(grouped, "node", "left")
-    tagged = stored(tagged.select("key", "text", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")), "tagged")
+    info = each.select("node", "size").join(grouped, "node", "left")
+    info = info.select("node", F.struct("node", "size").alias("text"), F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    tagged = stored(common.select("key", "node").join(info, "node").drop("node"), "tagged")
     pivots = tagged.groupBy("key").agg(F.min(F.struct("root", "text")).alias("low"), F.max(F.struct("degree", "text", "root")).alias("hub"), F.max("root").alias("last"))
     pivots = pivots.where("low.root < last").select("key", F.array(*(F.struct(F.col(f"{n}.text").alias("other"), F.col(f"{n}.root").alias("of")) for n in ("low", "hub"))).alias("pivots"))
+    # Sets whose sizes lie too far apart can't be similar.
+    alike = F.least("text.size", "other.size") >= F.lit(similarity) * F.greatest("text.size", "other.size")
+    pair = [F.least("text.node", "other.node").alias("src"), F.greatest("text.node", "other.node").alias("dst")]
     met = tagged.join(pivots, "key").select("text", "root", F.inline("pivots")).where("root <> of").where(alike).select(*pair).distinct()
     rest = stored(met.join(likely, ["src", "dst"], "left_anti"), "candidates")
     roots = components(links.union(_similar(rest, each, rows, **options)))
