@@ -189,7 +189,7 @@ def _similar(pairs: DataFrame, each: DataFrame, rows: DataFrame, *, shingle: int
 
 
 def keep_one_of_similar(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, slice_bytes: int = 4 << 20
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, slice_bytes: int = 1 << 20
 ) -> DataFrame:
     """One row of ``docs`` from each group that word shingles of a Jaccard ``similarity`` or more link.
 
@@ -207,11 +207,11 @@ def keep_one_of_similar(
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     marked = stored(_text_marks(rows, shingle, slice_bytes), "marks")
     each = stored(marked.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("size").alias("size")), "texts")
-    # Keys that one text alone has go before the join; a common key is summed up before the shuffle
-    # and its rows are split there if they are many.
+    # One shuffle of all keys; those that one text alone has go there. No key can hold much of its
+    # rows: a text brings hundreds of keys, and a key once (once a task for copies).
+    by_key = Window.partitionBy("key")
     keyed = marked.select("node", F.explode("keys").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    common = stored(keyed.join(shared_keys, "key"), "common")
+    common = stored(keyed.select("node", "key", F.min("node").over(by_key).alias("low"), F.max("node").over(by_key).alias("high")).where("low < high"), "common")
     met = common.select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
     met = met.groupBy(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).agg(F.count("*").alias("times"))
     best = F.max(F.struct("times", "src", "dst")).alias("pair")
