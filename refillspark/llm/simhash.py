@@ -207,8 +207,8 @@ def keep_one_of_similar(
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     marked = stored(_text_marks(rows, shingle, slice_bytes), "marks")
     each = stored(marked.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("size").alias("size")), "texts")
-    # One shuffle of all keys; those that one text alone has go there. No key can hold much of its
-    # rows: a text brings hundreds of keys, and a key once (once a task for copies).
+    # One shuffle of all keys; those that one text alone has go there. A text brings a key once (once
+    # a task for copies); the rows of a common key meet in one window, which spills.
     by_key = Window.partitionBy("key")
     keyed = marked.select("node", F.explode("keys").alias("key"))
     common = stored(keyed.select("node", "key", F.min("node").over(by_key).alias("low"), F.max("node").over(by_key).alias("high")).where("low < high"), "common")
