@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, pii, quality, sharding, simhash, substring, tokens, topk, toxicity
+from . import bpe, decontam, language_model, pii, quality, sharding, simhash, spelling, substring, tokens, topk, toxicity, whitening
 from .common import spread, table
 
 
@@ -50,6 +50,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(spread(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(spread(table(spark, sf_dir, "documents")), drop_every=199))
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model_scores(spread(table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_lm_scores": op12_lm_scores,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +113,35 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept
     """,
+    # The crc32 is worked out byte by byte over its table; pairs meet by words with one code point left out or masked.
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE forms0 AS MATERIALIZED (
+            SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc FROM range(256) t(n)
+        ), runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+        ), distinct_runs AS (
+            SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+        ), hashed AS (
+            SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(1, octet_length(encode(id || ':' || run)) + 1), lambda i: ('0x' || substring(hex(encode(id || ':' || run)), 2 * i - 1, 2))::BIGINT),
+                lambda a, b: xor(a >> 8, crc[1 + xor(a % 256, b)])), 4294967295) AS h FROM distinct_runs, forms0
+        ), words AS MATERIALIZED (
+            SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+        ), places AS MATERIALIZED (
+            SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+        ), pairs AS (
+            SELECT a.word, b.word AS near, b.n FROM places a JOIN places b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+            UNION SELECT p.word, w.word, w.n FROM places p JOIN words w ON p.cut = w.word
+            UNION SELECT w.word, p.word, p.n FROM places p JOIN words w ON p.cut = w.word
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(near)) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM pairs
+        ), formed AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN r.n >= 5 * w.n THEN near END AS form, CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n
+            FROM words w LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r USING (word)
+        ), walk AS (
+            SELECT word, word AS root, form AS next FROM formed
+            UNION ALL SELECT walk.word, walk.next, formed.form FROM walk JOIN formed ON walk.next = formed.word
+        )
+        SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w ON f.word = w.word AND w.next IS NULL
+    """,
 }
