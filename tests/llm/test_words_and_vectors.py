@@ -140,12 +140,12 @@ def test_scores_of_plain_counts(spark, most_known):
 
 
 def test_all_words_together_have_probability_one(spark):
-    shape = language_model.Shape(classes=5, heads=3, bits=8)
+    shape = language_model.Shape(classes=6, heads=4, bits=8)
     rows = frame(spark, corpus()).selectExpr("doc_id AS id", "text", "crc32(cast(cast(doc_id AS string) AS binary)) AS fold", "doc_id IS NOT NULL AS learns")
     model, counts, _, _ = language_model.fit(rows, shape=shape, most_known=20, rounds=2, rate=0.3, share_tokens=10_000, slice_bytes=10_000)
     c = {r.word.encode(): r.learnt for r in counts.collect()}
-    unknown = {language_model.class_of(w, 5): w for w in (f"zzz{k}".encode() for k in range(2000)) if w not in c}
-    assert len(unknown) == 5
+    unknown = {language_model.class_of(w, 6): w for w in (f"zzz{k}".encode() for k in range(2000)) if w not in c}
+    assert len(unknown) == 6
     steps = language_model.Steps(model)
     assert any(np.abs(t).max() > 0.5 for t in model.tables)
     for context in ([b"the", b"cat"], [b"nothing", b"known"], [b"\n", b"dog"]):
@@ -161,7 +161,7 @@ def test_steps_raise_the_likelihood():
     mass = np.ones(4)
     for w, n in c.items():
         mass[language_model.class_of(w, 4)] += n + 1
-    model = language_model.Model(language_model.Shape(4, 3, 10), list(c.items()), mass)
+    model = language_model.Model(language_model.Shape(4, 4, 10), list(c.items()), mass)
     steps = language_model.Steps(model)
     numbers, places, _ = steps.encoded(texts)
     before = steps.run(numbers, places).sum()
