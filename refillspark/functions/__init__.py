@@ -50,9 +50,10 @@ def scaled_between(c: Column, least: Column, most: Column, low: float = 0.1, hig
 
 
 def min_max_scale(rows: DataFrame, value: Column, by: str, name: str) -> DataFrame:
-    """Adds ``value`` scaled within its group; the ends come from an aggregate that combines before the shuffle."""
-    ends = rows.groupBy(by).agg(F.min(value).alias("least_"), F.max(value).alias("most_"))
-    return rows.join(ends, by, "left").withColumn(name, scaled_between(value, F.col("least_"), F.col("most_"))).drop("least_", "most_")
+    """Adds ``value`` scaled within its group (a null one is a group too); the ends come from an aggregate that combines before the shuffle."""
+    ends = rows.groupBy(F.col(by).alias("by_")).agg(F.min(value).alias("least_"), F.max(value).alias("most_"))
+    met = rows.join(ends, F.col(by).eqNullSafe(F.col("by_")), "left")
+    return met.withColumn(name, scaled_between(value, F.col("least_"), F.col("most_"))).drop("by_", "least_", "most_")
 
 
 def fractional_days(a: Column, b: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Places in a global order without one task that sees all rows."""
+"""Places in a global order without one task that sees all rows.
+
+Groups and buckets may be null: rows with a null key are a group, or a bucket, of their own.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_with_nulls(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys meet null keys; ``rows`` keeps its columns, and ``other`` adds those that aren't keys."""
+    theirs = other.select(*(F.col(c).alias(f"{c}_theirs_") for c in on), *(c for c in other.columns if c not in on))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_theirs_")) for c in on]
+    return rows.join(theirs, same, how).drop(*(f"{c}_theirs_" for c in on))
+
+
 def running_totals(rows: DataFrame, bucket: Column, order: list, totals: dict[str, Column], by: str | None = None, inclusive: bool = False, down: bool = False) -> DataFrame:
     """Adds, for each name, the sum of a column over the rows before this one (with ``inclusive`` this one too), within ``by``.
 
@@ -19,7 +29,7 @@ def running_totals(rows: DataFrame, bucket: Column, order: list, totals: dict[st
     over = Window.partitionBy(*(group or [F.lit(0)])).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     offsets = own.select(*group, "bucket_", *(F.coalesce(F.sum(f"{n}_own").over(over), F.lit(0)).alias(f"{n}_before") for n in totals))
     within = Window.partitionBy(*group, "bucket_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = rows.withColumns({f"{n}_within": F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in totals.items()}).join(offsets, [*group, "bucket_"])
+    out = rows.withColumns({f"{n}_within": F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in totals.items()}).transform(join_with_nulls, offsets, [*group, "bucket_"])
     out = out.withColumns({n: F.col(f"{n}_before") + F.col(f"{n}_within") for n in totals})
     return out.drop("bucket_", *(f"{n}_{x}" for n in totals for x in ("before", "within")))
 
@@ -34,5 +44,5 @@ def running_count(rows: DataFrame, bucket_col: str, order: list[str], name: str,
     before = F.sum("own").over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*group, bucket_col, F.coalesce(before, F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy(*group, bucket_col).orderBy(*order))
-    out = rows.withColumn("within", within).join(offsets, [*group, bucket_col])
+    out = join_with_nulls(rows.withColumn("within", within), offsets, [*group, bucket_col])
     return out.withColumn(name, F.col("before") + F.col("within")).drop("before", "within")

@@ -88,7 +88,11 @@ def resolve_driver(remapped: DataFrame, rules: DataFrame, margin: float = 1.25,
 
 
 def decide(attributions: DataFrame, rules: DataFrame, fallbacks: DataFrame, margin: float = 1.25) -> DataFrame:
-    """Action, secondary action, rationale in four languages and the candidates, for each subject."""
+    """Action, secondary action, rationale in four languages and the candidates, for each subject.
+
+    A driver without a rule can't be routed: that raises an error, since a card without an action
+    would be lost on the way to a worklist (``validate_rules`` lists such drivers beforehand).
+    """
     remapped = remap_fallback(attributions, fallbacks)
     resolved = resolve_driver(remapped, rules, margin).join(safety_flags(attributions), "pid", "left")
     forced = F.coalesce(F.col("is_safety") == 1, F.lit(False))
@@ -96,7 +100,9 @@ def decide(attributions: DataFrame, rules: DataFrame, fallbacks: DataFrame, marg
         "pid", F.when(forced, "safety").otherwise(F.col("driver")).alias("driver"), F.when(forced, F.col("raw")).otherwise(F.col("value")).alias("value"),
         forced.cast("int").alias("is_safety"), F.when(forced, 0).otherwise(F.col("by_hierarchy")).alias("by_hierarchy"),
     )
-    ruled = chosen.join(F.broadcast(rules.select("driver", "action", "secondary_action")), "driver", "left")
+    ruled = chosen.join(F.broadcast(rules.select("driver", "action", "secondary_action", F.lit(True).alias("ruled"))), "driver", "left")
+    no_rule = F.raise_error(F.concat(F.lit("no rule for driver "), F.coalesce("driver", F.lit("null"))))
+    ruled = ruled.withColumn("action", F.when(F.col("ruled"), F.col("action")).otherwise(no_rule.cast("string")))
     fields = {"driver": F.col("driver"), "value": F.round("value", 3).cast("decimal(10,3)"), "action": F.col("action")}
     note = lambda lang: F.when(F.col("by_hierarchy") == 1, F.lit(TIE_BREAK[lang].format(margin=margin))).otherwise("")
     texts = F.create_map(*(x for lang, t in LANGUAGES.items() for x in (F.lit(lang), F.concat(render_template(F.lit(t), fields), note(lang)))))
@@ -141,11 +147,13 @@ def labels_of(key: Column, labels: dict[str, dict[str, str]], lang: str) -> Colu
 def worklist_meta(cards: DataFrame, caps: DataFrame, version: int = 1) -> DataFrame:
     """One row: cohort size, cards taken, capacity, the cap used and the expansion of each role, and the version of the rules.
 
-    A role without a cap is not in ``caps_used``; maps have an entry a role.
+    A role without a cap uses as many as it has cards. Maps have an entry a role; cards without a
+    role count in the sums only.
     """
-    by_role = cards.groupBy("role").agg(F.count("*").alias("n"), F.sum("included").alias("taken"), F.max("effective_cap").alias("used")).join(F.broadcast(caps), "role", "left")
-    by_role = by_role.withColumn("beyond", F.greatest(F.col("used") - F.col("cap"), F.lit(0)))
-    entries = lambda value, when: F.map_from_entries(F.array_sort(F.collect_list(F.when(when, F.struct("role", value)))))
+    own = caps.where("role is not null and cap is not null").groupBy("role").agg(F.max("cap").alias("cap"))
+    by_role = cards.groupBy("role").agg(F.count("*").alias("n"), F.sum("included").alias("taken"), F.max("effective_cap").alias("used")).join(F.broadcast(own), "role", "left")
+    by_role = by_role.withColumn("beyond", F.greatest(F.col("used") - F.coalesce("cap", "n"), F.lit(0)))
+    entries = lambda value, when: F.map_from_entries(F.array_sort(F.collect_list(F.when(when & F.col("role").isNotNull(), F.struct("role", value)))))
     return by_role.agg(
         F.sum("n").alias("cohort_size"), F.sum("taken").alias("n_taken"), F.sum("used").alias("capacity"),
         entries("used", F.col("used").isNotNull()).alias("caps_used"), entries("beyond", F.col("beyond") > 0).alias("expansions"), F.lit(version).alias("rules_version"),

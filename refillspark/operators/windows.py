@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distributed import running_count
+from .distributed import join_with_nulls, running_count
 
 
 def rank_in_role(cards: DataFrame) -> DataFrame:
-    """Within a role those for human review first, then by score; the id decides ties."""
+    """Within a role those for human review first, then by score (nulls last); the id decides ties. Cards without a role are ranked among themselves."""
     step = F.when(F.col("score") > 0, F.floor(-F.log("score") * 1000)).otherwise(1 << 40)
-    rows = cards.withColumn("bucket_", F.when(F.col("needs_review") == 1, step - (1 << 42)).otherwise(step))
-    return running_count(rows, "bucket_", [F.desc("needs_review"), F.desc("score"), "pid"], "rank_in_role", by="role").drop("bucket_").select(*cards.columns, F.col("rank_in_role").cast("int").alias("rank_in_role"))
+    review = F.coalesce(F.col("needs_review") == 1, F.lit(False))
+    rows = cards.withColumn("bucket_", F.when(review, step - (1 << 42)).otherwise(step))
+    return running_count(rows, "bucket_", [F.desc(review), F.desc("score"), "pid"], "rank_in_role", by="role").drop("bucket_").select(*cards.columns, F.col("rank_in_role").cast("int").alias("rank_in_role"))
 
 
 def apply_caps(ranked: DataFrame, caps: DataFrame) -> DataFrame:
-    """``effective_cap`` is the role's cap, or as many as need review; a role without a cap takes everyone."""
-    reviews = ranked.groupBy("role").agg(F.count_if(F.col("needs_review") == 1).alias("reviews"))
-    out = ranked.join(F.broadcast(caps), "role", "left").join(reviews, "role")
-    cap = F.when(F.col("cap").isNotNull(), F.greatest("cap", F.col("reviews").cast("int")))
+    """``effective_cap`` is the role's cap, or as many as need review; a role without a cap, or with a null one, takes everyone.
+
+    ``expanded`` marks those for review in a role whose cap they raised. Cards without a role are a
+    role of their own; every card stays.
+    """
+    roles = ranked.groupBy("role").agg(F.count("*").cast("int").alias("size_"), F.count_if(F.col("needs_review") == 1).cast("int").alias("reviews_"))
+    known = caps.where("role is not null and cap is not null").groupBy("role").agg(F.max("cap").alias("cap_"))
+    out = join_with_nulls(ranked, roles.join(F.broadcast(known), "role", "left"), ["role"])
+    cap = F.coalesce("cap_", "size_")
+    effective = F.greatest(cap, F.col("reviews_"))
     return out.select(
         *ranked.columns,
-        cap.alias("effective_cap"),
-        F.coalesce(cap > F.col("cap"), F.lit(False)).cast("int").alias("expanded"),
-        F.coalesce(F.col("rank_in_role") <= cap, F.lit(True)).cast("int").alias("included"),
+        effective.alias("effective_cap"),
+        F.coalesce((effective > cap) & (F.col("needs_review") == 1), F.lit(False)).cast("int").alias("expanded"),
+        (F.col("rank_in_role") <= effective).cast("int").alias("included"),
     )
 
 
@@ -49,7 +56,7 @@ def temporal_leaks(split: DataFrame) -> DataFrame:
 
 
 def stratified_folds(rows: DataFrame, label_col: str = "event", k: int = 5, seed: int = 42) -> DataFrame:
-    """Each row in one fold, every class spread evenly, in an order that only the ids and the seed decide."""
+    """Each row in one fold, every class spread evenly, in an order that only the ids and the seed decide; rows without a label are a class of their own."""
     shuffle = F.md5(F.concat_ws("|", F.col("pid").cast("string"), F.lit(str(seed))))
     prefix = F.substring(shuffle, 1, 2)
     placed = running_count(rows.withColumn("prefix", prefix).withColumn("shuffle", shuffle), "prefix", ["shuffle", "pid"], "place", by=label_col)
@@ -67,7 +74,3 @@ def incremental_batches(ids: DataFrame, size: int, seed: int = 7) -> DataFrame:
     rows = ids.select("pid").distinct().withColumn("shuffle", shuffle).withColumn("prefix", F.substring(shuffle, 1, 2))
     placed = running_count(rows, "prefix", ["shuffle", "pid"], "place")
     return placed.select("pid", F.floor((F.col("place") - 1) / size).cast("int").alias("batch"))
-
-
-def share_of_total(value: Column, by: str | None = None) -> Column:
-    return value / F.sum(value).over(Window.partitionBy(*([by] if by else [F.lit(0)])))

@@ -184,17 +184,23 @@ _PICK = lambda p: f"CASE round WHEN 0 THEN {p}_0 WHEN 1 THEN {p}_1 ELSE {p}_2 EN
 #: Days from the events' calendar to that of the cards.
 SHIFT = (dt.date.fromisoformat(START) - dt.date(2000, 12, 5)).days
 _SEEN = _OUTCOMES + f", seen AS (SELECT pid, observed, on_time_refill, event_date - {SHIFT} AS event_date FROM outcomes)"
-_STATE = (
-    _SCHED + _SEEN + _STATUS
-    + f", st0 AS (SELECT s.*, observed, on_time_refill, event_date, CASE WHEN observed = 1 THEN coalesce(event_date, DATE '{TICK}') ELSE DATE '{TICK}' END AS ref FROM sched s LEFT JOIN seen USING (pid))"
-    + f", st1 AS (SELECT *, ({_ROUND})::INT AS round FROM st0), st2 AS (SELECT *, {_ACTION} AS action FROM st1)"
-    + _gate_sql("st2", "st3", keep=True)
-    + f", st4 AS (SELECT *, {_PICK('wait')} AS wait_until, {_PICK('escalate')} AS escalate_at, {_PICK('effective')} AS effective_escalate_at FROM st3)"
-    + f""", states AS (SELECT *, CASE WHEN observed = 1 AND on_time_refill = 1 THEN 'CLOSED' WHEN observed = 1 THEN 'EXHAUSTED' WHEN round = 2 AND DATE '{TICK}' >= effective_escalate_at THEN 'EXHAUSTED'
-        WHEN DATE '{TICK}' < wait_until THEN 'WAITING' WHEN allowed = 0 AND scope = 'internal' THEN 'GATED_ON_CONSENT'
-        WHEN DATE '{TICK}' >= escalate_at AND DATE '{TICK}' < effective_escalate_at THEN 'WAITING_ON_DATA_LATENCY' ELSE 'PENDING' END AS status,
+
+
+def _state_sql(day: str) -> str:
+    """``states`` as of a day, of the frames ``sched``, ``seen`` and ``cstat``."""
+    return (
+        f", st0 AS (SELECT s.*, observed, on_time_refill, event_date, CASE WHEN observed = 1 THEN coalesce(event_date, DATE '{day}') ELSE DATE '{day}' END AS ref FROM sched s LEFT JOIN seen USING (pid))"
+        + f", st1 AS (SELECT *, ({_ROUND})::INT AS round FROM st0), st2 AS (SELECT *, {_ACTION} AS action FROM st1)"
+        + _gate_sql("st2", "st3", keep=True)
+        + f", st4 AS (SELECT *, {_PICK('wait')} AS wait_until, {_PICK('escalate')} AS escalate_at, {_PICK('effective')} AS effective_escalate_at FROM st3)"
+        + f""", states AS (SELECT *, CASE WHEN observed = 1 AND on_time_refill = 1 THEN 'CLOSED' WHEN observed = 1 THEN 'EXHAUSTED' WHEN round = 2 AND DATE '{day}' >= effective_escalate_at THEN 'EXHAUSTED'
+        WHEN DATE '{day}' < wait_until THEN 'WAITING' WHEN allowed = 0 AND scope = 'internal' THEN 'GATED_ON_CONSENT'
+        WHEN DATE '{day}' >= escalate_at AND DATE '{day}' < effective_escalate_at THEN 'WAITING_ON_DATA_LATENCY' ELSE 'PENDING' END AS status,
         ((is_safety = 0 AND internal_allowed = 0) OR (round >= 1 AND CASE WHEN is_safety = 0 AND driver IN ('transport', 'access') THEN external_allowed ELSE internal_allowed END = 0) OR (round = 2 AND internal_allowed = 0))::INT AS any_gated FROM st4)"""
-)
+    )
+
+
+_STATE = _SCHED + _SEEN + _STATUS + _state_sql(TICK)
 _STATE_FRAMES = (*R.WORKLIST_FRAMES, "subjects", "consent", "feed")
 
 

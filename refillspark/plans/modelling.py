@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources as S
 from .. import streaming as T
-from ..operators import closure as K
 from ..operators import escalation as X
 from ..operators import models as M
+from ..operators import routing as O
 from ..operators import windows as W
 from . import features as base
 from . import lifecycle as L
@@ -139,42 +142,129 @@ def _(z):
 # ---- streams ------------------------------------------------------------------------------------
 
 
+def as_replay(df: DataFrame, order: str, files: int) -> DataFrame:
+    """The rows as a stream that brings ``files`` files one after the other, in the order of a column: a feed for replays."""
+    path = T.new_path(df.sparkSession, "replay")
+    ends = df.agg(F.min(F.unix_micros(order)).alias("a"), F.max(F.unix_micros(order)).alias("b")).first()
+    place = F.lit(0) if ends["a"] is None else F.floor((F.unix_micros(order) - ends["a"]) * files / max(1, ends["b"] - ends["a"] + 1))
+    for i in range(files):  # one write after the other: a stream takes files by their time
+        df.where(F.coalesce(place, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _stream(z, files: int):
     events = z.table("events").select(F.col("user_id").alias("pid"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").cast("int").alias("is_dispense"))
-    return T.as_replay(events, "ts", files)
+    return as_replay(events, "ts", files)
+
+
+def _file_sql(files: int) -> str:
+    """The file (from 0) of an event in a replay."""
+    return f"((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * {files} // (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events))"
 
 
-@query("t5_stream_reveal", "SELECT user_id AS pid, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1")
+@query("t5_stream_reveal", f"SELECT user_id AS pid, min(ts) AS ts, min({_file_sql(4)})::INT AS batch FROM events GROUP BY 1")
 def _(z):
-    return T.drained(T.reveal(_stream(z, 4))).groupBy("pid").agg(F.count("*").alias("n"))
+    return T.reveal(_stream(z, 4)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("t6_stream_score_and_route", with_frames(R.WORKLIST_SQL.replace("JOIN scores USING (pid)", "JOIN scores USING (pid) WHERE pid IN (SELECT user_id FROM events)") + " SELECT pid, role, rank_in_role, included FROM worklist", *R.WORKLIST_FRAMES))
+_REVEALED = R.WORKLIST_SQL.replace("JOIN scores USING (pid)", "JOIN scores USING (pid) WHERE pid IN (SELECT user_id FROM events)")
+
+
+def _routed(z, known):
+    return O.build_worklist(R.decided(z).join(known, "pid", "left_semi"), z.scores(), R._caps(z))
+
+
+@query("t6_stream_score_and_route", with_frames(_REVEALED + " SELECT pid, role, rank_in_role, included FROM worklist", *R.WORKLIST_FRAMES))
 def _(z):
-    from ..operators import routing as O
+    return T.score_and_route(_stream(z, 3), lambda known: _routed(z, known).select("pid", "role", "rank_in_role", "included"))
+
+
+def model_route(z):
+    """A route whose scores come from a model that is fitted once, before the stream starts."""
+    panel = _panel(z)
+    model = M.fit_logistic(panel, FEATURES, "event")
 
     def route(known):
-        scores = z.scores().join(known, "pid", "left_semi")
-        return O.build_worklist(R.decided(z), scores, R._caps(z)).select("pid", "role", "rank_in_role", "included")
+        scores = M.score_holdout(model, panel.join(known, "pid", "left_semi"), FEATURES).withColumnRenamed("score", "risk")
+        scores = scores.join(z.subjects().select("pid", "stratum"), "pid")
+        return O.build_worklist(R.decided(z), scores, R._caps(z)).select("pid", "risk", "role", "score", "rank_in_role", "included")
 
-    return T.score_and_route(_stream(z, 3), route)
+    return route
 
 
-@query("t7_stream_escalation")
+# Fitted risks aren't SQL's; of the ranks it can say that each role has all of them, and how many the caps take.
+@query(
+    "t6_stream_model",
+    with_frames(
+        R.WORKLIST_SQL + f""", r AS (SELECT action AS role, is_safety FROM decided WHERE pid IN (SELECT user_id FROM events) AND pid IN (SELECT pid FROM cohort))
+        SELECT role, count(*) AS n, count(*) AS n_scored, count(*) AS n_ranks, count(*)::INT AS last_rank, least(count(*), greatest(coalesce(any_value(cap), count(*)), sum(is_safety)))::BIGINT AS n_included
+        FROM r LEFT JOIN caps USING (role) GROUP BY role""",
+        *R.WORKLIST_FRAMES, "cohort",
+    ),
+)
 def _(z):
-    cards, status = R.worklist(z), L._status(z)
+    last = T.score_and_route(_stream(z, 3), model_route(z)).groupBy("role")
+    return last.agg(F.count("*").alias("n"), F.count_if(F.col("risk").between(0, 1)).alias("n_scored"), F.countDistinct("rank_in_role").alias("n_ranks"), F.max("rank_in_role").alias("last_rank"), F.sum("included").alias("n_included"))
+
+
+#: The day of the first tick in the cards' calendar, and the days from a tick to the next.
+FIRST_TICK, TICK_DAYS = "2000-12-15", 30
+
 
-    def advance(batch, prior, number):
-        day = f"2000-{10 + number:02d}-01"
-        filled = batch.where("is_dispense = 1").groupBy("pid").agg(F.min(F.to_date("ts")).alias("event_date"))
-        outcomes = filled.select("pid", F.lit(1).alias("observed"), F.lit(1).alias("on_time_refill"), F.to_date(F.lit(day)).alias("event_date"))
-        keep = ["pid", "entry_date", "days_to_break", "driver", "is_safety", "round", "status", "dispatch_dates", "as_of"]
-        return X.advance_state(cards, outcomes, status, prior, day, L.LATENCY).select(*keep)
+def tick_day(number: int) -> str:
+    return str(dt.date.fromisoformat(FIRST_TICK) + dt.timedelta(days=TICK_DAYS * number))
 
-    return T.escalate(_stream(z, 3), advance).select("pid", "entry_date", "round", "status", F.size("dispatch_dates").alias("n_dispatched"))
+
+_STATE_COLUMNS = ["pid", "entry_date", "days_to_break", "driver", "is_safety", "round", "status", "closed_on_round", "dispatch_dates", "as_of"]
+
+
+def advance_by_ticks(z):
+    """A tick of the streamed escalation: the revealed are routed anew, and their states move on to the tick's day."""
+    status = L._status(z)
+
+    def advance(known, outcomes, prior, number):
+        cards = T.kept(_routed(z, known), "cards")
+        filled = outcomes.select("pid", F.lit(1).alias("observed"), F.lit(1).alias("on_time_refill"), F.date_sub("event_date", L.SHIFT).alias("event_date"))
+        states = X.advance_state(cards, filled, status, prior, tick_day(number), L.LATENCY).select(*_STATE_COLUMNS)
+        return states.join(cards.select("pid", "rank_in_role", "included"), "pid")
+
+    return advance
+
+
+# The state after three ticks, from all events at once: a subject enters on the day of the tick that reveals it.
+_ENTERED = f", entered AS (SELECT w.pid, driver, is_safety, days_to_break, rank_in_role, included, DATE '{FIRST_TICK}' + ({TICK_DAYS} * tick)::INT AS entry_date FROM worklist w JOIN (SELECT user_id AS pid, min({_file_sql(3)}) AS tick FROM events GROUP BY 1) USING (pid))"
+_BOUGHT = f", seen AS (SELECT user_id AS pid, 1 AS observed, 1 AS on_time_refill, min(ts)::DATE - {L.SHIFT} AS event_date FROM events WHERE event_type = 'purchase' GROUP BY 1)"
+_LAST = (_REVEALED + _ENTERED + L._schedule_sql("entered", "sched") + _BOUGHT + L._STATUS + L._state_sql(tick_day(2)) + f""", went AS (SELECT pid, count(*) AS n FROM (SELECT *, unnest([0, 1, 2]) AS r FROM states)
+    WHERE r <= round AND r >= is_safety AND (internal_allowed = 1 OR (r = 1 AND is_safety = 0 AND driver IN ('transport', 'access')))
+    AND (r < round OR status = 'PENDING' OR (status <> 'WAITING' AND ref >= {L._PICK('wait').replace('CASE round', 'CASE r')})) GROUP BY pid)""")
+
+
+@query(
+    "t7_stream_escalation",
+    with_frames(
+        _LAST + """ SELECT pid, entry_date, round, CASE WHEN status = 'PENDING' THEN 'DISPATCHED' ELSE status END AS status, CASE WHEN status = 'CLOSED' THEN round END AS closed_on_round,
+        coalesce(n, 0)::INT AS n_dispatched, rank_in_role, included FROM states LEFT JOIN went USING (pid)""",
+        *R.WORKLIST_FRAMES, "subjects", "consent",
+    ),
+)
+def _(z):
+    return T.escalate(_stream(z, 3), advance_by_ticks(z)).select("pid", "entry_date", "round", "status", "closed_on_round", F.size("dispatch_dates").alias("n_dispatched"), "rank_in_role", "included")
 
 
 @query("t8_latency_guard", """SELECT ts::DATE::TIMESTAMP AS day, count(*) AS n, sum((event_type = 'purchase')::INT)::BIGINT AS n_dispensed FROM events
     GROUP BY 1 HAVING ts::DATE::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 14 DAY""".replace("HAVING ts::DATE::TIMESTAMP", "HAVING day"))
 def _(z):
     return T.drained(T.latency_guard(_stream(z, 5), 14)).withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+# Events arrive by id here, a fifth in each file, so that many come after their day was closed.
+@query(
+    "t8_latency_counts",
+    """WITH e AS (SELECT *, ts::DATE::TIMESTAMP AS day, (event_id - (SELECT min(event_id) FROM events)) * 5 // (SELECT max(event_id) - min(event_id) + 1 FROM events) AS file FROM events),
+    before AS (SELECT f.file, max(e.ts) AS latest FROM (SELECT DISTINCT file FROM e) f LEFT JOIN e ON e.file < f.file GROUP BY f.file)
+    SELECT day, count(*) AS n, sum((event_type = 'purchase')::INT)::BIGINT AS n_dispensed, count(*) FILTER (day + INTERVAL 3 DAY <= latest) AS n_late, (day + INTERVAL 3 DAY <= (SELECT max(ts) FROM events))::INT AS final
+    FROM e JOIN before USING (file) GROUP BY day""",
+)
+def _(z):
+    events = z.table("events").select(F.timestamp_micros("event_id").alias("at"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").cast("int").alias("is_dispense"))
+    return T.latency_counts(as_replay(events, "at", 5), 2).withColumn("day", F.col("day").cast("timestamp_ntz"))

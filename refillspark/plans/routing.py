@@ -69,8 +69,8 @@ _CARDS = f""", caps AS (SELECT * FROM {_values(CAPS, 'role, cap')}),
     cards1 AS (SELECT *, min(abs(value)) OVER w AS lo, max(abs(value)) OVER w AS hi FROM cards0 WINDOW w AS (PARTITION BY role)),
     cards2 AS (SELECT * EXCLUDE (lo, hi), round(1 / (1 + greatest(days_to_break, 0)) * CASE WHEN hi > lo THEN 0.1 + (abs(value) - lo) / (hi - lo) * 0.9 ELSE 1.0 END, 9) AS score FROM cards1),
     cards3 AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY needs_review DESC, score DESC, pid) AS rank_in_role FROM cards2),
-    cards AS (SELECT c.*, greatest(cap, sum(needs_review) OVER (PARTITION BY role))::INT AS cap1, cap FROM cards3 c LEFT JOIN caps USING (role)),
-    worklist AS (SELECT * EXCLUDE (cap, cap1), CASE WHEN cap IS NOT NULL THEN cap1 END AS effective_cap, (cap IS NOT NULL AND cap1 > cap)::INT AS expanded, (cap IS NULL OR rank_in_role <= cap1)::INT AS included FROM cards)"""
+    cards AS (SELECT c.*, coalesce(cap, count(*) OVER (PARTITION BY role)) AS cap0, sum(needs_review) OVER (PARTITION BY role) AS reviews FROM cards3 c LEFT JOIN caps USING (role)),
+    worklist AS (SELECT * EXCLUDE (cap0, reviews), greatest(cap0, reviews)::INT AS effective_cap, (reviews > cap0 AND needs_review = 1)::INT AS expanded, (rank_in_role <= greatest(cap0, reviews))::INT AS included FROM cards)"""
 WORKLIST_SQL = _REMAP + _SAFE + _RESOLVED + _DECIDED + _CARDS
 WORKLIST_FRAMES = ("attributions", "scores")
 _PLAIN = ["pid", "driver", "value", "is_safety", "by_hierarchy", "action", "secondary_action"]
@@ -168,7 +168,7 @@ def _entries(m: str):
     with_frames(
         WORKLIST_SQL + """, m AS (SELECT role, count(*) AS n, sum(included) AS taken, max(effective_cap) AS used FROM worklist GROUP BY role)
         SELECT sum(n)::BIGINT AS cohort_size, sum(taken)::BIGINT AS n_taken, sum(used)::BIGINT AS capacity, coalesce(string_agg(role || ':' || used, ',' ORDER BY role) FILTER (used IS NOT NULL), '') AS caps_used,
-        coalesce(string_agg(role || ':' || (used - cap), ',' ORDER BY role) FILTER (used > cap), '') AS expansions, 1 AS rules_version FROM m LEFT JOIN caps USING (role)""",
+        coalesce(string_agg(role || ':' || (used - coalesce(cap, n)), ',' ORDER BY role) FILTER (used > coalesce(cap, n)), '') AS expansions, 1 AS rules_version FROM m LEFT JOIN caps USING (role)""",
         *WORKLIST_FRAMES,
     ),
 )

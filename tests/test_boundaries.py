@@ -167,7 +167,8 @@ def test_auc_handles_ties_and_single_classes(spark):
 def test_caps_widen_for_reviews(spark):
     cards = spark.createDataFrame([(i, "sw", int(i < 3), float(i)) for i in range(6)] + [(9, "free", 0, 1.0)], "pid long, role string, needs_review int, score double")
     out = {r.pid: (r.effective_cap, r.expanded, r.included) for r in W.apply_caps(W.rank_in_role(cards), spark.createDataFrame([("sw", 2)], "role string, cap int")).collect()}
-    assert [p for p, v in out.items() if v[2]] and sorted(p for p, v in out.items() if v[2]) == [0, 1, 2, 9] and out[0][:2] == (3, 1) and out[9][0] is None
+    assert [p for p, v in out.items() if v[2]] and sorted(p for p, v in out.items() if v[2]) == [0, 1, 2, 9] and out[0][:2] == (3, 1) and out[9][:2] == (1, 0)
+    assert [out[p][1] for p in range(6)] == [1, 1, 1, 0, 0, 0]  # only those for review are marked
 
 
 def test_split_fractions_are_checked(spark):
