@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distributed import running_totals
+from .distributed import quantiles, running_totals
 
 
 def _six(c: Column) -> Column:
@@ -175,24 +175,54 @@ def stratify(rows: DataFrame, by: str, known: DataFrame, metrics: dict[str, Colu
 
 
 def time_quantiles(rows: DataFrame, at: tuple[float, ...] = (0.25, 0.5, 0.75), time: str = "time") -> DataFrame:
-    """Distinct quantile horizons below the longest observed time."""
-    found = rows.agg(F.percentile(time, list(at)).alias("q"), F.max(time).alias("most"))
-    return found.select(F.explode("q").alias("horizon"), "most").where("horizon < most").select("horizon").distinct()
+    """Distinct quantile horizons of the times below the longest observed one; none if there are no such times."""
+    below = rows.join(F.broadcast(rows.agg(F.max(time).alias("most_"))), F.col(time) < F.col("most_")).select(time)
+    found = {h for h in quantiles(below, [time], at)[time] if h is not None}
+    return rows.sparkSession.createDataFrame([(float(h),) for h in sorted(found)], "horizon double")
 
 
-def dynamic_auc(rows: DataFrame, horizons: list[float]) -> DataFrame:
-    """Cumulative/dynamic AUC at each horizon, events weighted by the inverse chance of not being censored.
+def _stays(rows: DataFrame, censoring: bool) -> DataFrame:
+    """``(time, log, zero)``: of each time the logarithm of the share that stays there, or ``zero`` = 1 if none does.
 
-    That chance is the product, over censoring times before the event, of the share at risk that stays.
+    Of events among those at risk; with ``censoring`` of the censored among those at risk who have no event at that time.
     """
-    times = rows.groupBy("time").agg(F.count("*").alias("n"), F.sum(1 - F.col("event")).alias("cens"))
-    stays = F.log(F.greatest(1 - F.col("cens") / F.col("at_risk"), F.lit(1e-12)))
-    day = F.floor("time")
-    times = running_totals(times, day, [F.desc("time")], {"at_risk": F.col("n")}, inclusive=True, down=True)
-    g = running_totals(times, day, ["time"], {"log_g": stays}).select("time", F.exp("log_g").alias("g"))
-    each = rows.join(g, "time").withColumn("horizon", F.explode(F.array(*(F.lit(float(h)) for h in horizons))))
+    times = rows.where("time is not null and event is not null").groupBy(F.col("time").cast("double").alias("time")).agg(F.count("*").alias("n"), F.sum(F.col("event").cast("long")).alias("ev"))
+    times = running_totals(times, F.floor("time"), [F.desc("time")], {"at_risk": F.col("n")}, inclusive=True, down=True)
+    goes, risk = (F.col("n") - F.col("ev"), F.col("at_risk") - F.col("ev")) if censoring else (F.col("ev"), F.col("at_risk"))
+    share = F.when(goes > 0, 1 - goes / risk).otherwise(1.0)
+    return times.select("time", F.when(share > 0, F.log(share)).otherwise(0.0).alias("log"), (share <= 0).cast("int").alias("zero"))
+
+
+def _curve_at(steps: DataFrame, times: DataFrame) -> DataFrame:
+    """``(time, s)``: the product of the steps up to and at each of ``times``: both are merged in their order, so no step meets more than its place."""
+    both = steps.withColumn("asks", F.lit(0)).unionByName(times.select(F.col("time").cast("double").alias("time"), F.lit(0.0).alias("log"), F.lit(0).alias("zero"), F.lit(1).alias("asks")).distinct())
+    sums = running_totals(both, F.floor("time"), ["time", "asks"], {"log_s": F.col("log"), "zeros": F.col("zero")}, inclusive=True)
+    return sums.where("asks = 1").select("time", F.when(F.col("zeros") > 0, 0.0).otherwise(F.exp("log_s")).alias("s"))
+
+
+def dynamic_auc(rows: DataFrame, horizons: list[float], train: DataFrame | None = None) -> DataFrame:
+    """``(horizon, auc, mean_auc)``: cumulative/dynamic AUC at each horizon, events weighted by the inverse chance of not being censored.
+
+    That chance is the product, over times up to the event's, of the share of ``train (time,
+    event)`` that stays: of those at risk without an event then, the ones not censored. Without
+    ``train`` it comes from the rows themselves. ``mean_auc``, the same in each row, weighs the AUCs by
+    the survival of the rows that is lost between horizons. An AUC is null without cases, without
+    controls, or if a case has no chance left; the mean is null if an AUC is.
+    """
+    rows = rows.where("time is not null and event is not null and risk is not null").withColumn("time", F.col("time").cast("double"))
+    chance = _curve_at(_stays(rows if train is None else train, censoring=True), rows.where("event = 1").select("time"))
+    each = rows.join(chance, "time", "left").withColumn("horizon", F.explode(F.array(*(F.lit(float(h)) for h in horizons))))
     case = (F.col("time") <= F.col("horizon")) & (F.col("event") == 1)
-    steps = each.groupBy("horizon", "risk").agg(F.sum(F.when(case, 1 / F.col("g")).otherwise(0.0)).alias("w"), F.count_if(F.col("time") > F.col("horizon")).alias("ctrl"))
-    auc = F.sum(F.col("w") * (F.col("below") + F.col("ctrl") / 2)) / F.nullif(F.sum("w") * F.sum("ctrl"), F.lit(0.0))
+    steps = each.groupBy("horizon", "risk").agg(
+        F.sum(F.when(case & (F.col("s") > 0), 1 / F.col("s")).otherwise(0.0)).alias("w"), F.count_if(case & (F.col("s") <= 0)).alias("hopeless"), F.count_if(F.col("time") > F.col("horizon")).alias("ctrl")
+    )
     steps = running_totals(steps, _bucket("risk"), ["risk"], {"below": F.col("ctrl")}, "horizon")
-    return steps.groupBy("horizon").agg(_six(auc).alias("auc"))
+    auc = F.sum(F.col("w") * (F.col("below") + F.col("ctrl") / 2)) / F.nullif(F.sum("w") * F.sum("ctrl"), F.lit(0.0))
+    found = steps.groupBy("horizon").agg(F.when(F.sum("hopeless") == 0, auc).alias("auc"))
+    asked = rows.sparkSession.createDataFrame([(float(h),) for h in sorted(set(horizons))], "horizon double")
+    curve = _curve_at(_stays(rows, censoring=False), asked.withColumnRenamed("horizon", "time")).withColumnRenamed("time", "horizon")
+    found = asked.join(found, "horizon", "left").join(curve, "horizon")
+    lost = F.lag("s", 1, 1.0).over(Window.partitionBy(F.lit(0)).orderBy("horizon")) - F.col("s")  # a row a horizon
+    found = found.withColumn("lost", lost)
+    mean = F.when(F.count("auc") == F.count("*"), F.when(F.count("*") == 1, F.max("auc")).otherwise(F.sum(F.col("auc") * F.col("lost")) / F.nullif(1 - F.min("s"), F.lit(0.0))))
+    return found.join(F.broadcast(found.agg(mean.alias("mean")))).select("horizon", _six(F.col("auc")).alias("auc"), _six(F.col("mean")).alias("mean_auc"))  # one row

@@ -14,15 +14,16 @@ from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .distributed import quantiles
+
 
 def impute_with_indicator(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact medians for what is missing, and a flag that it was; a column without values becomes 0."""
-    medians = df.agg(*(F.percentile(F.col(c).cast("double"), 0.5).alias(f"{c}_median") for c in columns))
-    out = df.join(F.broadcast(medians))
-    for c in columns:
+    out = df
+    for c, (median,) in quantiles(df, columns, [0.5]).items():
         out = out.withColumn(f"{c}_missing", F.col(c).isNull().cast("int"))
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median"), F.lit(0.0)))
-    return out.drop(*(f"{c}_median" for c in columns))
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0 if median is None else median)))
+    return out
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:

@@ -342,22 +342,34 @@ def _(z):
     return E.stratify(z.scores(), "stratum", known, {"mean_risk": F.round(F.avg("risk"), 6)})
 
 
-@query(
-    "e10_dynamic_auc",
-    with_frames(
-        """, t AS (SELECT time, count(*) AS n, sum(1 - event) AS cens FROM scores GROUP BY time), k AS (SELECT *, sum(n) OVER (ORDER BY time DESC) AS at_risk FROM t),
-        g AS (SELECT time, exp(coalesce(sum(ln(greatest(1 - cens / at_risk, 1e-12))) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS g FROM k),
-        e AS (SELECT s.*, g, unnest([45.0, 90.0, 135.0])::DOUBLE AS horizon FROM scores s JOIN g USING (time)),
-        a AS (SELECT horizon, risk, 1 / g AS w FROM e WHERE time <= horizon AND event = 1), b AS (SELECT horizon, risk FROM e WHERE time > horizon)
-        SELECT a.horizon, round(sum(CASE WHEN a.risk > b.risk THEN w WHEN a.risk = b.risk THEN w / 2 ELSE 0 END) / sum(w), 6) AS auc FROM a JOIN b ON a.horizon = b.horizon GROUP BY a.horizon""",
-        "scores",
-    ),
-)
+def _dynamic_sql(train: str, rows: str) -> str:
+    """Product-limit curves as sums of logarithms over all earlier steps; every case against every control."""
+    return f""", tc AS (SELECT time, count(*) AS n, sum(event) AS ev FROM {train} GROUP BY time), tr AS (SELECT *, sum(n) OVER (ORDER BY time DESC) AS at_risk FROM tc),
+        cl AS (SELECT time, CASE WHEN n > ev THEN ln(1 - (n - ev) / (at_risk - ev)) ELSE 0 END AS l FROM tr),
+        cg AS (SELECT t.time, exp(coalesce(sum(l), 0)) AS g FROM (SELECT DISTINCT time FROM {rows}) t LEFT JOIN cl ON cl.time <= t.time GROUP BY t.time),
+        vc AS (SELECT time, count(*) AS n, sum(event) AS ev FROM {rows} GROUP BY time), vr AS (SELECT *, sum(n) OVER (ORDER BY time DESC) AS at_risk FROM vc),
+        h AS (SELECT unnest([45.0, 90.0, 135.0])::DOUBLE AS horizon), sv AS (SELECT horizon, exp(coalesce(sum(ln(1 - ev / at_risk)), 0)) AS s FROM h LEFT JOIN vr ON time <= horizon GROUP BY horizon),
+        e AS (SELECT r.*, g, horizon FROM {rows} r JOIN cg USING (time) CROSS JOIN h), a AS (SELECT horizon, risk, 1 / g AS w FROM e WHERE time <= horizon AND event = 1), b AS (SELECT horizon, risk FROM e WHERE time > horizon),
+        au AS (SELECT a.horizon, sum(CASE WHEN a.risk > b.risk THEN w WHEN a.risk = b.risk THEN w / 2 ELSE 0 END) / sum(w) AS auc FROM a JOIN b ON a.horizon = b.horizon GROUP BY a.horizon),
+        al AS (SELECT horizon, auc, s, lag(s, 1, 1.0) OVER (ORDER BY horizon) - s AS lost FROM au JOIN sv USING (horizon))
+        SELECT horizon, round(auc, 6) AS auc, round((SELECT sum(auc * lost) / (1 - min(s)) FROM al), 6) AS mean_auc FROM al"""
+
+
+@query("e10_dynamic_auc", with_frames(_dynamic_sql("scores", "scores"), "scores"))
 def _(z):
     return E.dynamic_auc(z.scores(), [45.0, 90.0, 135.0])
 
 
-@query("e11_time_quantiles", with_frames(" SELECT DISTINCT q AS horizon FROM (SELECT unnest(quantile_cont(time::DOUBLE, [0.25, 0.5, 0.75])) AS q, max(time) AS m FROM scores) WHERE q < m", "scores"))
+_SIDES = ", later AS (SELECT * FROM scores WHERE stratum IN ('BUILDING', 'MACHINERY')), earlier AS (SELECT * FROM scores WHERE stratum NOT IN ('BUILDING', 'MACHINERY'))"
+
+
+@query("e10_dynamic_auc_of_training_set", with_frames(_SIDES + _dynamic_sql("earlier", "later"), "scores"))
+def _(z):
+    later = F.col("stratum").isin("BUILDING", "MACHINERY")
+    return E.dynamic_auc(z.scores().where(later), [45.0, 90.0, 135.0], z.scores().where(~later))
+
+
+@query("e11_time_quantiles", with_frames(" SELECT DISTINCT unnest(quantile_cont(time::DOUBLE, [0.25, 0.5, 0.75])) AS horizon FROM scores WHERE time < (SELECT max(time) FROM scores)", "scores"))
 def _(z):
     return E.time_quantiles(z.scores())
 
