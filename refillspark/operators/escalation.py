@@ -53,10 +53,10 @@ REQUESTS = {
     "prescriber": {"en": "decide on the next step with the history below", "es": "decida el próximo paso con el historial", "pt": "decida o próximo passo com o histórico", "ht": "deside pwochen etap la ak istwa a"},
 }
 MESSAGES = {
-    "en": "To the {who}: {request} for {ref}, round {round}, before {break_date} (driver: {driver}). Tried before: {history}.",
-    "es": "Para {who}: {request}, {ref}, ronda {round}, antes del {break_date} (factor: {driver}). Intentos previos: {history}.",
-    "pt": "Para {who}: {request}, {ref}, ronda {round}, antes de {break_date} (fator: {driver}). Tentativas anteriores: {history}.",
-    "ht": "Pou {who}: {request}, {ref}, faz {round}, anvan {break_date} (rezon: {driver}). Sa ki te eseye: {history}.",
+    "en": "To the {who}: {request} for {ref}, round {round}, before {break_date} ({days} days, risk {risk} %, place {rank}; driver: {driver}; refills by {source}). Tried before: {history}.",
+    "es": "Para {who}: {request}, {ref}, ronda {round}, antes del {break_date} ({days} días, riesgo {risk} %, puesto {rank}; factor: {driver}; recargas según {source}). Intentos previos: {history}.",
+    "pt": "Para {who}: {request}, {ref}, ronda {round}, antes de {break_date} ({days} dias, risco {risk} %, lugar {rank}; fator: {driver}; recargas segundo {source}). Tentativas anteriores: {history}.",
+    "ht": "Pou {who}: {request}, {ref}, faz {round}, anvan {break_date} ({days} jou, risk {risk} %, plas {rank}; rezon: {driver}; rechaj dapre {source}). Sa ki te eseye: {history}.",
 }
 READ_ALOUD = {
     "en": "[For the worker to say, never sent] I am calling about your blood pressure medicine. Is anything in the way of the refill?",
@@ -203,47 +203,72 @@ def gated_actions(rows: DataFrame) -> DataFrame:
     return rows.where("gated = 1").select("pid", "round", "action", "scope", F.col("consent_reason").alias("reason"), "fallback_action")
 
 
+def _recipients() -> dict[str, Column]:
+    sent = F.coalesce("fallback_action", "action")
+    return {name: _map({a: d[k] for a, d in DISPATCH.items() if d[k]})[sent] for k, name in enumerate(("recipient", "kind", "mediated_by"))}
+
+
 def dispatch_recipient(rows: DataFrame) -> DataFrame:
     """Who is written to, what kind of message it is, and whom the recipient contacts in turn.
 
     A gated external action goes to its internal fallback; the subject is never a recipient.
     """
-    sent = F.coalesce("fallback_action", "action")
-    part = lambda k: _map({a: d[k] for a, d in DISPATCH.items() if d[k]})[sent]
-    return rows.select("pid", "round", part(0).alias("recipient"), part(1).alias("kind"), part(2).alias("mediated_by"))
+    return rows.select("pid", "round", *(c.alias(name) for name, c in _recipients().items()))
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Each round with who is written to and, by language, the rounds before it (``history``), oldest first.
+
+    A subject's rounds (three at most) are gathered once, and each takes what stands before it in the array.
+    """
+    parts = [c for c in ("round", "outcome", "dispatched_on", "driver", "break_date") if c in rows.columns]
+    own = rows.select("pid", F.struct(*parts, *(c.alias(name) for name, c in _recipients().items())).alias("r"))
+    gathered = own.groupBy("pid").agg(F.array_sort(F.collect_list("r"), lambda a, b: a["round"] - b["round"]).alias("rounds"))
+    rounds = gathered.select("pid", "rounds", F.posexplode("rounds").alias("place", "r"))
+
+    def before(lang: str) -> Column:
+        line = lambda p: F.concat(F.lit(ROUND_WORDS[lang] + " "), p["round"], F.lit(" ("), _said(RECIPIENT_LABELS, lang, p["recipient"]), F.lit(") - "), F.coalesce(p["dispatched_on"].cast("string"), F.lit("-")), F.lit(" - "), _said(OUTCOME_WORDS, lang, p["outcome"]))
+        return F.when(F.col("place") == 0, NO_HISTORY[lang]).otherwise(F.array_join(F.transform(F.slice("rounds", 1, F.col("place")), line), "; "))
+
+    texts = F.create_map(*(x for lang in MESSAGES for x in (F.lit(lang), before(lang))))
+    return rounds.select("pid", "r.*", texts.alias("history"))
 
 
 def intervention_history(rows: DataFrame) -> DataFrame:
     """``(pid, round, lang, history)``: what was tried before each round, oldest first, in each language."""
-    told = rows.join(dispatch_recipient(rows), ["pid", "round"])
-    said = {}
-    for lang in MESSAGES:
-        parts = [F.lit(ROUND_WORDS[lang] + " "), F.col("p.round"), F.lit(" ("), _said(RECIPIENT_LABELS, lang, F.col("p.recipient")), F.lit(") - "), F.coalesce(F.col("p.dispatched_on").cast("string"), F.lit("-")), F.lit(" - "), _said(OUTCOME_WORDS, lang, F.col("p.outcome"))]
-        said[lang] = F.concat(*parts)
-    before = told.alias("r").join(told.alias("p"), (F.col("r.pid") == F.col("p.pid")) & (F.col("p.round") < F.col("r.round")), "left")
-    line = F.when(F.col("p.round").isNotNull(), F.struct(F.col("p.round").alias("n"), *(said[lang].alias(lang) for lang in said)))
-    lines = before.groupBy(F.col("r.pid").alias("pid"), F.col("r.round").alias("round")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    each = [x for lang in said for x in (F.lit(lang), F.when(F.size("lines") == 0, NO_HISTORY[lang]).otherwise(F.array_join(F.col(f"lines.{lang}"), "; ")))]
-    return lines.select("pid", "round", F.explode(F.create_map(*each)).alias("lang", "history"))
-
-
-def dispatch_messages(rows: DataFrame) -> DataFrame:
+    return _told(rows).select("pid", "round", F.explode("history").alias("lang", "history"))
+
+
+def dispatch_messages(rows: DataFrame, cards: DataFrame | None = None, source: str = "unknown") -> DataFrame:
     """A message for each subject, round that was sent, and language, to a provider and never to the subject.
 
-    Those who speak with the subject also get a script to read aloud.
+    The days to the break, the risk in per cent and the rank within the role come from the subject's
+    card (``-`` without one), ``source`` tells where refills would show. Those who speak with the
+    subject also get a script to read aloud.
     """
     from ..functions import deid_ref, render_template
+    from .routing import DRIVER_LABELS, labels_of
 
-    sent = dispatch_recipient(rows.where("dispatched_on is not null")).join(rows.select("pid", "round", "driver", "break_date"), ["pid", "round"])
-    out = sent.join(intervention_history(rows), ["pid", "round"])
+    out = _told(rows).where("dispatched_on is not null")
+    if cards is None:
+        out = out.withColumns({c: F.lit(None).cast("int") for c in ("days", "risk_pct", "rank_in_role")})
+    else:
+        known = cards.select("pid", F.floor("days_to_break").cast("int").alias("days"), F.round(100 * F.col("risk")).cast("int").alias("risk_pct"), "rank_in_role")
+        out = out.join(known, "pid", "left")
+    out = out.select("*", F.explode("history").alias("lang", "before"))
     by_lang = lambda f: F.coalesce(*(F.when(F.col("lang") == lang, f(lang)) for lang in MESSAGES))
+    out = out.withColumn("recipient_label", by_lang(lambda lang: _said(RECIPIENT_LABELS, lang, F.col("recipient"))))
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     fields = {
-        "who": by_lang(lambda lang: _said(RECIPIENT_LABELS, lang, F.col("recipient"))), "request": by_lang(lambda lang: _said(REQUESTS, lang, F.col("kind"))), "ref": deid_ref(F.col("pid")),
-        "round": F.col("round"), "break_date": F.col("break_date"), "driver": F.col("driver"), "history": F.col("history"),
+        "who": F.col("recipient_label"), "request": by_lang(lambda lang: _said(REQUESTS, lang, F.col("kind"))), "ref": deid_ref(F.col("pid")), "round": F.col("round"), "break_date": F.col("break_date"),
+        "driver": by_lang(lambda lang: labels_of(F.col("driver"), DRIVER_LABELS, lang)), "history": F.col("before"), "days": known("days"), "risk": known("risk_pct"), "rank": known("rank_in_role"), "source": F.lit(source),
     }
     body = render_template(_map(MESSAGES)[F.col("lang")], fields)
     script = F.when(F.col("recipient").isin(*READERS), _map(READ_ALOUD)[F.col("lang")])
-    return out.select("pid", "round", "lang", "recipient", "kind", "mediated_by", F.lit("provider_or_organization").alias("addressed_to"), body.alias("body"), script.alias("read_aloud"))
+    return out.select(
+        "pid", "round", "lang", "recipient", "recipient_label", "kind", "mediated_by", F.lit("provider_or_organization").alias("addressed_to"),
+        "days", "risk_pct", "rank_in_role", F.lit(source).alias("refill_source"), body.alias("body"), script.alias("read_aloud"),
+    )
 
 
 def advance_state(cards: DataFrame, outcomes: DataFrame, status: DataFrame, prior: DataFrame | None, as_of: str, latency: int) -> DataFrame:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
 from .distributed import quantiles, running_totals
 
 
@@ -210,17 +211,18 @@ def dynamic_auc(rows: DataFrame, horizons: list[float], train: DataFrame | None
     controls, or if a case has no chance left; the mean is null if an AUC is.
     """
     rows = rows.where("time is not null and event is not null and risk is not null").withColumn("time", F.col("time").cast("double"))
-    chance = _curve_at(_stays(rows if train is None else train, censoring=True), rows.where("event = 1").select("time"))
+    stays = lambda of, censoring: kept(_stays(of, censoring), "curve")  # noqa: E731  a row a time, used twice by each running sum
+    chance = kept(_curve_at(stays(rows if train is None else train, True), rows.where("event = 1").select("time")), "chance")
     each = rows.join(chance, "time", "left").withColumn("horizon", F.explode(F.array(*(F.lit(float(h)) for h in horizons))))
     case = (F.col("time") <= F.col("horizon")) & (F.col("event") == 1)
     steps = each.groupBy("horizon", "risk").agg(
         F.sum(F.when(case & (F.col("s") > 0), 1 / F.col("s")).otherwise(0.0)).alias("w"), F.count_if(case & (F.col("s") <= 0)).alias("hopeless"), F.count_if(F.col("time") > F.col("horizon")).alias("ctrl")
     )
-    steps = running_totals(steps, _bucket("risk"), ["risk"], {"below": F.col("ctrl")}, "horizon")
+    steps = running_totals(kept(steps, "steps"), _bucket("risk"), ["risk"], {"below": F.col("ctrl")}, "horizon")
     auc = F.sum(F.col("w") * (F.col("below") + F.col("ctrl") / 2)) / F.nullif(F.sum("w") * F.sum("ctrl"), F.lit(0.0))
     found = steps.groupBy("horizon").agg(F.when(F.sum("hopeless") == 0, auc).alias("auc"))
     asked = rows.sparkSession.createDataFrame([(float(h),) for h in sorted(set(horizons))], "horizon double")
-    curve = _curve_at(_stays(rows, censoring=False), asked.withColumnRenamed("horizon", "time")).withColumnRenamed("time", "horizon")
+    curve = _curve_at(stays(rows, False), asked.withColumnRenamed("horizon", "time")).withColumnRenamed("time", "horizon")
     found = asked.join(found, "horizon", "left").join(curve, "horizon")
     lost = F.lag("s", 1, 1.0).over(Window.partitionBy(F.lit(0)).orderBy("horizon")) - F.col("s")  # a row a horizon
     found = found.withColumn("lost", lost)

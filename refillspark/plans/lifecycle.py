@@ -204,24 +204,24 @@ _STATE = _SCHED + _SEEN + _STATUS + _state_sql(TICK)
 _STATE_FRAMES = (*R.WORKLIST_FRAMES, "subjects", "consent", "feed")
 
 
-def _entered(z):
-    return R.worklist(z).select("pid", "driver", "is_safety", "days_to_break", F.date_add(F.to_date(F.lit(ENTRY)), (F.col("pid") % 60).cast("int")).alias("entry_date"))
+def _entered(z, cards=None):
+    return (R.worklist(z) if cards is None else cards).select("pid", "driver", "is_safety", "days_to_break", F.date_add(F.to_date(F.lit(ENTRY)), (F.col("pid") % 60).cast("int")).alias("entry_date"))
 
 
 def _seen(z):
     return _outcomes(z).withColumn("event_date", F.date_sub("event_date", SHIFT))
 
 
-def _scheduled(z):
-    return X.round_schedule(_entered(z), LATENCY)
+def _scheduled(z, cards=None):
+    return X.round_schedule(_entered(z, cards), LATENCY)
 
 
-def _states(z):
-    return X.escalation_status(_scheduled(z), _seen(z), _status(z), TICK)
+def _states(z, cards=None):
+    return X.escalation_status(_scheduled(z, cards), _seen(z), _status(z), TICK)
 
 
-def _rounds(z):
-    return X.round_rows(_states(z), _status(z))
+def _rounds(z, cards=None):
+    return X.round_rows(_states(z, cards), _status(z))
 
 
 _BOUNDARIES = [f"{p}_{r}" for r in range(3) for p in ("wait", "escalate", "effective")]
@@ -307,9 +307,14 @@ _HISTORY = _SENT + ", hist AS (" + _in_languages(
 
 
 def _message(lang: str) -> str:
-    fields = {"who": _word("recipient", X.RECIPIENT_LABELS, lang), "request": _word("kind", X.REQUESTS, lang), "ref": "'Patient #' || substring(pid::VARCHAR, 1, 8)", "round": "round", "break_date": "break_date", "driver": "driver", "history": "history"}
-    return f"""SELECT pid, round, lang, recipient, kind, mediated_by, 'provider_or_organization' AS addressed_to, {R.said(X.MESSAGES[lang], fields)} AS body,
-        CASE WHEN recipient IN ('ae_chw', 'bilingual_chw', 'prescriber') THEN {R.said(X.READ_ALOUD[lang], {})} END AS read_aloud FROM told JOIN hist USING (pid, round) WHERE lang = '{lang}' AND dispatched_on IS NOT NULL"""
+    who = _word("recipient", X.RECIPIENT_LABELS, lang)
+    fields = {
+        "who": who, "request": _word("kind", X.REQUESTS, lang), "ref": "'Patient #' || substring(pid::VARCHAR, 1, 8)", "round": "round", "break_date": "break_date", "history": "history",
+        "driver": R.labelled_sql("told.driver", R.R.DRIVER_LABELS, lang), "days": "floor(days_to_break)::INT", "risk": "round(100 * risk)::INT", "rank": "rank_in_role", "source": "'claims'",
+    }
+    return f"""SELECT pid, round, lang, recipient, {who} AS recipient_label, kind, mediated_by, 'provider_or_organization' AS addressed_to, floor(days_to_break)::INT AS days, round(100 * risk)::INT AS risk_pct, rank_in_role, 'claims' AS refill_source,
+        {R.said(X.MESSAGES[lang], fields)} AS body, CASE WHEN recipient IN ('ae_chw', 'bilingual_chw', 'prescriber') THEN {R.said(X.READ_ALOUD[lang], {})} END AS read_aloud
+        FROM told JOIN hist USING (pid, round) JOIN (SELECT pid, days_to_break, risk, rank_in_role FROM worklist) USING (pid) WHERE lang = '{lang}' AND dispatched_on IS NOT NULL"""
 
 
 _MESSAGES = _HISTORY + ", messages AS (" + _in_languages(_message) + ")"
@@ -317,7 +322,8 @@ _MESSAGES = _HISTORY + ", messages AS (" + _in_languages(_message) + ")"
 
 @query("c11_dispatch_messages", with_frames(_MESSAGES + " SELECT * FROM messages", *_STATE_FRAMES))
 def _(z):
-    return X.dispatch_messages(_rounds(z))
+    cards = T.kept(R.worklist(z), "cards")
+    return X.dispatch_messages(_rounds(z, cards), cards, "claims")
 
 
 @query("c12_intervention_history", with_frames(_HISTORY + " SELECT * FROM hist", *_STATE_FRAMES))
@@ -326,8 +332,9 @@ def _(z):
 
 
 def _tick(z):
-    first = X.advance_state(R.worklist(z), _seen(z).limit(0), _status(z), None, ENTRY, LATENCY)
-    return X.advance_state(R.worklist(z), _seen(z), _status(z), first, TICK, LATENCY)
+    cards = T.kept(R.worklist(z), "cards")
+    first = X.advance_state(cards, _seen(z).limit(0), _status(z), None, ENTRY, LATENCY)
+    return X.advance_state(cards, _seen(z), _status(z), first, TICK, LATENCY)
 
 
 # The first tick dispatches, on the day of entry, the round that acts at once and that consent allows.
@@ -424,8 +431,9 @@ _VIEW = _MESSAGES + _UNTIL + f""", now AS (SELECT m.pid, {_SAID} FROM messages m
 
 
 def _nested(z):
-    states = T.kept(_states(z), "states")
-    return V.worklist_view(R.worklist(z), states, TICK, X.dispatch_messages(X.round_rows(states, _status(z))), _seen(z))
+    cards = T.kept(R.worklist(z), "cards")
+    states = T.kept(_states(z, cards), "states")
+    return V.worklist_view(cards, states, TICK, X.dispatch_messages(X.round_rows(states, _status(z)), cards, "claims"), _seen(z))
 
 
 def _flat(view):

@@ -40,7 +40,7 @@ def _panel(z):
     for part in (base.comorbidity(z), base.regimen(z), base.engagement(z), base.trajectory(z).select("pid", "sbp_mean", "sbp_latest_reading"), base.gaps(z).select("pid", "has_30_day_gap"), base.pdc(z)):
         panel = panel.join(part, "pid")
     label = (F.col("pdc_180d") > F.lit(0.3)).cast("int")
-    return M.impute_with_indicator(panel, FEATURES).withColumn("event", label).persist()
+    return M.impute_with_indicator(T.kept(panel.withColumn("event", label), "panel"), FEATURES)
 
 
 @query(
