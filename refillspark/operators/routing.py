@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import min_max_scale, render_template
+from ..storage import kept
 
 #: Driver, action, secondary action, place in the clinical hierarchy (fixed values of this package's rules).
 RULES = [
@@ -128,11 +129,14 @@ def pool_summary(cards: DataFrame) -> DataFrame:
 
 
 def build_worklist(decisions: DataFrame, scores: DataFrame, caps: DataFrame) -> DataFrame:
-    """The cards: decision, days to the predicted break, priority, rank within the role and whether the cap takes it."""
+    """The cards: decision, days to the predicted break, priority, rank within the role and whether the cap takes it.
+
+    Scaling, ranking and caps each read the cards twice, so these are stored before.
+    """
     from .windows import apply_caps, rank_in_role
 
-    rows = decisions.join(scores.select("pid", "stratum", "risk"), "pid").withColumn("role", F.col("action")).withColumn("needs_review", F.col("is_safety"))
-    rows = rows.withColumn("days_to_break", F.round(days_to_break(F.col("risk")), 6))
+    joined = decisions.join(scores.select("pid", "stratum", "risk"), "pid")
+    rows = kept(joined.withColumns({"role": F.col("action"), "needs_review": F.col("is_safety"), "days_to_break": F.round(days_to_break(F.col("risk")), 6)}), "cards")
     rows = min_max_scale(rows, F.abs("value"), "role", "weight")
     rows = rows.withColumn("score", F.round(priority_score(F.col("days_to_break"), F.col("weight")), 9)).drop("weight")
     return apply_caps(rank_in_role(rows), caps)

@@ -217,6 +217,7 @@ def _scheduled(z, cards=None):
 
 
 def _states(z, cards=None):
+    cards = T.kept(R.worklist(z), "cards") if cards is None else cards
     return X.escalation_status(_scheduled(z, cards), _seen(z), _status(z), TICK)
 
 
