@@ -61,6 +61,11 @@ def fractional_days(a: Column, b: Column) -> Column:
     return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / F.lit(86_400_000_000)
 
 
+def days_before(c: Column | str, days: int) -> Column:
+    """So many days earlier: a date stays a date, and a timestamp keeps its time of day."""
+    return (F.col(c) if isinstance(c, str) else c) - F.expr(f"INTERVAL '{int(days)}' DAY")
+
+
 def hash_bucket(c: Column, buckets: int = 100) -> Column:
     """SHA-1 as one big number modulo ``buckets``."""
     digest = F.sha1(c.cast("string").cast("binary"))

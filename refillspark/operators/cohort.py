@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import age_years, clip_interval, coverage_end, elapsed_days
+from ..functions import age_years, clip_interval, coverage_end, days_before, elapsed_days
 
 #: Longer code lists are joined as a table (a code list is configuration, far below a broadcast's bound).
 _INLINE_CODES = 500
@@ -56,13 +56,13 @@ def pre_index_rows(events: DataFrame, cohort: DataFrame, date_col: str, lookback
     Null dates and null index dates drop out. Adds ``index_date``.
     """
     joined = events.join(cohort.select("pid", "index_date"), "pid").where(F.col(date_col) < F.col("index_date"))
-    return joined if lookback is None else joined.where(F.col(date_col) >= F.date_sub("index_date", lookback))
+    return joined if lookback is None else joined.where(F.col(date_col) >= days_before("index_date", lookback))
 
 
 def baseline_eligible(cohort: DataFrame, observations: DataFrame, code: str, lookback: int = 1095) -> DataFrame:
     """Subjects with a coded reading in ``[index - lookback, index)``."""
     o = observations.where(F.col("code") == code).select(F.col("pid").alias("o_pid"), "date")
-    inside = (F.col("pid") == F.col("o_pid")) & (F.col("date") < F.col("index_date")) & (F.col("date") >= F.date_sub("index_date", lookback))
+    inside = (F.col("pid") == F.col("o_pid")) & (F.col("date") < F.col("index_date")) & (F.col("date") >= days_before("index_date", lookback))
     return cohort.join(o, inside, "left_semi")
 
 

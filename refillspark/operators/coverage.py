@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import coverage_end, elapsed_days
+from ..functions import coverage_end, days_before, elapsed_days
 from .cohort import pre_index_rows
 
 
@@ -56,7 +56,7 @@ def prior_coverage(fills: DataFrame, cohort: DataFrame, lookback: int = 365) ->
     Days are whole days of each merged block.
     """
     reaching = pre_index_rows(fills, cohort, "start").withColumn("end", coverage_end(F.col("start"), F.col("stop")))
-    low = F.date_sub("index_date", lookback)
+    low = days_before("index_date", lookback)
     clipped = reaching.select("pid", F.greatest("start", low).alias("cs"), F.least("end", "index_date").alias("ce")).where("cs < ce")
     days = merge_intervals(clipped).groupBy("pid").agg(F.sum(elapsed_days(F.col("cs"), F.col("ce"))).alias("days"))
     counted = clipped.groupBy("pid").agg(F.count("*").alias("n"))

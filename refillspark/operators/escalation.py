@@ -107,6 +107,16 @@ def round_schedule(cards: DataFrame, latency: int) -> DataFrame:
     return out.withColumn("wait_1", F.when(F.col("is_safety") == 1, F.col("entry_date")).otherwise(F.col("wait_1")))
 
 
+BOUNDARIES = tuple(f"{p}_{r}" for r in range(3) for p in ("wait", "escalate", "effective"))
+
+
+def boundary_offsets(cards: DataFrame, latency: int) -> DataFrame:
+    """``(pid, offsets)``: the days after a subject's entry on which its status can change by the calendar alone, rising."""
+    start = F.to_date(F.lit("2000-01-01"))
+    timed = round_schedule(cards.select("pid", "is_safety", "days_to_break").withColumn("entry_date", start), latency)
+    return timed.select("pid", F.array_sort(F.array_distinct(F.array(*(F.datediff(b, start) for b in BOUNDARIES)))).alias("offsets"))
+
+
 def current_round(ref: Column) -> Column:
     """The highest round whose predecessors' safe boundary has passed; safety cases begin at round 1."""
     to_two = ref >= F.col("effective_1")
@@ -123,13 +133,13 @@ def _at(prefix: str, number: Column) -> Column:
     return F.when(number == 0, F.col(f"{prefix}_0")).when(number == 1, F.col(f"{prefix}_1")).otherwise(F.col(f"{prefix}_2"))
 
 
-def escalation_status(scheduled: DataFrame, outcomes: DataFrame, status: DataFrame, as_of: str) -> DataFrame:
-    """Status of each subject in fixed precedence, its round, and the round that closed it.
+def escalation_status(scheduled: DataFrame, outcomes: DataFrame, status: DataFrame, as_of: str | Column) -> DataFrame:
+    """Status of each subject in fixed precedence, its round, and the round that closed it, as of a day or of a column of ``scheduled``.
 
     ``dispatch_dates`` (by round, from an earlier state) tells dispatched from pending. ``any_gated``
     is 1 if the action of any round up to the current one lacks consent.
     """
-    today = F.to_date(F.lit(as_of))
+    today = as_of if isinstance(as_of, Column) else F.to_date(F.lit(as_of))
     rows = scheduled.join(outcomes.select("pid", "observed", "on_time_refill", "event_date"), "pid", "left")
     observed = F.coalesce(F.col("observed") == 1, F.lit(False))
     rows = rows.withColumn("ref", F.when(observed, F.coalesce("event_date", today)).otherwise(today))
@@ -203,7 +213,8 @@ def gated_actions(rows: DataFrame) -> DataFrame:
     return rows.where("gated = 1").select("pid", "round", "action", "scope", F.col("consent_reason").alias("reason"), "fallback_action")
 
 
-def _recipients() -> dict[str, Column]:
+def recipients() -> dict[str, Column]:
+    """Of a round's action or its fallback: who is written to, the kind of message and the mediator."""
     sent = F.coalesce("fallback_action", "action")
     return {name: _map({a: d[k] for a, d in DISPATCH.items() if d[k]})[sent] for k, name in enumerate(("recipient", "kind", "mediated_by"))}
 
@@ -213,7 +224,7 @@ def dispatch_recipient(rows: DataFrame) -> DataFrame:
 
     A gated external action goes to its internal fallback; the subject is never a recipient.
     """
-    return rows.select("pid", "round", *(c.alias(name) for name, c in _recipients().items()))
+    return rows.select("pid", "round", *(c.alias(name) for name, c in recipients().items()))
 
 
 def _told(rows: DataFrame) -> DataFrame:
@@ -222,7 +233,7 @@ def _told(rows: DataFrame) -> DataFrame:
     A subject's rounds (three at most) are gathered once, and each takes what stands before it in the array.
     """
     parts = [c for c in ("round", "outcome", "dispatched_on", "driver", "break_date") if c in rows.columns]
-    own = rows.select("pid", F.struct(*parts, *(c.alias(name) for name, c in _recipients().items())).alias("r"))
+    own = rows.select("pid", F.struct(*parts, *(c.alias(name) for name, c in recipients().items())).alias("r"))
     gathered = own.groupBy("pid").agg(F.array_sort(F.collect_list("r"), lambda a, b: a["round"] - b["round"]).alias("rounds"))
     rounds = gathered.select("pid", "rounds", F.posexplode("rounds").alias("place", "r"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import elapsed_days, fractional_days
+from ..functions import days_before, elapsed_days, fractional_days
 from .cohort import pre_index_rows
 
 
@@ -52,7 +52,7 @@ def comorbidity_count(conditions: DataFrame, cohort: DataFrame) -> DataFrame:
 def regimen_counts(fills: DataFrame, cohort: DataFrame) -> DataFrame:
     rows = pre_index_rows(fills, cohort, "start")
     active = F.col("stop").isNull() | (F.col("stop") > F.col("index_date"))
-    recent = F.col("start") >= F.date_sub("index_date", 365)
+    recent = F.col("start") >= days_before("index_date", 365)
     found = rows.groupBy("pid").agg(F.countDistinct(F.when(active, F.col("code"))).alias("rx_n_active_meds"), F.countDistinct(F.when(recent, F.col("code"))).alias("rx_n_meds_started_1y"))
     return cohort.select("pid").join(found, "pid", "left").fillna(0, ["rx_n_active_meds", "rx_n_meds_started_1y"])
 
@@ -66,7 +66,7 @@ def engagement_counts(encounters: DataFrame, readings: DataFrame, cohort: DataFr
 def acute_utilization(encounters: DataFrame, cohort: DataFrame, classes: dict[str, str] = {"ed": "emergency", "inpatient": "inpatient", "urgentcare": "urgentcare"}) -> DataFrame:
     """Visits by class in a year, and days since the last acute one over all history (null without one)."""
     rows = pre_index_rows(encounters, cohort, "start").where(F.col("class").isin(*classes.values()))
-    recent = F.col("start") >= F.date_sub("index_date", 365)
+    recent = F.col("start") >= days_before("index_date", 365)
     counts = [F.count_if(recent & (F.col("class") == c)).alias(f"acute_n_{n}_1y") for n, c in classes.items()]
     found = rows.groupBy("pid").agg(*counts, F.min(elapsed_days(F.col("start"), F.col("index_date"))).alias("acute_days_since_last"))
     return cohort.select("pid").join(found, "pid", "left").fillna(0, [f"acute_n_{n}_1y" for n in classes])
@@ -119,7 +119,7 @@ def strict_flag(events: DataFrame, cohort: DataFrame, codes: Sequence[str], name
     """Recurring and recent: enough distinct days, the last of them within ``recency``."""
     rows = pre_index_rows(events.where(F.col("code").isin(*codes)), cohort, "start")
     found = rows.groupBy("pid", "index_date").agg(F.countDistinct("start").alias("n"), F.max("start").alias("last"))
-    holds = (F.col("n") >= least_dates) & (F.col("last") >= F.date_sub("index_date", recency))
+    holds = (F.col("n") >= least_dates) & (F.col("last") >= days_before("index_date", recency))
     return cohort.select("pid").join(found.select("pid", holds.cast("int").alias(f"flag_{name}")), "pid", "left").fillna(0)
 
 

@@ -6,20 +6,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import deid_ref, display_window
+from .escalation import ROUND_WORDS, recipients
 from .routing import ACTION_LABELS, DRIVER_LABELS, LANGUAGES, labels_of
 
 
-def worklist_view(cards: DataFrame, states: DataFrame, as_of: str, messages: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
+def escalation_blocks(states: DataFrame, as_of: str, rounds: DataFrame | None = None, consent: DataFrame | None = None) -> DataFrame:
+    """``(pid, escalation)``: where each subject stands.
+
+    Round with its label by language, status, countdowns and the break; what each scope allows
+    (``consent``: see ``consent_status``); and from the rounds (see ``round_rows``) the gated
+    actions, what was dispatched and came of it, in order, and the dispatch of the current round if
+    it went out. Without ``rounds`` or ``consent`` these parts are null.
+    """
+    timed = escalation_countdown(states, as_of).drop("status")
+    known = states.select("pid", "status", "round", "break_date", "unactionable", "any_gated").join(timed, "pid")
+    if rounds is None:
+        known = known.withColumns({
+            "gated_actions": F.lit(None).cast("array<struct<round:int,action:string,consent_reason:string,fallback_action:string>>"),
+            "dispatch_history": F.lit(None).cast("array<struct<round:int,recipient:string,mediated_by:string,dispatched_on:date,outcome:string>>"),
+            "current_dispatch": F.lit(None).cast("struct<recipient:string,kind:string,mediated_by:string>"),
+        })
+    else:
+        told = rounds.select("pid", "round", "action", "gated", "consent_reason", "fallback_action", "dispatched_on", "outcome", *(c.alias(name) for name, c in recipients().items()))
+        told = told.join(states.select("pid", F.col("round").alias("current")), "pid")
+        now = (F.col("round") == F.col("current")) & F.col("dispatched_on").isNotNull()
+        gathered = told.groupBy("pid").agg(  # three rounds at most
+            F.array_sort(F.collect_list(F.when(F.col("gated") == 1, F.struct("round", "action", "consent_reason", "fallback_action")))).alias("gated_actions"),
+            F.array_sort(F.collect_list(F.struct("round", "recipient", "mediated_by", "dispatched_on", "outcome"))).alias("dispatch_history"),
+            F.max(F.when(now, F.struct("recipient", "kind", "mediated_by"))).alias("current_dispatch"),
+        )
+        known = known.join(gathered, "pid", "left")
+    scopes = ("internal", "external", "stale", "internal_allowed", "external_allowed")
+    if consent is None:
+        known = known.withColumn("consent", F.lit(None).cast("struct<internal:string,external:string,stale:int,internal_allowed:int,external_allowed:int>"))
+    else:
+        known = known.join(consent.select("pid", F.struct(*scopes).alias("consent")), "pid", "left")
+    labels = F.create_map(*(x for lang, word in ROUND_WORDS.items() for x in (F.lit(lang), F.concat(F.lit(word + " "), F.col("round")))))
+    known = known.withColumn("round_label", labels)
+    parts = ("round", "round_label", "status", "days_remaining", "days_until_latency_clears", "break_date", "unactionable", "any_gated", "consent", "gated_actions", "dispatch_history", "current_dispatch")
+    return known.select("pid", F.struct(*parts).alias("escalation"))
+
+
+def worklist_view(
+    cards: DataFrame, states: DataFrame, as_of: str, messages: DataFrame | None = None, outcomes: DataFrame | None = None, rounds: DataFrame | None = None, consent: DataFrame | None = None
+) -> DataFrame:
     """The cards taken, with labels, messages and scripts by language, the outcome and the escalation; earliest window first.
 
-    Without an escalation state ``escalation`` is null. Where the current round has sent no message
-    (``messages``: see ``dispatch_messages``) the routing's rationale stands in, without a script.
+    Without an escalation state ``escalation`` (see ``escalation_blocks``) is null. Where the current
+    round has sent no message (``messages``: see ``dispatch_messages``) the routing's rationale stands
+    in, without a script.
     """
     start, end = display_window(F.to_date(F.lit(as_of)), F.col("days_to_break"))
-    timed = escalation_countdown(states, as_of)
-    known = states.select("pid", "status", "round", "break_date", "unactionable", "any_gated").join(timed.drop("status"), "pid")
-    known = known.select("pid", F.struct("round", "status", "days_remaining", "days_until_latency_clears", "break_date", "unactionable", "any_gated").alias("escalation"))
-    view = cards.where("included = 1").join(known, "pid", "left")
+    view = cards.where("included = 1").join(escalation_blocks(states, as_of, rounds, consent), "pid", "left")
     if messages is None:
         view = view.withColumns({"said": F.lit(None).cast("map<string,string>"), "aloud": F.lit(None).cast("map<string,string>")})
     else:
@@ -82,12 +120,26 @@ def cascade_counts(states: DataFrame) -> DataFrame:
     return out.withColumn("in_flight", F.col("total") - F.col("closed") - F.col("exhausted"))
 
 
-def worklist_filter(view: DataFrame, text: str = "", action: str | None = None, least_risk: float = 0.0, sort: str = "window_start", most: int | None = None) -> DataFrame:
-    """Search and facets over the view; ``most`` is a page size."""
-    found = F.lower(F.concat_ws(" ", "name", F.col("pid").cast("string"), "driver", "action")).contains(text.lower())
+def worklist_filter(
+    view: DataFrame, text: str = "", action: str | None = None, least_risk: float = 0.0, sort: str = "window_start", most: int | None = None, *,
+    status: str | None = None, round_number: int | None = None, descending: bool | None = None,
+) -> DataFrame:
+    """Search and facets over the view; ``most`` is a page size.
+
+    The text is looked for in the name, the id, codes and all languages' labels, whatever the case.
+    ``status`` and ``round_number`` are facets of the escalation. The window sorts upwards and risk
+    and priority downwards, unless ``descending`` says otherwise; nulls come last, the id decides ties.
+    """
+    said = [F.concat_ws(" ", F.map_values(c)) for c in ("driver_label", "action_label") if c in view.columns]
+    found = F.contains(F.lower(F.concat_ws(" ", "name", F.col("pid").cast("string"), "driver", "action", *said)), F.lit(text.lower()))
     rows = view.where(found & (F.col("risk") >= least_risk))
-    rows = rows.where(F.col("action") == action) if action else rows
-    rows = rows.orderBy({"window_start": F.asc("window_start"), "risk": F.desc("risk"), "priority": F.desc("score")}[sort], "pid")
+    of = lambda c: F.col(f"escalation.{c}" if "escalation" in view.columns else c)
+    for column, wanted in ((F.col("action"), action), (of("status"), status), (of("round"), round_number)):
+        if wanted is not None:
+            rows = rows.where(column == wanted)
+    by = {"window_start": "window_start", "risk": "risk", "priority": "score"}[sort]
+    down = sort != "window_start" if descending is None else descending
+    rows = rows.orderBy(F.desc_nulls_last(by) if down else F.asc_nulls_last(by), "pid")
     return rows.limit(most) if most is not None else rows
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import sources as S
@@ -425,22 +426,37 @@ _TEXTS = ", ".join(
     f"coalesce(b_{lang}, {R.rationale_sql(lang, 'w.')}) AS message_{lang}, a_{lang} AS read_aloud_{lang}, {R.labelled_sql('w.driver', R.R.DRIVER_LABELS, lang)} AS driver_{lang}, {R.labelled_sql('w.action', R.R.ACTION_LABELS, lang)} AS action_{lang}"
     for lang in _LANGS
 )
-_VIEW = _MESSAGES + _UNTIL + f""", now AS (SELECT m.pid, {_SAID} FROM messages m JOIN states s ON m.pid = s.pid AND m.round = s.round GROUP BY m.pid),
+_ROUND_LABELS = ", ".join(f"'{word} ' || round AS round_{lang}" for lang, word in X.ROUND_WORDS.items())
+_BLOCK = """, block AS (SELECT t.pid, string_agg(t.round || ':' || t.action || ':' || coalesce(t.consent_reason, '-') || ':' || coalesce(t.fallback_action, '-'), ';' ORDER BY t.round) FILTER (t.gated = 1) AS gated_actions,
+    string_agg(t.round || ':' || recipient || ':' || coalesce(mediated_by, '-') || ':' || coalesce(dispatched_on::VARCHAR, '-') || ':' || outcome, ';' ORDER BY t.round) AS dispatch_history,
+    max(recipient || ':' || kind || ':' || coalesce(mediated_by, '-')) FILTER (t.round = s.round AND dispatched_on IS NOT NULL) AS current_dispatch FROM told t JOIN states s ON t.pid = s.pid GROUP BY t.pid)"""
+_VIEW = _MESSAGES + _UNTIL + _BLOCK + f""", now AS (SELECT m.pid, {_SAID} FROM messages m JOIN states s ON m.pid = s.pid AND m.round = s.round GROUP BY m.pid),
     viewed AS (SELECT w.pid, 'Patient #' || substring(w.pid::VARCHAR, 1, 8) AS name, 'en' AS preferred_language, DATE '{TICK}' + floor(greatest(w.days_to_break - 3, 0))::INT AS window_start, DATE '{TICK}' + floor(w.days_to_break + 3)::INT AS window_end,
-    risk, w.driver, w.action, score, w.needs_review AS requires_review, w.is_safety, {_TEXTS}, seen.on_time_refill, status, round, days_remaining, days_until_latency_clears, break_date, unactionable, any_gated
-    FROM worklist w LEFT JOIN timed USING (pid) LEFT JOIN now USING (pid) LEFT JOIN seen USING (pid) WHERE included = 1)"""
+    risk, w.driver, w.action, score, w.needs_review AS requires_review, w.is_safety, {_TEXTS}, seen.on_time_refill, status, round, days_remaining, days_until_latency_clears, break_date, unactionable, any_gated,
+    {_ROUND_LABELS}, internal || '/' || external || '/' || stale || '/' || cstat.internal_allowed || '/' || cstat.external_allowed AS consent, coalesce(gated_actions, '') AS gated_actions, dispatch_history, current_dispatch
+    FROM worklist w LEFT JOIN timed USING (pid) LEFT JOIN now USING (pid) LEFT JOIN seen USING (pid) LEFT JOIN cstat USING (pid) LEFT JOIN block USING (pid) WHERE included = 1)"""
 
 
 def _nested(z):
     cards = T.kept(R.worklist(z), "cards")
     states = T.kept(_states(z, cards), "states")
-    return V.worklist_view(cards, states, TICK, X.dispatch_messages(X.round_rows(states, _status(z)), cards, "claims"), _seen(z))
+    rounds = T.kept(X.round_rows(states, _status(z)), "rounds")
+    return V.worklist_view(cards, states, TICK, X.dispatch_messages(rounds, cards, "claims"), _seen(z), rounds, _status(z))
 
 
 def _flat(view):
     """The nested parts as columns, for comparison."""
-    texts = [F.col(c)[lang].alias(f"{name}_{lang}") for lang in _LANGS for c, name in (("message", "message"), ("read_aloud", "read_aloud"), ("driver_label", "driver"), ("action_label", "action"))]
-    return view.select("pid", "name", "preferred_language", "window_start", "window_end", "risk", "driver", "action", "score", "requires_review", "is_safety", *texts, "on_time_refill", "escalation.*")
+    texts = [F.col(c)[lang].alias(f"{name}_{lang}") for lang in _LANGS for c, name in (("message", "message"), ("read_aloud", "read_aloud"), ("driver_label", "driver"), ("action_label", "action"), ("escalation.round_label", "round"))]
+    line = lambda r, *names: F.concat_ws(":", *(F.coalesce(r[c].cast("string"), F.lit("-")) for c in names))
+    of = lambda c: F.col(f"escalation.{c}")
+    blocks = [
+        F.concat_ws("/", *(of(f"consent.{c}") for c in ("internal", "external", "stale", "internal_allowed", "external_allowed"))).alias("consent"),
+        F.array_join(F.transform(of("gated_actions"), lambda r: line(r, "round", "action", "consent_reason", "fallback_action")), ";").alias("gated_actions"),
+        F.array_join(F.transform(of("dispatch_history"), lambda r: line(r, "round", "recipient", "mediated_by", "dispatched_on", "outcome")), ";").alias("dispatch_history"),
+        F.when(of("current_dispatch").isNotNull(), line(of("current_dispatch"), "recipient", "kind", "mediated_by")).alias("current_dispatch"),
+    ]
+    plain = [of(c).alias(c) for c in ("status", "round", "days_remaining", "days_until_latency_clears", "break_date", "unactionable", "any_gated")]
+    return view.select("pid", "name", "preferred_language", "window_start", "window_end", "risk", "driver", "action", "score", "requires_review", "is_safety", *texts, "on_time_refill", *plain, *blocks)
 
 
 @query("v1_worklist_view", with_frames(_VIEW + " SELECT * FROM viewed", *_STATE_FRAMES))
@@ -502,6 +518,20 @@ def _(z):
     return V.worklist_filter(_view(z), "safety", "social_worker", 0.05, "risk")
 
 
+# The texts of labels are searched in all languages, and the least urgent come first.
+@query(
+    "v7_worklist_facets",
+    with_frames(
+        _VIEW + f""", hits AS (SELECT * FROM viewed WHERE contains(lower(concat_ws(' ', name, pid, driver, action, {', '.join(f'driver_{lang}, action_{lang}' for lang in _LANGS)})), 'contacto') AND status = 'CLOSED')
+        SELECT pid, status, round, risk, row_number() OVER (ORDER BY risk, pid)::INT AS place FROM hits WHERE round = 1""",
+        *_STATE_FRAMES,
+    ),
+)
+def _(z):
+    found = V.worklist_filter(_nested(z), "Contacto", sort="risk", status="CLOSED", round_number=1, descending=False)
+    page = found.select("pid", "escalation.status", "escalation.round", "risk")
+    return page.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("risk", "pid")))  # the cards that the caps take
+
 @query("v8_urgency_index", with_frames(R.WORKLIST_SQL + " SELECT pid, greatest(1, round(100 * score / (SELECT max(score) FROM worklist))::INT) AS urgency FROM worklist", *R.WORKLIST_FRAMES))
 def _(z):
     return V.urgency_index(R.worklist(z))

@@ -251,6 +251,31 @@ def _(z):
     return T.escalate(_stream(z, 3), advance_by_ticks(z)).select("pid", "entry_date", "round", "status", "closed_on_round", F.size("dispatch_dates").alias("n_dispatched"), "rank_in_role", "included")
 
 
+# By timers: dispenses are the larger purchases, and the watermark lies a day behind the latest event.
+_TIMED = (
+    R.WORKLIST_SQL + f""", ev AS (SELECT user_id AS pid, ts - INTERVAL {L.SHIFT} DAY AS ts, event_type = 'purchase' AND value > 150 AS bought, {_file_sql(6)} AS file FROM events),
+    firsts AS (SELECT pid, min(file) AS file FROM ev GROUP BY pid), came AS (SELECT pid, min(ts)::DATE AS entry_date FROM ev JOIN firsts USING (pid, file) GROUP BY pid),
+    latest AS (SELECT pid, greatest(max(ts)::DATE, ((SELECT max(ts) FROM ev) - INTERVAL 1 DAY)::DATE) AS as_of FROM ev GROUP BY pid),
+    seen AS (SELECT pid, 1 AS observed, 1 AS on_time_refill, min(ts)::DATE AS event_date FROM ev WHERE bought GROUP BY pid),
+    entered AS (SELECT w.pid, driver, is_safety, days_to_break, entry_date, as_of FROM worklist w JOIN came USING (pid) JOIN latest USING (pid))"""
+    + L._schedule_sql("entered", "sched") + L._STATUS + L._state_sql("1970-01-01").replace("DATE '1970-01-01'", "as_of")
+)
+
+
+@query(
+    "t7_stream_timers",
+    with_frames(_TIMED + " SELECT pid, entry_date, round, CASE WHEN status = 'PENDING' THEN 'DISPATCHED' ELSE status END AS status, CASE WHEN status = 'CLOSED' THEN round END AS closed_on_round FROM states", *R.WORKLIST_FRAMES, "subjects", "consent"),
+)
+def _(z):
+    from ..streaming.timers import escalate_on_time
+
+    ts = F.col("ts").cast("timestamp") - F.expr(f"INTERVAL '{L.SHIFT}' DAY")
+    bought = (F.col("event_type") == "purchase") & (F.col("value") > 150)
+    events = z.table("events").select(F.col("user_id").alias("pid"), ts.alias("ts"), bought.cast("int").alias("is_dispense"))
+    states = escalate_on_time(as_replay(events, "ts", 6), T.kept(R.worklist(z), "cards"), L._status(z), L.LATENCY, 1)
+    return states.select("pid", "entry_date", "round", "status", "closed_on_round")
+
+
 @query("t8_latency_guard", """SELECT ts::DATE::TIMESTAMP AS day, count(*) AS n, sum((event_type = 'purchase')::INT)::BIGINT AS n_dispensed FROM events
     GROUP BY 1 HAVING ts::DATE::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 14 DAY""".replace("HAVING ts::DATE::TIMESTAMP", "HAVING day"))
 def _(z):
