@@ -16,6 +16,8 @@ def join_with_nulls(rows: DataFrame, other: DataFrame, on: list[str], how: str =
     """An equi-join in which null keys meet null keys; ``rows`` keeps its columns, and ``other`` adds those that aren't keys."""
     theirs = other.select(*(F.col(c).alias(f"{c}_theirs_") for c in on), *(c for c in other.columns if c not in on))
     same = [F.col(c).eqNullSafe(F.col(f"{c}_theirs_")) for c in on]
+    if how in ("left_semi", "left_anti"):
+        return rows.join(theirs, same, how)
     return rows.join(theirs, same, how).drop(*(f"{c}_theirs_" for c in on))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import kept
-from .distributed import quantiles, running_totals
+from .distributed import join_with_nulls, quantiles, running_totals
 
 
 def _six(c: Column) -> Column:
@@ -58,9 +58,6 @@ def auc_by_group(rows: DataFrame, by: str, least: int = 50) -> DataFrame:
     return found.select(by, "n", "n_events", F.when(note.isNull(), F.col("auc")).alias("auc"), note.alias("note"))
 
 
-_CELLS = 64  # of a side of the grid of scores and times
-
-
 def _counted(r: np.ndarray, t: np.ndarray, k: np.ndarray, apart: np.ndarray | None = None) -> float:
     """Twice the credit of all pairs in which one has the earlier time: 2 for the higher score, 1 for an equal one.
 
@@ -86,49 +83,72 @@ def _counted(r: np.ndarray, t: np.ndarray, k: np.ndarray, apart: np.ndarray | No
     return total
 
 
-def _ordered_pairs(e: DataFrame) -> DataFrame:
+_CUTS = 63
+
+
+def _striped(e: DataFrame, value: str, stripe: str, most: int) -> DataFrame:
+    """Adds a number that rises with ``value`` within ``g``; rows that share one are at most ``most``, or all have one value.
+
+    A stripe with more rows is cut at its own approximate quantiles, whose sketches have a bounded
+    size; a value at a cut becomes a stripe of its own, so each round leaves a sixtieth or so.
+    """
+    e = e.withColumn(stripe, F.lit(0).cast("long"))
+    shares = [i / (_CUTS + 1) for i in range(1, _CUTS + 1)]
+    while True:
+        found = e.groupBy("g", stripe).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("highest"), F.percentile_approx(value, shares, 2000).alias("cuts"))
+        large = kept(found.where((F.col("n") > most) & (F.col("least") < F.col("highest"))).select("g", stripe, "cuts"), "cuts")
+        if large.isEmpty():
+            return e
+        place = F.size(F.filter("cuts", lambda x: x < F.col(value))) + F.size(F.filter("cuts", lambda x: x <= F.col(value)))
+        cut = join_with_nulls(e, F.broadcast(large), ["g", stripe], "left")  # at most (rows / most) stripes are large
+        e = kept(cut.withColumn(stripe, F.col(stripe) * (2 * _CUTS + 1) + F.when(F.col("cuts").isNotNull(), place).otherwise(0)).drop("cuts"), "stripes")
+
+
+def _ordered_pairs(e: DataFrame, most: int | None = None) -> DataFrame:
     """``(g, good2, pairs2)`` of distinct events ``e (g, r, t, k)``: the credit of pairs of different times, and their number.
 
-    Scores and times are cut into a grid by range. Pairs that differ in both cells are counted from
-    the cells' sums. Pairs in one cell of time, and those in one cell of scores but different cells
-    of time, are counted in tasks that hold that cell only.
+    Scores and times are cut into stripes of at most ``most`` rows (or of one value). Pairs that
+    differ in both stripes are counted by running sums over the grid of stripes. Pairs in one stripe
+    of times, and those in one stripe of scores but different stripes of times, are counted in
+    tasks that hold that stripe only; a stripe of one time has no such pairs, and for one of a
+    single score sums do. By default a stripe has 200,000 rows, or three times the root of all, so
+    that neither stripes nor their grid outgrow the rows.
     """
-    ends = e.groupBy("g").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    cell = lambda x, lo, hi: F.least(F.lit(_CELLS - 1), F.coalesce(F.floor((F.col(x) - F.col(lo)) * _CELLS / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0))), F.lit(0))).cast("int")
-    e = e.join(ends, "g").select("g", "r", "t", "k", cell("r", "r0", "r1").alias("rc"), cell("t", "t0", "t1").alias("tc"))
-    cells = e.groupBy("g", "rc", "tc").agg(F.sum("k").alias("k"))
-    grid = cells.groupBy("g").agg(F.collect_list(F.struct("rc", "tc", "k")).alias("cells"))  # at most _CELLS ** 2 of a group
-    shape = grid.schema["g"].dataType.simpleString()
-
-    def of_grid(batches):
-        for batch in batches:
-            found = []
-            for own in batch.column("cells").to_pylist():
-                m = np.zeros((_CELLS, _CELLS))
-                for c in own:
-                    m[c["rc"], c["tc"]] = c["k"]
-                lower = np.cumsum(m, axis=0) - m  # lower scores, same time cell
-                found.append(2.0 * float((m * (lower[:, ::-1].cumsum(axis=1)[:, ::-1] - lower)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(found, pa.float64())], names=["g", "credit"])
-
-    def of_cell(apart: bool):
-        def run(rows: pa.Table) -> pa.Table:
-            r, t, k, tc = (rows.column(c).to_numpy() for c in ("r", "t", "k", "tc"))
-            return pa.table({"g": rows.column("g").slice(0, 1), "credit": [_counted(r, t, k, tc if apart else None)]})
+    e = kept(e, "events")
+    most = most or max(200_000, int(3 * e.count() ** 0.5))
+    e = _striped(_striped(e, "r", "rc", most), "t", "tc", most)
+    cells = kept(e.groupBy("g", "rc", "tc").agg(F.sum("k").cast("double").alias("k")), "cells")
+    rows, columns = cells.select("g", "rc").distinct(), cells.select("g", "tc").distinct()
+    grid = join_with_nulls(join_with_nulls(rows, columns, ["g"]), cells, ["g", "rc", "tc"], "left").fillna(0.0, ["k"])
+    lower = F.sum("k").over(Window.partitionBy("g", "tc").orderBy("rc").rowsBetween(Window.unboundedPreceding, -1))
+    later = F.sum("lower").over(Window.partitionBy("g", "rc").orderBy(F.desc("tc")).rowsBetween(Window.unboundedPreceding, -1))
+    parts = grid.withColumn("lower", F.coalesce(lower, F.lit(0.0))).withColumn("later", F.coalesce(later, F.lit(0.0))).groupBy("g").agg(F.sum(2 * F.col("k") * F.col("later")).alias("credit"))
+    shape = e.schema["g"].dataType.simpleString()
+
+    def of_stripe(apart: bool):
+        def run(part: pa.Table) -> pa.Table:
+            r, t, k, tc = (part.column(c).to_numpy() for c in ("r", "t", "k", "tc"))
+            return pa.table({"g": part.column("g").slice(0, 1), "credit": [_counted(r, t, k, tc if apart else None)]})
 
         return run
 
-    parts = grid.select("g", "cells").mapInArrow(of_grid, f"g {shape}, credit double")
-    parts = parts.union(e.groupBy("g", "tc").applyInArrow(of_cell(False), f"g {shape}, credit double"))
-    parts = parts.union(e.groupBy("g", "rc").applyInArrow(of_cell(True), f"g {shape}, credit double"))
+    def several(value: str, stripe: str) -> DataFrame:
+        ends = e.groupBy("g", stripe).agg(F.min(value).alias("least"), F.max(value).alias("highest")).where("least < highest").select("g", stripe)
+        return join_with_nulls(e, ends, ["g", stripe], "left_semi")
+
+    parts = parts.union(several("t", "tc").groupBy("g", "tc").applyInArrow(of_stripe(False), f"g {shape}, credit double"))
+    parts = parts.union(several("r", "rc").groupBy("g", "rc").applyInArrow(of_stripe(True), f"g {shape}, credit double"))
+    single = e.groupBy("g", "rc").agg(F.min("r").alias("least"), F.max("r").alias("highest")).where("least = highest").select("g", "rc")
+    squares = join_with_nulls(cells, single, ["g", "rc"], "left_semi").groupBy("g", "rc").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    parts = parts.union(squares.select("g", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("credit")))
     good = parts.groupBy("g").agg((F.sum("credit") / 2).alias("good2"))
     # Pairs of different times: all pairs less those of one time.
     times = e.groupBy("g", "t").agg(F.sum("k").cast("double").alias("k"))
     pairs = times.groupBy("g").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs2"))
-    return good.join(pairs, "g")
+    return join_with_nulls(good, pairs, ["g"])
 
 
-def c_index(rows: DataFrame, by: str, risk: str = "risk", time: str = "time", event: str = "event") -> DataFrame:
+def c_index(rows: DataFrame, by: str, risk: str = "risk", time: str = "time", event: str = "event", most: int | None = None) -> DataFrame:
     """Concordance: an event is comparable with whoever has a later time, and with whoever is censored.
 
     Against the censored only ranks count; among events see ``_ordered_pairs``.
@@ -139,7 +159,7 @@ def c_index(rows: DataFrame, by: str, risk: str = "risk", time: str = "time", ev
         F.sum(F.col("ev") * (F.col("below") + F.col("cens") / 2)).alias("good"), (F.sum("ev") * F.sum("cens")).alias("pairs")
     )
     e = known.where(f"{event} = 1").groupBy(F.col(by).alias("g"), F.col(risk).cast("double").alias("r"), F.col(time).cast("double").alias("t")).agg(F.count("*").alias("k"))
-    out = ranked.join(_ordered_pairs(e).withColumnRenamed("g", by), by, "left")
+    out = join_with_nulls(ranked, _ordered_pairs(e, most).withColumnRenamed("g", by), [by], "left")
     good, pairs = F.col("good") + F.coalesce("good2", F.lit(0.0)), F.col("pairs") + F.coalesce("pairs2", F.lit(0))
     return out.select(by, _six(good / F.nullif(pairs, F.lit(0))).alias("c_index"))
 

@@ -92,3 +92,40 @@ def test_auc_without_a_chance_or_cases_is_null(spark):
     train = spark.createDataFrame([(1.0, 1, 0.0), (4.0, 0, 0.0)], shape)  # everyone is censored by day 4
     assert [(r.horizon, r.auc, r.mean_auc) for r in E.dynamic_auc(rows, [6.0, 2.0], train).orderBy("horizon").collect()] == [(2.0, None, None), (6.0, None, None)]
     assert [r.auc for r in E.dynamic_auc(rows, [6.0]).collect()] == [1.0]
+
+
+def plain_c_index(rows):
+    good = pairs = 0
+    for a in rows:
+        for b in rows:
+            if a[3] == 1 and (b[3] == 0 or b[2] > a[2]):
+                pairs += 1
+                good += 1.0 if a[1] > b[1] else 0.5 if a[1] == b[1] else 0.0
+    return round(good / pairs, 6) if pairs else None
+
+
+@pytest.mark.parametrize("most", [5, 30, None])
+@pytest.mark.parametrize("kind", ["continuous", "skewed", "tied"])
+def test_concordance_over_stripes(spark, kind, most):
+    rng = random.Random(7)
+    score = {"continuous": rng.random, "skewed": lambda: 10.0 ** rng.uniform(-200, 0), "tied": lambda: rng.choice((0.2, 0.2, 0.2, 0.7, rng.random()))}[kind]
+    time = {"continuous": lambda: rng.uniform(1, 90), "skewed": lambda: 2.0 ** rng.uniform(-60, 20), "tied": lambda: float(rng.choice((5, 5, 5, 9, rng.randint(1, 30))))}[kind]
+    rows = [(g, score(), time(), int(rng.random() < 0.7)) for g in ("a", "b", None) for _ in range(150)] + [("one", 0.5, 3.0, 1)]
+    got = {r.g: r.c_index for r in E.c_index(spark.createDataFrame(rows, "g string, risk double, time double, event int"), "g", most=most).collect()}
+    assert got == {g: plain_c_index([r for r in rows if r[0] == g]) for g in ("a", "b", None, "one")}
+
+
+@pytest.mark.parametrize("kind", ["skewed", "tied"])
+def test_stripes_are_bounded_and_in_order(spark, kind):
+    rng = random.Random(3)
+    value = {"skewed": lambda: 10.0 ** rng.uniform(-250, 250), "tied": lambda: rng.choice((1.0, 1.0, 1.0, 2.0, rng.random()))}[kind]
+    rows = [("a" if i % 3 else None, value()) for i in range(2000)]
+    found = E._striped(spark.createDataFrame(rows, "g string, r double"), "r", "rc", 20).collect()
+    assert len(found) == 2000
+    for g in ("a", None):
+        own = sorted((r.r, r.rc) for r in found if r.g == g)
+        assert [rc for _, rc in own] == sorted(rc for _, rc in own)
+        stripes = {}
+        for r, rc in own:
+            stripes.setdefault(rc, []).append(r)
+        assert all(len(v) <= 20 or len(set(v)) == 1 for v in stripes.values()) and len(stripes) > 20
