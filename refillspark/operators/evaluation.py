@@ -104,6 +104,26 @@ def _striped(e: DataFrame, value: str, stripe: str, most: int) -> DataFrame:
         e = kept(cut.withColumn(stripe, F.col(stripe) * (2 * _CUTS + 1) + F.when(F.col("cuts").isNotNull(), place).otherwise(0)).drop("cuts"), "stripes")
 
 
+def _striped_pairs(e: DataFrame, of_stripe, shape: str) -> DataFrame:
+    """``(g, credit)``: parts of twice the credit of all pairs of ``e (g, r, t, k, rc, tc)``."""
+    cells = kept(e.groupBy("g", "rc", "tc").agg(F.sum("k").cast("double").alias("k")), "cells")
+    rows, columns = cells.select("g", "rc").distinct(), cells.select("g", "tc").distinct()
+    grid = join_with_nulls(join_with_nulls(rows, columns, ["g"]), cells, ["g", "rc", "tc"], "left").fillna(0.0, ["k"])
+    lower = F.sum("k").over(Window.partitionBy("g", "tc").orderBy("rc").rowsBetween(Window.unboundedPreceding, -1))
+    later = F.sum("lower").over(Window.partitionBy("g", "rc").orderBy(F.desc("tc")).rowsBetween(Window.unboundedPreceding, -1))
+    parts = grid.withColumn("lower", F.coalesce(lower, F.lit(0.0))).withColumn("later", F.coalesce(later, F.lit(0.0))).groupBy("g").agg(F.sum(2 * F.col("k") * F.col("later")).alias("credit"))
+
+    def several(value: str, stripe: str) -> DataFrame:
+        ends = e.groupBy("g", stripe).agg(F.min(value).alias("least"), F.max(value).alias("highest")).where("least < highest").select("g", stripe)
+        return join_with_nulls(e, ends, ["g", stripe], "left_semi")
+
+    parts = parts.union(several("t", "tc").groupBy("g", "tc").applyInArrow(of_stripe(False), f"g {shape}, credit double"))
+    parts = parts.union(several("r", "rc").groupBy("g", "rc").applyInArrow(of_stripe(True), f"g {shape}, credit double"))
+    single = e.groupBy("g", "rc").agg(F.min("r").alias("least"), F.max("r").alias("highest")).where("least = highest").select("g", "rc")
+    squares = join_with_nulls(cells, single, ["g", "rc"], "left_semi").groupBy("g", "rc").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    return parts.union(squares.select("g", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("credit")))
+
+
 def _ordered_pairs(e: DataFrame, most: int | None = None) -> DataFrame:
     """``(g, good2, pairs2)`` of distinct events ``e (g, r, t, k)``: the credit of pairs of different times, and their number.
 
@@ -115,14 +135,8 @@ def _ordered_pairs(e: DataFrame, most: int | None = None) -> DataFrame:
     that neither stripes nor their grid outgrow the rows.
     """
     e = kept(e, "events")
-    most = most or max(200_000, int(3 * e.count() ** 0.5))
-    e = _striped(_striped(e, "r", "rc", most), "t", "tc", most)
-    cells = kept(e.groupBy("g", "rc", "tc").agg(F.sum("k").cast("double").alias("k")), "cells")
-    rows, columns = cells.select("g", "rc").distinct(), cells.select("g", "tc").distinct()
-    grid = join_with_nulls(join_with_nulls(rows, columns, ["g"]), cells, ["g", "rc", "tc"], "left").fillna(0.0, ["k"])
-    lower = F.sum("k").over(Window.partitionBy("g", "tc").orderBy("rc").rowsBetween(Window.unboundedPreceding, -1))
-    later = F.sum("lower").over(Window.partitionBy("g", "rc").orderBy(F.desc("tc")).rowsBetween(Window.unboundedPreceding, -1))
-    parts = grid.withColumn("lower", F.coalesce(lower, F.lit(0.0))).withColumn("later", F.coalesce(later, F.lit(0.0))).groupBy("g").agg(F.sum(2 * F.col("k") * F.col("later")).alias("credit"))
+    n = e.count()
+    most = most or max(200_000, int(3 * n**0.5))
     shape = e.schema["g"].dataType.simpleString()
 
     def of_stripe(apart: bool):
@@ -132,15 +146,10 @@ def _ordered_pairs(e: DataFrame, most: int | None = None) -> DataFrame:
 
         return run
 
-    def several(value: str, stripe: str) -> DataFrame:
-        ends = e.groupBy("g", stripe).agg(F.min(value).alias("least"), F.max(value).alias("highest")).where("least < highest").select("g", stripe)
-        return join_with_nulls(e, ends, ["g", stripe], "left_semi")
-
-    parts = parts.union(several("t", "tc").groupBy("g", "tc").applyInArrow(of_stripe(False), f"g {shape}, credit double"))
-    parts = parts.union(several("r", "rc").groupBy("g", "rc").applyInArrow(of_stripe(True), f"g {shape}, credit double"))
-    single = e.groupBy("g", "rc").agg(F.min("r").alias("least"), F.max("r").alias("highest")).where("least = highest").select("g", "rc")
-    squares = join_with_nulls(cells, single, ["g", "rc"], "left_semi").groupBy("g", "rc").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
-    parts = parts.union(squares.select("g", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("credit")))
+    if n <= most:  # one stripe
+        parts = e.withColumn("tc", F.lit(0)).groupBy("g").applyInArrow(of_stripe(False), f"g {shape}, credit double")
+    else:
+        parts = _striped_pairs(_striped(_striped(e, "r", "rc", most), "t", "tc", most), of_stripe, shape)
     good = parts.groupBy("g").agg((F.sum("credit") / 2).alias("good2"))
     # Pairs of different times: all pairs less those of one time.
     times = e.groupBy("g", "t").agg(F.sum("k").cast("double").alias("k"))

@@ -85,12 +85,13 @@ def escalation_countdown(states: DataFrame, as_of: str) -> DataFrame:
 
 
 def source_status(attempts: DataFrame, profiles: DataFrame, key: str = "pid") -> DataFrame:
-    """Of each course of attempts: the source that served (null if none did), how it is reached, and for how many keys."""
-    rows = attempts.join(F.broadcast(profiles.select("source", "access_mode")), "source")
-    served = F.max(F.when(F.col("outcome") == "served", F.struct("source", "access_mode", "max_latency")))
+    """Of each course of attempts: the source that served (null if none did), how it is reached, its whole latency profile, and for how many keys."""
+    rows = attempts.select(key, "position", "source", "outcome")
     trace = F.transform(F.array_sort(F.collect_list(F.struct("position", "source", "outcome"))), lambda t: F.concat_ws(":", t["source"], t["outcome"]))
-    each = rows.groupBy(key).agg(F.array_join(trace, ";").alias("trace"), served.alias("served"))
-    return each.groupBy("served.source", "served.access_mode", "served.max_latency", "trace").agg(F.count("*").alias("subjects"))
+    each = rows.groupBy(key).agg(F.array_join(trace, ";").alias("trace"), F.max(F.when(F.col("outcome") == "served", F.col("source"))).alias("source"))
+    courses = each.groupBy("source", "trace").agg(F.count("*").alias("subjects"))
+    latency = ("min_latency", "typical_latency", "max_latency")
+    return courses.join(F.broadcast(profiles.select("source", "access_mode", *latency)), "source", "left").select("source", "access_mode", *latency, "trace", "subjects")
 
 
 def subject_lookup(view: DataFrame, pid) -> DataFrame:

@@ -478,8 +478,8 @@ def _(z):
 @query(
     "v4_source_status",
     with_frames(
-        _TRACE + """, each AS (SELECT pid, string_agg(source || ':' || outcome, ';' ORDER BY position) AS trace, max(source) FILTER (outcome = 'served') AS source, max(access_mode) FILTER (outcome = 'served') AS access_mode, max(max_latency) AS max_latency FROM trace GROUP BY pid)
-        SELECT source, access_mode, max_latency, trace, count(*) AS subjects FROM each GROUP BY ALL""",
+        _TRACE + """, each AS (SELECT pid, string_agg(source || ':' || outcome, ';' ORDER BY position) AS trace, max(source) FILTER (outcome = 'served') AS source FROM trace GROUP BY pid)
+        SELECT e.source, p.access_mode, min_latency, typical_latency, max_latency, e.trace, count(*) AS subjects FROM each e LEFT JOIN profiles p ON e.source = p.source GROUP BY ALL""",
         "subjects", "feed",
     ),
 )
