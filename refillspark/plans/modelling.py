@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +101,91 @@ def _(z):
     return model.transform(panel).select("pid", F.round(-F.col("prediction"), 6).alias("risk"))
 
 
+# Fitted scores aren't SQL's, but what holds for each of them is: who is scored, and what the fit's own equations say of the scores.
+_LABELLED = base._IV + base._SWEEP + base._A1 + ", panel AS (SELECT pid, index_date, (pdc_180d > 0.3)::INT AS event, pdc_180d FROM cohort JOIN pdc USING (pid))"
+_PROPERTIES = " SELECT count(*) AS n, sum(event)::BIGINT AS n_events, count(*) AS n_scored, 1 AS events_score_higher{} FROM panel"
+
+
+def _scored(scores, panel):
+    """Rows, events, scores that are probabilities, and whether the events' mean score is the higher one."""
+    event, score = F.col("event") == 1, F.col("score")
+    higher = F.avg(F.when(event, score)) > F.avg(F.when(~event, score))
+    return [F.count("*").alias("n"), F.sum("event").alias("n_events"), F.count_if(score.between(0, 1)).alias("n_scored"), higher.cast("int").alias("events_score_higher")], scores.join(panel.select("pid", "event"), "pid")
+
+
+# Balanced weights and a free intercept: the weighted mean score is the weighted share of events, a half.
+@query("m2_logistic_properties", with_frames(_LABELLED + _PROPERTIES.format(", 0.5::DOUBLE AS weighted_mean"), "fills", "cohort"))
+def _(z):
+    panel = _panel(z)
+    columns, rows = _scored(M.score_holdout(M.fit_logistic(panel, FEATURES, "event"), panel, FEATURES), panel)
+    mean = F.sum(F.col("weight") * F.col("score")) / F.sum("weight")
+    return M.balanced_weights(rows, "event").agg(*columns, F.round(mean, 3).alias("weighted_mean"))
+
+
+@query("m3_gbt_properties", with_frames(_LABELLED + _PROPERTIES.format(""), "fills", "cohort"))
+def _(z):
+    panel = _panel(z)
+    columns, rows = _scored(M.score_holdout(M.fit_gbt(panel, FEATURES, "event", 8), panel, FEATURES), panel)
+    return rows.agg(*columns)
+
+
+@query("m4_random_forest_properties", with_frames(_LABELLED + _PROPERTIES.format(""), "fills", "cohort"))
+def _(z):
+    panel = _panel(z)
+    columns, rows = _scored(M.score_holdout(M.fit_random_forest(panel, FEATURES, "event"), panel, FEATURES), panel)
+    return rows.agg(*columns)
+
+
+# Each row in the fold that the order of its hash gives it, and scored there once.
+@query(
+    "m5_out_of_fold_rows",
+    with_frames(
+        _LABELLED + """ SELECT pid, event, ((row_number() OVER (PARTITION BY event ORDER BY md5(pid::VARCHAR || '|42'), pid) - 1) % 5)::INT AS fold,
+        1::BIGINT AS n_scores, 1 AS is_probability FROM panel""",
+        "fills", "cohort",
+    ),
+)
+def _(z):
+    rows = T.kept(W.stratified_folds(_panel(z)), "folds")
+    scores = M.out_of_fold_scores(rows, FEATURES, "event", M.fit_logistic).join(rows.select("pid", "event"), "pid")
+    return scores.groupBy("pid", "event", "fold").agg(F.count("*").alias("n_scores"), F.min(F.col("score").between(0, 1).cast("int")).alias("is_probability"))
+
+
+# A frozen model scores the rows it is given and no others.
+@query("m6_holdout_rows", with_frames(R._SPLIT + " SELECT pid, split, (split = 'test')::INT AS is_scored FROM split", "cohort"))
+def _(z):
+    split = W.temporal_split(z.cohort()).select("pid", "split")
+    panel = T.kept(_panel(z).join(split, "pid"), "split")
+    model = M.fit_logistic(panel.where("split = 'train'"), FEATURES, "event")
+    scores = M.score_holdout(model, panel.where("split = 'test'"), FEATURES).select("pid", F.col("score").between(0, 1).cast("int").alias("is_scored"))
+    return split.join(scores, "pid", "left").na.fill(0, ["is_scored"])
+
+
+# Additive to the model's own margin, which Spark ML gives as the raw prediction; one base for all rows.
+@query("m8_tree_attribution_additive", with_frames(_LABELLED + " SELECT pid, 0.0::DOUBLE AS rest, 1::BIGINT AS n_bases FROM panel", "fills", "cohort"))
+def _(z):
+    panel = _panel(z)
+    model = M.fit_gbt(panel, FEATURES, "event", 5, 3)
+    rows = T.kept(M.tree_attribution(panel, model, FEATURES), "attributions")
+    raw = model.transform(panel.select("pid", *FEATURES)).select("pid", vector_to_array("rawPrediction")[1].alias("raw"))
+    parts = sum((F.col(f"{c}_attr") for c in FEATURES), F.col("base"))
+    bases = rows.agg(F.countDistinct(F.round("base", 9)).alias("n_bases"))
+    return rows.join(raw, "pid").select("pid", F.abs(F.round(F.col("raw") - parts, 6)).alias("rest")).join(F.broadcast(bases))
+
+
+# At the best fit of the times the expected events of all rows are as many as those observed.
+@query(
+    "m10_aft_survival_properties",
+    with_frames(_LABELLED + " SELECT count(*) AS n, sum(event)::BIGINT AS n_events, count(*) AS n_times, 1.0::DOUBLE AS expected_over_observed FROM panel", "fills", "cohort"),
+)
+def _(z):
+    panel = _panel(z).withColumn("time", F.greatest(F.col("pdc_180d") * 180, F.lit(1.0)))
+    model = M.fit_aft_survival(panel, FEATURES)
+    expected = F.sum(F.pow(F.col("time") / F.col("prediction"), F.lit(1.0 / model.stages[-1].scale)))
+    rows = model.transform(panel)
+    return rows.agg(F.count("*").alias("n"), F.sum("event").alias("n_events"), F.count_if(F.col("prediction") > 0).alias("n_times"), F.round(expected / F.sum("event"), 2).alias("expected_over_observed"))
+
+
 # ---- files --------------------------------------------------------------------------------------
 
 
