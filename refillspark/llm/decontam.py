@@ -24,9 +24,6 @@ UNITS = (
     "percent", "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "degree", "degrees", "mph", "kmh", "watts", "volts",
 )
 
-_NUMBER = r"^[+-]?[0-9]+([.,:/-][0-9]+)*(st|nd|rd|th)?$"
-_QUANTITY = r"^[0-9]+([.,][0-9]+)*\p{L}+$"
-
 #: Item windows up to this many are broadcast (some 100 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
@@ -37,6 +34,9 @@ _WHOLE = -(1 << 60)
 #: Stands before a word that begins a sentence, so that its capital letter names nobody.
 _START = "\u0002"
 
+_NUMBER = rf"^{_START}?[+-]?[0-9]+([.,:/-][0-9]+)*(st|nd|rd|th)?$"
+_QUANTITY = rf"^{_START}?[0-9]+([.,][0-9]+)*\p{{L}}+$"
+
 
 def _words(text: Column) -> Column:
     """Words without outer punctuation, in their case; two passes over the text, none over each word.
@@ -96,12 +96,13 @@ _WIDEST = 16
 _WINDOWS = "array<struct<at:int,hash:bigint,slots:array<string>,width:int,sure:boolean>>"
 
 
-def _windows(length: int, *, open_too: bool = False) -> Column:
+def _windows(length: int, *, open_too: bool = False, by_value: bool = False) -> Column:
     """``(at, hash, slots, width, sure)`` of every window.
 
     One with few literal words is widened to the right until it has enough; where the text ends
     before (not ``sure``) its values must agree. With ``open_too`` the windows in which a word
-    begins a sentence are given a second time, with that word as a name.
+    begins a sentence are given a second time, with that word as a name. With ``by_value`` every
+    window that is widened is given by its values too: an item may end where a document goes on.
     """
     words, need = F.col("words"), length - length // 2
     no_slots = F.lit(None).cast("array<string>")
@@ -133,7 +134,18 @@ def _windows(length: int, *, open_too: bool = False) -> Column:
             light = F.struct(i.alias("at"), hashed(i).alias("hash"), F.when(n > 0, slots).otherwise(no_slots).alias("slots"), F.lit(length).alias("width"), F.lit(True).alias("sure"))
             return F.when(n > length - need, heavy).otherwise(light)
 
-        return F.when(F.col("slotted"), F.transform(places, slotted)).otherwise(F.transform(places, literal)) if plain else F.transform(places, slotted)
+        def valued(i: Column) -> Column:
+            slot = [F.get(template, i + j).startswith("<") for j in range(length)]
+            value = [_plain(F.get(words, i + j)) for j in range(length)]
+            n = sum((x.cast("int") for x in slot), F.lit(0))
+            slots = F.array_compact(F.array(*(F.when(x, v) for x, v in zip(slot, value))))
+            one = F.struct(i.alias("at"), F.xxhash64(F.lit("values"), *value).alias("hash"), slots.alias("slots"), F.lit(length).alias("width"), F.lit(False).alias("sure"))
+            return F.when(n > length - need, one)
+
+        with_slots = F.transform(places, slotted)
+        if by_value:
+            with_slots = F.concat(with_slots, F.array_compact(F.transform(places, valued)))
+        return F.when(F.col("slotted"), with_slots).otherwise(F.transform(places, literal)) if plain else with_slots
 
     every = given(F.col("template"), F.sequence(F.lit(0), F.size("words") - length), True)
     if open_too:
@@ -145,59 +157,69 @@ def _windows(length: int, *, open_too: bool = False) -> Column:
 
 
 #: In the sieve, a number with its unit and a capitalised word (private-use characters).
-_A_NUMBER, _A_NAME = "\ue000", "\ue001"
-#: The share of the windows that a judged occurrence must have which is enough for the sieve: either
-#: form may miss some that the other has, and the judgement cuts words a little differently.
+_A_NUMBER, _A_NAME = "", ""
+#: The share of the windows that a judged occurrence must have which is enough for the sieve: a form
+#: may miss some that another has, and the judgement cuts words a little differently.
 _SIEVE_SHARE = 3
 
 
-def _forms(text: Column) -> tuple[Column, Column]:
-    """Words of the template form and of the plain form; an empty word stands at each end."""
-    text = F.coalesce(text, F.lit(""))
-    numbers = rf"[0-9]+(?:[.,:/-][0-9]+)*(?:\s*(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}]))?"
-    template = F.regexp_replace(F.regexp_replace(text, numbers, _A_NUMBER), r"\p{Lu}\p{Ll}[\p{L}\p{N}]*", _A_NAME)
-    padded = [F.concat(F.lit(" "), x, F.lit(" ")) for x in (template, F.lower(text))]
-    return F.split(padded[0], rf"[^\p{{L}}\p{{N}}{_A_NUMBER}{_A_NAME}]+"), F.split(padded[1], r"[^\p{L}\p{N}]+")
+def _forms(rows: DataFrame) -> DataFrame:
+    """``(id, form, words)``: each text in up to three forms, all in lower case, an empty word at each end.
 
+    Form 0 has marks for numbers and capitalised words, form 1 for numbers, form 2 none (given only
+    to texts with digits: without them it is form 1). Words that the judgement takes as equal are
+    equal in form 0 if both stand for a name, and in form 1 if their letters are the same in
+    whatever case; in form 2 the numbers of a text without other words are.
+    """
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    numbers = rf"[0-9]+(?:[.,:/-][0-9]+)*(?:\p{{L}}+|[^\p{{L}}\p{{N}}]{{0,3}}(?i:{units})(?![\p{{L}}\p{{N}}]))?"
+    names = r"\p{Lu}\p{Ll}[\p{L}\p{N}]*(?:['’-][\p{L}\p{N}]+)*"
+    text = F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" "))
+    rows = rows.select("id", text.alias("text"))
+    rows = rows.select("id", "text", F.col("text").rlike("[0-9]").alias("digits"), F.regexp_replace("text", numbers, _A_NUMBER).alias("numbered"))
 
-def _sieve_windows(rows: DataFrame, words: str, length: int) -> DataFrame:
-    """``(id, at, hash, literal)`` of every window of ``length`` in ``rows (id, words)``.
+    def words(x: Column) -> Column:
+        return F.split(F.lower(x), rf"[^\p{{L}}\p{{N}}{_A_NUMBER}{_A_NAME}]+")
+
+    forms = F.array(words(F.regexp_replace("numbered", names, _A_NAME)), words(F.col("numbered")), F.when(F.col("digits"), words(F.col("text"))))
+    return rows.select("id", F.posexplode(forms).alias("form", "words"))
 
-    The places are exploded and not the windows: the words stay one array in the generated code.
-    """
-    last = F.size(words) - length - 1
-    at = rows.select("id", words, F.explode(F.when(last >= 1, F.sequence(F.lit(1), last))).alias("at"))
-    each = [F.get(F.col(words), F.col("at") + j) for j in range(length)]
-    literal = sum((F.when(F.substring(w, 1, 1).isin(_A_NUMBER, _A_NAME), 0).otherwise(1) for w in each), F.lit(0))
-    return at.select("id", "at", F.xxhash64(F.lit(words), *each).alias("hash"), literal.alias("literal"))
+
+def _hash_at(length: int) -> Column:
+    return F.xxhash64(F.lit(length), *(F.get("words", F.col("at") + j) for j in range(length)))
 
 
 def _sieved(rows: DataFrame, benchmark: DataFrame, window: int, similarity: float, passage_words: int) -> DataFrame:
-    """``(id, item)``: documents that may be contaminated by an item.
+    """``(id, item)``: documents that may be contaminated by an item, found in one pass over all documents.
 
-    A pair stays if, in one of the two forms, the document has a third of the windows that the
-    judgement asks for (of the template form, those with fewer than two literal words don't count).
+    A pair stays if, in one form of the item, the document has a third of the windows that the
+    judgement asks for. Of forms 0 and 1 windows with fewer than two literal words don't count,
+    unless the item has no others.
     """
-    found = None
-    for k, form in enumerate(("template", "plain")):
-        items = benchmark.select("id", _forms(F.col("text"))[k].alias(form))
-        length = F.least(F.size(form) - 2, F.lit(window))
-        items = items.withColumn("length", length).where("length > 0")
-        lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most ``window`` of them
-        for n in lengths:
-            own = _sieve_windows(items.where(F.col("length") == n), form, n)
-            counts = F.lit(form == "plain") | (F.col("literal") >= min(2, n))
-            asked = F.least(F.ceil(F.count("*") * F.lit(similarity)), F.lit(max(1, passage_words - window + 1))) - F.count_if(~counts)
-            need = own.groupBy("id").agg(F.greatest(F.lit(1), F.ceil(asked / _SIEVE_SHARE)).alias("need"))
-            wanted = stored(own.where(counts).join(need, "id").select(F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", "need"), "sieve")
-            small = wanted.count() <= MOST_BROADCAST
-            texts = rows.select("id", _forms(F.col("text"))[k].alias(form))
-            hits = _sieve_windows(texts, form, n).select("id", "hash").join(F.broadcast(wanted) if small else wanted, "hash")
-            # Counted within a row's task first: all windows of a text lie together.
-            hits = hits.groupBy("id", "item", "item_at", "need").agg(F.lit(1).alias("met")).groupBy("id", "item", "need").agg(F.sum("met").alias("met"))
-            hits = hits.where("met >= need").select("id", "item")
-            found = hits if found is None else found.union(hits)
-    return found
+    items = _forms(benchmark).withColumn("length", F.least(F.size("words") - 2, F.lit(window))).where("length > 0")
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most ``window`` of them
+    at = F.explode(F.sequence(F.lit(1), F.size("words") - F.col("length") - 1)).alias("at")
+    own = items.select("id", "form", "words", "length", at)
+    literal = F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("length")), lambda w: ~F.substring(w, 1, 1).isin(_A_NUMBER, _A_NAME)))
+    hashed = F.coalesce(*(F.when(F.col("length") == n, _hash_at(n)) for n in lengths or [window]))
+    own = own.select(F.col("id").alias("item"), "form", F.col("at").alias("item_at"), "length", literal.alias("literal"), hashed.alias("hash"))
+    most = F.max("literal").over(Window.partitionBy("item", "form"))
+    own = own.withColumn("counts", (F.col("form") == 2) | (F.col("literal") >= F.least(F.lit(2), F.col("length"), F.greatest(F.lit(1), most))))
+    asked = F.least(F.ceil(F.count("*") * F.lit(similarity)), F.lit(max(1, passage_words - window + 1))) - F.count_if(~F.col("counts"))
+    need = own.groupBy("item", "form").agg(F.greatest(F.lit(1), F.ceil(asked / _SIEVE_SHARE)).alias("need"))
+    wanted = stored(own.where("counts").join(need, ["item", "form"]).select("item", "form", "item_at", "hash", "need"), "sieve")
+    small = wanted.count() <= MOST_BROADCAST
+
+    # The places are exploded and not the windows: the words stay one array in the generated code.
+    least = min(lengths, default=window)
+    places = F.when(F.size("words") - 2 >= least, F.sequence(F.lit(1), F.size("words") - least - 1))
+    places = _forms(rows).select("id", "words", F.explode(places).alias("at"))
+    hashes = [_hash_at(n) for n in lengths]
+    found = places.select("id", hashes[0].alias("hash") if len(hashes) == 1 else F.explode(F.array(*hashes)).alias("hash"))
+    hits = found.join(F.broadcast(wanted) if small else wanted, "hash")
+    # Counted within a row's task first: all windows of a text lie together.
+    hits = hits.groupBy("id", "item", "form", "item_at", "need").agg(F.lit(1).alias("met")).groupBy("id", "item", "form", "need").agg(F.sum("met").alias("met"))
+    return hits.where("met >= need").select("id", "item").distinct()
 
 
 def contamination(
@@ -253,7 +275,7 @@ def contamination(
     wanted = F.broadcast(item_windows) if item_windows.count() <= MOST_BROADCAST else item_windows
 
     typed = _typed(rows).withColumn("row", F.monotonically_increasing_id())
-    found = F.concat(*(F.coalesce(_windows(n, open_too=n == window), F.array().cast(_WINDOWS)) for n in lengths))
+    found = F.concat(*(F.coalesce(_windows(n, open_too=n == window, by_value=True), F.array().cast(_WINDOWS)) for n in lengths))
     exploded = typed.select("id", "row", F.explode(found).alias("x")).select("id", "row", "x.at", "x.hash", "x.slots")
     met = exploded.join(wanted, "hash")
     met = stored(met.select("id", "row", "item", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "width", "counts", "item_words", "slots", "item_slots"), "met")

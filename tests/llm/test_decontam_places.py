@@ -110,3 +110,35 @@ def test_containment_equals_brute_force_without_placeholders(spark):
                 want[d, i] = covered
     got = found(spark, docs, items)
     assert {k: r.containment for k, r in got.items()} == want and want
+
+
+def test_the_sieve_keeps_all_that_the_judgement_accepts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    items = [MIX, PAID, TRAIN, SHOP, ASKED, "Walk. Turn left. Go on. Stop there. Open it. Look in. Write down all.", "1 2 3 4 5 6 7 8", "Add 3kg and 5 kg", "Anne-Marie's well-known brother O'Neill met Tom at 10:30 in Rome. 12 of them came by train, 3rd class."]
+    docs, cases = [], [str, str.upper, str.lower, str.title]
+    for k, item in enumerate(items):
+        other = item
+        for a, b in [("Alice", "Jean-Luc"), ("Bob", "Olaf"), ("Maria", "Ingrid"), ("Peter", "Sven"), ("Tom", "Mary-Ann"), ("Rome", "Oslo"), ("kg", "lb"), ("km", "miles"), ("hours", "days")]:
+            other = other.replace(a, b)
+        numbers = "".join(str((int(c) * 7 + 3) % 10) if c.isdigit() else c for c in other)
+        for text in (item, other, numbers, numbers.replace(" lb", "lb"), item.replace(".", " -- ").replace(",", ";"), item.replace(" ", "  ("), " ".join(w for w in item.split() if rng.random() > 0.07)):
+            docs += [(len(docs) + i, f"{'quiet river ' * 9}. {case(text)} {'green hills ' * 9}") for i, case in enumerate(cases)]
+    docs += [(10_000, "MIX 11 KG OF FLOUR, 12 KG OF SUGAR, 13 KG OF BUTTER AND 14 EGGS IN A LARGE BOWL FOR 15 MINUTES.")]
+    benchmark = list(enumerate(items))
+    got = found(spark, docs, benchmark)
+    sieve = decontam._sieved
+
+    def all_pairs(rows, asked, *options):
+        assert sieve(rows, asked, *options).count() < rows.count() * asked.count() / 4
+        return rows.select("id").distinct().crossJoin(asked.select(asked.id.alias("item")))
+
+    monkeypatch.setattr(decontam, "_sieved", all_pairs)
+    assert set(found(spark, docs, benchmark)) == set(got)
+    assert (10_000, 0) in got and len({i for _, i in got}) == len(items)
+
+
+def test_numbers_that_begin_a_sentence_are_placeholders(spark):
+    asked = "We count the boxes in the yard. 14 boxes are red there. 9 of those are full of old paper."
+    assert set(found(spark, [(1, asked.replace("14", "31").replace("9", "8"))], [(1, asked)])) == {(1, 1)}
