@@ -69,7 +69,8 @@ def top_k(
     query's own; ties go to the smaller id. Vectors that are null or hold null or non-finite
     components, and rows without an id, take no part. Rows that share an id are rows like others:
     each is a candidate, and each that is a query gets its own k (numbered 1 to k for each of them).
-    An empty table gives no rows. Blocks have bounded sizes; every block of queries meets every
+    An empty table gives no rows. No score, in part or whole, is larger than the largest squared
+    length of a vector; where that reaches 2^62 the search is an error, not a wrapped score. Blocks have bounded sizes; every block of queries meets every
     block of candidates on a key, and the postings of a block are kept while its pairs last.
     """
     finite = "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
@@ -78,7 +79,10 @@ def top_k(
     rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"), F.monotonically_increasing_id().alias("row"))
     rows = stored(rows, "vectors")
     # A block's number comes from a count of rows by hash, so that blocks have about the size asked for.
-    n_rows, n_queries = rows.agg(F.count("*"), F.count_if(F.expr(query_where))).first()
+    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    n_rows, n_queries, largest = rows.agg(F.count("*"), F.count_if(F.expr(query_where)), F.max(square)).first()
+    if (largest or 0.0) >= 2.0**62:
+        raise ValueError("a vector is too long for scores of 64 bits")
     n_blocks, n_asks = -(-n_rows // candidate_block) or 1, -(-n_queries // query_block) or 1
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     packed = lambda df, key, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("row", "id", "v"))).alias(name))

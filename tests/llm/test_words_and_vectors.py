@@ -248,3 +248,14 @@ def test_leading_pairs(kind):
     diagonal, off, basis = whitening.tridiagonal(a)
     assert (basis @ (np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1)) @ basis.T) == pytest.approx(a, abs=1e-12 * max(1, e.max()))
     assert whitening.leading_pairs(np.zeros((3, 3)), 2)[0].tolist() == [0, 0]
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    from refillspark.llm import topk
+
+    for far in (1e300, -1e308, 3e6):
+        vectors = spark.createDataFrame([(0, [far, 1.0]), (1, [far, 2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(ValueError, match="64 bits"):
+            topk.top_k(vectors)
+    vectors = spark.createDataFrame([(0, [1e6, 1.0]), (1, [1e6, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(vectors).collect()] == [(0, 1, 1, 1024_000_000**2 + 2 * 1024 * 1024)]
