@@ -224,12 +224,24 @@ def keep_one_of_similar(
     info = each.select("node", "size").join(grouped, "node", "left")
     info = info.select("node", F.struct("node", "size").alias("text"), F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
     tagged = stored(common.select("key", "node").join(info, "node").drop("node"), "tagged")
-    pivots = tagged.groupBy("key").agg(F.min(F.struct("root", "text")).alias("low"), F.max(F.struct("degree", "text", "root")).alias("hub"), F.max("root").alias("last"))
-    pivots = pivots.where("low.root < last").select("key", F.array(*(F.struct(F.col(f"{n}.text").alias("other"), F.col(f"{n}.root").alias("of")) for n in ("low", "hub"))).alias("pivots"))
+    # Pivots by key and root first: of a large group the texts that meet pivots of their own only are
+    # left out as one row a key, before any of them is joined.
+    per_root = tagged.groupBy("key", "root").agg(F.min("text").alias("first"), F.max(F.struct("degree", "text")).alias("most"))
+    per_root = stored(per_root, "roots")
+    pivots = per_root.groupBy("key").agg(F.min(F.struct("root", "first")).alias("low"), F.max(F.struct("most", "root")).alias("hub"), F.max("root").alias("last"))
+    pivots = pivots.where("low.root < last").select(
+        "key",
+        F.array(
+            F.struct(F.col("low.first").alias("other"), F.col("low.root").alias("of")),
+            F.struct(F.col("hub.most.text").alias("other"), F.col("hub.root").alias("of")),
+        ).alias("pivots"),
+    )
+    foreign = F.filter("pivots", lambda p: p["of"] != F.col("root"))
+    asked = per_root.select("key", "root").join(pivots, "key").select("key", "root", foreign.alias("pivots")).where(F.size("pivots") > 0)
     # Sets whose sizes lie too far apart can't be similar.
     alike = F.least("text.size", "other.size") >= F.lit(similarity) * F.greatest("text.size", "other.size")
     pair = [F.least("text.node", "other.node").alias("src"), F.greatest("text.node", "other.node").alias("dst")]
-    met = tagged.join(pivots, "key").select("text", "root", F.inline("pivots")).where("root <> of").where(alike).select(*pair).distinct()
+    met = tagged.join(asked, ["key", "root"]).select("text", F.inline("pivots")).where(alike).select(*pair).distinct()
     rest = stored(met.join(likely, ["src", "dst"], "left_anti"), "candidates")
     roots = components(links.union(_similar(rest, each, rows, **options)))
     group = each.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
