@@ -21,6 +21,21 @@ def join_with_nulls(rows: DataFrame, other: DataFrame, on: list[str], how: str =
     return rows.join(theirs, same, how).drop(*(f"{c}_theirs_" for c in on))
 
 
+def dealt(rows: DataFrame, key: str, n: int, each: int = 250_000) -> DataFrame:
+    """About ``n`` rows in parts of some ``each`` by a key, so that what a task sorts doesn't grow with the rows.
+
+    Adaptive execution merges a shuffle's parts by their compressed bytes, and rows that compress
+    well take many times as much in a sort; a number of parts that is given stays. Few rows are
+    left to it.
+    """
+    spark = rows.sparkSession
+    parts = math.ceil(n / each)
+    if parts <= spark.sparkContext.defaultParallelism:
+        return rows
+    # Not below the session's number: what is joined with them then comes into as many parts.
+    return rows.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def running_totals(rows: DataFrame, bucket: Column, order: list, totals: dict[str, Column], by: str | None = None, inclusive: bool = False, down: bool = False) -> DataFrame:
     """Adds, for each name, the sum of a column over the rows before this one (with ``inclusive`` this one too), within ``by``.
 

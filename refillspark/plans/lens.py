@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.distributed import dealt
+
 INDEX_CODES = ("1-URGENT", "2-HIGH")
 AS_OF = "2001-01-01"
 
@@ -50,11 +52,13 @@ class Lens:
         return self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     def observations(self) -> DataFrame:
-        return self._lines().select("pid", F.col("l_returnflag").alias("code"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").alias("value"))
+        rows = self._lines().select("pid", F.col("l_returnflag").alias("code"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").alias("value"))
+        return dealt(rows, "pid", self.table("lineitem").count())
 
     def conditions(self) -> DataFrame:
         part = self.table("part").select("p_partkey", F.col("p_brand").alias("code"))
-        return self._lines().join(part, F.col("l_partkey") == F.col("p_partkey")).select("pid", "code", F.to_date("l_shipdate").alias("start"))
+        rows = self._lines().join(part, F.col("l_partkey") == F.col("p_partkey")).select("pid", "code", F.to_date("l_shipdate").alias("start"))
+        return dealt(rows, "pid", self.table("lineitem").count())
 
     def encounters(self) -> DataFrame:
         kind = F.when(F.col("o_orderpriority") == "1-URGENT", "emergency").when(F.col("o_orderpriority") == "2-HIGH", "inpatient").when(F.col("o_orderpriority") == "3-MEDIUM", "urgentcare")
