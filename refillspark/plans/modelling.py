@@ -53,7 +53,9 @@ def _panel(z):
     ),
 )
 def _(z):
-    return M.impute_with_indicator(base.trajectory(z).select("pid", "sbp_mean"), ["sbp_mean"]).withColumn("sbp_mean", F.round("sbp_mean", 6))
+    # Stored: the passes of the median would each work it out anew.
+    means = T.kept(base.trajectory(z).select("pid", "sbp_mean"), "means")
+    return M.impute_with_indicator(means, ["sbp_mean"]).withColumn("sbp_mean", F.round("sbp_mean", 6))
 
 
 @query("m2_logistic_scores")
