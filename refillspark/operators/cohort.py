@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import age_years, clip_interval, coverage_end, days_before, elapsed_days
+from ..storage import kept
 
 #: Longer code lists are joined as a table (a code list is configuration, far below a broadcast's bound).
 _INLINE_CODES = 500
@@ -123,7 +124,7 @@ def group_profile(included: DataFrame, excluded: DataFrame, subjects: DataFrame,
     """Both sides' size, mean age, distinct conditions and years since the first one: selection bias."""
     ref = F.to_date(F.lit(ref_date))
     sides = included.select("pid", F.lit("included").alias("side")).union(excluded.select("pid", F.lit("excluded").alias("side")))
-    known = conditions.groupBy("pid").agg(F.countDistinct("code").alias("n_conditions"), F.min("start").alias("first_dx"))
+    known = kept(conditions.groupBy("pid").agg(F.countDistinct("code").alias("n_conditions"), F.min("start").alias("first_dx")), "known")
     rows = sides.join(subjects.select("pid", "birth", "death"), "pid").join(known, "pid", "left")
     return rows.groupBy("side").agg(
         F.count("*").alias("n"),

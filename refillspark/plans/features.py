@@ -8,6 +8,7 @@ from .. import functions as S
 from ..operators import cohort as C
 from ..operators import coverage as V
 from ..operators import features as X
+from ..storage import kept
 from .lens import AS_OF, INDEX_CODES, Lens, with_frames
 
 DX = ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22", "Brand#23", "Brand#31", "Brand#32")
@@ -427,8 +428,8 @@ def _(z):
     ),
 )
 def _(z):
-    idx = _idx(z)
-    parts = C.split_included_excluded(z.subjects(), idx, C.baseline_eligible(idx, z.observations(), "A"))
+    idx = kept(_idx(z), "indexed")
+    parts = kept(C.split_included_excluded(z.subjects(), idx, C.baseline_eligible(idx, z.observations(), "A")), "sides")
     return C.group_profile(parts.where("included = 1"), parts.where("included = 0"), z.subjects(), z.conditions(), AS_OF)
 
 
@@ -453,7 +454,8 @@ _PANEL = (
 
 
 def panel(z):
-    features = [comorbidity(z), regimen(z), pdc(z)]
+    # Stored, so that no task sorts the rows of several parts at once.
+    features = [kept(part(z), "part") for part in (comorbidity, regimen, pdc)]
     return C.assemble_panel(z.cohort(), features, {"cmb_n_conditions": 0, "rx_n_active_meds": 0, "rx_n_meds_started_1y": 0})
 
 
@@ -462,7 +464,7 @@ query("j11_assemble_panel", with_frames(_PANEL + " SELECT * FROM panel", "fills"
 
 @query("j12_labelled_frame", with_frames(_PANEL + " SELECT panel.*, max_gap, has_30_day_gap FROM panel JOIN gap USING (pid)", "fills", "cohort", "conditions"))
 def labelled(z):
-    return C.labelled_frame(panel(z), gaps(z), "has_30_day_gap")
+    return C.labelled_frame(panel(z), kept(gaps(z), "part"), "has_30_day_gap")
 
 
 @query("j13_select_feature_columns", with_frames(_PANEL + " SELECT pid, cmb_n_conditions, rx_n_active_meds, rx_n_meds_started_1y FROM panel", "fills", "cohort", "conditions"))
