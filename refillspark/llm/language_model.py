@@ -2,9 +2,10 @@
 
 P(word | context) = P(class | context) P(word | class, context). A word's class is a hash of its last
 two code points. Features of a context are the word before, the two before, and the words two and
-three before (skips), hashed to rows of weights. A class's most frequent words, its heads, have
-weights of their own within it; its other words, and one word that stands for all unknown ones of
-the class, share what is left by their counts. So all words together have probability 1.
+three before (skips), hashed to rows of weights. Within a class every known word is a leaf of a
+Huffman tree by counts, and each fork of its path has weights by the word before; one more leaf stands for
+all other words of the class, unknown ones as one, which share it by their counts. So all words
+together have probability 1, and without weights each has what its count gives it.
 
 Tasks take gradient steps over their shares of the corpus, and after each round their weights are
 averaged, each row by how often a task saw its feature.
@@ -12,14 +13,17 @@ averaged, each row by how often a task saw its feature.
 
 from __future__ import annotations
 
+import copy
+import heapq
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +34,9 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The token after the last word; no word has white space in it.
 _END = b"\n"
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_CLIP = 6.0
+_ODD, _CLIP = np.uint32(0x9E3779B1), 6.0
 #: Tokens that are scored together, and words of a task's memo.
-_STEP, _MEMO = 8192, 400_000
+_STEP, _MEMO = 16384, 400_000
 #: Parts in which tasks hand over a table of weights.
 _BLOCKS = 32
 
@@ -44,8 +48,21 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
+def split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, as ``tokens`` has them without the ends, and how many each text has."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(texts)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten()
+    # A text without words is split into one empty word.
+    empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    if empty.any():
+        words, sizes = words.filter(pc.greater(pc.binary_length(words), 0)), np.where(empty, 0, sizes)
+    return words.dictionary_encode(), sizes
+
+
 def class_of(word: bytes, classes: int) -> int:
-    return zlib.crc32(word.decode()[-2:].encode()) % classes
+    return zlib.crc32(word[-2:] if word.isascii() else word.decode()[-2:].encode()) % classes
 
 
 def _class_column(word: str, classes: int) -> Column:
@@ -54,11 +71,36 @@ def _class_column(word: str, classes: int) -> Column:
 
 @dataclass
 class Shape:
-    """Classes and heads of a class, both even, and the bits of a feature's row."""
+    """Classes (even), words of a class's tree (None: all known ones), the bits of a feature's row, and those of a fork's."""
 
     classes: int = 16
-    heads: int = 16
+    heads: int | None = None
     bits: int = 14
+    fork_bits: int = 20
+
+
+def _tree(masses: list[float], first: int) -> tuple[list[tuple[list[int], list[int]]], list[float]]:
+    """Of each leaf of a Huffman tree its forks, numbered from ``first``, and the sides taken (1 or 0); of each fork the log odds of side 1."""
+    heap = [(m, i) for i, m in enumerate(masses)]
+    heapq.heapify(heap)
+    up: list[tuple[int, int]] = [(-1, 0)] * (2 * len(masses) - 1)
+    odds: list[float] = []
+    while len(heap) > 1:
+        (a, i), (b, k) = heapq.heappop(heap), heapq.heappop(heap)
+        fork = len(masses) + len(odds)
+        up[i], up[k] = (fork, 0), (fork, 1)
+        odds.append(float(np.log(b / a)))
+        heapq.heappush(heap, (a + b, fork))
+    paths = []
+    for leaf in range(len(masses)):
+        forks, sides = [], []
+        at, side = up[leaf]
+        while at >= 0:
+            forks.append(first + at - len(masses))
+            sides.append(side)
+            at, side = up[at]
+        paths.append((forks, sides))
+    return paths, odds
 
 
 class Model:
@@ -69,47 +111,72 @@ class Model:
     """
 
     def __init__(self, shape: Shape, known: list[tuple[bytes, int]], mass: np.ndarray):
-        if shape.classes % 2 or shape.heads % 2:
-            raise ValueError("classes and heads have to be even")
+        if shape.classes % 2:
+            raise ValueError("classes have to be even")
         self.shape, self.known, self.mass = shape, known, mass
-        self.head_of: dict[bytes, int] = {}
-        self.head_mass = np.zeros((shape.classes, shape.heads), dtype=np.float32)
-        used = [0] * shape.classes
+        # Leaves: the known words of each class, the frequent ones first, then one a class for all its other words.
+        leaf_of: dict[bytes, int] = {}
+        own: list[list[tuple[bytes, int]]] = [[] for _ in range(shape.classes)]
         for word, n in sorted(known, key=lambda x: (-x[1], x[0])):
             c = class_of(word, shape.classes)
-            if n and used[c] < shape.heads:
-                self.head_of[word], self.head_mass[c, used[c]] = used[c], n + 1
-                used[c] += 1
-        self.rest = (mass - self.head_mass.sum(axis=1, dtype=np.float64)).astype(np.float32)
+            if n and (shape.heads is None or len(own[c]) < shape.heads):
+                own[c].append((word, n))
+        paths, rests, odds, share = [], [], [], []
+        for c, words in enumerate(own):
+            rest = mass[c] - sum(n + 1 for _, n in words)  # 1 at least, that of the unknown word
+            found, more = _tree([*(n + 1.0 for _, n in words), rest], len(odds))
+            odds += more
+            leaf_of.update((word, len(paths) + i) for i, (word, _) in enumerate(words))
+            paths += found[:-1]
+            share += [n + 1.0 for _, n in words]
+            rests.append((found[-1], rest))
+        self.rest_leaf = len(paths)  # that of class 0
+        paths += [path for path, _ in rests]
+        # Of the known words and, last, of any other one: leaf (-1: its class's last) and count.
+        self.names = pa.array([word for word, _ in known], pa.binary()).cast(pa.string())
+        self.leaves = np.array([*(leaf_of.get(word, -1) for word, _ in known), -1], dtype=np.int64)
+        self.counts = np.array([*(n for _, n in known), -1], dtype=np.int64)
+        self.share = np.log([*share, *(m for _, m in rests)])
+        self.lengths = np.array([len(forks) for forks, _ in paths], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.forks = np.array([f for forks, _ in paths for f in forks], dtype=np.int32)
+        self.sides = np.array([2 * x - 1 for _, sides in paths for x in sides], dtype=np.float32)  # 1 or -1
+        self.odds = np.array(odds, dtype=np.float32)
         self.prior = np.log(mass / mass.sum()).astype(np.float32)
-        rows = 1 << shape.bits
-        # Weights of features by class, and of features in a class by head; beside each the sum of squared gradients.
-        self.tables = [np.zeros((rows, shape.classes), np.float32), np.zeros((rows, shape.heads), np.float32)]
+        # Weights of features by class, and of features at forks; beside each the sum of squared gradients.
+        self.tables = [np.zeros((1 << shape.bits, shape.classes), np.float32), np.zeros((1 << shape.fork_bits, 1), np.float32)]
         self.squares = [np.full_like(t, 0.1) for t in self.tables]
 
 
 class Words(dict):
-    """Numbers of words; what the model has to know of each lies in arrays by number."""
+    """Words by number: what the model has to know of each lies in arrays."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, names: pa.Array | None = None):
         super().__init__()
-        self.model, self.counts = model, dict(model.known)
-        self.columns = [array("Q"), array("q"), array("q"), array("q")]
+        self.model, self.names = model, pa.array([], pa.string()) if names is None else names
+        self.columns = self._looked_up(self.names)
 
     def __missing__(self, word: bytes) -> int:
-        hashes, classes, heads, counts = self.columns
-        number = self[word] = len(hashes)
-        hashes.append(1 + zlib.crc32(word) + (zlib.adler32(word) << 32))
-        classes.append(class_of(word, self.model.shape.classes))
-        heads.append(self.model.head_of.get(word, -1))
-        counts.append(self.counts.get(word, -1))  # -1: not among the known
+        number = self[word] = len(self.names)
+        more = pa.array([word.decode()])
+        self.names = pa.concat_arrays([self.names, more])
+        self.columns = [np.concatenate(x) for x in zip(self.columns, self._looked_up(more))]
         return number
 
-    def arrays(self) -> list[np.ndarray]:
-        return [np.array(c) for c in self.columns]
-
-    def trimmed(self) -> Words:
-        return self if len(self) < _MEMO else Words(self.model)
+    def _looked_up(self, names: pa.Array) -> list[np.ndarray]:
+        """Hash, class, leaf and count (-1: not among the known) of each word."""
+        m = self.model
+        data = np.frombuffer(b"".join(names.cast(pa.binary()).to_pylist()), np.uint8).astype(np.uint64)
+        lengths = pc.binary_length(names).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        powers = np.cumprod(np.full(int(lengths.max(initial=0)), _MIX[0]))
+        hashes = np.add.reduceat((data + np.uint64(1)) * powers.take(np.arange(len(data)) - np.repeat(starts, lengths)), starts) if len(names) else np.zeros(0, np.uint64)
+        tails = pc.utf8_slice_codeunits(names, start=-2).dictionary_encode()
+        of_tail = np.array([class_of(t.encode(), m.shape.classes) for t in tails.dictionary.to_pylist()], dtype=np.int64)
+        classes = of_tail.take(tails.indices.to_numpy(zero_copy_only=False)) if len(names) else np.zeros(0, np.int64)
+        at = pc.fill_null(pc.index_in(names, value_set=m.names), len(m.names)).to_numpy(zero_copy_only=False)
+        leaves = m.leaves.take(at)
+        return [hashes, classes, np.where(leaves < 0, m.rest_leaf + classes, leaves), m.counts.take(at)]
 
 
 def _contexts(hashes: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
@@ -128,8 +195,8 @@ def _rows(feature: np.ndarray, bits: int) -> np.ndarray:
     return (((feature ^ (feature >> np.uint64(32))) * _MIX[1]) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-#: Of the features those that also speak within a class: the word before and the skip of one.
-_WITHIN = (0, 2)
+#: Of the features the one that also speaks at forks: the word before.
+_WITHIN = 0
 
 
 class Steps:
@@ -137,19 +204,21 @@ class Steps:
 
     def __init__(self, model: Model):
         self.model, self.words = model, Words(model)
-        c, k = model.shape.classes, model.shape.heads
-        self.ones = np.ones(c, np.float32), np.ones(k, np.float32)
+        self.ones = np.ones(model.shape.classes, np.float32)
+        self.fork_keys = (np.arange(1, len(model.odds) + 1, dtype=np.uint64) * _MIX[2] >> np.uint64(32)).astype(np.uint32)
 
-    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encoded(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the tokens of all texts, their places in their texts, and the texts' lengths."""
-        self.words = self.words.trimmed()
-        numbers = []
-        for text in texts:
-            own = tokens(text)
-            numbers.append(np.fromiter(map(self.words.__getitem__, own), np.int64, len(own)))
-        sizes = np.array([len(n) for n in numbers], dtype=np.int64)
-        places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return np.concatenate(numbers), places, sizes
+        words, sizes = split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        self.words = Words(self.model, pa.concat_arrays([words.dictionary, pa.array([_END.decode()])]))
+        sizes = sizes + 1
+        ends = np.cumsum(sizes)
+        numbers = np.full(sizes.sum(), len(words.dictionary))
+        is_word = np.ones(len(numbers), dtype=bool)
+        is_word[ends - 1] = False
+        numbers[is_word] = words.indices.to_numpy(zero_copy_only=False)
+        places = np.arange(len(numbers)) - np.repeat(ends - sizes, sizes)
+        return numbers, places, sizes
 
     def run(self, numbers: np.ndarray, places: np.ndarray, rate: float = 0.0, seen: list[np.ndarray] | None = None) -> np.ndarray:
         """Of each token the natural log probability less log(n + 1); with a ``rate`` the weights move along the gradient.
@@ -157,13 +226,13 @@ class Steps:
         ``seen`` counts, for each table, how often each row was used.
         """
         m = self.model
-        hashes, classes, heads, _ = self.words.arrays()
+        hashes, classes, leaves, _ = self.words.columns
         features = _contexts(hashes[numbers], places)
-        out = np.zeros(len(numbers))
-        by_class, by_head = m.tables
+        out, forked = np.zeros(len(numbers)), []
+        by_class, by_fork = m.tables[0], m.tables[1][:, 0]
         for a in range(0, len(numbers), _STEP):
             part = slice(a, a + _STEP)
-            own, head = classes[numbers[part]], heads[numbers[part]]
+            own, leaf = classes[numbers[part]], leaves[numbers[part]]
             at = np.arange(len(own))
             rows = [_rows(f[part], m.shape.bits) for f in features]
             chances = by_class.take(rows[0], axis=0)
@@ -172,42 +241,67 @@ class Steps:
             chances += m.prior
             said = chances[at, own]
             np.exp(chances, out=chances)
-            total = chances @ self.ones[0]
-            of_class = (own.astype(np.uint64) + np.uint64(1)) * _MIX[2]
-            within = [_rows(features[i][part] + of_class, m.shape.bits) for i in _WITHIN]
-            weights = by_head.take(within[0], axis=0)
-            for r in within[1:]:
-                weights += by_head.take(r, axis=0)
-            is_head = np.flatnonzero(head >= 0)
-            of_head = weights[is_head, head[is_head]]
-            np.exp(weights, out=weights)
-            weights *= m.head_mass.take(own, axis=0)
-            inner = weights @ self.ones[1] + m.rest[own]
-            found = said - np.log(total) - np.log(inner)
-            found[is_head] += of_head
-            out[part] = found
+            total = chances @ self.ones
+            # The forks of all tokens, one after the other; the log odds of the side that was taken.
+            lengths = m.lengths[leaf]
+            ends = np.cumsum(lengths)
+            token = np.repeat(at, lengths)
+            place = (m.starts[leaf] - ends + lengths).take(token)
+            place += np.arange(len(place))
+            forks = m.forks.take(place)
+            keys, sides = self.fork_keys.take(forks), m.sides.take(place)
+            within = self._fork_rows(features[_WITHIN][part], token, keys)
+            odds = m.odds.take(forks)
+            odds += by_fork.take(within)
+            odds *= sides
+            missed = np.exp(-odds)
+            taken = missed + np.float32(1)
+            sums = np.concatenate([[0.0], np.cumsum(np.log(taken), dtype=np.float64)])
+            out[part] = said - np.log(total) - (sums[ends] - sums[ends - lengths]) - m.share[leaf]
             if rate:
                 chances /= -total[:, None]
                 chances[at, own] += 1
-                weights /= -inner[:, None]
-                weights[is_head, head[is_head]] += 1
-                for table, used, gradient in ((0, rows, chances), (1, within, weights)):
-                    for r in used:
-                        self._move(table, r, gradient, rate, seen)
+                for r in rows:
+                    self._move(r, chances, rate, seen)
+                missed /= taken
+                missed *= sides
+                forked.append(within)
+                self._move_forks(within, missed, rate)
+        if seen is not None and forked:
+            seen[1] += np.bincount(np.concatenate(forked), minlength=len(seen[1]))
         return out
 
-    def _move(self, table: int, rows: np.ndarray, gradient: np.ndarray, rate: float, seen: list[np.ndarray] | None) -> None:
+    def _fork_rows(self, feature: np.ndarray, token: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        mixed = ((feature ^ (feature >> np.uint64(32))) * _MIX[1] >> np.uint64(32)).astype(np.uint32).take(token)
+        mixed ^= keys
+        mixed *= _ODD
+        mixed >>= np.uint32(32 - self.model.shape.fork_bits)
+        return mixed.astype(np.intp)
+
+    def _move_forks(self, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+        # A row that comes several times is set to the same value each time.
+        squares, table = self.model.squares[1][:, 0], self.model.tables[1][:, 0]
+        sums = np.bincount(rows, gradient, len(table)).take(rows).astype(np.float32)
+        new = squares.take(rows)
+        new += sums * sums
+        squares[rows] = new
+        sums *= np.float32(rate)
+        sums /= np.sqrt(new, out=new)
+        sums += table.take(rows)
+        table[rows] = np.clip(sums, -_CLIP, _CLIP, out=sums)
+
+    def _move(self, rows: np.ndarray, gradient: np.ndarray, rate: float, seen: list[np.ndarray] | None) -> None:
         order = np.argsort(rows.astype(np.uint16) if self.model.shape.bits <= 16 else rows, kind="stable")
         ordered = rows[order]
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         # Two columns add up as one complex number: numpy takes half the steps.
         at, sums = ordered[starts], np.add.reduceat(gradient.view(np.complex64).take(order, axis=0), starts, axis=0).view(np.float32)
-        squares = self.model.squares[table].take(at, axis=0) + sums * sums
-        self.model.squares[table][at] = squares
-        moved = self.model.tables[table].take(at, axis=0) + rate * sums / np.sqrt(squares)
-        self.model.tables[table][at] = np.clip(moved, -_CLIP, _CLIP)
+        table, squares = self.model.tables[0], self.model.squares[0]
+        new = squares.take(at, axis=0) + sums * sums
+        squares[at] = new
+        table[at] = np.clip(table.take(at, axis=0) + rate * sums / np.sqrt(new), -_CLIP, _CLIP)
         if seen is not None:
-            seen[table][at] += np.diff(np.append(starts, len(rows)))
+            seen[0][at] += np.diff(np.append(starts, len(rows)))
 
 
 def _pieces(model: Model, seen: list[np.ndarray]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
@@ -249,13 +343,13 @@ def _trained(rows: DataFrame, model: Model, rate: float, tasks: int, slice_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = given.value
-        own = Model(base.shape, base.known, base.mass)
+        own = copy.copy(base)
         own.tables = [t.copy() for t in base.tables]
         first = [s.copy() for s in base.squares]
         own.squares = [s.copy() for s in first]
         steps, seen = Steps(own), [np.zeros(len(t), dtype=np.int64) for t in own.tables]
         for batch in slices(batches, "text", slice_bytes):
-            numbers, places, _ = steps.encoded(batch.column("text").to_pylist())
+            numbers, places, _ = steps.encoded(batch.column("text"))
             steps.run(numbers, places, rate, seen)
         own.squares = [s - f + np.float32(0.1) for s, f in zip(own.squares, first)]
         for piece in _pieces(own, seen):
@@ -276,7 +370,7 @@ def _trained(rows: DataFrame, model: Model, rate: float, tasks: int, slice_bytes
     return model
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[pa.RecordBatch]:
     """Partial counts ``(word, n, learnt)``; handed over whenever there are many words."""
 
     def out() -> pa.RecordBatch:
@@ -285,15 +379,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in words], pa.int64()), pa.array(learnt, pa.int64())], names=["word", "n", "learnt"])
 
     counts, held = Counter(), Counter()
-    for batch in batches:
-        for text, learns in zip(batch.column("text"), batch.column("learns").to_pylist()):
-            own = tokens(text.as_py())
-            counts.update(own)
-            if not learns:
-                held.update(own)
-            if len(counts) > _MEMO:
-                yield out()
-                counts, held = Counter(), Counter()
+    for batch in slices(batches, "text", slice_bytes):
+        words, sizes = split(batch.column("text"))
+        distinct, at = words.dictionary.cast(pa.binary()).to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+        counts.update(dict(zip(distinct, np.bincount(at, minlength=len(distinct)).tolist())))
+        counts[_END] += len(sizes)
+        out_of = ~batch.column("learns").to_numpy(zero_copy_only=False)
+        if out_of.any():
+            of_held = np.bincount(at[np.repeat(out_of, sizes)], minlength=len(distinct))
+            held.update({distinct[i]: int(of_held[i]) for i in np.flatnonzero(of_held)})
+            held[_END] += int(out_of.sum())
+        if len(counts) > _MEMO:
+            yield out()
+            counts, held = Counter(), Counter()
     if counts:
         yield out()
 
@@ -301,7 +399,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame, *, shape: Shape, most_known: int, rounds: int, rate: float, share_tokens: int, slice_bytes: int) -> tuple[Model, DataFrame, int, int]:
     """The model of ``rows (id, text, fold, learns)``, the words' counts ``(word, n, learnt)``, N and V."""
     spark = rows.sparkSession
-    counts = map_arrow(rows.select("text", "learns"), _counted, "word string, n long, learnt long")
+    counts = map_arrow(rows.select("text", "learns"), partial(_counted, slice_bytes=slice_bytes), "word string, n long, learnt long")
     counts = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt")), "words")
     learnt = counts.where("learnt > 0")
     masses = learnt.groupBy(_class_column("word", shape.classes).alias("c")).agg(F.sum(F.col("learnt") + 1).alias("mass"), F.sum("learnt").alias("n"), F.count("*").alias("v")).collect()
@@ -366,17 +464,17 @@ def language_model_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = Steps(given.value)
         for batch in slices(batches, "text", slice_bytes):
-            numbers, places, sizes = steps.encoded(batch.column("text").to_pylist())
+            numbers, places, sizes = steps.encoded(batch.column("text"))
             logs = steps.run(numbers, places)
-            counts = steps.words.arrays()[3][numbers]
+            counts = steps.words.columns[3][numbers]
             known = np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 1.0), 0.0)
             starts = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x, starts) for x in (logs / np.log(10), known, (counts > 0).astype(np.int64))]
             # The other words of each text, and how often it has them.
             texts = np.repeat(np.arange(len(sizes)), sizes)
-            rest, times = np.unique((texts * (len(steps.words) + 1) + numbers)[counts < 0], return_counts=True)
-            of_text, of_word = np.divmod(rest, len(steps.words) + 1)
-            names = pa.array(list(steps.words), pa.binary()).cast(pa.string()).take(pa.array(of_word))
+            rest, times = np.unique((texts * len(steps.words.names) + numbers)[counts < 0], return_counts=True)
+            of_text, of_word = np.divmod(rest, len(steps.words.names))
+            names = steps.words.names.take(pa.array(of_word))
             ends = pa.array(np.searchsorted(of_text, np.arange(len(sizes) + 1)).astype(np.int32))
             arrays = [batch.column("id"), batch.column("held_out"), pa.array(sizes), pa.array(sums[2]), pa.array(sums[1]), pa.array(sums[0]), pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(times))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "held_out", "n_tokens", "n_known", "known", "logs", "words", "times"])
