@@ -6,6 +6,7 @@ The query links fingerprints a few bits apart; the pipeline verifies the similar
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, stored
 from .graph import components
+from .learning import shared
 
 _SEED = 42
 _CHUNK = 1 << 16  # hashes whose bits are counted at a time
@@ -101,6 +103,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 #: Bit blocks of the wide fingerprint, their bits, and the weakest bits that vary in each block's ball.
 _BLOCKS, _BLOCK_BITS, _WEAK_BITS = 16, 32, 4
+#: Counters of shingles by their hashes, which put a set's rare ones first, and the parts they are summed in.
+_COUNTERS, _PARTS = 1 << 20, 64
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 _SUBSETS = np.array([[m >> b & 1 for b in range(_WEAK_BITS)] for m in range(1 << _WEAK_BITS)], dtype=np.uint64)
 
@@ -142,10 +146,14 @@ def _text_marks(docs: DataFrame, shingle: int, slice_bytes: int) -> DataFrame:
     """``(id, text_hash, node, size, keys)`` of ``docs (id, text, text_hash)``.
 
     Node is a hash of all words; the keys and the number of shingles go with its first row in a task.
+    Rows without a node hold how often the task met shingles: counters by their hashes' last bits, in
+    blocks that ``size`` numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        met = np.zeros(_COUNTERS, dtype=np.int64)
+        batch = None
         for batch in slices(batches, "text", slice_bytes):
             nodes, sizes, keys = [], [], []
             for text in pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_numpy(zero_copy_only=False):
@@ -153,11 +161,16 @@ def _text_marks(docs: DataFrame, shingle: int, slice_bytes: int) -> DataFrame:
                 node = int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
                 found = shingle_set(words if node not in seen else [], shingle)
                 keys.append(block_keys(found) if len(found) else [])
+                met[(found % np.uint64(_COUNTERS)).astype(np.intp)] += 1
                 sizes.append(len(found))
                 seen.add(node)
                 nodes.append(node)
             columns = [batch.column("id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "size", "keys"])
+        if batch is not None:
+            blocks = pa.FixedSizeListArray.from_arrays(pa.array(met), _COUNTERS // _PARTS).cast(pa.list_(pa.int64()))
+            columns = [pa.nulls(_PARTS, batch.column("id").type), pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.int64()), pa.array(range(_PARTS), pa.int32()), blocks]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "size", "keys"])
 
     return map_arrow(docs.select("id", "text", "text_hash"), run, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, node long, size int, keys array<long>")
 
@@ -177,6 +190,83 @@ def _text_sets(docs: DataFrame, shingle: int, slice_bytes: int) -> DataFrame:
     return map_arrow(docs.select("text"), run, "node long, shingles array<long>")
 
 
+def _levels(blocks: DataFrame) -> np.ndarray:
+    """The logarithm of how often shingles come, by their hashes' last bits, from counters ``(size, keys)`` of all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("size").to_pylist(), batch.column("keys")):
+                sums[block] = sums.get(block, 0) + counts.values.to_numpy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.log2(x + 1).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], names=["size", "levels"])
+
+    found = np.zeros(_COUNTERS, dtype=np.uint8)
+    for r in map_arrow(blocks.repartition(_PARTS, "size"), run, "size int, levels binary").collect():  # a byte a counter
+        found[r.size * (_COUNTERS // _PARTS) :][: _COUNTERS // _PARTS] = np.frombuffer(r.levels, np.uint8)
+    return found
+
+
+def least_shared(size: int, similarity: float) -> int:
+    """Shingles that a set of ``size`` has in common at least with any that reaches the similarity."""
+    return math.ceil(similarity * size - 1e-9)
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the number of hashes that fall on it: two sets differ in as many hashes at least as in bits."""
+    at = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)).astype(np.intp)
+    return np.packbits((np.bincount(at, minlength=512) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _text_prefixes(docs: DataFrame, levels: np.ndarray, shingle: int, similarity: float, slice_bytes: int) -> DataFrame:
+    """``(node, size, parity, prefix)`` of ``docs (text)``: of the shingles, rare ones first, so many that similar sets share one of them."""
+    given = shared(docs.sparkSession, levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = given.value
+        for batch in slices(batches, "text", slice_bytes):
+            nodes, sizes, bits, prefixes = [], [], [], []
+            for text in pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_numpy(zero_copy_only=False):
+                words = text.lower().split()
+                found = shingle_set(words, shingle)
+                if not len(found):
+                    continue
+                nodes.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True))
+                sizes.append(len(found))
+                bits.append(parities(found))
+                order = np.argsort(level[(found % np.uint64(_COUNTERS)).astype(np.intp)], kind="stable")
+                prefixes.append(found[order[: len(found) - least_shared(len(found), similarity) + 1]].view(np.int64))
+            arrays = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "size", "parity", "prefix"])
+
+    return map_arrow(docs.select("text"), run, "node long, size int, parity array<long>, prefix array<long>")
+
+
+def _other_pairs(prefixes: DataFrame, roots: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
+    """``(src, dst)``: all nodes of different groups that share a shingle of their prefixes and may be similar.
+
+    Similar sets share one, so none is missed. Sizes that lie too far apart and parities that differ
+    in too many bits leave a pair out: neither can be so for similar sets. The texts of a shingle
+    meet in blocks of about ``block``, so that no task has to pair all of a common one.
+    """
+    grouped = stored(prefixes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
+    whole = Window.partitionBy("shingle")
+    met = grouped.select("node", "root", F.explode("prefix").alias("shingle"))
+    met = met.select("shingle", "node", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high"), F.count("*").over(whole).alias("n"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    met = met.where("low < high").select("shingle", "node", blocks.alias("of"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    marks = grouped.select("node", F.struct("node", "root", "size", *(F.col("parity")[i].alias(f"p{i}") for i in range(8))).alias("x"))
+    met = stored(met.join(marks, "node").drop("node"), "met")
+    a = met.select("shingle", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("of") - 1)).alias("j"), F.col("x").alias("a"))
+    b = met.select("shingle", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("x").alias("b"))
+    sizes = F.col("a.size") + F.col("b.size")
+    bits = sum((F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(8)), F.lit(0))
+    may = (F.least("a.size", "b.size") >= F.lit(similarity) * F.greatest("a.size", "b.size")) & (bits <= sizes * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    once = (a["i"] < a["j"]) | (F.col("a.node") < F.col("b.node"))
+    pairs = a.join(b, (a["shingle"] == b["shingle"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & once & (F.col("a.root") != F.col("b.root")) & may)
+    return pairs.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
+
+
 def _similar(pairs: DataFrame, each: DataFrame, rows: DataFrame, *, shingle: int, similarity: float, slice_bytes: int) -> DataFrame:
     """Those of the node ``pairs (src, dst)`` whose sets of shingles reach the Jaccard ``similarity``."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -198,14 +288,17 @@ def keep_one_of_similar(
     is first compared with the likeliest of its partners, the smallest and the largest text of each
     of its keys: the one that it meets on most keys. Then each key brings two partners that no
     links lead to yet: the text with most links so far (without any: the largest) and the smallest
-    one of the smallest group. A group keeps the row of its smallest
+    one of the smallest group. Last, texts that are not yet of one group are compared by the prefixes
+    of their sets, rare shingles first: similar sets share a shingle there, so every link between
+    groups is found, and the groups are those of all links. A group keeps the row of its smallest
     id (of repeated ids the one with the smallest hash of its text; different texts that are not
     similar both stay). Texts without words (null, empty, white space) are equal; equal rows are
     one. Rows without an id can't be told apart and stay as they are. An empty table gives none;
     other columns are kept and not read.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    marked = stored(_text_marks(rows, shingle, slice_bytes), "marks")
+    marks = stored(_text_marks(rows, shingle, slice_bytes), "marks")
+    marked = marks.where("node is not null")
     each = stored(marked.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("size").alias("size")), "texts")
     # One shuffle of all keys; those that one text alone has go there. A text brings a key once (once
     # a task for copies); the rows of a common key meet in one window, which spills.
@@ -243,7 +336,11 @@ def keep_one_of_similar(
     pair = [F.least("text.node", "other.node").alias("src"), F.greatest("text.node", "other.node").alias("dst")]
     met = tagged.join(asked, ["key", "root"]).select("text", F.inline("pivots")).where(alike).select(*pair).distinct()
     rest = stored(met.join(likely, ["src", "dst"], "left_anti"), "candidates")
-    roots = components(links.union(_similar(rest, each, rows, **options)))
+    links = stored(links.union(_similar(rest, each, rows, **options)), "links")
+    firsts = rows.join(each.where("size > 0").select("first.id", "first.text_hash"), ["id", "text_hash"], "left_semi")
+    prefixes = _text_prefixes(firsts, _levels(marks.where("node is null").select("size", "keys")), shingle, similarity, slice_bytes).dropDuplicates(["node"])
+    last = stored(_other_pairs(prefixes, components(links), similarity), "candidates")
+    roots = components(links.union(_similar(last, each, rows, **options)))
     group = each.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = group.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
     mark = "text_hash"
