@@ -455,8 +455,8 @@ _PANEL = (
 
 def panel(z):
     # Stored, so that no task sorts the rows of several parts at once.
-    features = [kept(part(z), "part") for part in (comorbidity, regimen, pdc)]
-    return C.assemble_panel(z.cohort(), features, {"cmb_n_conditions": 0, "rx_n_active_meds": 0, "rx_n_meds_started_1y": 0})
+    features = [z.rows_by_subject(kept(part(z), "part")) for part in (comorbidity, regimen, pdc)]
+    return C.assemble_panel(z.rows_by_subject(z.cohort()), features, {"cmb_n_conditions": 0, "rx_n_active_meds": 0, "rx_n_meds_started_1y": 0})
 
 
 query("j11_assemble_panel", with_frames(_PANEL + " SELECT * FROM panel", "fills", "cohort", "conditions"))(panel)
@@ -464,7 +464,7 @@ query("j11_assemble_panel", with_frames(_PANEL + " SELECT * FROM panel", "fills"
 
 @query("j12_labelled_frame", with_frames(_PANEL + " SELECT panel.*, max_gap, has_30_day_gap FROM panel JOIN gap USING (pid)", "fills", "cohort", "conditions"))
 def labelled(z):
-    return C.labelled_frame(panel(z), kept(gaps(z), "part"), "has_30_day_gap")
+    return C.labelled_frame(panel(z), z.rows_by_subject(kept(gaps(z), "part")), "has_30_day_gap")
 
 
 @query("j13_select_feature_columns", with_frames(_PANEL + " SELECT pid, cmb_n_conditions, rx_n_active_meds, rx_n_meds_started_1y FROM panel", "fills", "cohort", "conditions"))

@@ -35,7 +35,18 @@ class Lens:
             F.when(F.col("c_custkey") % 11 == 0, F.to_date(F.lit("2000-06-30"))).alias("death"),
         )
 
+    def _by_subject(self, rows: DataFrame) -> DataFrame:
+        """Rows of orders, dealt by subject."""
+        return dealt(rows, "pid", self.table("orders").count())
+
+    def rows_by_subject(self, rows: DataFrame) -> DataFrame:
+        """Rows of which a subject has one, dealt by subject: parts of a join that all sort there in one task."""
+        return dealt(rows, "pid", self.table("customer").count())
+
     def fills(self) -> DataFrame:
+        return self._by_subject(self._fills())
+
+    def _fills(self) -> DataFrame:
         start = F.to_date("o_orderdate")
         return self.table("orders").select(
             F.col("o_custkey").alias("pid"),
@@ -48,8 +59,10 @@ class Lens:
         )
 
     def _lines(self) -> DataFrame:
+        n = self.table("lineitem").count()
         orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("pid"))
-        return self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        # Both into as many parts, so that they meet without another shuffle.
+        return dealt(self.table("lineitem"), "l_orderkey", n).join(dealt(orders, "o_orderkey", n), F.col("l_orderkey") == F.col("o_orderkey"))
 
     def observations(self) -> DataFrame:
         rows = self._lines().select("pid", F.col("l_returnflag").alias("code"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").alias("value"))
@@ -62,14 +75,15 @@ class Lens:
 
     def encounters(self) -> DataFrame:
         kind = F.when(F.col("o_orderpriority") == "1-URGENT", "emergency").when(F.col("o_orderpriority") == "2-HIGH", "inpatient").when(F.col("o_orderpriority") == "3-MEDIUM", "urgentcare")
-        return self.table("orders").select(F.col("o_custkey").alias("pid"), kind.otherwise("ambulatory").alias("class"), F.to_date("o_orderdate").alias("start"))
+        return self._by_subject(self.table("orders").select(F.col("o_custkey").alias("pid"), kind.otherwise("ambulatory").alias("class"), F.to_date("o_orderdate").alias("start")))
 
     def payers(self) -> DataFrame:
-        return self.table("orders").select(F.col("o_custkey").alias("pid"), F.col("o_orderstatus").alias("payer"), F.to_date("o_orderdate").alias("start"), F.col("o_orderkey").alias("tie"))
+        return self._by_subject(self.table("orders").select(F.col("o_custkey").alias("pid"), F.col("o_orderstatus").alias("payer"), F.to_date("o_orderdate").alias("start"), F.col("o_orderkey").alias("tie")))
 
     def cohort(self) -> DataFrame:
         """One row for each subject with an index date: the first index-class fill after two years of data."""
-        fills = self.fills().where(F.col("code").isin(*INDEX_CODES) & (F.col("start") >= F.to_date(F.lit("1997-01-01"))))
+        # Not dealt: one row a subject and task is all that is shuffled.
+        fills = self._fills().where(F.col("code").isin(*INDEX_CODES) & (F.col("start") >= F.to_date(F.lit("1997-01-01"))))
         return fills.groupBy("pid").agg(F.min("start").alias("index_date"))
 
     def feed(self) -> DataFrame:

@@ -37,9 +37,9 @@ def query(name: str, sql: str | None = None):
 
 def _panel(z):
     """Features and label of each subject, imputed; each part is stored, so that no task sorts the rows of several."""
-    panel = z.cohort()
+    panel = z.rows_by_subject(z.cohort())
     for part in (base.comorbidity(z), base.regimen(z), base.engagement(z), base.trajectory(z).select("pid", "sbp_mean", "sbp_latest_reading"), base.gaps(z).select("pid", "has_30_day_gap"), base.pdc(z)):
-        panel = panel.join(T.kept(part, "part"), "pid")
+        panel = panel.join(z.rows_by_subject(T.kept(part, "part")), "pid")
     label = (F.col("pdc_180d") > F.lit(0.3)).cast("int")
     return M.impute_with_indicator(T.kept(panel.withColumn("event", label), "panel"), FEATURES)
 
