@@ -243,11 +243,14 @@ def _text_prefixes(docs: DataFrame, levels: np.ndarray, shingle: int, similarity
 
 
 def _other_pairs(prefixes: DataFrame, roots: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
-    """``(src, dst)``: all nodes of different groups that share a shingle of their prefixes and may be similar.
-
-    Similar sets share one, so none is missed. Sizes that lie too far apart and parities that differ
-    in too many bits leave a pair out: neither can be so for similar sets. The texts of a shingle
-    meet in blocks of about ``block``, so that no task has to pair all of a common one.
+    """``(src, dst)``: all nodes of different groups that share enough shingles of their prefixes and may be similar.
+
+    Similar sets share one, so none is missed. Sizes that lie too far apart, parities that differ
+    in too many bits and too few shared shingles leave a pair out: none can be so for similar sets.
+    All prefixes have one order, so what two sets have in common lies at most as far back in either
+    as it has shingles of its own: both prefixes hold all of it but that many. Long texts that share
+    a passage alone go by this count. The texts of a shingle meet in blocks of about ``block``, so
+    that no task has to pair all of a common one.
     """
     grouped = stored(prefixes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
     whole = Window.partitionBy("shingle")
@@ -255,7 +258,8 @@ def _other_pairs(prefixes: DataFrame, roots: DataFrame, similarity: float, block
     met = met.select("shingle", "node", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high"), F.count("*").over(whole).alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     met = met.where("low < high").select("shingle", "node", blocks.alias("of"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    marks = grouped.select("node", F.struct("node", "root", "size", *(F.col("parity")[i].alias(f"p{i}") for i in range(8))).alias("x"))
+    spare = (F.size("prefix") - F.col("size")).alias("spare")
+    marks = grouped.select("node", F.struct("node", "root", "size", spare, *(F.col("parity")[i].alias(f"p{i}") for i in range(8))).alias("x"))
     met = stored(met.join(marks, "node").drop("node"), "met")
     a = met.select("shingle", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("of") - 1)).alias("j"), F.col("x").alias("a"))
     b = met.select("shingle", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("x").alias("b"))
@@ -264,7 +268,10 @@ def _other_pairs(prefixes: DataFrame, roots: DataFrame, similarity: float, block
     may = (F.least("a.size", "b.size") >= F.lit(similarity) * F.greatest("a.size", "b.size")) & (bits <= sizes * ((1 - similarity) / (1 + similarity)) + 1e-6)
     once = (a["i"] < a["j"]) | (F.col("a.node") < F.col("b.node"))
     pairs = a.join(b, (a["shingle"] == b["shingle"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & once & (F.col("a.root") != F.col("b.root")) & may)
-    return pairs.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
+    # A pair meets once for each shingle that both prefixes hold.
+    need = F.ceil(sizes * (similarity / (1 + similarity)) - 1e-6) + F.least("a.spare", "b.spare")
+    pairs = pairs.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst"), need.alias("need"))
+    return pairs.groupBy("src", "dst", "need").agg(F.count("*").alias("n")).where("n >= need").select("src", "dst")
 
 
 def _similar(pairs: DataFrame, each: DataFrame, rows: DataFrame, *, shingle: int, similarity: float, slice_bytes: int) -> DataFrame:

@@ -75,3 +75,28 @@ def test_blocks_pair_all_texts_of_other_groups(spark):
     want = {(a, b) for a in range(60) for b in range(a + 1, 60) if root[a] != root[b]}
     got = [tuple(r) for r in simhash._other_pairs(prefixes, roots, 0.8, block=8).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+# Long texts that share a passage were all compared in full: on 0.51 GB their sets took over 1 GB of shuffle.
+def test_only_pairs_that_share_enough_of_their_prefixes_are_compared(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(1500)] + passage for _ in range(12)]
+    for words in texts[:6]:  # 25 to 33 changes of five shingles each: similarities of 0.80 to 0.85
+        other = list(words)
+        for at in rng.sample(range(5, 1495, 10), rng.randint(25, 33)):
+            other[at] = f"x{rng.randrange(10**6)}"
+        texts.append(other)
+    short = [f"s{rng.randrange(50)}" for _ in range(9)]
+    texts += [short, short[1:], short[:-1], [*short, "t1"], ["t2", *short], short[:5], short[:6]]
+    rows = spark.createDataFrame([(" ".join(t),) for t in texts], "text string")
+    sets = [set(simhash.shingle_set(" ".join(t).encode().split()).tolist()) for t in texts]
+    levels = simhash.np.zeros(simhash._COUNTERS, dtype=simhash.np.uint8)
+    prefixes = simhash._text_prefixes(rows, levels, 5, 0.8, 1 << 20)
+    number = {n.node: i for i, n in enumerate(simhash._text_sets(rows, 5, 1 << 20).collect())}
+    assert len(number) == len(texts)
+    got = {tuple(sorted((number[r.src], number[r.dst]))) for r in simhash._other_pairs(prefixes, spark.createDataFrame([], "node long, root long"), 0.8).collect()}
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want <= got and len(want) >= 8
+    assert not {(a, b) for a, b in got if b < 18 and b != a + 12}
