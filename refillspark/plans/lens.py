@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.distributed import dealt
+from ..storage import kept
 
 INDEX_CODES = ("1-URGENT", "2-HIGH")
 AS_OF = "2001-01-01"
 
 
 class Lens:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, cohort: DataFrame | None = None):
+        self.spark, self.sf_dir, self._cohort = spark, sf_dir, cohort
+
+    def with_stored_cohort(self) -> Lens:
+        """The same frames; the cohort is worked out once, not anew inside each stage that joins it."""
+        return Lens(self.spark, self.sf_dir, kept(self.cohort(), "cohort"))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -82,6 +87,8 @@ class Lens:
 
     def cohort(self) -> DataFrame:
         """One row for each subject with an index date: the first index-class fill after two years of data."""
+        if self._cohort is not None:
+            return self._cohort
         # Not dealt: one row a subject and task is all that is shuffled.
         fills = self._fills().where(F.col("code").isin(*INDEX_CODES) & (F.col("start") >= F.to_date(F.lit("1997-01-01"))))
         return fills.groupBy("pid").agg(F.min("start").alias("index_date"))

@@ -36,7 +36,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _panel(z):
-    """Features and label of each subject, imputed; each part is stored, so that no task sorts the rows of several."""
+    """Features and label of each subject, imputed; the cohort and each part are stored, so that no task sorts the rows of several."""
+    z = z.with_stored_cohort()
     panel = z.rows_by_subject(z.cohort())
     for part in (base.comorbidity(z), base.regimen(z), base.engagement(z), base.trajectory(z).select("pid", "sbp_mean", "sbp_latest_reading"), base.gaps(z).select("pid", "has_30_day_gap"), base.pdc(z)):
         panel = panel.join(z.rows_by_subject(T.kept(part, "part")), "pid")
@@ -78,14 +79,14 @@ def _(z):
 
 @query("m5_out_of_fold_scores")
 def _(z):
-    rows = W.stratified_folds(_panel(z))
+    rows = T.kept(W.stratified_folds(_panel(z)), "folds")  # each fit and score reads them
     return M.out_of_fold_scores(rows, FEATURES, "event", M.fit_logistic)
 
 
 @query("m6_score_holdout")
 def _(z):
     split = W.temporal_split(z.cohort()).select("pid", "split")
-    panel = _panel(z).join(split, "pid")
+    panel = T.kept(_panel(z).join(split, "pid"), "split")
     model = M.fit_logistic(panel.where("split = 'train'"), FEATURES, "event")
     return M.score_holdout(model, panel.where("split = 'test'"), FEATURES)
 
