@@ -49,7 +49,7 @@ class BytePairCoder:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.prefix: dict[int, int | None] = {}
 
@@ -77,11 +77,12 @@ class BytePairCoder:
         return self.split[rank]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right  # less than half of a tuple's memory
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= _MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._compatible(left, right)
+            known = self.pairs[pair] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -133,7 +134,7 @@ class BytePairCoder:
 
 
 class _Worker:
-    """What a Python worker keeps: the coder, and the parts of texts that it has met."""
+    """What a Python worker keeps: the coder, and the parts of texts that it has met more than once."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -143,13 +144,15 @@ class _Worker:
         self.seen: dict[str, list[int]] = {}
         self.of_piece: dict[str, list[int]] = {}
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str, most_kept: int = 0) -> list[int]:
         out: list[int] = []
         for piece in self.pieces(text):
             found = self.of_piece.get(piece)
             if found is None:
                 found = self.coder.encode(piece.encode())
-                if len(piece) < 64:
+                if most_kept and len(piece) < 64:
+                    if len(self.of_piece) >= most_kept:
+                        self.of_piece.clear()
                     self.of_piece[piece] = found
             out += found
         return out
@@ -168,23 +171,25 @@ def split_pattern() -> str:
 
 def _coded(texts: pa.Array, worker: _Worker, most_seen: int) -> Iterator[tuple[int, str, bytes]]:
     """Of each text: how many ids, the ids joined by spaces, and the bytes that decoding them gives."""
-    for memo in (worker.seen, worker.of_piece):
-        if len(memo) > most_seen:
-            memo.clear()
     heads, parts, ends = split_at_spaces(texts)
-    known = []
-    for part in parts.dictionary.to_numpy(zero_copy_only=False).tolist():
+    which = parts.indices.to_numpy()
+    names = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+    # Words come again, numbers and junk don't: what occurs once here would fill the memory for nothing.
+    again = (np.bincount(which, minlength=len(names)) > 1).tolist()
+    known, joined, plain = [], [], []
+    for part, keep in zip(names, again):
         found = worker.seen.get(part)
         if found is None:
-            ids = worker.ids(" " + part)
+            ids = worker.ids(" " + part, most_seen if keep else 0)
             found = (len(ids), " ".join(map(str, ids)), worker.coder.decode(ids))
-            if len(part) < 64:
+            if keep and len(part) < 64:
+                if len(worker.seen) >= most_seen:
+                    worker.seen.clear()
                 worker.seen[part] = found
-        known.append(found)
-    numbers = np.array([n for n, _, _ in known], dtype=np.int64)
-    joined = [ids for _, ids, _ in known]
-    plain = [decoded for _, _, decoded in known]
-    which = parts.indices.to_numpy()
+        known.append(found[0])
+        joined.append(found[1])
+        plain.append(found[2])
+    numbers = np.array(known, dtype=np.int64)
     start = 0
     for head, end in zip(heads, ends.tolist()):
         own = which[start:end]
@@ -204,8 +209,8 @@ def encode_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "digests",
-    slice_bytes: int = 4 << 20,
-    most_seen: int = 150_000,
+    slice_bytes: int = 1 << 20,
+    most_seen: int = 100_000,
 ) -> DataFrame:
     """Every whole text encoded by the ranks in ``path``, and the ids decoded again.
 
@@ -214,7 +219,8 @@ def encode_texts(
     ordinary text. Matches of ``pattern`` are encoded separately; texts are cut beforehand before
     a space that follows something else, which no match can span. Null and empty texts have 0
     tokens and decode to nothing; repeated rows and null ids give a row each; other columns are
-    not read. Memory is bounded by the slice and the longest text.
+    not read. Memory is bounded by the slice, the longest text and ``most_seen``, the words and the
+    pieces of them that a worker remembers.
     """
     path = path or public_vocabulary("byte_bpe_50k.tiktoken")
     pattern = pattern or split_pattern()

@@ -7,6 +7,7 @@ import sys
 import zlib
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
@@ -74,6 +75,18 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, docs):
     assert whole.ids == enc.encode_ordinary(dict(texts_by_row(docs))[7]) and whole.decoded == dict(texts_by_row(docs))[7]
 
 
+# Pipeline, encoding: the memos were cut between slices only, and kept words that never came again.
+def test_bpe_remembers_a_bounded_number_of_repeated_words():
+    worker = bpe._Worker(bpe.public_vocabulary("byte_bpe_50k.tiktoken"), bpe.split_pattern())
+    once, twice = " ".join(f"only{i}x" for i in range(300)), " ".join(f"again{i}y," for i in range(300))
+    texts = pa.array([f"a {once} {twice}", f"b {twice}"])
+    got = [(n, ids, decoded.decode()) for n, ids, decoded in bpe._coded(texts, worker, 50)]
+    assert [d for _, _, d in got] == texts.to_pylist()
+    assert [ids for _, ids, _ in got] == [" ".join(map(str, worker.ids(t))) for t in texts.to_pylist()]
+    assert 0 < len(worker.seen) <= 50 and 0 < len(worker.of_piece) <= 50
+    assert not [w for w in (*worker.seen, *worker.of_piece) if "only" in w]
+
+
 def test_bpe_on_random_bytes_and_long_runs():
     import tiktoken
 
