@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import days_before, elapsed_days, fractional_days
+from ..storage import kept
 from .cohort import pre_index_rows
 
 
@@ -58,8 +59,9 @@ def regimen_counts(fills: DataFrame, cohort: DataFrame) -> DataFrame:
 
 
 def engagement_counts(encounters: DataFrame, readings: DataFrame, cohort: DataFrame) -> DataFrame:
-    visits = pre_index_rows(encounters, cohort, "start", 365).groupBy("pid").agg(F.count("*").alias("engage_n_encounters"))
-    taken = pre_index_rows(readings, cohort, "date", 1095).groupBy("pid").agg(F.count("*").alias("engage_n_bp_readings"))
+    """Visits in a year and readings in three; both are stored, so that no task sorts the rows of the two sources."""
+    visits = kept(pre_index_rows(encounters, cohort, "start", 365).groupBy("pid").agg(F.count("*").alias("engage_n_encounters")), "visits")
+    taken = kept(pre_index_rows(readings, cohort, "date", 1095).groupBy("pid").agg(F.count("*").alias("engage_n_bp_readings")), "readings")
     return cohort.select("pid").join(visits, "pid", "left").join(taken, "pid", "left").fillna(0, ["engage_n_encounters", "engage_n_bp_readings"])
 
 
