@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import joined, stored
 
 #: Words that are units after a number (fixed values).
 UNITS = (
@@ -24,7 +24,7 @@ UNITS = (
     "percent", "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "degree", "degrees", "mph", "kmh", "watts", "volts",
 )
 
-#: Item windows up to this many are broadcast (some 100 bytes each); more are joined by a shuffle.
+#: Rows of a table up to this many are broadcast (some 100 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 #: The band of hits in the whole document.
@@ -203,11 +203,12 @@ def _sieved(rows: DataFrame, benchmark: DataFrame, window: int, similarity: floa
     literal = F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("length")), lambda w: ~F.substring(w, 1, 1).isin(_A_NUMBER, _A_NAME)))
     hashed = F.coalesce(*(F.when(F.col("length") == n, _hash_at(n)) for n in lengths or [window]))
     own = own.select(F.col("id").alias("item"), "form", F.col("at").alias("item_at"), "length", literal.alias("literal"), hashed.alias("hash"))
-    most = F.max("literal").over(Window.partitionBy("item", "form"))
+    of_item = Window.partitionBy("item", "form")
+    most = F.max("literal").over(of_item)
     own = own.withColumn("counts", (F.col("form") == 2) | (F.col("literal") >= F.least(F.lit(2), F.col("length"), F.greatest(F.lit(1), most))))
-    asked = F.least(F.ceil(F.count("*") * F.lit(similarity)), F.lit(max(1, passage_words - window + 1))) - F.count_if(~F.col("counts"))
-    need = own.groupBy("item", "form").agg(F.greatest(F.lit(1), F.ceil(asked / _SIEVE_SHARE)).alias("need"))
-    wanted = stored(own.where("counts").join(need, ["item", "form"]).select("item", "form", "item_at", "hash", "need"), "sieve")
+    asked = F.least(F.ceil(F.count("*").over(of_item) * F.lit(similarity)), F.lit(max(1, passage_words - window + 1))) - F.count_if(~F.col("counts")).over(of_item)
+    own = own.withColumn("need", F.greatest(F.lit(1), F.ceil(asked / _SIEVE_SHARE)))
+    wanted = stored(own.where("counts").select("item", "form", "item_at", "hash", "need"), "sieve")
     small = wanted.count() <= MOST_BROADCAST
 
     # The places are exploded and not the windows: the words stay one array in the generated code.
@@ -216,7 +217,7 @@ def _sieved(rows: DataFrame, benchmark: DataFrame, window: int, similarity: floa
     places = _forms(rows).select("id", "words", F.explode(places).alias("at"))
     hashes = [_hash_at(n) for n in lengths]
     found = places.select("id", hashes[0].alias("hash") if len(hashes) == 1 else F.explode(F.array(*hashes)).alias("hash"))
-    hits = found.join(F.broadcast(wanted) if small else wanted, "hash")
+    hits = joined(found, wanted, "hash", small=small)
     # Counted within a row's task first: all windows of a text lie together.
     hits = hits.groupBy("id", "item", "form", "item_at", "need").agg(F.lit(1).alias("met")).groupBy("id", "item", "form", "need").agg(F.sum("met").alias("met"))
     return hits.where("met >= need").select("id", "item").distinct()
@@ -262,22 +263,22 @@ def contamination(
         return docs.sparkSession.createDataFrame([], shape)
     # Windows at an item's end that can't be widened don't count, unless they are most of the item.
     item_windows = stored(item_windows, "item-windows")
+    small = item_windows.count() <= MOST_BROADCAST
     places = item_windows.groupBy("item", "item_at").agg(F.max("sure").alias("sure"), F.max(F.col("item_at") + F.col("width")).alias("end"))
     totals = places.groupBy("item").agg(F.count("*").alias("all"), F.count(F.when(F.col("sure"), 1)).alias("sure_ones"), F.max("end").alias("item_words"))
     most = F.col("sure_ones") * 2 >= F.col("all")
     totals = totals.select("item", "item_words", most.alias("most_sure"), F.when(most, F.col("sure_ones")).otherwise(F.col("all")).alias("windows"))
-    places = places.join(totals, "item").select("item", "item_at", "item_words", (F.col("sure") | ~F.col("most_sure")).alias("counts"))
-    item_windows = stored(item_windows.join(places, ["item", "item_at"]).drop("sure"), "item-windows")
+    places = joined(places, totals, "item", small=small).select("item", "item_at", "item_words", (F.col("sure") | ~F.col("most_sure")).alias("counts"))
+    item_windows = stored(joined(item_windows, places, ["item", "item_at"], small=small).drop("sure"), "item-windows")
     asked = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where("id is not null")
     candidates = _sieved(rows, asked, window, similarity, passage_words)
     candidates = stored(candidates.select("id").distinct(), "candidates")
-    rows = rows.join(candidates, "id", "left_semi")
-    wanted = F.broadcast(item_windows) if item_windows.count() <= MOST_BROADCAST else item_windows
+    rows = joined(rows, candidates, "id", "left_semi", small=candidates.count() <= MOST_BROADCAST)
 
     typed = _typed(rows).withColumn("row", F.monotonically_increasing_id())
     found = F.concat(*(F.coalesce(_windows(n, open_too=n == window, by_value=True), F.array().cast(_WINDOWS)) for n in lengths))
     exploded = typed.select("id", "row", F.explode(found).alias("x")).select("id", "row", "x.at", "x.hash", "x.slots")
-    met = exploded.join(wanted, "hash")
+    met = joined(exploded, item_windows, "hash", small=small)
     met = stored(met.select("id", "row", "item", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "width", "counts", "item_words", "slots", "item_slots"), "met")
 
     # A run is of consecutive words of the document: windows on one diagonal that touch.
@@ -294,7 +295,7 @@ def contamination(
     band = F.floor(F.col("diagonal") / step)
     bands = F.explode(F.array(band, band + 1, F.lit(None).cast("bigint"))).alias("band")
     whole = F.col("band").isNull()
-    near = met.join(runs, ["id", "row", "item", "diagonal"]).select("*", bands).withColumn("row", F.when(~whole, F.col("row")))
+    near = joined(met, runs, ["id", "row", "item", "diagonal"]).select("*", bands).withColumn("row", F.when(~whole, F.col("row")))
     # Of the places where a window is met in an occurrence, those on its longest run's diagonal speak for it.
     occurrence = ["id", "item", "row", "band"]
     near = near.withColumn("main", F.max(F.struct("run", "diagonal")).over(Window.partitionBy(*occurrence))["diagonal"])
@@ -303,11 +304,11 @@ def contamination(
     near = near.withColumn("band", F.coalesce("band", F.lit(_WHOLE))).withColumn("row", F.coalesce("row", F.lit(-1)))
     near = stored(near.drop("main", "least"), "occurrences")
 
-    pairs = near.groupBy(*occurrence).agg(F.countDistinct(F.when(F.col("counts"), F.col("item_at"))).alias("covered"), F.max("run").alias("run")).join(totals, "item")
-    pairs = pairs.select(*occurrence, (F.col("covered") / F.col("windows")).alias("containment"), F.col("run").cast("int").alias("longest_passage"))
+    pairs = near.groupBy(*occurrence).agg(F.countDistinct(F.when(F.col("counts"), F.col("item_at"))).alias("covered"), F.max("run").alias("run"))
+    pairs = joined(pairs, totals, "item", small=small).select(*occurrence, (F.col("covered") / F.col("windows")).alias("containment"), F.col("run").cast("int").alias("longest_passage"))
     pairs = pairs.where((F.col("containment") >= similarity) | ((F.col("longest_passage") >= passage_words) & (F.col("band") != _WHOLE)))
 
-    slots = near.where("slots is not null and item_slots is not null and size(slots) = size(item_slots)").join(pairs.select(*occurrence), occurrence, "left_semi")
+    slots = joined(near.where("slots is not null and item_slots is not null and size(slots) = size(item_slots)"), pairs.select(*occurrence), occurrence, "left_semi")
     slots = slots.select(*occurrence, F.explode(F.arrays_zip("item_slots", "slots")).alias("x"))
     slots = slots.groupBy(*occurrence, F.col("x.item_slots").alias("value"), F.col("x.slots").alias("counterpart")).agg(F.count("*").alias("n"))
     weight = F.struct("n", F.col("value") == F.col("counterpart"), "value", "counterpart")
@@ -316,7 +317,7 @@ def contamination(
     slots = slots.withColumn("top", of_value).withColumn("mutual", F.col("top") & of_counterpart)
     agreed = F.sum(F.when(F.col("mutual"), F.col("n")).otherwise(0)) / F.sum("n")
     slots = slots.groupBy(*occurrence).agg(agreed.alias("slot_agreement"), F.bool_and((F.col("value") == F.col("counterpart")) | ~F.col("top")).alias("same"))
-    out = pairs.join(slots, occurrence, "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0))).withColumn("same", F.coalesce("same", F.lit(True)))
+    out = joined(pairs, slots, occurrence, "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0))).withColumn("same", F.coalesce("same", F.lit(True)))
     # The best occurrence that passes speaks for the pair.
     out = out.where(F.col("slot_agreement") >= agreement).groupBy("id", "item").agg(F.max(F.struct("same", "containment", "slot_agreement", "longest_passage")).alias("best")).select("id", "item", "best.*")
     return out.select(
@@ -331,5 +332,5 @@ def contamination(
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates; rows without an id stay."""
-    bad = contamination(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    bad = stored(contamination(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), "contaminated")
+    return joined(docs, bad, id_col, "left_anti", small=bad.count() <= MOST_BROADCAST).select(*docs.columns)

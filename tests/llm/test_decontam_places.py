@@ -142,3 +142,22 @@ def test_the_sieve_keeps_all_that_the_judgement_accepts(spark, monkeypatch):
 def test_numbers_that_begin_a_sentence_are_placeholders(spark):
     asked = "We count the boxes in the yard. 14 boxes are red there. 9 of those are full of old paper."
     assert set(found(spark, [(1, asked.replace("14", "31").replace("9", "8"))], [(1, asked)])) == {(1, 1)}
+
+
+def test_no_join_is_planned_by_the_size_of_stored_files(spark, monkeypatch):
+    plans, real = [], decontam.stored
+    monkeypatch.setattr(decontam, "stored", lambda df, what: plans.append(df) or real(df, what))
+    docs = spark.createDataFrame([(1, f"so {ASKED}"), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ASKED)], "item_id long, text string")
+    assert [r.doc_id for r in decontam.keep_uncontaminated(docs, bench).collect()] == [2]
+    plans.append(decontam.keep_uncontaminated(docs, bench))
+    joins = [line for df in plans for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join " in f" {line.lstrip(' :+-')}"]
+    assert len(joins) > 10 and all("strategy=" in line for line in joins)
+
+
+def test_pairs_are_the_same_without_broadcasts(spark, monkeypatch):
+    docs = [(1, f"so {ASKED}"), (2, "nothing of it"), (3, TRAIN.replace("120", "95")), (4, f"{SHOP} {TRAIN}")]
+    items = [(1, ASKED), (2, TRAIN), (3, SHOP)]
+    broadcast = found(spark, docs, items)
+    monkeypatch.setattr(decontam, "MOST_BROADCAST", 0)
+    assert found(spark, docs, items) == broadcast and {(1, 1), (4, 2), (4, 3)} <= broadcast.keys()
