@@ -1,9 +1,10 @@
 """Exact top-k search by inner product: exhaustive term-at-a-time accumulation over blocks.
 
-A dimension is a term; a vector's integer weight in it is a posting. Blocks of candidates hold
-their postings by term, blocks of queries their sparse rows. Each pair of blocks gets a dense
-array of scores, into which every query scatters its weighted postings; the best of a block are
-selected by partition and the blocks' best are merged.
+A dimension is a term; a vector's integer weight in it is a posting. Candidates are dealt into
+shelves of a few blocks, which hold their postings by term; every query goes to every shelf as a row
+of its own, after the shelf's candidates. Each query and block get a dense array of scores, into
+which the query scatters its weighted postings; the best of a block are selected by partition, and
+the best of blocks and shelves are merged.
 """
 
 from __future__ import annotations
@@ -17,10 +18,19 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stored
 
+#: Blocks of candidates in a shelf at most: with 4,096 vectors of 64 dimensions each, some 50 MB of postings.
+MOST_BLOCKS = 16
 
-def _postings(weights: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Of each term: the places of the candidates that have it, and their weights."""
-    return {t: (at, weights[at, t]) for t in range(weights.shape[1]) if len(at := np.flatnonzero(weights[:, t]))}
+
+def _postings(weights: np.ndarray) -> dict[int, tuple[np.ndarray | slice, np.ndarray]]:
+    """Of each term: the places of the candidates that have it (a slice, if nearly all do), and their weights."""
+    found = {}
+    for t in range(weights.shape[1]):
+        at = np.flatnonzero(weights[:, t])
+        if len(at):
+            where = slice(None) if 2 * len(at) > len(weights) else at
+            found[t] = where, weights[where, t].copy()
+    return found
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -70,8 +80,9 @@ def top_k(
     components, and rows without an id, take no part. Rows that share an id are rows like others:
     each is a candidate, and each that is a query gets its own k (numbered 1 to k for each of them).
     An empty table gives no rows. No score, in part or whole, is larger than the largest squared
-    length of a vector; where that reaches 2^62 the search is an error, not a wrapped score. Blocks have bounded sizes; every block of queries meets every
-    block of candidates on a key, and the postings of a block are kept while its pairs last.
+    length of a vector; where that reaches 2^62 the search is an error, not a wrapped score. A task
+    keeps the postings of one shelf, at most ``MOST_BLOCKS`` blocks of ``candidate_block`` rows, and
+    reads queries as they come, ``query_block`` at a time; nothing is gathered in the driver.
     """
     finite = "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -83,38 +94,54 @@ def top_k(
     n_rows, n_queries, largest = rows.agg(F.count("*"), F.count_if(F.expr(query_where)), F.max(square)).first()
     if (largest or 0.0) >= 2.0**62:
         raise ValueError("a vector is too long for scores of 64 bits")
-    n_blocks, n_asks = -(-n_rows // candidate_block) or 1, -(-n_queries // query_block) or 1
-    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-    packed = lambda df, key, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("row", "id", "v"))).alias(name))
-    candidates = packed(rows.withColumn("block", block(n_blocks)), "block", "candidates")
-    asks = packed(rows.where(query_where).withColumn("ask", block(n_asks)), "ask", "asks")
-    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = asks.join(candidates, "block").select("block", "asks", "candidates")
-
-    def unpack(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        items = cell.values
-        own, ids, lists = items.field("row").to_numpy(), items.field("id").to_numpy(), items.field("v")
+    n_blocks = -(-n_rows // candidate_block) or 1
+    # A few shelves a core, so that they can be dealt evenly; more blocks in each spare copies of the queries.
+    n_shelves = -(-n_blocks // min(MOST_BLOCKS, max(1, n_blocks // (3 * vectors.sparkSession.sparkContext.defaultParallelism))))
+    # Components are below 2^31 where squared lengths are below 2^62.
+    rows = rows.select("row", "id", F.col("v").cast("array<int>").alias("v"))
+    candidates = rows.select(F.pmod(F.xxhash64("row"), F.lit(n_shelves)).cast("int").alias("shelf"), F.lit(False).alias("asks"), "row", "id", "v")
+    asks = rows.where(query_where).select(F.explode(F.sequence(F.lit(0), F.lit(n_shelves - 1))).alias("shelf"), F.lit(True).alias("asks"), "row", "id", "v")
+    met = candidates.union(asks).repartitionById(n_shelves, "shelf").sortWithinPartitions("shelf", "asks")
+
+    def unpack(part: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, ids, lists = (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in (part.column(n) for n in ("row", "id", "v")))
         lengths = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy()
         weights = np.zeros((len(ids), max([0, *lengths.tolist()])), dtype=np.int64)
         row = np.repeat(np.arange(len(ids)), lengths)
         column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         weights[row, column] = flat
-        return own, ids, weights
+        return own.to_numpy(), ids.to_numpy(), weights
+
+    def stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+        """Consecutive rows of one shelf and kind."""
+        shelf, asks = batch.column("shelf").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(shelf) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if end > start:
+                yield int(shelf[start]), bool(asks[start]), batch.slice(start, end - start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, block = None, None
+        last, waiting, blocks = None, [], []
         for batch in batches:
-            for i, number in enumerate(batch.column("block").to_pylist()):
-                if number != last:
-                    last, block = number, _Block(*unpack(batch.column("candidates")[i]))
-                found = []
-                for own, query, vector in zip(*unpack(batch.column("asks")[i])):
-                    found += [(int(own), int(query), *best) for best in block.search(own, vector, k)]
-                columns = zip(*found) if found else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["row", "query_id", "vec_id", "score"])
-
-    found = map_arrow(pairs, run, "row long, query_id long, vec_id long, score long")
+            for shelf, asks, part in stretches(batch):
+                if shelf != last:
+                    last, waiting, blocks = shelf, [], []
+                if not asks:
+                    waiting.append(part)
+                    continue
+                if waiting:
+                    whole, waiting = pa.Table.from_batches(waiting), []
+                    blocks = [_Block(*unpack(whole.slice(at, candidate_block))) for at in range(0, whole.num_rows, candidate_block)]
+                for at in range(0, part.num_rows, query_block):
+                    found = []
+                    for own, query, vector in zip(*unpack(part.slice(at, query_block))):
+                        best = [x for block in blocks for x in block.search(own, vector, k)]
+                        found += [(int(own), int(query), *x) for x in sorted(best, key=lambda x: (-x[1], x[0]))[:k]]
+                    columns = zip(*found) if found else ([], [], [], [])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["row", "query_id", "vec_id", "score"])
+
+    found = map_arrow(met, run, "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

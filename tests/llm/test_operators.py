@@ -454,3 +454,11 @@ def test_empty_documents_give_no_rows(spark, operator):
     _, labels = labelled(spark, 40)
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     assert operator(frame(spark, []), labels, bench).count() == 0
+
+
+def test_queries_are_not_gathered_in_the_driver(spark, tmp_path):
+    rng = random.Random(3)
+    spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(500)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/v")
+    best = topk.top_k(spark.read.parquet(f"{tmp_path}/v"), candidate_block=10, query_block=2)
+    assert len(best.collect()) == 50
+    assert "Broadcast" not in best._jdf.queryExecution().executedPlan().toString()  # the plan that ran
